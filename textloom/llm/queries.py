@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.common import KEY, items, once
+from textloom.llm.encoding import repair_encoding
+from textloom.llm.leakage import leaked_items, without_leaks
+from textloom.llm.mixing import Mixture
 from textloom.llm.sentences import sentence_starts, sentence_units
 from textloom.llm.splitting import split_items, split_oversized
 from textloom.session import table
@@ -36,7 +39,40 @@ def p4_units(spark: SparkSession, d: str) -> DataFrame:
     return sentence_units(items(spark, d, "segment", "pdf_page"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_units)}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that were decoded wrongly, whole or in part."""
+    got = repair_encoding(items(spark, d, "text_doc"))
+    return got.filter((F.size("repaired.steps") > 0) | F.col("repaired.lost")).select("doc_id").distinct()
+
+
+def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """The affected documents with their restored text and the steps that restored it."""
+    got = repair_encoding(once(items(spark, d, "text_doc")))
+    return got.filter((F.size("repaired.steps") > 0) | F.col("repaired.lost")).select("doc_id", "repaired.*")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold at least half of an evaluation passage, with each of its items."""
+    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_item"))
+
+
+def p6_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The affected documents without the leaked spans."""
+    return without_leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The drawn records, one row for each copy."""
+    got = Mixture(table(spark, d, "documents"), table(spark, d, "mix_target")).records
+    return got.select("doc_id", "source", "tokens", F.explode(F.sequence(F.lit(1), "copies")).alias("epoch"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return Mixture(table(spark, d, "documents"), table(spark, d, "mix_target")).shares
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_units, p5_found, p5_repaired, p6_found, p6_clean, p7_mixture, p7_shares)}
 
 _BOTH = "(SELECT 'segment' AS src, doc_id, id, text FROM segment UNION ALL SELECT 'pdf_page', doc_id, 'p' || page, text FROM pdf_page)"
 
