@@ -33,7 +33,7 @@ LEAST_HITS = 0.15
 BLOCK = 20_000
 ITEM_LIMIT = 1_000_000
 _WORD = re.compile(r"[^\W_]+")
-_MARKUP = re.compile(r"<[/!]?[A-Za-z][^<>]{0,200}>|&(?:#\d{1,6}|#x[0-9a-fA-F]{1,6}|[A-Za-z]{2,8});|[­͏​‌‍⁠﻿]")
+_MARKUP = re.compile(r"<[/!]?[A-Za-z][^<>]{0,200}>|&(?:#\d{1,6}|#x[0-9a-fA-F]{1,6}|[A-Za-z]{2,8});|[\u00ad\u034f\u200b\u200c\u200d\u2060\ufeff]")
 _HYPHEN = re.compile(r"(\w)-\n(\w)")
 
 

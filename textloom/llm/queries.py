@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textloom.llm.common import KEY, items, once
 from textloom.llm.encoding import repair_encoding
 from textloom.llm.leakage import leaked_items, without_leaks
+from textloom.llm.lookalikes import changed_items, unify_items
 from textloom.llm.mixing import Mixture
 from textloom.llm.sentences import sentence_starts, sentence_units
 from textloom.llm.splitting import split_items, split_oversized
@@ -28,6 +29,16 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return got.select(*KEY, F.explode("pieces").alias("p")).select(*KEY, "p.*")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Items that the unifying spelling changes."""
+    return once(changed_items(items(spark, d, "segment", "pdf_page")).select(*KEY))
+
+
+def p2_unified(spark: SparkSession, d: str) -> DataFrame:
+    """Every item in its consistent spelling."""
+    return unify_items(once(items(spark, d, "segment", "pdf_page")))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """The first offset of each sentence unit."""
     got = once(sentence_starts(items(spark, d, "segment", "pdf_page")))
@@ -72,7 +83,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return Mixture(table(spark, d, "documents"), table(spark, d, "mix_target")).shares
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_units, p5_found, p5_repaired, p6_found, p6_clean, p7_mixture, p7_shares)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_unified, p4_found, p4_units, p5_found, p5_repaired, p6_found, p6_clean, p7_mixture, p7_shares)}
 
 _BOTH = "(SELECT 'segment' AS src, doc_id, id, text FROM segment UNION ALL SELECT 'pdf_page', doc_id, 'p' || page, text FROM pdf_page)"
 

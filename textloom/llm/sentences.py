@@ -33,9 +33,9 @@ MEMO_LIMIT = 300_000
 _INVISIBLE = "\u00ad\u034f\u200b\u200c\u2060\ufeff"
 _CLOSERS = "\"'”’»›)\\]}」』）】》〉＂“"
 _EMOJI = "\U0001F000-\U0001FAFF☀-\u27bf\ufe0f\u200d\U0001F3FB-\U0001F3FF⭐✅"
-_THAI = "ก-ฺเ-๎"
+_THAI = "\u0e01-\u0e3a\u0e40-\u0e4e"
 #: An end mark with the closers behind it, or a line end. One character class leads, so that the scan is fast.
-CANDIDATE = re.compile(rf"([.!?…।॥؟؛;。！？｡\n])[.!?…。！？]*[{_INVISIBLE}]*(?:[{_CLOSERS}]+|[   ][»”](?!\w))*")
+CANDIDATE = re.compile(rf"([.!?…।॥؟؛;。！？｡\n])[.!?…。！？]*[{_INVISIBLE}]*(?:[{_CLOSERS}]+|[ \u00a0\u202f][»”](?!\w))*")
 GREEK = re.compile("[Ͱ-Ͽ]")
 THAI = re.compile(f"[{_THAI}]")
 #: A space before Thai, as a boundary of clauses.

@@ -16,7 +16,7 @@ import pandas as pd
 from textloom.llm import encoding as E
 
 LIMIT = 60_000
-DROP = set("­͏​‌⁠﻿�")
+DROP = set("\u00ad\u034f\u200b\u200c\u2060\ufeff�")
 
 
 def texts(path: str, table: str) -> list[str]:
