@@ -249,6 +249,8 @@ def search(text: str, m: Plausibility, margin: float = MARGIN) -> tuple[str, lis
     while heap and done < MAX_STATES:
         cost, _, now, path = heapq.heappop(heap)
         done += 1
+        if path and not m.suspect(now):
+            break  # popped in order of cost: an ordinary text, and none cheaper is left to look at
         if cost > best_cost + 3 * margin and done > 1 or len(path) >= MAX_DEPTH:
             continue
         for step, to in neighbours(now):
@@ -294,6 +296,30 @@ def repair(text: str | None, m: Plausibility | None = None) -> tuple[str | None,
     return "\n".join(lines), steps, lost
 
 
+_RUN = re.compile(r"[\x00-\x7f]+|[^\x00-\x7f]+")
+
+
+def repair_mapped(text: str, m: Plausibility | None = None) -> tuple[str, list[int] | None]:
+    """The restored text and the source offset of each of its characters (None: the same offsets).
+
+    Steps change runs of non-ASCII characters only, so the ASCII runs tie both texts together;
+    inside a changed run offsets are in proportion.
+    """
+    new, steps, _ = repair(text, m)
+    if not steps:
+        return text, None
+    if len(new) == len(text):
+        return new, None
+    a, b = _RUN.findall(text), _RUN.findall(new)
+    if len(a) != len(b):
+        return text, None
+    src, at = [], 0
+    for x, y in zip(a, b):
+        src.extend(at + k * len(x) // len(y) for k in range(len(y)))
+        at += len(x)
+    return new, src
+
+
 _TYPE = pa.struct([("text", pa.string()), ("steps", pa.list_(pa.string())), ("lost", pa.bool_())])
 DDL = "struct<text:string,steps:array<string>,lost:boolean>"
 

@@ -12,6 +12,7 @@ from textloom.llm.encoding import repair_encoding
 from textloom.llm.leakage import leaked_items, without_leaks
 from textloom.llm.lookalikes import changed_items, unify_items
 from textloom.llm.mixing import Mixture
+from textloom.llm.personal import mention_rows, redact
 from textloom.llm.sentences import sentence_starts, sentence_units
 from textloom.llm.splitting import split_items, split_oversized
 from textloom.session import table
@@ -39,6 +40,16 @@ def p2_unified(spark: SparkSession, d: str) -> DataFrame:
     return unify_items(once(items(spark, d, "segment", "pdf_page")))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each mention of a person's data."""
+    return mention_rows(items(spark, d, "segment", "pdf_page", "text_doc"))
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every item with a typed placeholder for each mention."""
+    return redact(once(items(spark, d, "segment", "pdf_page", "text_doc")))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """The first offset of each sentence unit."""
     got = once(sentence_starts(items(spark, d, "segment", "pdf_page")))
@@ -83,7 +94,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return Mixture(table(spark, d, "documents"), table(spark, d, "mix_target")).shares
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_unified, p4_found, p4_units, p5_found, p5_repaired, p6_found, p6_clean, p7_mixture, p7_shares)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_unified, p3_found, p3_redacted, p4_found, p4_units, p5_found, p5_repaired, p6_found, p6_clean, p7_mixture, p7_shares)}
 
 _BOTH = "(SELECT 'segment' AS src, doc_id, id, text FROM segment UNION ALL SELECT 'pdf_page', doc_id, 'p' || page, text FROM pdf_page)"
 
