@@ -15,6 +15,7 @@ from textloom.llm.mixing import Mixture
 from textloom.llm.personal import mention_rows, redact
 from textloom.llm.sentences import sentence_starts, sentence_units
 from textloom.llm.splitting import split_items, split_oversized
+from textloom.llm.subjects import assign
 from textloom.session import table
 
 
@@ -94,7 +95,22 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return Mixture(table(spark, d, "documents"), table(spark, d, "mix_target")).shares
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_unified, p3_found, p3_redacted, p4_found, p4_units, p5_found, p5_repaired, p6_found, p6_clean, p7_mixture, p7_shares)}
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    return assign(table(spark, d, "documents"), table(spark, d, "doc_label"), table(spark, d, "subject_area"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with each of its subject areas."""
+    return _subjects(spark, d).select("doc_id", "subject")
+
+
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of each subject, and the summed posterior."""
+    got = _subjects(spark, d).groupBy("subject").agg(F.count("*").alias("documents"), F.round(F.sum("posterior"), 3).alias("mass"))
+    return table(spark, d, "subject_area").select("subject").join(got, "subject", "left").na.fill(0)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_unified, p3_found, p3_redacted, p4_found, p4_units, p5_found, p5_repaired, p6_found, p6_clean, p7_mixture, p7_shares, p8_found, p8_composition)}
 
 _BOTH = "(SELECT 'segment' AS src, doc_id, id, text FROM segment UNION ALL SELECT 'pdf_page', doc_id, 'p' || page, text FROM pdf_page)"
 
