@@ -101,11 +101,14 @@ def from_utf8(text: str, read_as: str) -> str:
 
 def neighbours(text: str):
     """Every text one step away, with the name of the step."""
-    for r in READ_AS:
+    odd = {c for c in text if c > "\x7f"}
+    # what was read in a set consists of its characters, some words that were read rightly aside
+    fitting = [r for r in READ_AS if 2 * len(odd & encoder(r).keys()) >= len(odd)]
+    for r in fitting:
         yield f"utf-8 read as {r}", from_utf8(text, r)
     if "Ã " in text:
         yield "utf-8 read as latin-1, no-break spaces lost", from_utf8(text.replace("Ã ", "Ã\xa0"), "cp1252")
-    for r in READ_AS:
+    for r in fitting:
         for w in WAS:
             if r != w:
                 yield f"{w} read as {r}", text.translate(redecode_table(r, w))

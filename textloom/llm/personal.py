@@ -54,6 +54,11 @@ ADDRESS = re.compile(
     rf"|(?<![\w.,-])\d{{1,5}}(?:\s(?:bis|ter)|[a-c])?,?\s(?:rue|chemin|bd|boulevard|avenue|av\.|place|impasse|quai|allée|route)\s[\w'’ -]{{3,30}}"
     rf"|(?<![\w.,-])\d{{1,5}}\s(?:[NSEW]\.\s)?(?:[{_U}][{_L}]+\s){{1,3}}(?:Lane|Ln|Court|Ct|Street|St|Avenue|Ave|Road|Rd|Drive|Dr|Way|Close|Terrace|Place|Square|Boulevard|Blvd|Hill|Row|Walk|Crescent)\b\.?"
 )
+#: An address has a postal code or a word of these; other texts need no search.
+_POSTAL = re.compile(r",\s\d\d-?\d\d\d")
+_ADDRESS_WORDS = ("ul.", "os.", "al.", "pl.", "lok.", " m.", "Avda", "avda", "Av.", "av.", "bd ", "Bd ", "C/", "alle ", "laza ", "aseo ", "ulica", "rue ", "chemin", "avenue", "place ", "allée", "quai", "route", "Lane", "Ln", "Court", "Ct", "Street", "St", "Ave", "Road", "Rd", "Drive", "Dr", "Way", "Close", "Place", "Square", "Hill", "Row", "Walk", "Terrace", "Crescent", "weg", "Weg", "gasse", "stra", "platz", "allee", "Apt", "Unit", "Flat", "ул.", "пр.", "пер.", "наб.")
+_DIGIT = re.compile(r"\d")
+_DATE = re.compile(r"(?:19|20)\d\d[-./]\d{1,2}[-./]\d{1,2}|\d{1,2}[-./]\d{1,2}[-./](?:19|20)\d\d")
 _TYPE = re.compile(rf"(?:{_STREET})\.|C/|calle|Calle|Plaza|Paseo|rue|chemin|bd|avenue|place|Lane|Court|Street|Ave|Road|Rd|weg|gasse|straße|str\.|allee|platz|Weg|Am |An |Im ")
 _AFTER_ADDRESS = re.compile(r"(?:/\d+|\s?(?:m|lok)\.\s?\d+)?\s?,\s?(?:(?:Apt|Unit|Flat|Suite|portal|piso|bajo|esc)\b|\d\d-\d{3}|\d{5}|[A-Z]{2} \d{5})|(?:/\d+|\s(?:m|lok)\.\s?\d+)")
 #: Words that lead to an address and are no part of it.
@@ -67,6 +72,9 @@ PHONE_CUES = ("tel", "numerem", "phone", "call", "telefon", "on", "under", "unte
 FIRM = re.compile(r"[ \n](?:S\.A|Sp\.|sp\.|GmbH|AG\b|Ltd|Inc|Corp|S\.L|S\.A\.R\.L|LLC|KG|& Co|plc|ООО|SARL)")
 #: What stands before or after persons' names, in small letters.
 BEFORE_NAME = ("pobrał:", "ob.", "mec.", "wniosek", "wniosku", "odebrał", "odebrała", "podpisali", "mr.", "mrs.", "ms.", "dr.", "dr", "contact", "tenant,", "empfänger:", "frau", "herr", "herrn", "mme", "contacter", "remis", "gegeben", "identité", "identidad", "entregado", "гражданин", "гражданка", "подписали", "owner=", "sender", "dna.", "sra.", "m.", "angaben", "nahm", "received by", "kontakt z", "się z")
+_NAME_CUES = tuple(c.strip(".:,=") for c in BEFORE_NAME)
+#: What introduces an address, in small letters.
+ADDRESS_CUES = {"adres", "adresem", "to", "at", "an", "zamieszkały", "wohnung", "vive", "habite", "colis", "au", "paquete", "place", "en", "a"}
 AFTER_NAME = ("tel", "(ur", "lives", "mieszka", "schrieb", "wohnt", "habite", "vive", "holder", "signed", "con", "dnia", "odbiera", "can", "at", "oraz", "adres")
 LABEL = re.compile(r"\[[A-ZĄĆĘŁŃÓŚŹŻ]+(?:_\d+)?\]|<[A-Z]+(?:_\d+)?>|\*{4}")
 
@@ -97,34 +105,33 @@ def token_score(word: str, lex: dict, ends: dict, memo: dict) -> float:
 
 
 def before(text: str, at: int, span: int = 22) -> list[str]:
-    """The last words before an offset, in small letters, nearest first."""
-    return text[max(0, at - span) : at].lower().replace("\n", " ").split(" ")[::-1]
+    """The last words before an offset, in small letters and without signs, nearest first."""
+    return [w for x in text[max(0, at - span) : at].lower().replace("\n", " ").split(" ")[::-1] if (w := x.strip("\"'„(,;:.="))]
 
 
-def _cue(words: list[str], cues: tuple[str, ...], depth: int = 3) -> int:
-    """1 for a cue in the nearest word, 2 and 3 further away, 9 for none."""
-    k = 0
-    for w in words:
-        w = w.strip("\"'„(,;:.=")
-        if not w:
-            continue
-        k += 1
-        if k > depth:
-            break
-        if any(w == c or len(c) > 4 and w.startswith(c) for c in cues):
-            return k
+@lru_cache(100_000)
+def _cues(word: str) -> int:
+    """The cue classes of a word as bits: phone, identity number, thing, name."""
+    return sum(1 << k for k, cues in enumerate((PHONE_CUES, ID_CUES, THING_CUES, _NAME_CUES)) if any(word == c or len(c) > 4 and word.startswith(c) for c in cues))
+
+
+def _cue(words: list[str], kind: int, depth: int = 3) -> int:
+    """1 for a cue of the kind in the nearest word, 2 and 3 further away, 9 for none."""
+    for k, w in enumerate(words[:depth]):
+        if _cues(w) >> kind & 1:
+            return k + 1
     return 9
 
 
 def number_features(text: str, a: int, b: int, code: bool) -> list[float]:
     s = text[a:b]
-    digits = sum(c.isdigit() for c in s)
+    digits = sum(map(str.isdigit, s))
     w = before(text, a, 34)
     groups = [len(g) for g in re.findall(r"\d+", s)]
     seps = set(c for c in s if not c.isalnum())
     return [
         digits, s.startswith("+"), "(" in s, "-" in seps, " " in seps or "\n" in seps, "." in seps, "/" in seps, len(groups), max(groups, default=0), groups[0] if groups else 0, groups[-1] if groups else 0,
-        sum(c.isalpha() for c in s), _cue(w, PHONE_CUES, 2), _cue(w, ID_CUES), _cue(w, THING_CUES, 2), s[:2] in ("00", "01", "8-", "03", "02", "04", "09"), "ext" in s or "wew" in s, float(code), text[a - 1 : a] in (",", ";", "\t"), text[b : b + 1] in (",", ";", "\t"),
+        sum(c.isalpha() for c in s), _cue(w, 0, 2), _cue(w, 1), _cue(w, 2, 2), s[:2] in ("00", "01", "8-", "03", "02", "04", "09"), "ext" in s or "wew" in s, float(code), text[a - 1 : a] in (",", ";", "\t"), text[b : b + 1] in (",", ";", "\t"),
         bool(re.fullmatch(r"(?:19|20)\d\d[-./]\d{1,2}[-./]\d{1,2}.*|\d{1,2}[-./]\d{1,2}[-./](?:19|20)\d\d.*", s, re.S)), text[a - 2 : a] in ("- ", "• ", "– ", ") ", ", "), text[b : b + 2].strip()[:1] == ")",
     ]
 
@@ -135,18 +142,18 @@ def address_features(text: str, a: int, b: int) -> list[float]:
     tail = text[b : b + 40]
     w = before(text, a, 34)
     return [
-        bool(_TYPE.search(s)), s[:1].isdigit(), after is not None, bool(re.search(r"\d\d-\d{3}|(?<!\d)\d{5}(?!\d)", tail)), len(s), s.count(" "), _cue(w, ("adres", "adresem", "to", "at", "an", "zamieszkały", "wohnung", "vive", "habite", "colis", "au", "paquete", "place", "en", "a"), 2),
+        bool(_TYPE.search(s)), s[:1].isdigit(), after is not None, bool(re.search(r"\d\d-\d{3}|(?<!\d)\d{5}(?!\d)", tail)), len(s), s.count(" "), next((k + 1 for k, x in enumerate(w[:2]) if x in ADDRESS_CUES), 9),
         int(re.findall(r"\d+", s)[0]) if re.search(r"\d", s) else 0, bool(re.search(r"\d\s?[a-z]?$", s)), text[a - 1 : a] in ("", "\n", '"'), bool(re.match(r"\s?[a-zß]", tail)), a == 0 or text[a - 2 : a].strip()[:1] in (".", "!", "?"),
     ]
 
 
 def name_features(text: str, a: int, b: int, scores: list[float], initials: int) -> list[float]:
     w = before(text, a, 24)
-    near = next((x for x in w if x), "")
+    near = next((x for x in text[max(0, a - 24) : a].lower().replace("\n", " ").split(" ")[::-1] if x), "")
     tail = text[b : b + 14].lower().lstrip()
     s = text[a:b]
     return [
-        max(scores), min(scores), sum(scores) / len(scores), len(scores), initials, s.isupper(), near in BEFORE_NAME or near.rstrip("\"") in BEFORE_NAME or near.startswith(("owner", '"sender')), _cue(w, BEFORE_NAME, 2), tail.startswith(AFTER_NAME),
+        max(scores), min(scores), sum(scores) / len(scores), len(scores), initials, s.isupper(), near in BEFORE_NAME or near.rstrip("\"") in BEFORE_NAME or near.startswith(("owner", '"sender')), _cue(w, 3, 2), tail.startswith(AFTER_NAME),
         FIRM.match(text, b) is not None, a == 0 or text[a - 1 : a] == "\n" or text[a - 2 : a].strip()[:1] in (".", "!", "?"), bool(re.match(r"\s?[,;(]", text[b : b + 2])), b == len(text) or text[b : b + 1] == "\n", "-" in s, bool(re.match(r"\s\d", text[b : b + 2])), text[a - 1 : a] in (",", ";", '"', "\t"),
         bool(re.match(r"[ \n][a-zà-ÿąćęłńóśźżа-я]", text[b : b + 2])),
     ]
@@ -186,7 +193,7 @@ def candidates(text: str, lex: dict, ends: dict, memo: dict):
         for m in EMAIL.finditer(text):
             s = m.group()
             yield "email", *m.span(), [len(s), s.count("@"), s.count("."), "(" in s or "[" in s, bool(re.search(r"\d", s)), text[m.start() - 1 : m.start()] in ("", " ", "\n", ",", ";", "(", "=", ":", '"'), s[-1].isalpha()]
-    if any(c in text for c in "0123456789"):
+    if _DIGIT.search(text):
         seen = set()
         for rx, code in ((NUMBER, False), (CODE, True)):
             for m in rx.finditer(text):
@@ -195,14 +202,14 @@ def candidates(text: str, lex: dict, ends: dict, memo: dict):
                     b = tail.start()
                 while text[b - 1] == ")" and text.count("(", a, b) < text.count(")", a, b):
                     b -= 1
-                if (a, b) in seen or sum(c.isdigit() for c in m.group()) < 5:
+                if (a, b) in seen or b - a < 7 or _DATE.match(text, a, b) or not code and sum(map(str.isdigit, text[a:b])) < 7:
                     continue
                 seen.add((a, b))
                 x = number_features(text, a, b, code)
                 if not code:
                     yield "phone", a, b, x
                 yield "id_number", a, b, x
-        for m in ADDRESS.finditer(text):
+        for m in ADDRESS.finditer(text) if _POSTAL.search(text) or any(k in text for k in _ADDRESS_WORDS) else ():
             a, b = m.span()
             while (w := re.match(r"(\w+)\s", text[a:b])) and w.group(1) in NOT_STREET:
                 a += w.end()
