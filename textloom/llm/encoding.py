@@ -99,8 +99,8 @@ def from_utf8(text: str, read_as: str) -> str:
     return "".join(out)
 
 
-def neighbours(text: str):
-    """Every text one step away, with the name of the step."""
+def neighbours(text: str, wide: bool = True):
+    """Every text one step away, with the name of the step. Not ``wide``: only steps that UTF-8's strict form vouches for."""
     odd = {c for c in text if c > "\x7f"}
     # what was read in a set consists of its characters, some words that were read rightly aside
     fitting = [r for r in READ_AS if 2 * len(odd & encoder(r).keys()) >= len(odd)]
@@ -108,7 +108,7 @@ def neighbours(text: str):
         yield f"utf-8 read as {r}", from_utf8(text, r)
     if "Ã " in text:
         yield "utf-8 read as latin-1, no-break spaces lost", from_utf8(text.replace("Ã ", "Ã\xa0"), "cp1252")
-    for r in fitting:
+    for r in fitting if wide else ():
         for w in WAS:
             if r != w:
                 yield f"{w} read as {r}", text.translate(redecode_table(r, w))
@@ -202,6 +202,7 @@ class Plausibility:
             self.size[kind(s)] = self.size.get(kind(s), 0) + 1
         self.seen = seen
         self.memo: dict[str, float] = {}
+        self.odd: dict[str, float] = {}  # the worst bigram of a word
 
     def bits(self, two: str) -> float:
         got = self.memo.get(two)
@@ -232,9 +233,18 @@ class Plausibility:
 
     def suspect(self, text: str, limit: float = 11.2) -> bool:
         """Whether some bigram with a non-ASCII character is rare in clean text."""
-        bits = self.bits
-        t = f" {text} "
-        return any(bits(t[k : k + 2]) > limit for k in range(len(t) - 1) if t[k] > "\x7f" or t[k + 1] > "\x7f")
+        odd = self.odd
+        for word in text.split(" "):
+            if not word.isascii():
+                worst = odd.get(word)
+                if worst is None:
+                    if len(odd) > 300_000:
+                        odd.clear()
+                    t = f" {word} "
+                    worst = odd[word] = max(self.bits(t[k : k + 2]) for k in range(len(t) - 1) if t[k] > "\x7f" or t[k + 1] > "\x7f")
+                if worst > limit:
+                    return True
+        return False
 
 
 @lru_cache(1)
@@ -246,6 +256,12 @@ def search(text: str, m: Plausibility, margin: float = MARGIN) -> tuple[str, lis
     """The cheapest text reachable from ``text`` and the steps to it; no steps if nothing saves more than the margin."""
     start = m.cost(text)
     best, best_cost, best_path = text, start, []
+    for step, to in neighbours(text, False):  # the likeliest damage: one step from UTF-8 leads to an ordinary text
+        c = m.cost(to) + 2.0
+        if c < best_cost:
+            best, best_cost, best_path = to, c, [step]
+    if best_path and start - best_cost > margin and not m.suspect(best):
+        return best, best_path
     heap = [(start, 0, text, [])]
     seen = {hash(text)}
     count = done = 0

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -67,6 +68,15 @@ def resolved(c: str, own: str, poor: bool = True) -> set[str]:
     return {own} | {s for s in SCRIPTS if s != own and c in TO[own, s] and (poor or c not in POOR and TO[own, s][c] not in POOR)}
 
 
+@lru_cache(200_000)
+def _word(w: str) -> tuple[str, frozenset[str], str | None]:
+    """A word without its marks, its scripts, and its script if it can be spelt in no other."""
+    bare = w if w.isascii() else "".join(c for c in w if not "\u0300" <= c <= "\u036f")
+    own = frozenset(script(c) for c in bare)
+    one = next(iter(own)) if len(own) == 1 else None
+    return bare, own, one if one and any(len(resolved(c, one, False)) == 1 for c in bare) else None
+
+
 def _keeps(text: str, a: int, b: int) -> bool:
     """Whether the invisible characters ``text[a:b]`` are needed by the spelling around them."""
     p, n, run = text[a - 1 : a], text[b : b + 1], text[a:b]
@@ -129,12 +139,12 @@ def words(text: str) -> str:
     if not _OTHER.search(text):
         return text
     found = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(text)]
-    bare = [w if w.isascii() else "".join(c for c in w if not "\u0300" <= c <= "\u036f") for _, _, w in found]
-    own = [{script(c) for c in w} for w in bare]
-    if len(set().union(*own)) < 2:
+    known = [_word(w) for _, _, w in found]
+    if len({s for x in known for s in x[1]}) < 2:
         return text
+    bare, own = [x[0] for x in known], [x[1] for x in known]
     # the surroundings of a word: scripts of near words that can only be spelt in their own
-    sure = [next(iter(s)) if len(s) == 1 and any(len(resolved(c, next(iter(s)), False)) == 1 for c in w) else None for w, s in zip(bare, own)]
+    sure = [x[2] for x in known]
     out = list(text)
     for k, ((a, b, _), w, s) in enumerate(zip(found, bare, own)):
         if len(s) > 1:
