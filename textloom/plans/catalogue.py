@@ -1,25 +1,435 @@
-"""Named queries over the driver's tables, each with the SQL that checks it where SQL can say it."""
+"""Named queries over the driver's tables, each with the SQL that checks it where SQL can say it.
+
+Every query runs over whole tables. Redelivered rows count once.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from textloom.functions import inline as I
+from textloom.functions import text as T
+from textloom.operators import detect as D
+from textloom.operators import diff, edits as E, layout as L, markdown as M
+from textloom.plans import pipeline
 from textloom.session import table
+from textloom.sources import docx, pdf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    """Register a query under its function's name."""
+
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+# ---- inputs -----------------------------------------------------------------
+
+_SEG = "(SELECT DISTINCT doc_id, id, text, part, index, container_id, paragraph_index FROM segment)"
+_PAGE = "(SELECT DISTINCT doc_id, page, source_text, text FROM pdf_page)"
+_DOC = "(SELECT DISTINCT doc_id, filename, content_type, text FROM text_doc)"
+_EDIT = "(SELECT DISTINCT doc_id, seq, container_id, id, text, start_offset, end_offset FROM edit)"
+#: White space of every kind in RE2's spelling.
+_WS = r"[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}]"
+
+
+def _strip(c: str) -> str:
+    return f"regexp_replace({c}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+def _collapse(c: str) -> str:
+    return _strip(f"regexp_replace({c}, '{_WS}+', ' ', 'g')")
+
+
+def segs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "segment").select("doc_id", "id", "text", "part", "index", "container_id", "paragraph_index").dropDuplicates(["doc_id", "id"])
+
+
+def page_rows(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pdf_page").select("doc_id", "page", "source_text", "text").dropDuplicates(["doc_id", "page"])
+
+
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "text_doc").select("doc_id", "filename", "content_type", "text").dropDuplicates(["doc_id"])
+
+
+def edit_rows(spark: SparkSession, d: str) -> DataFrame:
+    return E.as_edits(table(spark, d, "edit")).dropDuplicates()
+
+
+def pieces(text: Column) -> Column:
+    """Words as inline pieces, every second one formatted bold; the space behind a word goes with it."""
+    words = F.split(text, "(?<= )", -1)
+    return F.transform(words, lambda w, i: I.text_piece(w, F.when(i % 2 == 1, F.lit("<w:rPr><w:b/></w:rPr>"))))
+
+
+# ---- flagship ---------------------------------------------------------------
+
+_EMAIL, _CARD = r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"\b[0-9]{16}\b"
+
+
+@query(f"SELECT doc_id, regexp_replace(regexp_replace(text, '{_EMAIL}', '[EMAIL]', 'g'), '{_CARD}', '[CARD]', 'g') AS redacted, len(regexp_extract_all(text, '{_EMAIL}'))::BIGINT AS emails, len(regexp_extract_all(text, '{_CARD}'))::BIGINT AS cards FROM documents")
 def redaction_report(spark: SparkSession, d: str) -> DataFrame:
     """E-mails and card numbers of documents replaced by labels, with the number of each."""
-    email, card = r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"\b\d{16}\b"
     doc = table(spark, d, "documents")
-    return doc.select(
-        "doc_id",
-        F.regexp_replace(F.regexp_replace("text", email, "[EMAIL]"), card, "[CARD]").alias("redacted"),
-        F.regexp_count("text", F.lit(email)).cast("bigint").alias("emails"),
-        F.regexp_count("text", F.lit(card)).cast("bigint").alias("cards"),
-    )
+    return doc.select("doc_id", F.regexp_replace(F.regexp_replace("text", _EMAIL, "[EMAIL]"), _CARD, "[CARD]").alias("redacted"), F.regexp_count("text", F.lit(_EMAIL)).cast("bigint").alias("emails"), F.regexp_count("text", F.lit(_CARD)).cast("bigint").alias("cards"))
+
+
+# ---- detection, names, decoding ---------------------------------------------
+
+_SUFFIX = r"lower(regexp_extract(regexp_extract(coalesce(filename, ''), '[^/]*$'), '^.+(\.[^.]+)$', 1))"
+_MIME = f"lower({_strip('''split_part(coalesce(content_type, ''), ';', 1)''')})"
+_KNOWN = "('.txt','.md','.markdown','.csv','.json','.xml','.html','.htm','.log','.rtf')"
+_MIME_OF = "CASE {s} WHEN '.txt' THEN 'text/plain; charset=utf-8' WHEN '.log' THEN 'text/plain; charset=utf-8' WHEN '.md' THEN 'text/markdown; charset=utf-8' WHEN '.markdown' THEN 'text/markdown; charset=utf-8' WHEN '.csv' THEN 'text/csv; charset=utf-8' WHEN '.json' THEN 'application/json; charset=utf-8' WHEN '.xml' THEN 'application/xml; charset=utf-8' WHEN '.html' THEN 'text/html; charset=utf-8' WHEN '.htm' THEN 'text/html; charset=utf-8' WHEN '.rtf' THEN 'application/rtf; charset=utf-8' END"
+
+
+@query(f"""WITH x AS (SELECT doc_id, content_type, {_SUFFIX} AS s, {_MIME} AS m FROM {_DOC} t)
+SELECT doc_id, 'text' AS kind, CASE WHEN s IN {_KNOWN} THEN s ELSE '.txt' END AS extension,
+CASE WHEN s IN {_KNOWN} THEN {_MIME_OF.format(s='s')} WHEN m LIKE 'text/%' THEN content_type ELSE 'text/plain; charset=utf-8' END AS content_type,
+CASE WHEN s IN {_KNOWN} OR m LIKE 'text/%' THEN 'metadata' ELSE 'content' END AS source FROM x""")
+def detect_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Types of text documents, from their names, media types and bytes."""
+    blobs = texts(spark, d).withColumn("content", F.encode("text", "UTF-8"))
+    return D.detect(blobs).select("doc_id", "detected.kind", "detected.extension", "detected.content_type", "detected.source")
+
+
+@query(f"SELECT doc_id, {_SUFFIX} AS suffix, {_MIME} AS mime, CASE WHEN {_MIME} = 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' OR {_SUFFIX} = '.docx' THEN 'docx' WHEN {_MIME} = 'application/pdf' OR {_SUFFIX} = '.pdf' THEN 'pdf' WHEN {_SUFFIX} IN {_KNOWN} OR {_MIME} LIKE 'text/%' THEN 'text' ELSE 'unknown' END AS kind FROM (SELECT DISTINCT doc_id, filename, content_type FROM detected) t")
+def kinds_by_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """What the metadata alone says about each file."""
+    x = table(spark, d, "detected").select("doc_id", "filename", "content_type").dropDuplicates()
+    kind = D.detected(F.col("filename"), F.col("content_type"), F.expr("X'00'"), F.lit(False))["kind"]
+    return x.select("doc_id", T.suffix("filename").alias("suffix"), T.normalize_mime("content_type").alias("mime"), F.coalesce(kind, F.lit("unknown")).alias("kind"))
+
+
+_STEM = r"regexp_replace(regexp_extract(rtrim(coalesce(nullif(filename, ''), 'document'), '/'), '[^/]*$'), '^(.+)\.[^.]+$', '\1')"
+
+
+@query(f"SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace({_STEM}, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g'), ''), 'document') || '.anonimizowany.docx' AS output FROM (SELECT DISTINCT doc_id, filename FROM detected) t")
+def output_names(spark: SparkSession, d: str) -> DataFrame:
+    """The safe name under which each document would be written."""
+    return table(spark, d, "detected").select("doc_id", "filename").dropDuplicates().select("doc_id", T.output_filename("filename", "docx").alias("output"))
+
+
+@query(f"SELECT doc_id, kind, text FROM {_DOC} t, (VALUES ('utf-8'), ('utf-8 mark'), ('utf-16be'), ('utf-16le')) k(kind)")
+def decode_ladder(spark: SparkSession, d: str) -> DataFrame:
+    """Texts encoded in four ways and decoded again, each without being told how."""
+    t = texts(spark, d)
+    utf8 = F.encode("text", "UTF-8")
+    forms = F.array(
+        F.struct(F.lit("utf-8").alias("kind"), utf8.alias("b")), F.struct(F.lit("utf-8 mark").alias("kind"), F.concat(F.expr("X'EFBBBF'"), utf8).alias("b")),
+        F.struct(F.lit("utf-16be").alias("kind"), F.concat(F.expr("X'FEFF'"), F.encode("text", "UTF-16BE")).alias("b")), F.struct(F.lit("utf-16le").alias("kind"), F.concat(F.expr("X'FFFE'"), F.encode("text", "UTF-16LE")).alias("b")),
+    )
+    return t.select("doc_id", F.explode(forms).alias("f")).select("doc_id", "f.kind", T.decode_text("f.b").alias("text"))
+
+
+@query(rf"SELECT doc_id, id, round(length(regexp_replace(text, '[^\p{{L}}\p{{M}}\p{{N}}\p{{P}}\p{{S}} \r\n\t]', '', 'g')) / length(text), 6) AS ratio FROM {_SEG} s WHERE length(text) > 0")
+def printable_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Share of printable characters of each segment."""
+    return segs(spark, d).filter(F.length("text") > 0).select("doc_id", "id", F.round(T.printable_ratio("text"), 6).alias("ratio"))
+
+
+# ---- segments ---------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, 's0' AS id, text, 'text' AS part, 0 AS index FROM {_DOC} t")
+def text_segments(spark: SparkSession, d: str) -> DataFrame:
+    return pipeline.text_segments(texts(spark, d)).select("doc_id", "id", "text", "part", "index")
+
+
+@query(f"SELECT doc_id, 'p' || page AS id, text, 'page:' || page AS part, page AS index FROM {_PAGE} p WHERE text IS NOT NULL AND {_strip('text')} <> ''")
+def pdf_segments(spark: SparkSession, d: str) -> DataFrame:
+    return pdf.segments(page_rows(spark, d)).select("doc_id", "id", "text", "part", "index")
+
+
+@query(f"SELECT doc_id, id, text, row_number() OVER (PARTITION BY doc_id ORDER BY paragraph_index, id) - 1 AS n FROM {_SEG} s WHERE text <> ''")
+def segment_order(spark: SparkSession, d: str) -> DataFrame:
+    """Segments in reading order. The window's groups are documents."""
+    w = Window.partitionBy("doc_id").orderBy("paragraph_index", "id")
+    return segs(spark, d).filter("text <> ''").select("doc_id", "id", "text", (F.row_number().over(w) - 1).cast("bigint").alias("n"))
+
+
+@query(f"SELECT e.doc_id, e.container_id, s.text FROM (SELECT DISTINCT doc_id, container_id FROM {_EDIT} e WHERE container_id <> '') e LEFT JOIN {_SEG} s ON s.doc_id = e.doc_id AND s.container_id = e.container_id")
+def resolve_by_container(spark: SparkSession, d: str) -> DataFrame:
+    wanted = edit_rows(spark, d).filter("container_id <> ''").select("doc_id", "container_id").distinct()
+    return docx.resolve(segs(spark, d), wanted).select("doc_id", "container_id", "text")
+
+
+@query(f"SELECT e.doc_id, e.k::INTEGER AS paragraph_index, s.text FROM (SELECT DISTINCT doc_id, seq AS k FROM {_EDIT} e) e LEFT JOIN {_SEG} s ON s.doc_id = e.doc_id AND s.paragraph_index = e.k")
+def resolve_by_index(spark: SparkSession, d: str) -> DataFrame:
+    wanted = edit_rows(spark, d).select("doc_id", F.col("seq").alias("paragraph_index")).distinct()
+    return docx.resolve(segs(spark, d), wanted, "paragraph_index").select("doc_id", "paragraph_index", "text")
+
+
+@query(f"SELECT doc_id, container_id, paragraph_index, text AS visible_text FROM {_SEG} s")
+def indexed_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return docx.indexed_paragraphs(segs(spark, d).withColumnRenamed("text", "visible_text").withColumn("error", F.lit(None).cast("string")))
+
+
+# ---- edits ------------------------------------------------------------------
+
+_TARGET = "CASE WHEN container_id <> '' THEN 'c:' || container_id WHEN id <> '' THEN 'i:' || id END"
+_FOLD = f"""WITH RECURSIVE s AS (SELECT *, 'c:' || container_id AS c, 'i:' || id AS i FROM {_SEG} q),
+e AS (SELECT s.doc_id, s.id, row_number() OVER (PARTITION BY s.doc_id, s.id ORDER BY e.seq, coalesce(e.text, ''), e.start_offset NULLS FIRST, e.end_offset NULLS FIRST) AS k, coalesce(e.text, '') AS new, e.start_offset AS a, e.end_offset AS b
+FROM (SELECT *, {_TARGET} AS t FROM {_EDIT} x) e JOIN s ON s.doc_id = e.doc_id AND (e.t = s.c OR e.t = s.i)),
+f AS (SELECT doc_id, id, 0::BIGINT AS k, text, NULL::VARCHAR AS error FROM s UNION ALL
+SELECT f.doc_id, f.id, f.k + 1,
+CASE WHEN f.error IS NOT NULL THEN f.text WHEN a IS NULL AND b IS NULL THEN new WHEN coalesce(a, 0) >= 0 AND coalesce(a, 0) < coalesce(b, length(f.text)) AND coalesce(b, length(f.text)) <= length(f.text) THEN substr(f.text, 1, coalesce(a, 0)) || new || substr(f.text, coalesce(b, length(f.text)) + 1) ELSE f.text END,
+CASE WHEN f.error IS NOT NULL THEN f.error WHEN a IS NULL AND b IS NULL OR coalesce(a, 0) >= 0 AND coalesce(a, 0) < coalesce(b, length(f.text)) AND coalesce(b, length(f.text)) <= length(f.text) THEN NULL ELSE 'invalid offsets' END
+FROM f JOIN e ON e.doc_id = f.doc_id AND e.id = f.id AND e.k = f.k + 1),
+r AS (SELECT doc_id, id, arg_max(text, k) AS text, max(error) AS error FROM f GROUP BY doc_id, id)"""
+
+
+@query(f"{_FOLD} SELECT doc_id, id, text, error FROM r")
+def edit_fold(spark: SparkSession, d: str) -> DataFrame:
+    """All edits applied in order; bad ranges are errors."""
+    return E.apply_edits(segs(spark, d), edit_rows(spark, d)).select("doc_id", "id", "text", "error")
+
+
+@query(f"{_FOLD} SELECT doc_id, id, text FROM r WHERE doc_id NOT IN (SELECT doc_id FROM r WHERE error IS NOT NULL)")
+def edit_fold_whole_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The segments of documents none of whose edits failed."""
+    return E.suppress_failed(E.apply_edits(segs(spark, d), edit_rows(spark, d))).select("doc_id", "id", "text")
+
+
+@query(f"SELECT DISTINCT doc_id, t AS target FROM (SELECT *, {_TARGET} AS t FROM {_EDIT} x) e WHERE t IS NOT NULL AND NOT EXISTS (SELECT 1 FROM segment s WHERE s.doc_id = e.doc_id AND (e.t = 'c:' || s.container_id OR e.t = 'i:' || s.id))")
+def edit_unknown_targets(spark: SparkSession, d: str) -> DataFrame:
+    return E.unknown_targets(segs(spark, d), edit_rows(spark, d))
+
+
+@query(f"SELECT doc_id, id, CASE WHEN instr(text, 'Inspektor') > 0 THEN substr(text, 1, instr(text, 'Inspektor') - 1) || '[ROLA]' || substr(text, instr(text, 'Inspektor') + 9) ELSE text END AS text, CASE WHEN instr(text, 'Inspektor') = 0 THEN 'placeholder not found' END AS error FROM {_SEG} s")
+def placeholder_first(spark: SparkSession, d: str) -> DataFrame:
+    return E.replace_placeholder(segs(spark, d).select("doc_id", "id", "text"), "Inspektor", "[ROLA]").select("doc_id", "id", "text", "error")
+
+
+@query(f"SELECT doc_id, id, '> ' || text AS text, NULL::VARCHAR AS error FROM {_SEG} s")
+def texts_by_position(spark: SparkSession, d: str) -> DataFrame:
+    """Every segment replaced by a text of the same place in a list."""
+    s = segs(spark, d)
+    w = Window.partitionBy("doc_id").orderBy("paragraph_index", "id")
+    given = s.select("doc_id", (F.row_number().over(w) - 1).alias("pos"), F.concat(F.lit("> "), "text").alias("new_text"))
+    return E.apply_texts(s, given, ["paragraph_index", "id"]).select("doc_id", "id", "text", "error")
+
+
+@query(f"SELECT doc_id, string_agg('<!-- textloom:' || id || ' -->' || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY paragraph_index, id) AS markdown FROM {_SEG} s GROUP BY doc_id")
+def to_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return M.to_markdown(segs(spark, d), ["paragraph_index", "id"])
+
+
+@query(rf"SELECT doc_id, id, regexp_replace(text, '\n+$', '') AS text, NULL::VARCHAR AS error FROM {_SEG} s")
+def markdown_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Segments written as markdown and read back over blanked ones."""
+    s = segs(spark, d)
+    md = M.to_markdown(s, ["paragraph_index", "id"])
+    return M.apply_markdown(s.withColumn("text", F.lit("")), md).select("doc_id", "id", "text", "error")
+
+
+# ---- inline pieces and runs -------------------------------------------------
+
+_WORDS = r"string_split_regex(text, ' ')"
+
+
+@query(f"SELECT doc_id, id, text AS visible, length(text)::BIGINT AS n, len({_WORDS})::BIGINT AS pieces FROM {_SEG} s")
+def inline_visible(spark: SparkSession, d: str) -> DataFrame:
+    p = pieces(F.col("text"))
+    return segs(spark, d).select("doc_id", "id", I.visible_text(p).alias("visible"), I.visible_len(p).cast("bigint").alias("n"), F.size(p).cast("bigint").alias("pieces"))
+
+
+@query(f"SELECT doc_id, id, text AS visible, (len({_WORDS}) + CASE WHEN length(text) > 7 AND substr(text, 7, 1) <> ' ' AND length(text) > 7 THEN 1 ELSE 0 END)::BIGINT AS pieces FROM {_SEG} s")
+def inline_split(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces cut at offset 7."""
+    p = I.split_at(pieces(F.col("text")), 7)
+    return segs(spark, d).select("doc_id", "id", I.visible_text(p).alias("visible"), F.size(p).cast("bigint").alias("pieces"))
+
+
+@query(f"SELECT doc_id, id, substr(text, 1, 5) || '[NEW]' || substr(text, 6) AS visible FROM {_SEG} s")
+def inline_insert(spark: SparkSession, d: str) -> DataFrame:
+    p = I.insert_at(pieces(F.col("text")), 5, F.array(I.text_piece("[NEW]")))
+    return segs(spark, d).select("doc_id", "id", I.visible_text(p).alias("visible"))
+
+
+@query(f"SELECT doc_id, id, CASE WHEN length(text) > 3 THEN substr(text, 1, 3) || '[X]' || substr(text, 13) ELSE text || '[X]' END AS visible FROM {_SEG} s")
+def inline_replace(spark: SparkSession, d: str) -> DataFrame:
+    p = I.replace_range(pieces(F.col("text")), F.lit(3), F.least(F.lit(12), F.greatest(F.lit(3), F.length("text"))), F.array(I.text_piece("[X]")))
+    return segs(spark, d).select("doc_id", "id", I.visible_text(p).alias("visible"))
+
+
+@query(f"WITH w AS (SELECT doc_id, id, {_WORDS} AS w FROM {_SEG} s), r AS (SELECT doc_id, id, unnest(w) AS t, unnest(range(len(w))) AS k, len(w) AS n FROM w), c AS (SELECT *, sum(length(t) + CASE WHEN k < n - 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, id ORDER BY k) AS e FROM r) SELECT doc_id, id, CASE WHEN coalesce(min(CASE WHEN e >= 10 THEN k END), max(k)) % 2 = 1 THEN '<w:rPr><w:b/></w:rPr>' END AS rpr FROM c GROUP BY doc_id, id")
+def inline_rpr(spark: SparkSession, d: str) -> DataFrame:
+    """Formatting that holds at offset 10."""
+    return segs(spark, d).select("doc_id", "id", I.rpr_at(pieces(F.col("text")), 10).alias("rpr"))
+
+
+@query(f"WITH w AS (SELECT doc_id, id, {_WORDS} AS w FROM {_SEG} s), r AS (SELECT doc_id, id, unnest(w) AS t, unnest(range(len(w))) AS k, len(w) AS n FROM w), c AS (SELECT *, sum(length(t) + CASE WHEN k < n - 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, id ORDER BY k) AS e FROM r) SELECT doc_id, id, k AS run, (e - length(t) - CASE WHEN k < n - 1 THEN 1 ELSE 0 END)::BIGINT AS start, e::BIGINT AS end FROM c")
+def run_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Offsets of each word taken as a run: prefix sums inside the row, no window."""
+    p = pieces(F.col("text"))
+    one = segs(spark, d).select("doc_id", "id", F.posexplode(F.zip_with(p, F.slice(I.starts(p), 1, F.size(p)), lambda x, s: F.struct(s.alias("s"), (s + F.length(x["text"])).alias("e")))).alias("run", "r"))
+    return one.select("doc_id", "id", F.col("run").cast("bigint").alias("run"), F.col("r.s").cast("bigint").alias("start"), F.col("r.e").cast("bigint").alias("end"))
+
+
+@query(f"SELECT doc_id, id, substr(text, 1, 2) || '#' || substr(text, 9) AS text FROM {_SEG} s WHERE length(text) >= 8")
+def runs_replaced(spark: SparkSession, d: str) -> DataFrame:
+    """A range replaced inside runs that keep their formatting."""
+    s = segs(spark, d).filter(F.length("text") >= 8)
+    runs = F.transform(pieces(F.col("text")), lambda p, i: F.struct(i.alias("idx"), p["text"].alias("text"), p["rpr"].alias("rpr")))
+    new = E.replace_in_runs(runs, F.lit(2), F.lit(8), F.lit("#"))
+    return s.select("doc_id", "id", F.array_join(F.transform(new, lambda r: r["text"]), "").alias("text"))
+
+
+# ---- pages: labels, differences, layout -------------------------------------
+
+_RED = f"(contains(text, '****') OR (contains(text, '<') AND contains(text, '>')) OR regexp_matches(text, '{T.LABEL_PATTERN}'))"
+
+
+@query(f"SELECT doc_id, page, {_RED} AS redacted FROM {_PAGE} p WHERE text IS NOT NULL")
+def redacted_pages(spark: SparkSession, d: str) -> DataFrame:
+    return page_rows(spark, d).filter("text IS NOT NULL").select("doc_id", "page", T.looks_like_redaction("text").alias("redacted"))
+
+
+@query(f"SELECT doc_id, id, CASE WHEN t = '' THEN '' WHEN length(t) > 64 OR regexp_matches(t, '[^\\x00-\\x7F]') THEN '****' ELSE t END AS label FROM (SELECT doc_id, id, {_collapse('text')} AS t FROM {_SEG} s) x")
+def redaction_labels(spark: SparkSession, d: str) -> DataFrame:
+    return segs(spark, d).select("doc_id", "id", T.redaction_label("text").alias("label"))
+
+
+@query(rf"SELECT doc_id, id, length(regexp_replace(text, '[^\p{{L}}\p{{N}}]', '', 'g')) = 1 AS short FROM {_SEG} s")
+def short_sources(spark: SparkSession, d: str) -> DataFrame:
+    return segs(spark, d).select("doc_id", "id", T.unsafe_short_source("text").alias("short"))
+
+
+@query(f"SELECT doc_id, id, CASE WHEN a = '' THEN 0 WHEN a = b THEN 1 ELSE 2 END::BIGINT AS n, a AS first FROM (SELECT doc_id, id, {_strip('text')} AS a, {_collapse('text')} AS b FROM {_SEG} s) x")
+def search_texts(spark: SparkSession, d: str) -> DataFrame:
+    c = T.search_candidates("text")
+    return segs(spark, d).select("doc_id", "id", F.size(c).cast("bigint").alias("n"), F.coalesce(F.get(c, F.lit(0)), F.lit("")).alias("first"))
+
+
+@query(f"SELECT doc_id, page, (NOT {_RED} AND b <> '' AND (length(b) > length(a) OR regexp_matches(b, '[^\\x00-\\x7F]') OR (contains(text, chr(10)) AND NOT contains(source_text, chr(10))))) AS reflow FROM (SELECT *, {_collapse('source_text')} AS a, {_collapse('text')} AS b FROM {_PAGE} p WHERE source_text IS NOT NULL AND text IS NOT NULL) x")
+def pages_to_reflow(spark: SparkSession, d: str) -> DataFrame:
+    p = page_rows(spark, d).filter("source_text IS NOT NULL AND text IS NOT NULL")
+    return p.select("doc_id", "page", T.requires_reflow(F.col("source_text"), F.col("text"), T.looks_like_redaction("text")).alias("reflow"))
+
+
+@query()
+def page_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Changed spans of every edited page."""
+    return diff.changed_spans(diff.with_opcodes(page_rows(spark, d)))
+
+
+@query()
+def page_strategies(spark: SparkSession, d: str) -> DataFrame:
+    """How each page is to be written back."""
+    ops = diff.with_opcodes(page_rows(spark, d)).withColumn("fits", F.coalesce(L.fits_page(F.col("text")), F.lit(True)))
+    return diff.page_strategy(ops, "fits").select("doc_id", "page", "strategy", "dropped_insert", "fits")
+
+
+@query(f"""WITH l AS (SELECT doc_id, page, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS k FROM {_PAGE} p WHERE text IS NOT NULL),
+m AS (SELECT *, lag(t) OVER (PARTITION BY doc_id, page ORDER BY k) AS before FROM l)
+SELECT doc_id, page, string_agg(CASE WHEN k = 0 THEN t WHEN regexp_replace(before, '\\s+$', '') <> '' AND NOT regexp_matches(regexp_replace(before, '\\s+$', ''), '[.!?:;]$') AND length(before) * 6 >= 428.4 THEN ' ' || t ELSE chr(10) || t END, '' ORDER BY k) AS text FROM m GROUP BY doc_id, page""")
+def soft_wraps_joined(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that go on in the next joined to it, six points a character taken as their width."""
+    ls = page_rows(spark, d).filter("text IS NOT NULL").select("doc_id", "page", F.split("text", "\n", -1).alias("ls"))
+    line = lambda t: F.struct(t.alias("text"), F.lit(0.0).alias("x0"), (F.length(t) * F.lit(6.0)).alias("x1"))
+    sep = lambda a, b: F.when(L.soft_wrapped(line(a), line(b), F.lit(595.0)), " ").otherwise("\n")
+    rest = F.transform(F.slice("ls", 2, 1 << 30), lambda t, i: F.concat(sep(F.get(F.col("ls"), i), t), t))
+    return ls.select("doc_id", "page", F.concat(F.get("ls", F.lit(0)), F.array_join(rest, "")).alias("text"))
+
+
+@query()
+def line_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes of the words of each page, merged line by line."""
+    p = page_rows(spark, d).filter("text IS NOT NULL")
+    boxes = F.flatten(F.transform(F.split("text", "\n", -1), lambda t, i: F.transform(F.filter(F.split(t, " "), lambda w: w != ""), lambda w, k: L.rect(48.0 + k * 40.0, 48.0 + i * 12.5, 80.0 + k * 40.0, 58.0 + i * 12.5))))
+    return p.select("doc_id", "page", F.posexplode(L.merge_lines(boxes, F.lit(595.0), F.lit(842.0))).alias("line", "r")).select("doc_id", "page", "line", "r.*", F.round(L.font_size(F.col("r")), 3).alias("size"))
+
+
+@query()
+def wrapped_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Lines and pages that each text document flows over."""
+    return texts(spark, d).filter("text IS NOT NULL").select("doc_id", F.posexplode(L.flow_pages(F.col("text"))).alias("page", "lines")).select("doc_id", "page", F.size("lines").alias("lines"), F.array_join("lines", "\n").alias("text"))
+
+
+@query()
+def glyph_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Page texts from glyphs of pages that were written and read again."""
+    blobs = pdf_blobs(spark, d)
+    sizes = pdf.pages(blobs).filter("error IS NULL").select("doc_id", "page", "width")
+    return L.glyph_text(pdf.chars(blobs), sizes)
+
+
+def pdf_blobs(spark: SparkSession, d: str) -> DataFrame:
+    """Text documents set as PDF files."""
+    docs = texts(spark, d).filter(F.col("text").isNotNull()).select("doc_id", "text")
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pdf.flow([t]) for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "content"])
+
+    return docs.mapInArrow(run, "doc_id string, content binary")
+
+
+# ---- whole documents --------------------------------------------------------
+
+
+@query(rf"SELECT doc_id, regexp_replace(text, '[\s\x{{a0}}\x{{2000}}-\x{{200a}}\x{{202f}}\x{{3000}}\x{{85}}]', '', 'g') AS text FROM {_DOC} t")
+def pdf_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Texts set as PDF and read back, white space aside."""
+    got = pdf.pages(pdf_blobs(spark, d)).filter("error IS NULL")
+    whole = got.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), "").alias("t"))
+    return whole.select("doc_id", F.regexp_replace("t", r"[\s\x{a0}\x{2000}-\x{200a}\x{202f}\x{3000}\x{85}]", "").alias("text"))
+
+
+def docx_blobs(spark: SparkSession, d: str) -> DataFrame:
+    """Word packages of the segments' documents: a paragraph for each segment in order."""
+    import pyarrow as pa
+
+    s = segs(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("paragraph_index", "id", F.translate("text", "\n", " ").alias("text")))).alias("p"))
+    joined = s.select("doc_id", F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text"))
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([docx.package_of_text(t) for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "content"])
+
+    return joined.mapInArrow(run, "doc_id string, content binary")
+
+
+@query(f"SELECT doc_id, 's' || (row_number() OVER (PARTITION BY doc_id ORDER BY paragraph_index, id) - 1) AS id, translate(text, chr(10), ' ') AS text FROM {_SEG} s WHERE text <> ''")
+def docx_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Segments of packages that were written and read again."""
+    return docx.segments(docx.paragraphs(docx_blobs(spark, d))).select("doc_id", "id", "text")
+
+
+@query(f"SELECT doc_id, 'body:p:0' AS container_id, '[X]' || substr(translate(text, chr(10), ' '), 2) AS text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY paragraph_index, id) AS k FROM {_SEG} s WHERE text <> '') x WHERE k = 1 AND length(text) > 0")
+def docx_edited(spark: SparkSession, d: str) -> DataFrame:
+    """The first paragraph of each package edited in its bytes and read again."""
+    blobs = docx_blobs(spark, d)
+    edits = blobs.select("doc_id", F.lit(0).alias("seq"), F.lit("body:p:0").alias("container_id"), F.lit(None).cast("string").alias("id"), F.lit("[X]").alias("text"), F.lit(0).alias("start_offset"), F.lit(1).alias("end_offset"))
+    out = docx.write(blobs, edits).select("doc_id", F.col("data").alias("content"))
+    return docx.paragraphs(out).filter("container_id = 'body:p:0'").select("doc_id", "container_id", F.col("visible_text").alias("text"))
+
+
+@query(f"SELECT doc_id, regexp_replace(text, '{_EMAIL}', '[EMAIL]', 'g') AS text FROM {_DOC} t")
+def text_bytes_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Text documents redacted, written as bytes, and read again."""
+    out = pipeline.text_bytes(texts(spark, d).withColumn("text", F.regexp_replace("text", _EMAIL, "[EMAIL]")))
+    return out.select("doc_id", T.decode_text("data").alias("text"))
+
+
+@query()
+def documents_loaded(spark: SparkSession, d: str) -> DataFrame:
+    """Segments of a collection of all three kinds, detected from bytes."""
+    name = lambda df, ext: df.select("doc_id", F.concat("doc_id", F.lit(ext)).alias("filename"), F.lit(None).cast("string").alias("content_type"), "content")
+    plain = texts(spark, d).select("doc_id", "filename", "content_type", F.encode("text", "UTF-8").alias("content"))
+    blobs = plain.unionByName(name(docx_blobs(spark, d), ".docx")).unionByName(name(pdf_blobs(spark, d).withColumn("doc_id", F.concat(F.lit("set-"), "doc_id")), ".pdf"))
+    return pipeline.load(blobs).segments.select("doc_id", "id", "text", "part", "index")
