@@ -78,17 +78,18 @@ class Mixture:
         have = {r.source: r.n for r in bounded_rows(sums.groupBy("source").agg(F.sum("n").alias("n")), 10_000, "sources")}
         listed = sum(want[s][1] for s in have)
         most = min((have[s] * want[s][2] * listed / want[s][1] for s in have), default=0)
-        self.total = int(most if total is None else min(total, most))
-        rows = [(s, *want[s], have.get(s, 0), min(int(self.total * want[s][1] / listed), have[s] * want[s][2]) if s in have else 0) for s in want]
+        whole = most if total is None else min(total, most)
+        self.total = int(whole)
+        rows = [(s, *want[s], have.get(s, 0), min(int(whole * want[s][1] / listed + 1e-6), have[s] * want[s][2]) if s in have else 0) for s in want]
         plan = spark.createDataFrame(rows or [("", "", 0.0, 0, 0, 0)], "source string, name string, target_share double, max_repeat int, available bigint, budget bigint")
         inside = Window.partitionBy("source", "bucket").orderBy("k", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
         run = recs.withColumn("upto", F.sum("tokens").over(inside)).join(offsets, ["source", "bucket"]).join(F.broadcast(plan), "source")
         copies = F.expr("budget div available + CASE WHEN upto + offset <= budget % available THEN 1 ELSE 0 END").cast("int")
         self.records = run.withColumn("copies", copies).filter("copies > 0").select("doc_id", F.col("name").alias("source"), "tokens", "copies")
         used = self.records.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("used_tokens"), F.max("copies").alias("most_copies"), F.sum("copies").cast("bigint").alias("records"))
-        whole = Window.partitionBy(F.lit(1))
+        everything = Window.partitionBy(F.lit(1))
         self.shares = (
             plan.filter("name <> ''").select(F.col("name").alias("source"), "target_share", "max_repeat", F.col("available").alias("available_tokens"))
             .join(used, "source", "left").na.fill(0, ["used_tokens", "most_copies", "records"])
-            .withColumn("actual_share", F.round(F.col("used_tokens") / F.sum("used_tokens").over(whole), 6))
+            .withColumn("actual_share", F.round(F.col("used_tokens") / F.sum("used_tokens").over(everything), 6))
         )
