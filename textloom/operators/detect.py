@@ -8,12 +8,13 @@ import zipfile
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from textloom import schema as S
 from textloom.functions import text as T
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _is_word_package(content: pd.Series) -> pd.Series:
     def one(data: bytes | None) -> bool:
         if not data:

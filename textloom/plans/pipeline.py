@@ -85,7 +85,8 @@ def render(loaded: Loaded, edits: DataFrame, strict: bool = False) -> DataFrame:
     w = docx.write(loaded.docx_blobs, edits, strict).join(names, "doc_id")
     words = w.select("doc_id", T.output_filename("given", "docx").alias("filename"), F.lit(S.DOCX_MIME).alias("content_type"), "data", "error")
     seg = E.apply_edits(pdf.segments(loaded.pages), edits, strict)
-    bad = seg.filter("error IS NOT NULL").groupBy("doc_id").agg(F.min("error").alias("failed"))
+    failed = seg.filter("error IS NOT NULL").select("doc_id", "error").unionByName(loaded.pages.filter("error IS NOT NULL").select("doc_id", "error"))
+    bad = failed.groupBy("doc_id").agg(F.min("error").alias("failed"))
     p = pdf.write(loaded.pdf_blobs, page_edits(loaded.pages, seg)).join(names, "doc_id").join(bad, "doc_id", "left")
     pdfs = p.select("doc_id", T.output_filename("filename", "pdf").alias("filename"), F.lit(S.PDF_MIME).alias("content_type"), F.when(F.col("failed").isNull(), F.col("data")).alias("data"), F.coalesce("failed", "error").alias("error"))
     return out.unionByName(words).unionByName(pdfs)
