@@ -42,7 +42,7 @@ _LEFT_INITIAL = re.compile(rf"(?<!\w)[{_U}]\.[ \n]$")
 _RIGHT_INITIAL = re.compile(rf"[ \n][{_U}]\.(?![{_L}])")
 _HAN_NAME = re.compile(r"(?:(?<=联系)|(?<=[。！？\n）])|(?<=^))[一-鿿]{3}(?=[，,于]|检查|签|退|确认|更正|拒绝)")
 EMAIL = re.compile(r"[\w][\w.+'’-]*\s?(?:@|[(\[{]\s?(?:at|AT|małpa)\s?[)\]}])\s?[\w-]+(?:(?:\.|\s?[(\[{]\s?(?:dot|DOT|kropka)\s?[)\]}]\s?)[\w-]+)+", re.A)
-NUMBER = re.compile(r"(?<![A-Za-z0-9_.,/:@#=-])(?<!\d )(?:\+|00)?\s?\(?\+?\d(?:[\d()]|[ .\n/-](?=[\d(])|\)[ /-]?(?=\d)){5,22}(?:[ -]?[A-Z](?!\w))?(?:,? ?(?:ext\.?|wew\.?|x) ?\d+)?(?![A-Za-z0-9_@])")
+NUMBER = re.compile(r"(?<![A-Za-z0-9_.,/:@#=-])(?<!\d )(?:\+\s?|00\s?)?\(?\+?\d(?:[\d()]|[ .\n/-](?=[\d(])|\)[ /-]?(?=\d)){5,22}(?:[ -]?[A-Z](?!\w))?(?:,? ?(?:ext\.?|wew\.?|x) ?\d+)?(?![A-Za-z0-9_@])")
 CODE = re.compile(r"(?<![A-Za-z0-9_./-])(?:[A-Z]{1,3}[ -]?\d{3,4}[ -]?\d{3,5}[A-Z]?|[A-Z]{2} \d\d \d\d \d\d [A-Z]|[A-Z0-9]{2,3}[0-9]{3}[A-Z0-9]{3,6}|[XYZ]-?\d{7}-?[A-Z]|\d\d[A-Z]{2}\d{5}|\d{8}-?[A-Z])(?![A-Za-z0-9_-])")
 #: A line end inside a number, and the label of the next item behind it.
 _TAIL = re.compile(r"\n\(?\d{1,4}[.)]?$|\n(?=\d{1,4}[.)] )")

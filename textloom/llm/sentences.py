@@ -42,6 +42,7 @@ THAI = re.compile(f"[{_THAI}]")
 THAI_CANDIDATE = re.compile(rf"\n|[.!?…]+(?=\s)|(?<=[{_THAI}0-9A-Za-z])[^\S\n]+(?=[{_THAI}])")
 _EMOJI_RUN = re.compile(rf"(?:[^\S\n]*[{_EMOJI}]+)+")
 _SPACE = re.compile(r"\s+")
+_INVISIBLE_RUN = re.compile(f"[{_INVISIBLE}\u200d]+")
 _TOKEN = re.compile(r"[^\s(\[{„“«\"]+$")
 _NEXT = re.compile(r"[\s]*([\"'“„«‹(\[{¡¿「『（‘]*)\s?(\S*)")
 LABEL = re.compile(
@@ -186,7 +187,7 @@ def unit_starts(text: str, layout: bool, memo: dict | None = None) -> list[int]:
             if opens:
                 nx = _NEXT.match(text, rest, min(size, rest + 12))
                 nxt = nx.group(2)[:1]
-            if begin - start <= 14 and LABEL.fullmatch(text[start : begin + 1]):
+            if begin - start <= 18 and LABEL.fullmatch(_INVISIBLE_RUN.sub("", text[start : begin + 1])):
                 continue
             low = max(start, begin - 24)
             token = text[max(low, text.rfind(" ", low, begin) + 1) : begin]
