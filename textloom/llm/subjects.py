@@ -35,8 +35,8 @@ from textloom.session import bounded_rows
 
 MODEL = Path(__file__).with_name("models") / "subjects.json"
 LEAST = 0.5
-#: Levels of the patterns: hits in title, question and answers, tags, labels, and the subject's rank in the thread.
-LEVELS = {"title": 3, "body": 5, "answers": 5, "tags": 2, "label": 3, "rank": 4, "usual": 2}
+#: Levels of the patterns: hits in title, question and answers, tags, labels and the source's usual subjects.
+LEVELS = {"title": 3, "body": 5, "answers": 5, "tags": 2, "label": 3, "usual": 2}
 _CODE = re.compile(r"```.*?(?:```|\Z)|<pre>.*?(?:</pre>|\Z)|<code>.*?(?:</code>|\Z)|^(?: {4}|\t).*$", re.S | re.M)
 _ADDRESS = re.compile(r"https?://\S+|www\.\S+")
 #: Openings of passing remarks, in small letters.
@@ -140,12 +140,11 @@ def patterns(docs: DataFrame, labels: DataFrame, subjects: list[str]) -> tuple[D
         is_usual = is_usual | ((F.col("source") == s) & F.col("subject").isin(top))
     total = F.col("title") * 2 + F.col("body") + F.col("answers") * 0.7 + F.col("tags")
     w = Window.partitionBy("thread")
-    levels = both.withColumn("total", total).withColumn("top", F.max("total").over(w)).withColumn("labelled", F.max("votes").over(w))
+    levels = both.withColumn("total", total).withColumn("labelled", F.max("votes").over(w))
     return seen, levels.select(
         "thread", "subject", "total",
         _steps("title", (0.4, 1.4)).alias("l_title"), _steps("body", (0.4, 1.4, 2.6, 4.5)).alias("l_body"), _steps("answers", (0.4, 1.6, 3.5, 7.0)).alias("l_answers"), (F.col("tags") > 0.3).cast("int").alias("l_tags"),
         F.when(F.col("votes") > 0, 2).when(F.col("labelled") > 0, 1).otherwise(0).alias("l_label"),
-        F.when(F.col("total") >= F.col("top"), 3).when(F.col("total") >= 0.5 * F.col("top"), 2).when(F.col("total") >= 0.22 * F.col("top"), 1).otherwise(0).alias("l_rank"),
         F.coalesce(is_usual, F.lit(False)).cast("int").alias("l_usual"),
     )
 
