@@ -71,21 +71,25 @@ def hits(text: str | None, lex: dict[str, list]) -> dict[str, float]:
     get = lex.get
     for ws in sentences(text):
         k, n = 0, len(ws)
+        last, end, counted = None, -1, 0.0  # words of one term stand side by side and count once
         while k < n:
             for m in range(min(N, n - k), 0, -1):
                 found = get(ws[k] if m == 1 else " ".join(ws[k : k + m]))
                 if found:
-                    out[found[0]] += found[1]
+                    subject, weight = found
+                    if subject == last and end == k:
+                        out[subject] += max(0.0, weight - counted)
+                        counted = max(counted, weight)
+                    else:
+                        out[subject] += weight
+                        last, counted = subject, weight
                     k += m - 1
+                    end = k + 1
                     break
             k += 1
     return out
 
 
-def _level(x: float, cuts: tuple[float, ...]) -> int:
-    return sum(x >= c for c in cuts)
-
-
 _EVIDENCE = "array<struct<subject:string,title:double,body:double,tags:double>>"
 _EVIDENCE_PA = pa.list_(pa.struct([("subject", pa.string()), ("title", pa.float64()), ("body", pa.float64()), ("tags", pa.float64())]))
 

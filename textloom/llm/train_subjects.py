@@ -57,7 +57,7 @@ def main(paths: list[str]) -> None:
             parts.append(part)
             gold.append({k: n / sum(y.values()) for k, n in y.items()})
     seen = Counter(g for b in bags for g in b)
-    top = 0.08 * len(bags)
+    top = 0.2 * len(bags)
     vocab = {g: i for i, g in enumerate(g for g, n in seen.items() if 4 <= n <= top and len(g) > 2)}
     row = np.concatenate([np.full(sum(g in vocab for g in b), k) for k, b in enumerate(bags)]).astype(int)
     col = np.array([vocab[g] for b in bags for g in b if g in vocab])
@@ -74,11 +74,12 @@ def main(paths: list[str]) -> None:
     for turn in range(12):
         phi = np.stack([np.bincount(col, (theta[:, s] * weight)[row], len(vocab)) for s in range(k)], 1) + 0.15 * prior
         phi /= phi.sum(1, keepdims=True)
+        n = np.bincount(col, weight[row], len(vocab))
         lift = phi / prior
         lift /= lift.sum(1, keepdims=True)
-        info = (lift * np.log(np.maximum(lift, 1e-9) * k)).sum(1)  # against even shares, so that a frequent subject's words say as much
-        n = np.bincount(col, weight[row], len(vocab))
-        w = np.maximum(0, info - 0.8) / 1.2 * (n / (n + 2))
+        info = (lift * np.log(np.maximum(lift, 1e-9) * k)).sum(1)
+        # a sequence says something if it is far from even shares, or keeps to one (frequent) subject almost always
+        w = np.maximum(np.clip((info - 0.8) / 1.2, 0, 1), np.clip((phi.max(1) - 0.88) / 0.08, 0, 1)) * (n / (n + 2))
         new = np.stack([np.bincount(row, (phi[:, s] ** 2 * w)[col], len(bags)) for s in range(k)], 1)
         strength = new.sum(1)
         new = np.maximum(new / np.maximum(strength, 1e-9)[:, None] - 0.08, 0)
@@ -87,7 +88,7 @@ def main(paths: list[str]) -> None:
         weight = np.where(has, 1.0, np.minimum(1, strength / 3) * (0.3 if turn < 2 else 1.0))
     best, p = phi.argmax(1), phi.max(1)
     total = np.bincount(col, weight[row], len(vocab))
-    lex = {g: [names[best[i]], round(float(min(1.0, w[i])), 2)] for g, i in vocab.items() if p[i] > 0.6 and lift[i].argmax() == best[i] and total[i] >= 3 and w[i] > 0.3}
+    lex = {g: [names[best[i]], round(float(min(1.0, max(w[i], (p[i] - 0.5) / 0.35))), 2)] for g, i in vocab.items() if p[i] > 0.62 and total[i] >= 3 and w[i] > 0.3}
     # A longer sequence is kept where it says more than its parts.
     def spare(g: str) -> bool:
         ws = g.split(" ")
