@@ -101,6 +101,20 @@ def test_pdf_redaction_takes_the_text_out():
     assert all(b"Kowalski" not in raw.stream(v) for n in raw.where if isinstance(v := raw.get(pdf.Ref(n)), tuple))
 
 
+def test_pdf_redaction_by_alignment_and_by_search():
+    data = pdf.build([["Jan Kowalski lives here", "and so does Jan Kowalski"]])
+    (a, _, _), = pdf.read_pages(data)
+    near = a.replace("lives", "liVes")  # the caller's text differs a little from the page's
+    target = near.replace("Jan Kowalski", "****", 1)
+    got = pdf.read_pages(pdf.rewrite(data, [(near, target, "redact", diff.opcodes(near, target))]))[0][0]
+    assert got.count("Kowalski") == 1
+    far = "Jan  Kowalski QQQQ ZZZZ 0123456789 0123456789\n"  # no alignment: looked for, every place goes
+    change = [{"tag": "replace", "source_start": 0, "source_end": 13, "source_text": "Jan  Kowalski", "replacement_text": "[X]"}]
+    got = pdf.read_pages(pdf.rewrite(data, [(far, "[X]", "redact", change)]))[0][0]
+    assert "Kowalski" not in got and got.count("[X]") == 2
+    assert pdf.occurrences("one two\nthree", "one  two three") and not pdf.occurrences("abc", "x\ny")
+
+
 def test_pdf_text_that_does_not_fit_flows():
     data = pdf.build([["short"]])
     (a, _, _), = pdf.read_pages(data)

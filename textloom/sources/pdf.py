@@ -18,6 +18,7 @@ or two-byte fonts are rebuilt instead.
 
 from __future__ import annotations
 
+import difflib
 import re
 import zlib
 
@@ -567,32 +568,76 @@ def _label(text: str) -> str:
     return "" if not t else "****" if len(t) > 64 or not t.isascii() else t
 
 
+def aligned(text: str, src: list[int | None], source: str) -> list[int | None] | None:
+    """The glyph of each character of ``source``, a text that may differ a little from the page's; none if under
+    nine in ten of its characters are found."""
+    if text == source:
+        return src
+    at: list[int | None] = [None] * len(source)
+    found = 0
+    for i, j, n in difflib.SequenceMatcher(None, text, source, autojunk=False).get_matching_blocks():
+        for k in range(n):
+            at[j + k] = src[i + k]
+            found += src[i + k] is not None and not source[j + k].isspace()
+    solid = sum(not c.isspace() for c in source)
+    return at if not solid or found >= 0.9 * solid else None
+
+
+def occurrences(text: str, wanted: str) -> list[range]:
+    """Every place of a text where another stands, white space of any length alike; if it stands nowhere as a whole,
+    the places of its lines, provided that each has one."""
+
+    def find(t: str) -> list[range]:
+        words = t.split()
+        return [range(*m.span()) for m in re.finditer(r"\s+".join(map(re.escape, words)), text)] if words else []
+
+    if hits := find(wanted):
+        return hits
+    lines_ = [x for x in wanted.splitlines() if x.strip()]
+    each = [find(x) for x in lines_] if len(lines_) > 1 else []
+    if not each or not all(each) or any(sum(map(str.isalnum, x)) == 1 for x in lines_):
+        return []
+    return [r for rs in each for r in rs]
+
+
 def erase(pdf: Pdf, page: dict, source: str, changes: list[dict]) -> tuple[bytes, list[tuple[float, float, float, float, str]]] | None:
-    """Content without the glyphs of the changed spans, and labelled boxes; none if that isn't safe."""
+    """Content without the glyphs of the changed spans, and labelled boxes; none if that isn't safe.
+
+    Spans are found by their offsets; if one can't be, all are looked for by their
+    text, which takes out every occurrence on the page.
+    """
     gs = glyphs(pdf, page)
     width, height = pdf.size(page)
     text, src = page_text(gs, width)
-    if text != source:
+    wanted = [c for c in changes if c["source_text"].strip()]
+    if any(sum(map(str.isalnum, c["source_text"])) == 1 for c in wanted):
         return None
+    at = aligned(text, src, source)
+    spans = []  # glyph numbers of each place, and its label
+    if at is not None:
+        for c in wanted:
+            ks = [(at[k], source[k]) for k in range(c["source_start"], c["source_end"])]
+            if any(k is None and not ch.isspace() for k, ch in ks):
+                at = None
+                break
+            spans.append(([k for k, _ in ks if k is not None], c["replacement_text"]))
+    if at is None:
+        spans = []
+        for c in wanted:
+            hits = occurrences(text, c["source_text"])
+            if not hits:
+                return None
+            spans += [([src[k] for k in r if src[k] is not None], c["replacement_text"]) for r in hits]
     gone: dict[tuple, set[int]] = {}
     boxes = []
-    for ch in changes:
-        s = ch["source_text"].strip()
-        if not s:
-            continue
-        if sum(map(str.isalnum, s)) == 1:
-            return None
+    for ks, label in spans:
         rects = []
-        for k in range(ch["source_start"], ch["source_end"]):
-            if src[k] is None:
-                if not text[k].isspace():
-                    return None
-                continue
-            g = gs[src[k]]
+        for k in ks:
+            g = gs[k]
             if g["span"] is None:
                 return None
             gone.setdefault(g["span"], set()).add(g["k"])
-            if not text[k].isspace():
+            if not g["c"].isspace():
                 rects.append(g)
         merged: list[list[float]] = []
         for g in sorted(rects, key=lambda g: (round(g["y0"], 1), g["x0"])):
@@ -602,7 +647,7 @@ def erase(pdf: Pdf, page: dict, source: str, changes: list[dict]) -> tuple[bytes
                 merged[-1] = [min(m[0], r[0]), min(m[1], r[1]), max(m[2], r[2]), max(m[3], r[3])]
             else:
                 merged.append(r)
-        boxes += [(max(0, r[0] - 0.75), max(0, r[1] - 0.75), min(width, r[2] + 0.75), min(height, r[3] + 0.75), _label(ch["replacement_text"]) if n == 0 else "") for n, r in enumerate(merged)]
+        boxes += [(max(0, r[0] - 0.75), max(0, r[1] - 0.75), min(width, r[2] + 0.75), min(height, r[3] + 0.75), _label(label) if n == 0 else "") for n, r in enumerate(merged)]
     raw = pdf.content(page)
     edits = []
     for span, ks in gone.items():
