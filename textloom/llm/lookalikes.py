@@ -50,6 +50,7 @@ _LETTERS = {"Latn": "A-Za-zªºÀ-ÖØ-öø-ɏḀ-ỿ", "Cyrl": "Ѐ-ԯ", "Grek":
 SUSPECT = f"[{INVISIBLE}{SPACES}{STYLED}{MARKS}]"
 LATIN, OTHER = "[A-Za-z]", f"[{_LETTERS['Cyrl']}{_LETTERS['Grek']}]"
 _CHANGE = re.compile(f"[{INVISIBLE}]+|[{SPACES}]|[{STYLED}]|[^\\s\\d][{MARKS}]+")
+_ANY = re.compile(SUSPECT)
 _OTHER = re.compile(OTHER)
 _WORD = re.compile(f"[{''.join(_LETTERS.values())}][{''.join(_LETTERS.values())}\u0300-\u036f]*")
 _EMOJI = re.compile("[\U0001f000-\U0001faff☀-➿⌀-⏿⬀-⯿©®™]")
@@ -97,6 +98,8 @@ def _keeps(text: str, a: int, b: int) -> bool:
 
 def characters(text: str) -> tuple[str, list[int] | None]:
     """First pass: the text and, if it changed, the source offset of every character of it."""
+    if not _ANY.search(text):  # one class, a fast scan
+        return text, None
     out, at, src = [], 0, None
     for m in _CHANGE.finditer(text):
         a, b = m.span()

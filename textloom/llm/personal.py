@@ -42,17 +42,22 @@ _LEFT_INITIAL = re.compile(rf"(?<!\w)[{_U}]\.[ \n]$")
 _RIGHT_INITIAL = re.compile(rf"[ \n][{_U}]\.(?![{_L}])")
 _HAN_NAME = re.compile(r"(?:(?<=联系)|(?<=[。！？\n）])|(?<=^))[一-鿿]{3}(?=[，,于]|检查|签|退|确认|更正|拒绝)")
 EMAIL = re.compile(r"[\w][\w.+'’-]*\s?(?:@|[(\[{]\s?(?:at|AT|małpa)\s?[)\]}])\s?[\w-]+(?:(?:\.|\s?[(\[{]\s?(?:dot|DOT|kropka)\s?[)\]}]\s?)[\w-]+)+", re.A)
-NUMBER = re.compile(r"(?<![A-Za-z0-9_.,/:@#=-])(?<!\d )(?:\+\s?|00\s?)?\(?\+?\d(?:[\d()]|[ .\n/-](?=[\d(])|\)[ /-]?(?=\d)){5,22}(?:[ -]?[A-Z](?!\w))?(?:,? ?(?:ext\.?|wew\.?|x) ?\d+)?(?![A-Za-z0-9_@])")
+#: The first character leads as one class, so that the scan is fast; what may not stand before it is looked at behind it.
+NUMBER = re.compile(r"[+(0-9](?<![A-Za-z0-9_.,/:@#=-].)(?<!\d .)(?:(?<=\d)|\s?\(?\+?\d)(?:[\d()]|[ .\n/-](?=[\d(])|\)[ /-]?(?=\d)){5,22}(?:[ -]?[A-Z](?!\w))?(?:,? ?(?:ext\.?|wew\.?|x) ?\d+)?(?![A-Za-z0-9_@])", re.S)
+_CODE_GATE = re.compile(r"[A-Z0-9](?:(?<=[A-Z])[ -]?\d|(?<=\d)-?[A-Z])")
 CODE = re.compile(r"(?<![A-Za-z0-9_./-])(?:[A-Z]{1,3}[ -]?\d{3,4}[ -]?\d{3,5}[A-Z]?|[A-Z]{2} \d\d \d\d \d\d [A-Z]|[A-Z0-9]{2,3}[0-9]{3}[A-Z0-9]{3,6}|[XYZ]-?\d{7}-?[A-Z]|\d\d[A-Z]{2}\d{5}|\d{8}-?[A-Z])(?![A-Za-z0-9_-])")
 #: A line end inside a number, and the label of the next item behind it.
 _TAIL = re.compile(r"\n\(?\d{1,4}[.)]?$|\n(?=\d{1,4}[.)] )")
 _STREET = "ul|os|al|pl|Al|Os|Ul|Pl|Avda|avda|Av|av|bd|Bd|ул|пр|пер|наб"
-ADDRESS = re.compile(
-    # a street name with or without a type word before it, then the house number
-    rf"(?:(?<![\w.])(?:(?:{_STREET})\.\s|C/\s?|(?:calle|Calle|Plaza|plaza|Paseo|paseo|ulica|aleja|osiedle|улица)\s)(?:(?:de|del|de la|des|von|zum)\s)*)?(?<![\w@.-])[{_U}][{_L}]+(?:\s(?:de|del|la|an|am|der|[{_U}][{_L}]+)){{0,3}}\s(?:nr\s)?\d{{1,4}}(?:\s?[a-z](?!\w))?(?![\d.]|,\d|\s?[%€])"
-    # a house number before a street with its type word
-    rf"|(?<![\w.,-])\d{{1,5}}(?:\s(?:bis|ter)|[a-c])?,?\s(?:rue|chemin|bd|boulevard|avenue|av\.|place|impasse|quai|allée|route)\s[\w'’ -]{{3,30}}"
-    rf"|(?<![\w.,-])\d{{1,5}}\s(?:[NSEW]\.\s)?(?:[{_U}][{_L}]+\s){{1,3}}(?:Lane|Ln|Court|Ct|Street|St|Avenue|Ave|Road|Rd|Drive|Dr|Way|Close|Terrace|Place|Square|Boulevard|Blvd|Hill|Row|Walk|Crescent)\b\.?"
+#: A street name, then the house number.
+NAMED_STREET = re.compile(rf"[{_U}](?<![\w@.-].)[{_L}]+(?:\s(?:de|del|la|an|am|der|[{_U}][{_L}]+)){{0,3}}\s(?:nr\s)?\d{{1,4}}(?:\s?[a-z](?!\w))?(?![\d.]|,\d|\s?[%€])", re.S)
+#: The type word of a street before its name.
+STREET_TYPE = re.compile(rf"(?:(?<![\w.])(?:(?:{_STREET})\.\s|C/\s?|(?:calle|Calle|Plaza|plaza|Paseo|paseo|ulica|aleja|osiedle|улица)\s)(?:(?:de|del|de la|des|von|zum)\s)*)$")
+#: A house number before a street with its type word.
+NUMBERED_STREET = re.compile(
+    rf"\d(?<![\w.,-].)\d{{0,4}}(?:(?:\s(?:bis|ter)|[a-c])?,?\s(?:rue|chemin|bd|boulevard|avenue|av\.|place|impasse|quai|allée|route)\s[\w'’ -]{{3,30}}"
+    rf"|\s(?:[NSEW]\.\s)?(?:[{_U}][{_L}]+\s){{1,3}}(?:Lane|Ln|Court|Ct|Street|St|Avenue|Ave|Road|Rd|Drive|Dr|Way|Close|Terrace|Place|Square|Boulevard|Blvd|Hill|Row|Walk|Crescent)\b\.?)",
+    re.S,
 )
 #: An address has a postal code or a word of these; other texts need no search.
 _POSTAL = re.compile(r",\s\d\d-?\d\d\d")
@@ -159,6 +164,20 @@ def name_features(text: str, a: int, b: int, scores: list[float], initials: int)
     ]
 
 
+def streets(text: str):
+    """Spans of street names with house numbers, type words included."""
+    for m in NAMED_STREET.finditer(text):
+        a, b = m.span()
+        if t := STREET_TYPE.search(text, max(0, a - 30), a):
+            a = t.start()
+        while (w := re.match(r"(\w+)\s", text[a:b])) and w.group(1) in NOT_STREET:
+            a += w.end()
+        if re.search(r"[^\W\d]", text[a:b]):
+            yield a, b
+    for m in NUMBERED_STREET.finditer(text):
+        yield m.span()
+
+
 def name_spans(text: str, lex: dict, ends: dict, memo: dict, floor: float = -0.15) -> list[tuple[int, int, list[float], int]]:
     """Runs of name-like words, with initials beside them: ``(start, end, scores, initials)``."""
     out: list[tuple[int, int, list[float], int]] = []
@@ -195,7 +214,7 @@ def candidates(text: str, lex: dict, ends: dict, memo: dict):
             yield "email", *m.span(), [len(s), s.count("@"), s.count("."), "(" in s or "[" in s, bool(re.search(r"\d", s)), text[m.start() - 1 : m.start()] in ("", " ", "\n", ",", ";", "(", "=", ":", '"'), s[-1].isalpha()]
     if _DIGIT.search(text):
         seen = set()
-        for rx, code in ((NUMBER, False), (CODE, True)):
+        for rx, code in ((NUMBER, False), (CODE, True)) if _CODE_GATE.search(text) else ((NUMBER, False),):
             for m in rx.finditer(text):
                 a, b = m.span()
                 if (tail := _TAIL.search(text, a, b)) and tail.start() > a + 5:
@@ -209,12 +228,8 @@ def candidates(text: str, lex: dict, ends: dict, memo: dict):
                 if not code:
                     yield "phone", a, b, x
                 yield "id_number", a, b, x
-        for m in ADDRESS.finditer(text) if _POSTAL.search(text) or any(k in text for k in _ADDRESS_WORDS) else ():
-            a, b = m.span()
-            while (w := re.match(r"(\w+)\s", text[a:b])) and w.group(1) in NOT_STREET:
-                a += w.end()
-            if text[a:b][:1].isalnum() and re.search(r"[^\W\d]", text[a:b]):
-                yield "address", a, b, address_features(text, a, b)
+        for a, b in streets(text) if _POSTAL.search(text) or any(k in text for k in _ADDRESS_WORDS) else ():
+            yield "address", a, b, address_features(text, a, b)
     for a, b, sc, ini in name_spans(text, lex, ends, memo):
         yield "name", a, b, name_features(text, a, b, sc, ini)
     if "联系" in text or "于" in text:
