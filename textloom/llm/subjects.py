@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.llm.mixing import source_key
-from textloom.session import bounded_rows
+from textloom.session import bounded_rows, checkpoint_dir
 
 MODEL = Path(__file__).with_name("models") / "subjects.json"
 LEAST = 0.5
@@ -121,7 +121,8 @@ def _steps(col: str, cuts: tuple[float, ...]):
 
 def patterns(docs: DataFrame, labels: DataFrame, subjects: list[str]) -> tuple[DataFrame, DataFrame]:
     """Evidence of rows, and the pattern of levels of each (thread, subject) that has any sign."""
-    seen = evidence(docs)
+    checkpoint_dir(docs.sparkSession)
+    seen = evidence(docs).checkpoint()  # narrow; the texts are read once, however often the evidence is used
     one = seen.select("thread", "source", "question", F.explode("evidence").alias("e"))
     facts = one.groupBy("thread", F.col("e.subject").alias("subject")).agg(
         F.sum(F.when(F.col("question"), F.col("e.title")).otherwise(0.0)).alias("title"),
