@@ -49,16 +49,17 @@ def fold(text: Column, edits: Column) -> Column:
 
 
 def _keyed(edits: DataFrame) -> DataFrame:
-    """Each edit once, with the kind and the value of its target."""
+    """Edits with the kind and the value of their target; those without one are left out."""
     by_container = F.nullif(F.col("container_id"), F.lit(""))
     target = F.coalesce(F.concat(F.lit("c:"), by_container), F.concat(F.lit("i:"), F.nullif(F.col("id"), F.lit(""))))
     cols = ["doc_id", "seq", "container_id", "id", "text", "start_offset", "end_offset"]
-    return edits.select(*cols).dropDuplicates().withColumn("target", target).filter(F.col("target").isNotNull())
+    return edits.select(*cols).withColumn("target", target).filter(F.col("target").isNotNull())
 
 
 def _grouped(edits: DataFrame) -> DataFrame:
+    """Each target's edits, a redelivered one once: the set is built on the way, without a shuffle of its own."""
     e = F.struct("seq", F.coalesce("text", F.lit("")).alias("text"), "start_offset", "end_offset")
-    return _keyed(edits).groupBy("doc_id", "target").agg(F.collect_list(e).alias("edits"))
+    return _keyed(edits).groupBy("doc_id", "target").agg(F.collect_set(e).alias("edits"))
 
 
 def apply_edits(segments: DataFrame, edits: DataFrame, strict: bool = False) -> DataFrame:

@@ -399,7 +399,7 @@ def indexed_paragraphs(par: DataFrame) -> DataFrame:
 def write(blobs: DataFrame, edits: DataFrame, strict: bool = False) -> DataFrame:
     """``(doc_id, data, error)``: packages after their edits. Only edits are shuffled beside their package."""
     e = F.struct("seq", "container_id", "id", "text", "start_offset", "end_offset")
-    grouped = edits.dropDuplicates(["doc_id", "seq", "container_id", "id", "text", "start_offset", "end_offset"]).groupBy("doc_id").agg(F.array_sort(F.collect_list(e)).alias("edits"))
+    grouped = edits.groupBy("doc_id").agg(F.array_sort(F.collect_set(e)).alias("edits"))
 
     def run(batches):
         for b in batches:
