@@ -329,7 +329,8 @@ def page_changes(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def page_strategies(spark: SparkSession, d: str) -> DataFrame:
     """How each page is to be written back."""
-    ops = diff.with_opcodes(page_rows(spark, d)).withColumn("fits", F.coalesce(L.fits_page(F.col("text")), F.lit(True)))
+    changed = F.coalesce("source_text", F.lit("")) != F.coalesce("text", F.lit(""))  # only these need to be set
+    ops = diff.with_opcodes(page_rows(spark, d)).withColumn("fits", F.coalesce(F.when(changed, L.fits_page(F.col("text"))), F.lit(True)))
     return diff.page_strategy(ops, "fits").select("doc_id", "page", "strategy", "dropped_insert", "fits")
 
 

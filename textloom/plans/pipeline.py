@@ -72,7 +72,8 @@ def page_edits(pages: DataFrame, edited: DataFrame) -> DataFrame:
     """Pages with the texts of edited segments ``(doc_id, id, text)``, their differences and strategies."""
     new = edited.select("doc_id", F.substring("id", 2, 20).cast("int").alias("page"), F.col("text").alias("_new"))
     joined = pages.filter("error IS NULL").join(new, ["doc_id", "page"], "left").withColumn("text", F.coalesce("_new", "text")).drop("_new", "error")
-    ops = diff.with_opcodes(joined).withColumn("fits", layout.fits_page(F.col("text"), F.col("width"), F.col("height")))
+    changed = F.col("source_text") != F.col("text")  # only these need to be set
+    ops = diff.with_opcodes(joined).withColumn("fits", F.coalesce(F.when(changed, layout.fits_page(F.col("text"), F.col("width"), F.col("height"))), F.lit(True)))
     return diff.page_strategy(ops, "fits")
 
 
