@@ -100,6 +100,14 @@ def test_mentions(text, want):
     assert [(k, a) for k, a, _ in got] == [(k, text.index(t)) for k, t in want]
 
 
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [("霧崎恒一郎さんが2019年に受け取りました。", ["霧崎恒一郎"]), ("確認しました。柏ノ木透子さんが来た。", ["柏ノ木透子"]), ("佐藤さくらさんが来た。", ["佐藤さくら"]), ("昨日田中一郎様が", ["田中一郎"]), ("第二の付属書です。\n-- \n東雲寺美砂緒\nbiuro@post.example", ["東雲寺美砂緒"]), ("雪村沢颯馬", ["雪村沢颯馬"]), ("担当者様", []), ("図面二部", []), ("総則", []), ("たくさん", [])],
+)
+def test_japanese_names(text, names):
+    assert [text[a:b] for k, a, b in personal.mentions(text) if k == "name"] == names
+
+
 def test_redaction_leaves_the_rest(spark, edge):
     df = edge.unionByName(spark.createDataFrame([("segment", "d", f"m{k}", t) for k, (t, _) in enumerate(MENTIONS)], ITEM))
     got = {r.id: (r.text, r.redactions) for r in personal.redact(df).collect()}

@@ -31,6 +31,8 @@ from textloom.llm.lookalikes import unify_mapped
 
 MODEL = Path(__file__).with_name("models") / "personal.json"
 KINDS = ("email", "id_number", "phone", "address", "name")
+#: Kinds with trees of their own; names in Han characters and kana are scored apart and come out as names.
+MODELS = (*KINDS, "han")
 MEMO_LIMIT = 300_000
 
 _U = "A-ZÀ-ÖØ-ÞĄĆĘŁŃÓŚŹŻŠŽČĎŇŘŤŮĂÂÎȘȚĞİŐŰА-ЯЁІЇЄΑ-ΡΣ-ΩΆΈΉΊΌΎΏ"
@@ -81,6 +83,23 @@ _NAME_CUES = tuple(c.strip(".:,=") for c in BEFORE_NAME)
 #: What introduces an address, in small letters.
 ADDRESS_CUES = {"adres", "adresem", "to", "at", "an", "zamieszkały", "wohnung", "vive", "habite", "colis", "au", "paquete", "place", "en", "a"}
 AFTER_NAME = ("tel", "(ur", "lives", "mieszka", "schrieb", "wohnt", "habite", "vive", "holder", "signed", "con", "dnia", "odbiera", "can", "at", "oraz", "adres")
+#: Common surnames of one character, of two characters, and common Japanese ones.
+HAN_SURNAMES = frozenset("王李张張刘劉陈陳杨楊黄黃赵趙吴吳周徐孙孫马馬朱胡郭何林高罗羅郑鄭梁谢謝宋唐许許韩韓冯馮邓鄧曹彭曾肖萧蕭田董袁潘于蒋蔣蔡余杜叶葉程苏蘇魏吕呂丁任沈姚卢盧姜崔钟鍾谭譚陆陸汪范廖石金韦韋贾賈夏付傅方邹鄒熊白孟秦邱江尹薛闫阎段雷侯龙龍史陶黎贺賀顾顧毛郝龚邵万萬钱錢严嚴赖覃洪武莫孔汤常温康施文牛樊葛邢安齐伍庞颜倪庄聂章鲁岳翟殷詹申欧耿关兰焦俞左柳甘祝包宁尚符舒阮柯纪梅童凌毕单季成霍涂苗裴谷曲盛冉翁蓝路游辛靳管柴蒙鲍华喻祁房滕屈饶解牟艾尤时穆司农桑郁卓蒲褚娄戚米车项闵费卞计宫苟骆丘岑屠井景骈桂简连楚沙池隋封隆麦古仇查晏佟冷丛卫瞿栾虞缪")
+HAN_DOUBLE = ("欧阳", "歐陽", "司马", "上官", "诸葛", "东方", "皇甫", "尉迟", "公孙", "慕容", "令狐", "宇文", "长孙", "司徒", "夏侯", "端木", "南宫", "独孤")
+JP_SURNAMES = ("佐藤", "鈴木", "高橋", "田中", "伊藤", "渡辺", "渡邊", "山本", "中村", "小林", "加藤", "吉田", "山田", "佐々木", "山口", "松本", "井上", "木村", "清水", "山崎", "池田", "阿部", "橋本", "山下", "森", "石川", "前田", "藤田", "小川", "岡田", "後藤", "長谷川", "石井", "村上", "近藤", "坂本", "遠藤", "青木", "藤井", "西村", "福田", "太田", "三浦", "藤原", "岡本", "松田", "中川", "中野", "原田", "小野", "田村", "竹内", "金子", "和田", "中山", "石田", "上田", "森田", "柴田", "酒井", "工藤", "横山", "宮崎", "宮本", "内田", "高木", "安藤", "谷口", "大野", "丸山", "今井", "藤本", "武田", "村田", "上野", "杉山", "増田", "平野", "大塚", "千葉", "久保", "松井", "野口", "菊地", "新井", "樋口", "桜井", "野村", "木下")
+#: Characters that end Japanese given names, and those that end words for roles, firms and papers.
+JP_GIVEN_END = frozenset("郎子美馬緒太介也香奈希斗翔樹真恵彦雄夫男之代江乃菜花葉輔佑哉朗織音実里沙咲愛平吾司治一二三志史")
+HAN_ROLE_END = frozenset("者長长部課课社员員人会會商店屋所局司院团団方主客們们书書則则份件单表約约")
+#: Words before honorifics that are no names.
+NOT_HAN = frozenset(("お客", "客", "皆", "皆々", "神", "王", "奥", "貴", "たく", "みな", "お疲れ", "何", "担当者", "お医者", "学生", "先生", "両", "今天", "明天", "昨天", "安全", "方案", "方法", "时间", "时候", "成本", "金额", "文件", "计划", "单位", "经理", "项目", "程序", "费用", "任何", "马上", "高度", "关于", "于是", "应该", "明确", "平均", "许可", "温度", "万元", "常见", "连续", "水平", "包括", "利用", "白色", "黄色", "何时", "严格", "符合", "相关", "总之", "因此", "所有", "公司", "客户", "合同", "申请", "施工", "管理", "全部", "房间", "路上", "车间", "简单", "古代", "游客", "沙发", "宁可", "尚未", "燕子"))
+#: What stands before and behind Chinese names inside a sentence.
+HAN_BEFORE = re.compile(r"(?:联系|聯繫|通知|转交|交给|委托|询问|感谢|致电|拜访|由|与|和|给|请|致|向|经|让|找|跟|叫|为|是|对|及|被)$")
+HAN_AFTER = re.compile(r"先生|女士|小姐|老师|经理|于|在|检查|审|签|退|确认|更正|拒绝|批准|提交|收|同意|负责|表示|认为|要求|填写|修改|通过|完成|参加|住|说|将|已|未|昨|今|明天|曾|和|与|及|的|电话|邮箱|身份证|护照")
+#: The same for Japanese: an honorific. A run of kanji may have ノ, ヶ and kana in it.
+HONORIFIC = re.compile(r"さん|様|さま|氏|殿|くん|君|ちゃん|先生")
+HAN = re.compile(r"[一-鿿]")
+_KANJI_RUN = re.compile(r"(?:[一-鿿々ノヶ]+(?:[ 　]?[一-鿿々ノヶ]+)?(?:[ぁ-ん]{2,4}?|[ァ-ヺー]{2,5})?|(?<![ァ-ヺー])[ァ-ヺー]{2,}|(?<![ぁ-んァ-ヺー一-鿿々])[ぁ-ん]{2,4}?)(?=さん|様|さま|氏|殿|くん|君|ちゃん|先生)")
+_ALONE = re.compile(r"(?<![^\n\t,;|\"])[ 　]*([一-鿿々ノヶ]{1,5}[ 　]?[一-鿿々ノヶぁ-んァ-ヺー]{1,5})[ 　]*(?![^\n\t,;|\"])")
 LABEL = re.compile(r"\[[A-ZĄĆĘŁŃÓŚŹŻ]+(?:_\d+)?\]|<[A-Z]+(?:_\d+)?>|\*{4}")
 
 
@@ -206,6 +225,46 @@ def name_spans(text: str, lex: dict, ends: dict, memo: dict, floor: float = -0.1
     return done
 
 
+def han_score(run: str, m: dict) -> float:
+    """How name-like a run of Han characters is: -1 for an ordinary word, 0 for an unknown one, up to 1 for a known surname and given name."""
+    han = m.get("han", {})
+    if run in han.get("words", ()) or run in NOT_HAN:
+        return -1.0
+    run = run.replace(" ", "").replace("　", "")
+    best = 0.0
+    for n in range(1, min(4, len(run))):
+        a, b = run[:n], run[n:]
+        learnt, given = a in han.get("sur", ()), b in han.get("given", ())
+        known = learnt or n == 1 and a in HAN_SURNAMES and len(b) <= 2 or n == 2 and (a in HAN_DOUBLE and len(b) <= 2 or a in JP_SURNAMES) or n == 3 and a in JP_SURNAMES
+        best = max(best, 1.0 if known and given else 0.6 if known else 0.5 if given else 0.0)
+    return best
+
+
+def han_names(text: str):
+    """Spans of Han and Japanese name candidates ``(start, end, honorific)``: before an honorific, or alone on a line or in a cell."""
+    seen = set()
+    for m in _KANJI_RUN.finditer(text):
+        a, b = m.span()
+        starts = [a, *(i for i in range(a + 1, b - 1) if text[i : i + 2] in JP_SURNAMES or text[i : i + 3] in JP_SURNAMES)]
+        for i in starts:
+            if (i, b) not in seen:
+                seen.add((i, b))
+                yield i, b, True
+    for m in _ALONE.finditer(text):
+        if m.span(1) not in seen and not HONORIFIC.search(m.group(1)):
+            seen.add(m.span(1))
+            yield *m.span(1), False
+
+
+def han_features(text: str, a: int, b: int, score: float, honorific: bool) -> list[float]:
+    """Score, honorific, alone, signed, address behind, length, two endings, cue before, mark behind, word behind, start of a run, cue or surname inside."""
+    line = text[text.rfind("\n", 0, a) + 1 : a].strip()
+    alone = not line and text[b : b + 1] in ("", "\n") or text[a - 1 : a] in ("\t", ",", ";", "|") and text[b : b + 1] in ("\t", ",", ";", "|", "\n", "")
+    tail = text[b : b + 40].lstrip()
+    signed = text[max(0, a - 5) : a].rstrip(" \n").endswith("--")
+    return [score, float(honorific), float(alone), float(signed), "@" in tail.split("\n", 1)[0] or "(at)" in tail.split("\n", 1)[0], b - a, text[b - 1] in HAN_ROLE_END, text[b - 1] in JP_GIVEN_END, HAN_BEFORE.search(text, max(0, a - 2), a) is not None, bool(re.match(r"[，,]|于|先生|女士|小姐", text[b : b + 2])), HAN_AFTER.match(text, b) is not None, a == 0 or not HAN.match(text[a - 1]), 2.0 if not score and any(text[k : k + 2] in JP_SURNAMES for k in range(a + 1, b - 2)) else float(any(HAN_AFTER.match(text, k, b) or HAN_BEFORE.search(text, a, k) for k in range(a + 1, b)))]
+
+
 def candidates(text: str, lex: dict, ends: dict, memo: dict):
     """Spans ``(kind, start, end, features)`` of every generator."""
     if "@" in text or "(at)" in text or "[at]" in text or "(AT)" in text or "[AT]" in text or "at" in text and re.search(r"[(\[{]\s?at\s?[)\]}]", text, re.I):
@@ -232,6 +291,9 @@ def candidates(text: str, lex: dict, ends: dict, memo: dict):
             yield "address", a, b, address_features(text, a, b)
     for a, b, sc, ini in name_spans(text, lex, ends, memo):
         yield "name", a, b, name_features(text, a, b, sc, ini)
+    if HAN.search(text) or "さん" in text or "さま" in text:
+        for a, b, honorific in han_names(text):
+            yield "han", a, b, han_features(text, a, b, han_score(text[a:b], model()), honorific)
     if "联系" in text or "于" in text:
         for m in _HAN_NAME.finditer(text):
             if (v := lex.get(m.group(), -1.0)) > 0:
@@ -260,6 +322,7 @@ def mentions(text: str, memo: dict | None = None, damaged: bool = False) -> list
         if p is None:
             p = verdicts[key] = boosting.score(m["trees"][kind], x) - m["threshold"][kind]
         if p > 0:
+            kind = "name" if kind == "han" else kind
             got.append((KINDS.index(kind), -p if kind == "name" else a - b, a, b, kind))
     got.sort()
     taken: list[tuple[int, int, str]] = []

@@ -87,6 +87,63 @@ def lexicon(all_texts: list[str]) -> tuple[dict, dict]:
     return lex, ends
 
 
+HAN_CUE = re.compile(r"请联系([一-鿿]{2,4})，|(?<![一-鿿])([一-鿿]{2,4})于\d{4}年|([一-鿿々ノヶ]{2,8})さんが")
+
+
+def han_tables(all_texts: list[str]) -> dict:
+    """Surnames and given names that occur with two others of the other part each where names stand, and ordinary words."""
+    names, other = Counter(), Counter()
+    for t in all_texts:
+        names.update({m.group(m.lastindex) for m in HAN_CUE.finditer(t)})
+    left, right = Counter(), Counter()
+    for x in names:
+        for n in range(1, len(x)):
+            left[x[:n]] += 1
+            right[x[n:]] += 1
+    cut = {x: max(range(1, len(x)), key=lambda n: min(left[x[:n]], right[x[n:]])) for x in names if len(x) > 1}
+    cut = {x: n for x, n in cut.items() if left[x[:n]] > 1 and right[x[n:]] > 1}
+    for t in all_texts:
+        other.update(w for w in re.findall(r"[一-鿿々ノヶ]{2,6}", t) if w not in cut and not any(w.startswith(x) for x in cut))
+    return {"sur": sorted({x[:n] for x, n in cut.items()}), "given": sorted({x[n:] for x, n in cut.items()}), "words": sorted(w for w, n in other.items() if n > 2)}
+
+
+def han_label(t: str, a: int, b: int, score: float) -> int:
+    """1 for a learnt surname with a learnt given name, 0 for all else: whole names are wanted."""
+    return int(score == 1.0)
+
+
+def han_variants(x: list[float], y: int) -> list[tuple[tuple, int]]:
+    """A labelled example and what other texts may have in its place (``fN`` is feature N of ``han_features``).
+
+    A name may have another length, ending or surname, but unknown parts only where its context
+    is plain. A word may stand before an honorific, be unknown, or be read together with a name.
+    """
+
+    def put(**new):
+        z = list(x)
+        for k, v in new.items():
+            z[0 if k == "score" else int(k[1:])] = v
+        return tuple(z), y
+
+    out = [(tuple(x), y)]
+    if y:
+        plain = x[1] or x[3] or x[8] or x[9] and x[11]
+        for score in (1.0, 0.6, 0.0) if plain else (1.0, 0.6):
+            for n in (-1, 0, 1):
+                for end in (0.0, x[7]):
+                    out.append(put(score=score, f5=x[5] + n, f7=end))
+        if x[10] and x[5] >= 3:
+            out += [put(score=s, f8=0.0, f11=0.0, f7=0.0) for s in (1.0, 0.6)]
+        if x[1]:
+            out.append((put(score=0.0, f12=2.0, f5=x[5] + 2)[0], 0))
+    else:
+        if x[0] < 0 and not x[1]:
+            out += [put(f1=1.0, f2=0.0, f3=0.0, f5=n, f6=end) for n in (2, x[5]) for end in (0.0, 1.0)]
+        if not (x[1] or x[3] or x[8]):
+            out += [put(score=0.0), put(score=0.0, f5=2.0, f6=0.0)]
+    return out
+
+
 def label(kind: str, t: str, a: int, b: int, x: list[float], lex_scores: float) -> int | None:
     if kind == "email":
         return 1
@@ -117,27 +174,40 @@ def label(kind: str, t: str, a: int, b: int, x: list[float], lex_scores: float)
 
 
 #: Context features of each kind, blanked in a third of the examples: index and neutral value.
-CONTEXT = {"phone": {12: 9, 13: 9, 14: 9}, "id_number": {12: 9, 14: 9}, "address": {6: 9}, "name": {6: 0, 7: 9, 8: 0}, "email": {}}
+CONTEXT = {"phone": {12: 9, 13: 9, 14: 9}, "id_number": {12: 9, 14: 9}, "address": {6: 9}, "name": {6: 0, 7: 9, 8: 0}, "email": {}, "han": {}}
 
 
-def main(path: str) -> None:
+def main(path: str, *only: str) -> None:
+    """Train the named kinds, or all; the trees of the others stay."""
+    kinds = only or P.MODELS
     rnd = random.Random(5)
     all_texts = texts(path)
     lex, ends = lexicon(all_texts)
-    data: dict[str, Counter] = {k: Counter() for k in P.KINDS}
+    stored = P.model()
+    P.model().update(han=han_tables(all_texts))
+    data: dict[str, Counter] = {k: Counter() for k in P.MODELS}
     memo: dict = {}
-    for t in rnd.sample(all_texts, min(len(all_texts), 16_000)):
+    sample = rnd.sample(all_texts, min(len(all_texts), 16_000))
+    for t in sample + [t for t in all_texts if P.HAN.search(t)]:
         for kind, a, b, x in P.candidates(t, lex, ends, memo):
+            if kind not in kinds:
+                continue
+            x = [float(v) for v in x]
+            if kind == "han":
+                y = han_label(t, a, b, x[0])
+                for v in han_variants(x, y):
+                    data[kind][v] += 1
+                continue
             y = label(kind, t, a, b, x, 0)
             if y is None:
                 continue
-            x = [float(v) for v in x]
             if rnd.random() < 0.33:
                 for k, v in CONTEXT[kind].items():
                     x[k] = v
             data[kind][tuple(x), y] += 1
-    trees, threshold = {}, {}
-    for kind, rows in data.items():
+    trees, threshold = dict(stored["trees"]), dict(stored["threshold"])
+    for kind in kinds:
+        rows = data[kind]
         keep = rows.most_common(6000)
         x = np.array([r[0][0] for r in keep])
         y = np.array([r[0][1] for r in keep], float)
@@ -150,9 +220,9 @@ def main(path: str) -> None:
         best = max(f1)
         threshold[kind] = round(float(np.median(grid[np.array(f1) >= best - 1e-4])), 2)
         print(kind, len(keep), "distinct rows, positive", round(float(y.mean()), 3), "F1 on its sample", round(best, 4), "threshold", threshold[kind])
-    P.MODEL.write_text(json.dumps({"lex": lex, "ends": ends, "trees": trees, "threshold": threshold}, ensure_ascii=False, separators=(",", ":")))
+    P.MODEL.write_text(json.dumps({"lex": lex, "ends": ends, "han": stored["han"], "trees": trees, "threshold": threshold}, ensure_ascii=False, separators=(",", ":")))
     print(len(lex), "tokens", len(ends), "endings", P.MODEL.stat().st_size)
 
 
 if __name__ == "__main__":
-    main(sys.argv[1])
+    main(*sys.argv[1:])
