@@ -108,6 +108,17 @@ def test_japanese_names(text, names):
     assert [text[a:b] for k, a, b in personal.mentions(text) if k == "name"] == names
 
 
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        ("请联系王伟，邮箱 a@post.example。", ["王伟"]), ("请联系阚雨桐，电话。", ["阚雨桐"]), ("陈建国于2018年签收。", ["陈建国"]), ("今天，欧阳娜娜签署了合同。", ["欧阳娜娜"]), ("林若溪", ["林若溪"]),
+        ("今天早上陈建国确认了合同。", ["陈建国"]), ("数字不对！赵明检查了报告。", ["赵明"]), ("李四先生已签署。", ["李四"]), ("决定。\n-- \n郁墨白\na@post.example", ["郁墨白"]), ("承包商确认了合同。", []), ("图纸两份", []), ("总则", []), ("安全检查", []),
+    ],
+)
+def test_chinese_names(text, names):
+    assert [text[a:b] for k, a, b in personal.mentions(text) if k == "name"] == names
+
+
 def test_redaction_leaves_the_rest(spark, edge):
     df = edge.unionByName(spark.createDataFrame([("segment", "d", f"m{k}", t) for k, (t, _) in enumerate(MENTIONS)], ITEM))
     got = {r.id: (r.text, r.redactions) for r in personal.redact(df).collect()}

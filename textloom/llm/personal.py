@@ -42,7 +42,6 @@ WORD = re.compile(rf"(?<![\w@])[{_U}](?:[{_L}]+(?:['’][{_U}]?[{_L}]+)?(?:[{_U}
 _INITIAL = re.compile(rf"[{_U}]\.")
 _LEFT_INITIAL = re.compile(rf"(?<!\w)[{_U}]\.[ \n]$")
 _RIGHT_INITIAL = re.compile(rf"[ \n][{_U}]\.(?![{_L}])")
-_HAN_NAME = re.compile(r"(?:(?<=联系)|(?<=[。！？\n）])|(?<=^))[一-鿿]{3}(?=[，,于]|检查|签|退|确认|更正|拒绝)")
 EMAIL = re.compile(r"[\w][\w.+'’-]*\s?(?:@|[(\[{]\s?(?:at|AT|małpa)\s?[)\]}])\s?[\w-]+(?:(?:\.|\s?[(\[{]\s?(?:dot|DOT|kropka)\s?[)\]}]\s?)[\w-]+)+", re.A)
 #: The first character leads as one class, so that the scan is fast; what may not stand before it is looked at behind it.
 NUMBER = re.compile(r"[+(0-9](?<![A-Za-z0-9_.,/:@#=-].)(?<!\d .)(?:(?<=\d)|\s?\(?\+?\d)(?:[\d()]|[ .\n/-](?=[\d(])|\)[ /-]?(?=\d)){5,22}(?:[ -]?[A-Z](?!\w))?(?:,? ?(?:ext\.?|wew\.?|x) ?\d+)?(?![A-Za-z0-9_@])", re.S)
@@ -98,6 +97,8 @@ HAN_AFTER = re.compile(r"先生|女士|小姐|老师|经理|于|在|检查|审|
 #: The same for Japanese: an honorific. A run of kanji may have ノ, ヶ and kana in it.
 HONORIFIC = re.compile(r"さん|様|さま|氏|殿|くん|君|ちゃん|先生")
 HAN = re.compile(r"[一-鿿]")
+_HAN_PARTICLE = re.compile(r"[了的过着这那们个么吗呢吧]")
+_HAN_RUN = re.compile(r"[一-鿿]{2,}")
 _KANJI_RUN = re.compile(r"(?:[一-鿿々ノヶ]+(?:[ 　]?[一-鿿々ノヶ]+)?(?:[ぁ-ん]{2,4}?|[ァ-ヺー]{2,5})?|(?<![ァ-ヺー])[ァ-ヺー]{2,}|(?<![ぁ-んァ-ヺー一-鿿々])[ぁ-ん]{2,4}?)(?=さん|様|さま|氏|殿|くん|君|ちゃん|先生)")
 _ALONE = re.compile(r"(?<![^\n\t,;|\"])[ 　]*([一-鿿々ノヶ]{1,5}[ 　]?[一-鿿々ノヶぁ-んァ-ヺー]{1,5})[ 　]*(?![^\n\t,;|\"])")
 LABEL = re.compile(r"\[[A-ZĄĆĘŁŃÓŚŹŻ]+(?:_\d+)?\]|<[A-Z]+(?:_\d+)?>|\*{4}")
@@ -241,7 +242,7 @@ def han_score(run: str, m: dict) -> float:
 
 
 def han_names(text: str):
-    """Spans of Han and Japanese name candidates ``(start, end, honorific)``: before an honorific, or alone on a line or in a cell."""
+    """Spans of Han and Japanese name candidates ``(start, end, honorific)``: before an honorific, alone, or by surname and context."""
     seen = set()
     for m in _KANJI_RUN.finditer(text):
         a, b = m.span()
@@ -254,6 +255,21 @@ def han_names(text: str):
         if m.span(1) not in seen and not HONORIFIC.search(m.group(1)):
             seen.add(m.span(1))
             yield *m.span(1), False
+    for m in _HAN_RUN.finditer(text):
+        a, b = m.span()
+        if re.match(r"[ぁ-んァ-ヺー々]", text[b : b + 1]) or re.match(r"[ぁ-んァ-ヺー々]", text[a - 1 : a] if a else ""):
+            continue
+        for i in range(a, b - 1):
+            led = i == a or HAN_BEFORE.search(text, max(a, i - 2), i) is not None
+            double = text[i : i + 2] in HAN_DOUBLE
+            if not (led or double or text[i] in HAN_SURNAMES):
+                continue
+            for n in (4, 3, 2):
+                e = i + n
+                ends = e == b or HAN_AFTER.match(text, e, b) is not None
+                if e <= b and ends and (led or n <= (4 if double else 3)) and (i, e) not in seen:
+                    seen.add((i, e))
+                    yield i, e, False
 
 
 def han_features(text: str, a: int, b: int, score: float, honorific: bool) -> list[float]:
@@ -262,7 +278,7 @@ def han_features(text: str, a: int, b: int, score: float, honorific: bool) -> li
     alone = not line and text[b : b + 1] in ("", "\n") or text[a - 1 : a] in ("\t", ",", ";", "|") and text[b : b + 1] in ("\t", ",", ";", "|", "\n", "")
     tail = text[b : b + 40].lstrip()
     signed = text[max(0, a - 5) : a].rstrip(" \n").endswith("--")
-    return [score, float(honorific), float(alone), float(signed), "@" in tail.split("\n", 1)[0] or "(at)" in tail.split("\n", 1)[0], b - a, text[b - 1] in HAN_ROLE_END, text[b - 1] in JP_GIVEN_END, HAN_BEFORE.search(text, max(0, a - 2), a) is not None, bool(re.match(r"[，,]|于|先生|女士|小姐", text[b : b + 2])), HAN_AFTER.match(text, b) is not None, a == 0 or not HAN.match(text[a - 1]), 2.0 if not score and any(text[k : k + 2] in JP_SURNAMES for k in range(a + 1, b - 2)) else float(any(HAN_AFTER.match(text, k, b) or HAN_BEFORE.search(text, a, k) for k in range(a + 1, b)))]
+    return [score, float(honorific), float(alone), float(signed), "@" in tail.split("\n", 1)[0] or "(at)" in tail.split("\n", 1)[0], b - a, text[b - 1] in HAN_ROLE_END, text[b - 1] in JP_GIVEN_END, HAN_BEFORE.search(text, max(0, a - 2), a) is not None, bool(re.match(r"[，,]|于|先生|女士|小姐", text[b : b + 2])), HAN_AFTER.match(text, b) is not None, a == 0 or not HAN.match(text[a - 1]), 2.0 if not score and any(text[k : k + 2] in JP_SURNAMES for k in range(a + 1, b - 2)) else float(bool(_HAN_PARTICLE.search(text, a + 1, b)) or any(HAN_AFTER.match(text, k, b) or HAN_BEFORE.search(text, a, k) for k in range(a + 1, b)))]
 
 
 def candidates(text: str, lex: dict, ends: dict, memo: dict):
@@ -294,10 +310,6 @@ def candidates(text: str, lex: dict, ends: dict, memo: dict):
     if HAN.search(text) or "さん" in text or "さま" in text:
         for a, b, honorific in han_names(text):
             yield "han", a, b, han_features(text, a, b, han_score(text[a:b], model()), honorific)
-    if "联系" in text or "于" in text:
-        for m in _HAN_NAME.finditer(text):
-            if (v := lex.get(m.group(), -1.0)) > 0:
-                yield "name", *m.span(), name_features(text, *m.span(), [v], 0)
 
 
 def mentions(text: str, memo: dict | None = None, damaged: bool = False) -> list[tuple[str, int, int]]:

@@ -44,11 +44,8 @@ def lexicon(all_texts: list[str]) -> tuple[dict, dict]:
     A second pass also counts a place beside a token that the first one is sure of, which teaches rare surnames.
     """
     small = Counter()
-    han = Counter()
     for t in all_texts:
         small.update(w for w in re.findall(r"[^\W\d_]{3,}", t) if w[0].islower())
-        for m in re.finditer(r"请联系([一-鿿]{3})，|([一-鿿]{3})于\d{4}年", t):
-            han[m.group(1) or m.group(2)] += 1
     sure: set[str] = set()
     for _ in range(2):
         total, cued, firm = Counter(), Counter(), Counter()
@@ -82,8 +79,6 @@ def lexicon(all_texts: list[str]) -> tuple[dict, dict]:
         if g + b >= 4:
             ends[e] = round(math.tanh(0.7 * math.log((g + 0.3) / (b + 0.3)) - 0.3), 2)
     lex = {w: s for w, s in lex.items() if total[w] >= 8 and (s > 0.1 or s < -0.2) or len(w) < 4}  # others go by their endings
-    surnames, given = Counter(x[0] for x in han), Counter(x[1:] for x in han)
-    lex |= {a + b: 1.0 for a, n in surnames.items() if n > 1 for b, k in given.items() if k > 1}
     return lex, ends
 
 
@@ -133,7 +128,7 @@ def han_variants(x: list[float], y: int) -> list[tuple[tuple, int]]:
                 for end in (0.0, x[7]):
                     out.append(put(score=score, f5=x[5] + n, f7=end))
         if x[10] and x[5] >= 3:
-            out += [put(score=s, f8=0.0, f11=0.0, f7=0.0) for s in (1.0, 0.6)]
+            out += [put(score=s, f5=n, f8=0.0, f9=0.0, f11=led, f7=0.0) for s in (1.0, 0.6) for n in (x[5], x[5] + 1) for led in (0.0, x[11])]
         if x[1]:
             out.append((put(score=0.0, f12=2.0, f5=x[5] + 2)[0], 0))
     else:
