@@ -119,6 +119,14 @@ def test_chinese_names(text, names):
     assert [text[a:b] for k, a, b in personal.mentions(text) if k == "name"] == names
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("npm i lodash@4.17.21 now", []), ("5 @ 3.50 each", []), ("def f @app.route", []), ("git@host.example:team/repo.git", []), ("write to biuro @ post.example", ["biuro @ post.example"]), ("Kowalski Sp. z o.o. wpłaciła wadium.", []), ("Mr. Xyrb Qwontle lives at", ["Xyrb Qwontle"]), ("The Hague", []), ("Main Street Bakery", [])],
+)
+def test_names_and_mails_can_be_rejected(text, want):
+    assert [text[a:b] for _, a, b in personal.mentions(text)] == want
+
+
 def test_redaction_leaves_the_rest(spark, edge):
     df = edge.unionByName(spark.createDataFrame([("segment", "d", f"m{k}", t) for k, (t, _) in enumerate(MENTIONS)], ITEM))
     got = {r.id: (r.text, r.redactions) for r in personal.redact(df).collect()}

@@ -43,6 +43,9 @@ _INITIAL = re.compile(rf"[{_U}]\.")
 _LEFT_INITIAL = re.compile(rf"(?<!\w)[{_U}]\.[ \n]$")
 _RIGHT_INITIAL = re.compile(rf"[ \n][{_U}]\.(?![{_L}])")
 EMAIL = re.compile(r"[\w][\w.+'’-]*\s?(?:@|[(\[{]\s?(?:at|AT|małpa)\s?[)\]}])\s?[\w-]+(?:(?:\.|\s?[(\[{]\s?(?:dot|DOT|kropka)\s?[)\]}]\s?)[\w-]+)+", re.A)
+#: What follows or leads the parts of code that look like an address: a call, a path; a command or a definition.
+_NO_MAIL = re.compile(r"\(|:[\w/]|/\w")
+_DECORATED = re.compile(r"(?:def|class|import|from|npm i|add) $")
 #: The first character leads as one class, so that the scan is fast; what may not stand before it is looked at behind it.
 NUMBER = re.compile(r"[+(0-9](?<![A-Za-z0-9_.,/:@#=-].)(?<!\d .)(?:(?<=\d)|\s?\(?\+?\d)(?:[\d()]|[ .\n/-](?=[\d(])|\)[ /-]?(?=\d)){5,22}(?:[ -]?[A-Z](?!\w))?(?:,? ?(?:ext\.?|wew\.?|x) ?\d+)?(?![A-Za-z0-9_@])", re.S)
 _CODE_GATE = re.compile(r"[A-Z0-9](?:(?<=[A-Z])[ -]?\d|(?<=\d)-?[A-Z])")
@@ -76,6 +79,8 @@ THING_CUES = ("krs", "nip", "regon", "order", "zamówienie", "auftrag", "command
 #: What introduces a phone number, in small letters.
 PHONE_CUES = ("tel", "numerem", "phone", "call", "telefon", "on", "under", "unter", "au", "en", "el", "το", "телефону", "電話は", "电话", "फोन", "هو", "тел", "fax", "mobile", "fon", "0")
 FIRM = re.compile(r"[ \n](?:S\.A|Sp\.|sp\.|GmbH|AG\b|Ltd|Inc|Corp|S\.L|S\.A\.R\.L|LLC|KG|& Co|plc|ООО|SARL)")
+#: What stands before the name of a firm or a place, in small letters.
+FIRM_BEFORE = frozenset(("spółka", "spółki", "firma", "firmy", "majątek", "société", "entreprise", "sociedad", "empresa", "company", "ооо", "зао", "ао", "компания", "firm", "gesellschaft", "of", "in", "w", "à"))
 #: What stands before or after persons' names, in small letters.
 BEFORE_NAME = ("pobrał:", "ob.", "mec.", "wniosek", "wniosku", "odebrał", "odebrała", "podpisali", "mr.", "mrs.", "ms.", "dr.", "dr", "contact", "tenant,", "empfänger:", "frau", "herr", "herrn", "mme", "contacter", "remis", "gegeben", "identité", "identidad", "entregado", "гражданин", "гражданка", "подписали", "owner=", "sender", "dna.", "sra.", "m.", "angaben", "nahm", "received by", "kontakt z", "się z")
 _NAME_CUES = tuple(c.strip(".:,=") for c in BEFORE_NAME)
@@ -134,10 +139,13 @@ def before(text: str, at: int, span: int = 22) -> list[str]:
     return [w for x in text[max(0, at - span) : at].lower().replace("\n", " ").split(" ")[::-1] if (w := x.strip("\"'„(,;:.="))]
 
 
+_CUES = [(k, frozenset(cues), tuple(c for c in cues if len(c) > 4)) for k, cues in enumerate((PHONE_CUES, ID_CUES, THING_CUES, _NAME_CUES))]
+
+
 @lru_cache(100_000)
 def _cues(word: str) -> int:
     """The cue classes of a word as bits: phone, identity number, thing, name."""
-    return sum(1 << k for k, cues in enumerate((PHONE_CUES, ID_CUES, THING_CUES, _NAME_CUES)) if any(word == c or len(c) > 4 and word.startswith(c) for c in cues))
+    return sum(1 << k for k, exact, heads in _CUES if word in exact or word.startswith(heads))
 
 
 def _cue(words: list[str], kind: int, depth: int = 3) -> int:
@@ -172,15 +180,24 @@ def address_features(text: str, a: int, b: int) -> list[float]:
     ]
 
 
+_OPEN = frozenset(",;(")
+
+
 def name_features(text: str, a: int, b: int, scores: list[float], initials: int) -> list[float]:
-    w = before(text, a, 24)
-    near = next((x for x in text[max(0, a - 24) : a].lower().replace("\n", " ").split(" ")[::-1] if x), "")
+    near, w = "", []
+    for x in reversed(text[max(0, a - 24) : a].lower().replace("\n", " ").split(" ")):
+        near = near or x
+        if y := x.strip("\"'„(,;:.="):
+            w.append(y)
+            if len(w) == 2:
+                break
     tail = text[b : b + 14].lower().lstrip()
     s = text[a:b]
+    left, right, second = text[a - 1 : a] if a else "", text[b : b + 1], text[b + 1 : b + 2]
     return [
         max(scores), min(scores), sum(scores) / len(scores), len(scores), initials, s.isupper(), near in BEFORE_NAME or near.rstrip("\"") in BEFORE_NAME or near.startswith(("owner", '"sender')), _cue(w, 3, 2), tail.startswith(AFTER_NAME),
-        FIRM.match(text, b) is not None, a == 0 or text[a - 1 : a] == "\n" or text[a - 2 : a].strip()[:1] in (".", "!", "?"), bool(re.match(r"\s?[,;(]", text[b : b + 2])), b == len(text) or text[b : b + 1] == "\n", "-" in s, bool(re.match(r"\s\d", text[b : b + 2])), text[a - 1 : a] in (",", ";", '"', "\t"),
-        bool(re.match(r"[ \n][a-zà-ÿąćęłńóśźżа-я]", text[b : b + 2])),
+        right in (" ", "\n") and FIRM.match(text, b) is not None, not left or left == "\n" or text[max(0, a - 2) : a].strip()[:1] in (".", "!", "?"), right in _OPEN or right.isspace() and second in _OPEN, right in ("", "\n"), "-" in s, right.isspace() and second.isdigit(), left in (",", ";", '"', "\t"),
+        right in (" ", "\n") and second.islower(), bool(w) and w[0] in FIRM_BEFORE,
     ]
 
 
@@ -198,17 +215,22 @@ def streets(text: str):
         yield m.span()
 
 
-def name_spans(text: str, lex: dict, ends: dict, memo: dict, floor: float = -0.15) -> list[tuple[int, int, list[float], int]]:
+def scored_words(text: str, lex: dict, ends: dict, memo: dict) -> list[tuple[int, int, str, float]]:
+    """Words with a capital and how name-like they are."""
+    return [(*m.span(), w := m.group(), token_score(w, lex, ends, memo)) for m in WORD.finditer(text)]
+
+
+def name_spans(text: str, words: list[tuple[int, int, str, float]], floor: float = -0.15) -> list[tuple[int, int, list[float], int]]:
     """Runs of name-like words, with initials beside them: ``(start, end, scores, initials)``."""
     out: list[tuple[int, int, list[float], int]] = []
-    for m in WORD.finditer(text):
-        s = token_score(m.group(), lex, ends, memo)
-        a, b = m.span()
+    for a, b, _, s in words:
         if s < floor and not (s > -0.45 and out and out[-1][1] == a - 1 and len(out[-1][2]) == 1 and out[-1][2][0] > 0.3):
             continue
         if out:
             pa_, pb, sc, ini = out[-1]
             gap = text[pb:a]
+            if gap in (" ", "\n") and FIRM.match(text, pb):
+                continue  # the form of a firm is no part of the name before it
             if len(sc) < 3 and (gap in (" ", "\n") or re.fullmatch(rf",[ \n]|[ \n][{_U}]\.[ \n]", gap)) and (gap[0] != "," or len(sc) == 1 and max(sc) > 0.0 and s > 0.3 and not (text[pa_ - 5 : pa_].endswith(("und ", "oraz ", "and ")))):
                 out[-1] = (pa_, b, [*sc, s], ini + (gap.strip(" \n,") != ""))
                 continue
@@ -281,12 +303,31 @@ def han_features(text: str, a: int, b: int, score: float, honorific: bool) -> li
     return [score, float(honorific), float(alone), float(signed), "@" in tail.split("\n", 1)[0] or "(at)" in tail.split("\n", 1)[0], b - a, text[b - 1] in HAN_ROLE_END, text[b - 1] in JP_GIVEN_END, HAN_BEFORE.search(text, max(0, a - 2), a) is not None, bool(re.match(r"[，,]|于|先生|女士|小姐", text[b : b + 2])), HAN_AFTER.match(text, b) is not None, a == 0 or not HAN.match(text[a - 1]), 2.0 if not score and any(text[k : k + 2] in JP_SURNAMES for k in range(a + 1, b - 2)) else float(bool(_HAN_PARTICLE.search(text, a + 1, b)) or any(HAN_AFTER.match(text, k, b) or HAN_BEFORE.search(text, a, k) for k in range(a + 1, b)))]
 
 
+def low_spans(text: str, words: list[tuple[int, int, str, float]], taken: list, lex: dict) -> list[tuple[int, int, list[float], int]]:
+    """Words with a capital that ``name_spans`` leaves: runs of words that the lexicon lacks, other words one by one."""
+    out: list[tuple[int, int, list[float], int]] = []
+    joins, k, n = False, 0, len(taken)
+    for a, b, w, s in words:
+        while k < n and taken[k][1] <= a:
+            k += 1
+        if k < n and taken[k][0] < b or w[0] in "SGALICKО" and a and FIRM.match(text, a - 1):
+            joins = False
+            continue
+        unknown = w.lower() not in lex
+        if joins and unknown and len(out[-1][2]) < 3 and text[out[-1][1] : a] in (" ", "\n"):
+            out[-1] = (out[-1][0], b, [*out[-1][2], s], 0)
+        else:
+            out.append((a, b, [s], 0))
+        joins = unknown
+    return out
+
+
 def candidates(text: str, lex: dict, ends: dict, memo: dict):
     """Spans ``(kind, start, end, features)`` of every generator."""
     if "@" in text or "(at)" in text or "[at]" in text or "(AT)" in text or "[AT]" in text or "at" in text and re.search(r"[(\[{]\s?at\s?[)\]}]", text, re.I):
         for m in EMAIL.finditer(text):
             s = m.group()
-            yield "email", *m.span(), [len(s), s.count("@"), s.count("."), "(" in s or "[" in s, bool(re.search(r"\d", s)), text[m.start() - 1 : m.start()] in ("", " ", "\n", ",", ";", "(", "=", ":", '"'), s[-1].isalpha()]
+            yield "email", *m.span(), [len(s), s.count("@"), s.count("."), "(" in s or "[" in s, bool(re.search(r"\d", s)), text[m.start() - 1 : m.start()] in ("", " ", "\n", ",", ";", "(", "=", ":", '"'), s[-1].isalpha(), (" @" in s) != ("@ " in s), s[0].isdigit() and re.match(r"[\d.]+\s?@", s) is not None, _NO_MAIL.match(text, m.end()) is not None, _DECORATED.search(text, max(0, m.start() - 8), m.start()) is not None]
     if _DIGIT.search(text):
         seen = set()
         for rx, code in ((NUMBER, False), (CODE, True)) if _CODE_GATE.search(text) else ((NUMBER, False),):
@@ -305,7 +346,9 @@ def candidates(text: str, lex: dict, ends: dict, memo: dict):
                 yield "id_number", a, b, x
         for a, b in streets(text) if _POSTAL.search(text) or any(k in text for k in _ADDRESS_WORDS) else ():
             yield "address", a, b, address_features(text, a, b)
-    for a, b, sc, ini in name_spans(text, lex, ends, memo):
+    words = scored_words(text, lex, ends, memo)
+    spans = name_spans(text, words)
+    for a, b, sc, ini in spans + low_spans(text, words, spans, lex):
         yield "name", a, b, name_features(text, a, b, sc, ini)
     if HAN.search(text) or "さん" in text or "さま" in text:
         for a, b, honorific in han_names(text):
