@@ -127,6 +127,13 @@ def test_names_and_mails_can_be_rejected(text, want):
     assert [text[a:b] for _, a, b in personal.mentions(text)] == want
 
 
+@pytest.mark.parametrize(("text", "want"), [("anna (małpa) firma (kropka) pl", "anna (małpa) firma (kropka) pl"), ("Пришлите на улица Тверская 15, 101000.", "улица Тверская 15"), ("Adresse: Im Winkel 7a / 3", None), ("Er wohnt Am Lindenhof 12/4.", "Am Lindenhof 12")])
+def test_no_gate_before_the_generators(text, want):
+    m = personal.model()
+    spans = [text[a:b] for k, a, b, _ in personal.candidates(text, m["lex"], m["ends"], {}) if k in ("email", "address")]
+    assert spans and (want is None or want in [text[a:b] for _, a, b in personal.mentions(text)])
+
+
 def test_redaction_leaves_the_rest(spark, edge):
     df = edge.unionByName(spark.createDataFrame([("segment", "d", f"m{k}", t) for k, (t, _) in enumerate(MENTIONS)], ITEM))
     got = {r.id: (r.text, r.redactions) for r in personal.redact(df).collect()}

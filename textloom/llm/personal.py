@@ -42,7 +42,9 @@ WORD = re.compile(rf"(?<![\w@])[{_U}](?:[{_L}]+(?:['’][{_U}]?[{_L}]+)?(?:[{_U}
 _INITIAL = re.compile(rf"[{_U}]\.")
 _LEFT_INITIAL = re.compile(rf"(?<!\w)[{_U}]\.[ \n]$")
 _RIGHT_INITIAL = re.compile(rf"[ \n][{_U}]\.(?![{_L}])")
-EMAIL = re.compile(r"[\w][\w.+'’-]*\s?(?:@|[(\[{]\s?(?:at|AT|małpa)\s?[)\]}])\s?[\w-]+(?:(?:\.|\s?[(\[{]\s?(?:dot|DOT|kropka)\s?[)\]}]\s?)[\w-]+)+", re.A)
+#: The sign of an address in words; texts with neither it nor an @ have no address.
+_AT = re.compile(r"[(\[{]\s?(?:at|AT|małpa)\s?[)\]}]", re.A)
+EMAIL = re.compile(r"[\w][\w.+'’-]*\s?(?:@|" + _AT.pattern + r")\s?[\w-]+(?:(?:\.|\s?[(\[{]\s?(?:dot|DOT|kropka)\s?[)\]}]\s?)[\w-]+)+", re.A)
 #: What follows or leads the parts of code that look like an address: a call, a path; a command or a definition.
 _NO_MAIL = re.compile(r"\(|:[\w/]|/\w")
 _DECORATED = re.compile(r"(?:def|class|import|from|npm i|add) $")
@@ -54,7 +56,7 @@ CODE = re.compile(r"(?<![A-Za-z0-9_./-])(?:[A-Z]{1,3}[ -]?\d{3,4}[ -]?\d{3,5}[A-
 _TAIL = re.compile(r"\n\(?\d{1,4}[.)]?$|\n(?=\d{1,4}[.)] )")
 _STREET = "ul|os|al|pl|Al|Os|Ul|Pl|Avda|avda|Av|av|bd|Bd|ул|пр|пер|наб"
 #: A street name, then the house number.
-NAMED_STREET = re.compile(rf"[{_U}](?<![\w@.-].)[{_L}]+(?:\s(?:de|del|la|an|am|der|[{_U}][{_L}]+)){{0,3}}\s(?:nr\s)?\d{{1,4}}(?:\s?[a-z](?!\w))?(?![\d.]|,\d|\s?[%€])", re.S)
+NAMED_STREET = re.compile(rf"[{_U}](?<![\w@.-].)[{_L}]+(?:\s(?:de|del|la|an|am|der|[{_U}][{_L}]+)){{0,3}}\s(?:nr\s)?[1-9]\d{{0,3}}(?:\s?[a-z](?!\w))?(?![\d.]|,\d|\s?[%€])", re.S)
 #: The type word of a street before its name.
 STREET_TYPE = re.compile(rf"(?:(?<![\w.])(?:(?:{_STREET})\.\s|C/\s?|(?:calle|Calle|Plaza|plaza|Paseo|paseo|ulica|aleja|osiedle|улица)\s)(?:(?:de|del|de la|des|von|zum)\s)*)$")
 #: A house number before a street with its type word.
@@ -63,12 +65,9 @@ NUMBERED_STREET = re.compile(
     rf"|\s(?:[NSEW]\.\s)?(?:[{_U}][{_L}]+\s){{1,3}}(?:Lane|Ln|Court|Ct|Street|St|Avenue|Ave|Road|Rd|Drive|Dr|Way|Close|Terrace|Place|Square|Boulevard|Blvd|Hill|Row|Walk|Crescent)\b\.?)",
     re.S,
 )
-#: An address has a postal code or a word of these; other texts need no search.
-_POSTAL = re.compile(r",\s\d\d-?\d\d\d")
-_ADDRESS_WORDS = ("ul.", "os.", "al.", "pl.", "lok.", " m.", "Avda", "avda", "Av.", "av.", "bd ", "Bd ", "C/", "alle ", "laza ", "aseo ", "ulica", "rue ", "chemin", "avenue", "place ", "allée", "quai", "route", "Lane", "Ln", "Court", "Ct", "Street", "St", "Ave", "Road", "Rd", "Drive", "Dr", "Way", "Close", "Place", "Square", "Hill", "Row", "Walk", "Terrace", "Crescent", "weg", "Weg", "gasse", "stra", "platz", "allee", "Apt", "Unit", "Flat", "ул.", "пр.", "пер.", "наб.")
 _DIGIT = re.compile(r"\d")
 _DATE = re.compile(r"(?:19|20)\d\d[-./]\d{1,2}[-./]\d{1,2}|\d{1,2}[-./]\d{1,2}[-./](?:19|20)\d\d")
-_TYPE = re.compile(rf"(?:{_STREET})\.|C/|calle|Calle|Plaza|Paseo|rue|chemin|bd|avenue|place|Lane|Court|Street|Ave|Road|Rd|weg|gasse|straße|str\.|allee|platz|Weg|Am |An |Im ")
+_TYPE = re.compile(rf"(?:{_STREET})\.|C/|calle|Calle|Plaza|plaza|Paseo|paseo|ulica|aleja|osiedle|улица|rue|chemin|bd|avenue|place|Lane|Court|Street|Ave|Road|Rd|weg|gasse|straße|str\.|allee|platz|Weg|Am |An |Im ")
 _AFTER_ADDRESS = re.compile(r"(?:/\d+|\s?(?:m|lok)\.\s?\d+)?\s?,\s?(?:(?:Apt|Unit|Flat|Suite|portal|piso|bajo|esc)\b|\d\d-\d{3}|\d{5}|[A-Z]{2} \d{5})|(?:/\d+|\s(?:m|lok)\.\s?\d+)")
 #: Words that lead to an address and are no part of it.
 NOT_STREET = {"Wohnung", "Adresse", "Adres", "Address", "Raum", "Nr", "Lokal", "Annex", "Anlage", "Part", "Art", "Sec", "Version", "Załącznik", "Annexe", "Anexo", "Clause", "Abs", "Abb", "Tab", "Siehe", "Invoice", "Faktura", "Rechnung", "No"}
@@ -324,7 +323,7 @@ def low_spans(text: str, words: list[tuple[int, int, str, float]], taken: list,
 
 def candidates(text: str, lex: dict, ends: dict, memo: dict):
     """Spans ``(kind, start, end, features)`` of every generator."""
-    if "@" in text or "(at)" in text or "[at]" in text or "(AT)" in text or "[AT]" in text or "at" in text and re.search(r"[(\[{]\s?at\s?[)\]}]", text, re.I):
+    if "@" in text or _AT.search(text):
         for m in EMAIL.finditer(text):
             s = m.group()
             yield "email", *m.span(), [len(s), s.count("@"), s.count("."), "(" in s or "[" in s, bool(re.search(r"\d", s)), text[m.start() - 1 : m.start()] in ("", " ", "\n", ",", ";", "(", "=", ":", '"'), s[-1].isalpha(), (" @" in s) != ("@ " in s), s[0].isdigit() and re.match(r"[\d.]+\s?@", s) is not None, _NO_MAIL.match(text, m.end()) is not None, _DECORATED.search(text, max(0, m.start() - 8), m.start()) is not None]
@@ -344,7 +343,7 @@ def candidates(text: str, lex: dict, ends: dict, memo: dict):
                 if not code:
                     yield "phone", a, b, x
                 yield "id_number", a, b, x
-        for a, b in streets(text) if _POSTAL.search(text) or any(k in text for k in _ADDRESS_WORDS) else ():
+        for a, b in streets(text):
             yield "address", a, b, address_features(text, a, b)
     words = scored_words(text, lex, ends, memo)
     spans = name_spans(text, words)
