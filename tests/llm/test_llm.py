@@ -243,6 +243,17 @@ def test_leaks_against_brute_force(spark):
     assert leakage.leaked_items(docs, items.limit(0)).count() == 0
 
 
+def test_every_copy_of_a_passage_is_cut_out(spark):
+    p = [f"word{k}x" for k in range(40)]
+    second = [*p[:1], "changed", *p[2:]]
+    hyphen = " ".join(p).replace("word7x", "wo-\nrd7x").replace("word9x", "wo\u200brd9x")
+    items = spark.createDataFrame([(1, " ".join(p))], "item_id bigint, passage string")
+    docs = spark.createDataFrame([(1, f"Before it. {' '.join(p)} Between them stands this. {' '.join(second)} After it."), (2, f"Before it. {hyphen} After it.")], "doc_id bigint, text string")
+    clean = {r.doc_id: " ".join(r.text.split()) for r in leakage.without_leaks(docs, items).collect()}
+    assert clean == {1: "Before it. Between them stands this. After it.", 2: "Before it. After it."}
+    assert leakage.words("wo\u200brd co-\noperate")[0] == ["word", "cooperate"]
+
+
 # ---- 7 ----------------------------------------------------------------------
 
 

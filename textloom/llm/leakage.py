@@ -32,21 +32,22 @@ SHARE = 0.5
 LEAST_HITS = 0.15
 BLOCK = 20_000
 ITEM_LIMIT = 1_000_000
-_WORD = re.compile(r"[^\W_]+")
+#: A word; invisible characters (as NUL) and a hyphen at a line end do not part it.
+_WORD = re.compile(r"[^\W_]+(?:(?:\0+|-\r?\n)[^\W_]+)*")
+_INSIDE = re.compile(r"\0+|-\r?\n")
 _MARKUP = re.compile(r"<[/!]?[A-Za-z][^<>]{0,200}>|&(?:#\d{1,6}|#x[0-9a-fA-F]{1,6}|[A-Za-z]{2,8});|[\u00ad\u034f\u200b\u200c\u200d\u2060\ufeff]")
-_HYPHEN = re.compile(r"(\w)-\n(\w)")
 
 
 def words(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     """Normalised words and their spans in the text."""
     flat = text
     if "<" in text or "&" in text or not text.isascii():
-        flat = _MARKUP.sub(lambda m: (u if len(u := html.unescape(m.group())) == 1 and u.isalpha() else " ").ljust(len(m.group()), "\0" if len(m.group()) == 1 else " "), text)
+        flat = _MARKUP.sub(lambda m: "\0" if len(m.group()) == 1 else (u if len(u := html.unescape(m.group())) == 1 and u.isalpha() else " ").ljust(len(m.group())), text)
     out, spans = [], []
-    if "\0" in flat:  # invisible characters inside words
-        flat = re.sub("\\s\0*|\0", lambda m: m.group(), flat)
     for m in _WORD.finditer(flat):
         w = m.group()
+        if "\0" in w or "\n" in w:
+            w = _INSIDE.sub("", w)
         out.append(w.lower() if w.isascii() else unicodedata.normalize("NFKC", w).lower())
         spans.append(m.span())
     return out, spans
@@ -83,18 +84,57 @@ class Passages:
                     hits[k].append((j, i))
         out = []
         for k, h in hits.items():
-            p = self.words[k]
-            if len({i for _, i in h}) + N - 1 < LEAST_HITS * len(p):
-                continue
-            chain = self._chain(h)
-            if len(chain) + N - 1 < LEAST_HITS * len(p):
-                continue
-            lo, hi = max(0, chain[0][0] - len(p)), chain[-1][0] + N + len(p)
-            at = self._common(p, w[lo:hi])
-            if len(at) >= SHARE * len(p):
-                out.append({"items": self.items[k], "share": len(at) / len(p), "start_off": spans[chain[0][0]][0], "end_off": spans[chain[-1][0] + N - 1][1]})
+            while h and (got := self._leak(self.words[k], w, h)):
+                share, first, last, used = got
+                out.append({"items": self.items[k], "share": share, "start_off": spans[first][0], "end_off": spans[last][1]})
+                h = [x for x in h if not used[0] <= x[0] <= used[1]]  # the text may hold the passage again
         return out
 
+    def _leak(self, p: tuple[str, ...], w: list[str], h: list[tuple[int, int]]):
+        """One copy of a passage: its share, its first and last word, and the range of its hits; None if there is none."""
+        if len({i for _, i in h}) + N - 1 < LEAST_HITS * len(p):
+            return None
+        chain = self._chain(h)
+        if len(chain) + N - 1 < LEAST_HITS * len(p):
+            return None
+        lo, hi = max(0, chain[0][0] - len(p)), chain[-1][0] + N + len(p)
+        share = len(self._common(p, w[lo:hi])) / len(p)
+        if share < SHARE:
+            return None
+        # a chain may begin in one copy and end in another: the part with the most hits, if it is a case by itself
+        parts = [[chain[0]]]
+        for x, y in zip(chain, chain[1:]):
+            if y[0] - x[0] - (y[1] - x[1]) > len(p) // 2:
+                parts.append([])
+            parts[-1].append(y)
+        for part in [max(parts, key=len), chain]:
+            (j0, i0), (j1, i1) = part[0], part[-1]
+            lo, hi = max(0, j0 - i0 - 2), j1 + len(p) - i1 + 2
+            near = w[lo:hi]
+            most = len(self._common(p, near))
+            if most >= SHARE * len(p):
+                share = most / len(p)
+                break
+        else:
+            return share, j0, j1 + N - 1, (j0, j1)
+        # the shortest stretch with as many common words: its end from the front, its start from the back
+        end = self._reach(p, near, most)
+        start = end - self._reach(p[::-1], near[:end][::-1], most)
+        first, last = min(lo + start, j0), max(lo + end - 1, j1 + N - 1)
+        return share, first, last, (first, last)
+
+    @classmethod
+    def _reach(cls, p: tuple[str, ...], w: list[str], most: int) -> int:
+        """How many words are needed for so many common words."""
+        a, b = 0, len(w)
+        while a < b:
+            c = (a + b) // 2
+            if len(cls._common(p, w[:c])) >= most:
+                b = c
+            else:
+                a = c + 1
+        return a
+
     @staticmethod
     def _chain(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
         """The longest run of hits that rises in the text and in the passage."""
