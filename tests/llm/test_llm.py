@@ -79,6 +79,15 @@ def test_lookalike_items(spark, edge):
     assert sorted(r.unified for r in lookalikes.changed_items(df).collect()) == sorted(w for _, w in CHANGED)
 
 
+def test_lookalikes_of_two_other_scripts_leave_the_jvm(spark):
+    texts = ["Дοговор подписан до срока", "Договор подписан ò вчера", "Договор подписан"]
+    want = [lookalikes.unify(t) for t in texts]
+    assert want[0] == "Договор подписан до срока"
+    df = spark.createDataFrame([("segment", "d", str(k), t) for k, t in enumerate(texts)], ITEM)
+    assert {r.id: r.unified for r in lookalikes.unify_items(df).collect()} == {str(k): w for k, w in enumerate(want)}
+    assert {r.id for r in lookalikes.changed_items(df).collect()} == {str(k) for k, (t, w) in enumerate(zip(texts, want)) if t != w}
+
+
 # ---- 3 ----------------------------------------------------------------------
 
 MENTIONS = [

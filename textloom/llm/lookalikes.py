@@ -46,9 +46,9 @@ SPACES = "\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000"
 STYLED = "０-９Ａ-Ｚａ-ｚ\uff66-\uff9d\U0001d400-\U0001d7ffﬀ-ﬆǄ-ǌǱ-ǳ①-⑳Ⓐ-ⓩℂ-ℕℙ-ℝℤℨ-ℴĲĳſKÅ"
 MARKS = "\u0300-\u033f\u0340-\u0345\u0653-\u0655\u3099\u309a"
 _LETTERS = {"Latn": "A-Za-zªºÀ-ÖØ-öø-ɏḀ-ỿ", "Cyrl": "Ѐ-ԯ", "Grek": "Ͱ-ͳͶ-ͽͿΆ-Ͽἀ-῿"}
-#: Only texts with one of these, or with Latin letters and others, can change.
+#: Only texts with one of these, or with letters of two of the scripts, can change.
 SUSPECT = f"[{INVISIBLE}{SPACES}{STYLED}{MARKS}]"
-LATIN, OTHER = "[A-Za-z]", f"[{_LETTERS['Cyrl']}{_LETTERS['Grek']}]"
+LATIN, OTHER = f"[{_LETTERS['Latn']}]", f"[{_LETTERS['Cyrl']}{_LETTERS['Grek']}]"
 _CHANGE = re.compile(f"[{INVISIBLE}]+|[{SPACES}]|[{STYLED}]|[^\\s\\d][{MARKS}]+")
 _ANY = re.compile(SUSPECT)
 _OTHER = re.compile(OTHER)
@@ -229,7 +229,8 @@ def changed_items(df: DataFrame, text: str = "text", only: bool = True) -> DataF
 def _suspect(text: str):
     """Whether a text can change, by single character classes, each one scan."""
     col = F.col(text)
-    return col.rlike(_java(SUSPECT)) | (col.rlike(_java(OTHER)) & col.rlike(LATIN))
+    cyrillic, greek = (col.rlike(_java(f"[{_LETTERS[k]}]")) for k in ("Cyrl", "Grek"))
+    return col.rlike(_java(SUSPECT)) | (cyrillic & greek) | ((cyrillic | greek) & col.rlike(LATIN))
 
 
 def _java(pattern: str) -> str:
