@@ -139,3 +139,10 @@ def test_changed_spans_and_long_pages(spark):
     df = spark.createDataFrame([("d", 0, "Jan i Ewa", "*** i *** x")], PAGES)
     got = diff.changed_spans(diff.with_opcodes(df)).collect()
     assert [(r.source_text, r.tag) for r in got][0] == ("Jan", "replace")
+
+
+def test_a_long_page_without_lines_is_compared_by_characters():
+    a = "some words of a long page " * 1000
+    b = a[:13_000] + "X" + a[13_001:]
+    ops = diff.opcodes(a, b)
+    assert len(a) > diff.MAX_CHARS and [(o["tag"], o["source_start"], o["source_end"], o["replacement_text"]) for o in ops] == [("replace", 13_000, 13_001, "X")]

@@ -1,9 +1,9 @@
 """Page edits as differences: changed spans, and how a page can be written back.
 
 The differences of a page are computed once and both results derive from them.
-Pages that didn't change never reach Python. Comparing is quadratic in the worst
-case, so pages beyond ``MAX_CHARS`` on either side are compared by lines first
-and by characters only inside the changed lines.
+Pages that didn't change never reach Python. What two texts begin and end with in
+common is left out first; the rest is compared by characters at every size, which
+is quadratic in the worst case.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from textloom.functions import text as T
 
+#: A page beyond this counts as long; it is compared as others are.
 MAX_CHARS = 20_000
 OPCODE = "struct<tag:string,source_start:int,source_end:int,source_text:string,replacement_text:string>"
 _PA = pa.list_(pa.struct([("tag", pa.string()), ("source_start", pa.int32()), ("source_end", pa.int32()), ("source_text", pa.string()), ("replacement_text", pa.string())]))
@@ -24,26 +25,11 @@ _PA = pa.list_(pa.struct([("tag", pa.string()), ("source_start", pa.int32()), ("
 
 def opcodes(a: str, b: str) -> list[dict]:
     """Replacements, deletions and insertions that lead from ``a`` to ``b``."""
-
-    def by_chars(x: str, y: str, at: int, to: int):
-        for tag, i, j, k, m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
-            if tag != "equal":
-                yield tag, at + i, at + j, to + k, to + m
-
-    if max(len(a), len(b)) <= MAX_CHARS:
-        ops = list(by_chars(a, b, 0, 0))
-    else:
-        la, lb = a.splitlines(True), b.splitlines(True)
-        pa_, pb = [0], [0]
-        for x in la:
-            pa_.append(pa_[-1] + len(x))
-        for x in lb:
-            pb.append(pb[-1] + len(x))
-        ops = []
-        for tag, i, j, k, m in difflib.SequenceMatcher(None, la, lb, autojunk=False).get_opcodes():
-            if tag != "equal":
-                x, y = a[pa_[i] : pa_[j]], b[pb[k] : pb[m]]
-                ops += by_chars(x, y, pa_[i], pb[k]) if max(len(x), len(y)) <= MAX_CHARS else [(tag, pa_[i], pa_[j], pb[k], pb[m])]
+    least = min(len(a), len(b))
+    head = next((k for k in range(least) if a[k] != b[k]), least)
+    tail = next((k for k in range(least - head) if a[-1 - k] != b[-1 - k]), least - head)
+    matcher = difflib.SequenceMatcher(None, a[head : len(a) - tail], b[head : len(b) - tail], autojunk=False)
+    ops = [(t, i + head, j + head, k + head, m + head) for t, i, j, k, m in matcher.get_opcodes() if t != "equal"]
     return [{"tag": t, "source_start": i, "source_end": j, "source_text": a[i:j], "replacement_text": b[k:m]} for t, i, j, k, m in ops]
 
 
