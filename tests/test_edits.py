@@ -67,7 +67,7 @@ def test_other_spellings_of_edits(spark):
 
 def test_positional_texts(spark, segs):
     given = spark.createDataFrame([("d", 0, "A"), ("d", 1, "B"), ("d", 2, "C"), ("e", 0, "D"), ("e", 1, "too many")], "doc_id string, pos int, new_text string")
-    got = {(r.doc_id, r.id): (r.text, r.error) for r in E.apply_texts(segs, given, ["paragraph_index"]).collect()}
+    got = {(r.doc_id, r.id): (r.text, r.error) for r in E.apply_texts(segs, given, "paragraph_index").collect()}
     assert got["d", "s1"] == ("B", None)
     assert got["e", "s0"] == ("", "expected 1 text segments, got 2")
     assert got["f", "s0"][1] == "expected 1 text segments, got 0"
@@ -132,7 +132,7 @@ def test_changed_spans_and_long_pages(spark):
     a = "".join(f"line {k} of many\n" for k in range(4000))
     b = a.replace("line 7 of", "line seven of", 1)
     ops = diff.opcodes(a, b)
-    assert len(a) > diff.MAX_CHARS and len(ops) < 5
+    assert len(ops) < 5
     for o in reversed(ops):
         a = a[: o["source_start"]] + o["replacement_text"] + a[o["source_end"] :]
     assert a == b
@@ -145,4 +145,4 @@ def test_a_long_page_without_lines_is_compared_by_characters():
     a = "some words of a long page " * 1000
     b = a[:13_000] + "X" + a[13_001:]
     ops = diff.opcodes(a, b)
-    assert len(a) > diff.MAX_CHARS and [(o["tag"], o["source_start"], o["source_end"], o["replacement_text"]) for o in ops] == [("replace", 13_000, 13_001, "X")]
+    assert [(o["tag"], o["source_start"], o["source_end"], o["replacement_text"]) for o in ops] == [("replace", 13_000, 13_001, "X")]

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from textloom import schema as S
 from textloom.functions import inline as I
 from textloom.functions import text as T
+from textloom.functions.ordering import number_rows
 from textloom.operators import detect as D
 from textloom.operators import layout as L
-from textloom.sources import pdf
 
 
 def values(spark, rows, ddl, *cols):
@@ -163,28 +163,59 @@ def test_rebuilt_markup(spark):
 # ---- layout -----------------------------------------------------------------
 
 
-def test_wrapping_equals_the_writers(spark):
-    texts = ["", "one two\tthree", "word " * 90, "x" * 400, "ala ma kota\n\nżółć " + "漢" * 80, "a\r\nb\fc"]
-    got = values(spark, [(t,) for t in texts], "t string", F.flatten(F.transform(F.split("t", "\n", -1), lambda t: L.wrap_line(t))))
-    for (lines,), t in zip(got, texts):
-        if "\r" not in t:
-            assert lines == pdf.wrap(t, L.WIDTH - 2 * L.MARGIN)
-    pages = values(spark, [("\n".join(map(str, range(130))) + "\fend",)], "t string", F.transform(L.flow_pages(F.col("t")), lambda p: F.size(p)))
-    assert pages[0][0] == [58, 58, 14, 1]
+def greedy(text, most=49_900):
+    """Lines filled word by word, the plain way."""
+    out = []
+    for line in text.split("\n"):
+        now = ""
+        for word in line.split():
+            if now and L.text_width(f"{now} {word}") <= most:
+                now += f" {word}"
+                continue
+            if now:
+                out.append(now)
+            now = ""
+            for c in word:
+                if now and L.text_width(now + c) > most:
+                    out.append(now)
+                    now = ""
+                now += c
+        out.append(now)
+    return out
 
 
-def test_rectangles_merge_by_line(spark):
-    rows = [([(60.0, 10.0, 70.0, 20.0), (10.0, 10.5, 20.0, 20.5), (10.0, 40.0, 20.0, 50.0)],), ([],)]
-    got = values(spark, rows, f"r array<{L.RECT}>", L.merge_lines(F.col("r"), F.lit(65.0), F.lit(800.0)))
-    assert [tuple(x) for x in got[0][0]] == [(9.25, 9.25, 65.0, 21.25), (9.25, 39.25, 20.75, 50.75)]
-    assert got[1][0] == []
+def test_wrapping(spark):
+    texts = ["", "one two\tthree", "word " * 90, "x" * 400, "ala ma kota\n\nżółć " + "漢" * 80, "W" * 60 + " tail " + "i" * 500, " \n "]
+    for t in texts:
+        assert L.wrap(t) == greedy(t)
+    rows = [("\n".join(map(str, range(130))) + "\fend",), (None,), ("",)]
+    got = [r.pages for r in L.flowed(spark.createDataFrame(rows, "t string"), "t").collect()]
+    assert [len(p) for p in got[0]] == [58, 58, 14, 1] and got[1] is None and got[2] == [[""]]
+    assert L.reflow_text(["a\n\n", "b"]) == "a\nb"
 
 
-def test_soft_wraps(spark):
-    line = "struct<text:string,x0:double,x1:double>"
-    rows = [(("goes on", 48.0, 590.0), ("x", 48.0, 60.0)), (("ends.", 48.0, 590.0), ("x", 48.0, 60.0)), (("short", 48.0, 90.0), ("x", 48.0, 60.0)), (("long line", 48.0, 500.0), ("x", 60.0, 90.0)), ((" ", 48.0, 590.0), ("x", 48.0, 60.0))]
-    got = values(spark, rows, f"a {line}, b {line}", L.soft_wrapped(F.col("a"), F.col("b"), F.lit(595.0)))
-    assert [g[0] for g in got] == [True, False, False, True, False]
+def test_rectangles_merge_by_line(spark):
+    rects = [(60.0, 10.0, 70.0, 20.0), (10.0, 10.5, 20.0, 20.5), (10.0, 40.0, 20.0, 50.0)]
+    want = [(9.25, 9.25, 65.0, 21.25), (9.25, 39.25, 20.75, 50.75)]
+    assert L.merge_lines(rects, 65.0, 800.0) == want
+    assert L.span_rects("a b", [rects[0], None, rects[1]], 0, 3, 65.0, 800.0) == [want[0]]
+    assert L.span_rects("abc", [rects[0], None, rects[1]], 0, 3, 65.0, 800.0) == []
+    got = L.merged_boxes(spark.createDataFrame([(rects,), ([],), (None,)], f"r array<{L.RECT}>"), "r", 65.0).collect()
+    assert [tuple(x)[:4] for x in got[0].boxes] == want and got[1].boxes == [] and got[2].boxes is None
+
+
+def test_soft_wraps():
+    rows = [("goes on", 48.0, 590.0, 48.0), ("ends.", 48.0, 590.0, 48.0), ("short", 48.0, 90.0, 48.0), ("long line", 48.0, 500.0, 60.0), (" ", 48.0, 590.0, 48.0)]
+    assert [L.soft_wrapped(*r, 595.0) for r in rows] == [True, False, False, True, False]
+
+
+def test_numbers_in_groups_of_any_size(spark):
+    rows = [("big", k * 7 if k else None, f"t{k}") for k in range(3000)] + [("small", 5, "b"), ("small", 5, "a"), (None, 1, "x")]
+    df = spark.createDataFrame(rows, "g string, k int, t string").repartition(7)
+    got = {(r.g, r.t): r.n for r in number_rows(df, "g", "k", "t").collect()}
+    assert all(got["big", f"t{k}"] == k for k in range(3000))
+    assert got["small", "a"] == 0 and got["small", "b"] == 1 and got[None, "x"] == 0
+    assert number_rows(df.limit(0), "g", "k").count() == 0
 
 
 def test_paths_do_not_depend_on_the_machine():

@@ -3,14 +3,18 @@
 A paragraph is an ordered array of text pieces (with their formatting ``rpr``)
 and opaque pieces (tabs, breaks, links; never split, kept by every edit).
 Offsets count code points of the visible text, which is the text of all pieces.
-Everything is a higher-order function, so no row leaves the JVM. A null array
-gives null; offsets below 0 or past the end act as the ends.
+Offsets of pieces are running sums, made for a whole Arrow batch at a time; all else
+are higher-order functions. Everything is linear in the pieces. A null array gives
+null; offsets below 0 or past the end act as the ends.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from textloom import schema as S
 from textloom.functions.text import col, let
@@ -47,20 +51,29 @@ def copy_with_text(piece: Column, text: Column) -> Column:
     return piece.withField("text", text)
 
 
+@F.arrow_udf(ArrayType(IntegerType()))
+def _running(lengths: pa.Array) -> pa.Array:
+    """Sums of the lengths before each place of an array: one running sum over a whole batch."""
+    at = lengths.offsets.to_numpy()
+    flat = lengths.values.slice(at[0], at[-1] - at[0]).fill_null(0).to_numpy(zero_copy_only=False)
+    total = np.concatenate(([0], np.cumsum(flat, dtype=np.int64)))
+    at = at - at[0]
+    own = total[:-1] - np.repeat(total[at[:-1]], np.diff(at))
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(own, pa.int32()), mask=lengths.is_null() if lengths.null_count else None)
+
+
 def starts(pieces: Column | str) -> Column:
-    """Offset of each piece, and the total at the end."""
-    return F.aggregate(col(pieces), F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p["text"]))))
+    """Offset of each piece: running sums of the lengths, linear in the pieces."""
+    return _running(F.transform(col(pieces), lambda p: F.length(p["text"])))
 
 
-def _placed(pieces: Column) -> Column:
-    """Pieces with their ``start`` and ``end``."""
-    start = F.struct(F.array().cast(f"array<struct<p:{S.INLINE},s:int,e:int>>").alias("out"), F.lit(0).alias("at"))
+def _at(p: Column, s: Column) -> Column:
+    return F.struct(p.alias("p"), s.alias("s"), (s + F.length(p["text"])).alias("e"))
 
-    def step(acc: Column, p: Column) -> Column:
-        e = acc["at"] + F.length(p["text"])
-        return F.struct(F.concat(acc["out"], F.array(F.struct(p.alias("p"), acc["at"].alias("s"), e.alias("e")))).alias("out"), e.alias("at"))
 
-    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+def _placed(pieces: Column) -> Column:
+    """Pieces with their ``start`` and ``end``."""
+    return F.zip_with(pieces, starts(pieces), _at)
 
 
 def rpr_at(pieces: Column | str, offset: Column | int) -> Column:
@@ -83,27 +96,36 @@ def index_at(pieces: Column | str, offset: Column | int) -> Column:
     return _index(_placed(col(pieces)), _int(offset))
 
 
-def split_at(pieces: Column | str, offset: Column | int) -> Column:
-    """Cut the text piece that an offset is strictly inside of."""
-    o = _int(offset)
+def _cut(placed: Column, *offsets: Column) -> Column:
+    """Placed pieces with the text pieces that an offset is strictly inside of cut there; ``offsets`` rise."""
 
-    def cut(x: Column) -> Column:
-        inside = (x["p"]["kind"] == "text") & (x["s"] < o) & (o < x["e"])
-        k = o - x["s"]
+    def parts(x: Column) -> Column:
         t = x["p"]["text"]
-        return F.when(inside, F.array(copy_with_text(x["p"], F.substring(t, F.lit(1), k)), copy_with_text(x["p"], F.substring(t, k + 1, F.length(t))))).otherwise(F.array(x["p"]))
+        ends = [F.least(F.greatest(o, x["s"]), x["e"]) for o in offsets]
+        inside = F.lit(False)
+        for o in offsets:
+            inside = inside | ((x["s"] < o) & (o < x["e"]))
+        piece = lambda a, b: F.struct(copy_with_text(x["p"], F.substring(t, a - x["s"] + 1, b - a)).alias("p"), a.alias("s"), b.alias("e"))
+        cut = F.filter(F.array(*(piece(a, b) for a, b in zip([x["s"], *ends], [*ends, x["e"]]))), lambda y: y["s"] < y["e"])
+        return F.when((x["p"]["kind"] == "text") & inside, cut).otherwise(F.array(x))
 
-    return F.flatten(F.transform(_placed(col(pieces)), cut))
+    return F.flatten(F.transform(placed, parts))
+
+
+def _bare(placed: Column) -> Column:
+    return F.transform(placed, lambda x: x["p"])
+
+
+def split_at(pieces: Column | str, offset: Column | int) -> Column:
+    """Cut the text piece that an offset is strictly inside of."""
+    return _bare(_cut(_placed(col(pieces)), _int(offset)))
 
 
 def insert_at(pieces: Column | str, offset: Column | int, insert: Column) -> Column:
     """Put pieces at an offset, before opaque pieces without width that stand there."""
     o = _int(offset)
-
-    def put(parts: Column) -> Column:
-        return let(_index(_placed(parts), o), lambda k: F.concat(F.slice(parts, F.lit(1), k), insert, F.slice(parts, k + 1, F.size(parts))))
-
-    return let(split_at(pieces, o), put)
+    put = lambda parts: let(_index(parts, o), lambda k: F.concat(F.slice(_bare(parts), F.lit(1), k), insert, F.slice(_bare(parts), k + 1, F.size(parts))))
+    return let(_cut(_placed(col(pieces)), o), put)
 
 
 def replace_range(pieces: Column | str, start: Column | int, end: Column | int, replacement: Column) -> Column:
@@ -113,13 +135,15 @@ def replace_range(pieces: Column | str, start: Column | int, end: Column | int,
     gone = lambda x: (x["p"]["kind"] == "text") & (x["s"] >= a) & (x["e"] <= b) & (x["s"] < b) & (x["e"] > a)
 
     def put(placed: Column) -> Column:
-        first = F.array_position(F.transform(placed, gone), True)
-        bare = F.transform(placed, lambda x: x["p"])
-        kept = let(first, lambda f: F.flatten(F.transform(placed, lambda x, i: F.when(gone(x), F.when(i + 1 == f, new).otherwise(empty())).otherwise(F.array(x["p"])))))
-        inserted = let(_index(placed, a), lambda k: F.concat(F.slice(bare, F.lit(1), k), new, F.slice(bare, k + 1, F.size(bare))))
-        return F.when(first > 0, kept).otherwise(inserted)
+        def at(first: Column) -> Column:
+            bare = _bare(placed)
+            kept = F.concat(F.slice(bare, F.lit(1), first - 1), new, _bare(F.filter(F.slice(placed, first, F.size(placed)), lambda x: ~gone(x))))
+            inserted = let(_index(placed, a), lambda k: F.concat(F.slice(bare, F.lit(1), k), new, F.slice(bare, k + 1, F.size(bare))))
+            return F.when(first > 0, kept).otherwise(inserted)
+
+        return let(F.array_position(F.transform(placed, gone), True), at)
 
-    return let(_placed(split_at(split_at(pieces, b), a)), put)
+    return let(_cut(_placed(col(pieces)), a, b), put)
 
 
 def paragraph_xml(pieces: Column | str) -> Column:

@@ -81,6 +81,35 @@ def is_zip(content: Column | str) -> Column:
     return F.startswith(col(content), F.expr("X'504B'"))
 
 
+def _number(b: Column, at: int) -> Column:
+    """Four bytes from the 1-based place ``at`` as a number, the low byte first; null for 0xFFFFFFFF, which says that the number is elsewhere."""
+    h = F.concat(*(F.hex(F.substring(b, at + k, 1)) for k in (3, 2, 1, 0)))
+    return F.nullif(F.conv(h, 16, 10).cast("bigint"), F.lit(0xFFFFFFFF))
+
+
+def has_entries(content: Column | str, *names: str) -> Column:
+    """Whether bytes are a zip package with all of these entries, told by its table of contents. Stays on the JVM."""
+    b = col(content)
+
+    def listed(end: Column) -> Column:
+        size, start = _number(end, 13), _number(end, 17)
+        table = F.coalesce(F.substring(b, (start + 1).cast("int"), size.cast("int")), b)
+        return let(F.decode(table, "ISO-8859-1"), _all)
+
+    def _all(t: Column) -> Column:
+        out = F.lit(True)
+        for n in names:
+            size = len(n)
+            out = out & t.rlike(rf"(?s)PK\x01\x02.{{24}}\x{size & 255:02x}\x{size >> 8:02x}.{{16}}\Q{n}\E")
+        return out
+
+    plain_end = F.substring(b, -22, 22)
+    tail = F.decode(F.substring(b, -65557, 65557), "ISO-8859-1")
+    late = F.encode(F.regexp_extract(tail, r"(?s).*(PK\x05\x06.{18}).*", 1), "ISO-8859-1")  # a comment stands behind it
+    end = F.when(F.startswith(plain_end, F.expr("X'504B0506'")), plain_end).otherwise(late)
+    return F.when(is_zip(b) & (F.octet_length(b) >= 22), let(end, lambda e: F.when(F.octet_length(e) == 22, listed(e)).otherwise(False))).otherwise(False)
+
+
 #: What the upper half of code page 1250 holds, from 0x80; the five undefined bytes are spaces.
 _CP1250 = (
     "€ ‚ „…†‡ ‰Š‹ŚŤŽŹ ‘’“”•–— ™š›śťžź"
@@ -103,34 +132,43 @@ def decode_single_byte(content: Column) -> Column:
 
 
 def _utf16(content: Column) -> Column:
-    """UTF-16 with its mark, or null where it is not valid: odd length or a lone half of a pair."""
-    hx = F.hex(content)
-    little = hx.startswith("FFFE")
-    units = F.regexp_replace(F.substring(hx, 5, 1 << 30), "(.{4})", "$1,")
-    big = F.when(little, F.regexp_replace(units, "(..)(..),", "$2$1,")).otherwise(units)
-    lone = big.rlike("(?:^|,)D[89AB]..(?!,D[C-F]..)|(?:^|(?<!D[89AB]..),)D[C-F]..,") | big.rlike("^D[C-F]")
-    ok = (F.octet_length(content) % 2 == 0) & ~lone
+    """UTF-16 with its mark, or null where it is not valid: odd length or a lone half of a pair.
+
+    A half of a pair has a byte of 0xD8 to 0xDF; only where such a byte occurs are the units looked at one by one.
+    """
+    little = F.startswith(content, F.expr("X'FFFE'"))
     body = F.substring(content, 3, 1 << 30)
-    return F.when(ok & little, F.decode(body, "UTF-16LE")).when(ok, F.decode(body, "UTF-16BE"))
+
+    def lone(hx: Column) -> Column:
+        units = F.regexp_replace(hx, "(.{4})", "$1,")
+        big = F.when(little, F.regexp_replace(units, "(..)(..),", "$2$1,")).otherwise(units)
+        return let(big, lambda x: x.rlike("(?:^|,)D[89AB]..(?!,D[C-F]..)|(?:^|(?<!D[89AB]..),)D[C-F]..,") | x.rlike("^D[C-F]"))
+
+    halves = F.decode(body, "ISO-8859-1").rlike(r"[\x{d8}-\x{df}]")
+    ok = (F.octet_length(content) % 2 == 0) & ~F.when(halves, lone(F.hex(body))).otherwise(False)
+    return F.when(ok, F.when(little, F.decode(body, "UTF-16LE")).otherwise(F.decode(body, "UTF-16BE")))
 
 
 def decode_text(content: Column | str) -> Column:
     """Text of unknown encoding: UTF-16 by its mark, UTF-8 (a mark is dropped), code page 1250, Latin-1."""
+
+    def single(b: Column) -> Column:
+        return let(F.decode(b, "ISO-8859-1"), lambda x: F.when(_cp1250_ok(x), F.translate(x, _CP1250_FROM, _CP1250_TO)).otherwise(x))
+
     b = col(content)
-    hx = F.hex(F.substring(b, 1, 2))
-    as_string = b.cast("string")
-    utf8 = F.when(F.is_valid_utf8(as_string), F.regexp_replace(as_string, "^\\x{feff}", ""))
-    return F.when(hx.isin("FFFE", "FEFF"), F.coalesce(_utf16(b), utf8, decode_single_byte(b))).otherwise(F.coalesce(utf8, decode_single_byte(b)))
+    marked = F.startswith(b, F.expr("X'FFFE'")) | F.startswith(b, F.expr("X'FEFF'"))
+    utf8 = let(b.cast("string"), lambda s: F.when(F.is_valid_utf8(s), F.when(s.startswith("\ufeff"), F.substring(s, F.lit(2), F.length(s))).otherwise(s)))
+    return F.coalesce(F.when(marked, _utf16(b)), utf8, single(b))
 
 
 #: Characters that print: letters, marks, numbers, punctuation, symbols and the plain space; and line ends and tabs.
-_PRINTS = r"[\p{L}\p{M}\p{N}\p{P}\p{S} \r\n\t]"
+_NO_PRINT = r"[^\p{L}\p{M}\p{N}\p{P}\p{S} \r\n\t]"
 
 
 def printable_ratio(text: Column | str) -> Column:
     """Share of printable characters; null for an empty text."""
     t = col(text)
-    return F.when(F.length(t) > 0, F.length(F.regexp_replace(t, f"(?!{_PRINTS})(?s:.)", "")) / F.length(t))
+    return F.when(F.length(t) > 0, F.length(F.regexp_replace(t, _NO_PRINT, "")) / F.length(t))
 
 
 def looks_like_text(content: Column | str) -> Column:

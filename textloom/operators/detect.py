@@ -1,32 +1,16 @@
-"""Type detection: one projection, cheap tests first; only zip packages are opened, in Arrow batches."""
+"""Type detection: one projection on the JVM, cheap tests first; a package is told by its table of contents."""
 
 from __future__ import annotations
 
-import io
-import zipfile
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from textloom import schema as S
 from textloom.functions import text as T
 
 
-@F.pandas_udf(BooleanType())
-def _is_word_package(content: pd.Series) -> pd.Series:
-    def one(data: bytes | None) -> bool:
-        if not data:
-            return False
-        try:
-            with zipfile.ZipFile(io.BytesIO(data)) as z:
-                names = set(z.namelist())
-        except (zipfile.BadZipFile, OSError, ValueError):
-            return False
-        return {"[Content_Types].xml", "word/document.xml"} <= names
-
-    return content.map(one).astype(bool)
+def is_word_package(content: Column) -> Column:
+    return T.has_entries(content, "[Content_Types].xml", "word/document.xml")
 
 
 def detected(filename: Column, content_type: Column, content: Column, word: Column) -> Column:
@@ -55,9 +39,7 @@ def detected(filename: Column, content_type: Column, content: Column, word: Colu
 
 def detect(blobs: DataFrame) -> DataFrame:
     """Blobs ``(doc_id, filename, content_type, content)`` with ``detected``."""
-    # rows that aren't zip files reach the Python function as null and cost nothing there
-    word = _is_word_package(F.when(T.is_zip(F.col("content")), F.col("content")))
-    return blobs.withColumn("_word", word).withColumn("detected", detected(F.col("filename"), F.col("content_type"), F.col("content"), F.coalesce("_word", F.lit(False)))).drop("_word")
+    return blobs.withColumn("detected", detected(F.col("filename"), F.col("content_type"), F.col("content"), F.coalesce(is_word_package(F.col("content")), F.lit(False))))
 
 
 def default_filename(det: Column) -> Column:

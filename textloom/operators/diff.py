@@ -2,25 +2,54 @@
 
 The differences of a page are computed once and both results derive from them.
 Pages that didn't change never reach Python. What two texts begin and end with in
-common is left out first; the rest is compared by characters at every size, which
-is quadratic in the worst case.
+common is left out first; the rest is compared by characters at every size, by the
+rule of the longest common stretch (the first one if several are as long).
 """
 
 from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from textloom.functions import text as T
+from textloom.operators import layout as L
 
-#: A page beyond this counts as long; it is compared as others are.
-MAX_CHARS = 20_000
 OPCODE = "struct<tag:string,source_start:int,source_end:int,source_text:string,replacement_text:string>"
-_PA = pa.list_(pa.struct([("tag", pa.string()), ("source_start", pa.int32()), ("source_end", pa.int32()), ("source_text", pa.string()), ("replacement_text", pa.string())]))
+_OPS_PA = pa.list_(pa.struct([("tag", pa.string()), ("source_start", pa.int32()), ("source_end", pa.int32()), ("source_text", pa.string()), ("replacement_text", pa.string())]))
+_COMPARED_PA = pa.struct([("ops", _OPS_PA), ("fits", pa.bool_())])
+COMPARED = f"struct<ops:array<{OPCODE}>,fits:boolean>"
+
+
+class Matcher(difflib.SequenceMatcher):
+    """The library's matcher with its longest common stretch found a row of the second text at a time."""
+
+    def __init__(self, a: str, b: str):
+        super().__init__(None, a, b, autojunk=False)
+        self.places = {c: np.array(k, np.int64) for c, k in self.b2j.items()}
+
+    def find_longest_match(self, alo: int = 0, ahi: int | None = None, blo: int = 0, bhi: int | None = None) -> difflib.Match:
+        ahi, bhi = len(self.a) if ahi is None else ahi, len(self.b) if bhi is None else bhi
+        best_i, best_j, best = alo, blo, 0
+        run = np.zeros(bhi - blo + 1, np.int32)  # length of the common stretch that ends before each place
+        none = np.zeros(0, np.int64)
+        old = none
+        for i in range(alo, ahi):
+            at = self.places.get(self.a[i], none)
+            if len(at):
+                lo, hi = at.searchsorted((blo, bhi))
+                at = at[lo:hi] - blo
+            grown = run[at] + 1
+            run[old] = 0
+            old = at + 1
+            run[old] = grown
+            if len(grown) and (k := int(grown.argmax())) >= 0 and grown[k] > best:
+                best = int(grown[k])
+                best_i, best_j = i - best + 1, int(at[k]) + blo - best + 1
+        return difflib.Match(best_i, best_j, best)
 
 
 def opcodes(a: str, b: str) -> list[dict]:
@@ -28,54 +57,74 @@ def opcodes(a: str, b: str) -> list[dict]:
     least = min(len(a), len(b))
     head = next((k for k in range(least) if a[k] != b[k]), least)
     tail = next((k for k in range(least - head) if a[-1 - k] != b[-1 - k]), least - head)
-    matcher = difflib.SequenceMatcher(None, a[head : len(a) - tail], b[head : len(b) - tail], autojunk=False)
+    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+    matcher = Matcher(x, y) if len(x) * len(y) > 4096 else difflib.SequenceMatcher(None, x, y, autojunk=False)
     ops = [(t, i + head, j + head, k + head, m + head) for t, i, j, k, m in matcher.get_opcodes() if t != "equal"]
     return [{"tag": t, "source_start": i, "source_end": j, "source_text": a[i:j], "replacement_text": b[k:m]} for t, i, j, k, m in ops]
 
 
-def with_opcodes(pages: DataFrame, source: str = "source_text", target: str = "text") -> DataFrame:
-    """Changed pages with ``ops array<opcode>``; unchanged and null ones have an empty array. Nulls count as empty texts
-    where the other side has text."""
-    changed = F.coalesce(source, F.lit("")) != F.coalesce(target, F.lit(""))
-    same = pages.filter(~changed).withColumn("ops", F.array().cast(f"array<{OPCODE}>"))
-    todo = pages.filter(changed)
-    names = todo.columns
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in todo.schema.fields), f"ops array<{OPCODE}>"])
+def compare(source: str, target: str, width: float | None = None, height: float | None = None) -> dict:
+    """The differences, and whether the new text, wrapped, fits its page (of the usual size where none is known)."""
+    if source == target:
+        return {"ops": [], "fits": True}
+    return {"ops": opcodes(source, target), "fits": L.fits_page(target, width or L.WIDTH, height or L.HEIGHT)}
 
-    def run(batches):
-        for b in batches:
-            x, y = (b.column(b.schema.get_field_index(c)).to_pylist() for c in (source, target))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([opcodes(p or "", q or "") for p, q in zip(x, y)], _PA)], names=[*names, "ops"])
 
-    return same.unionByName(todo.mapInArrow(run, ddl))
+def with_opcodes(pages: DataFrame, source: str = "source_text", target: str = "text", width: str | None = None, height: str | None = None) -> DataFrame:
+    """Pages with ``ops array<opcode>`` and ``fits``; unchanged ones have no ops and fit. Nulls count as empty texts
+    where the other side has text."""
+    a, b = F.coalesce(source, F.lit("")), F.coalesce(target, F.lit(""))
+    w, h = (F.coalesce(F.col(c).cast("double"), F.lit(d)) if c else F.lit(d) for c, d in ((width, L.WIDTH), (height, L.HEIGHT)))
+    same = pages.filter(a == b).withColumn("ops", F.array().cast(f"array<{OPCODE}>")).withColumn("fits", F.lit(True))
+    todo = pages.filter(a != b).withColumns({"_a": a, "_b": b, "_w": w, "_h": h})
+    done = L.with_column(todo, "_c", COMPARED, _COMPARED_PA, compare, "_a", "_b", "_w", "_h")
+    return same.unionByName(done.withColumn("ops", F.col("_c.ops")).withColumn("fits", F.col("_c.fits")).drop("_a", "_b", "_w", "_h", "_c"))
 
 
 def changed_spans(df: DataFrame) -> DataFrame:
     """``ops`` without insertions, exploded: ``(..., ord, tag, source_start, source_end, source_text, replacement_text)``."""
     spans = F.filter("ops", lambda o: o["tag"] != "insert")
-    kept = [c for c in df.columns if c not in ("ops", "source_text", "text")]
+    kept = [c for c in df.columns if c not in ("ops", "fits", "source_text", "text")]
     return df.select(*kept, F.posexplode(spans).alias("ord", "o")).select(*kept, "ord", "o.*")
 
 
-def page_strategy(df: DataFrame, fits: str | None = None, doc: str = "doc_id", source: str = "source_text", target: str = "text") -> DataFrame:
-    """How each page is written back: ``unchanged``, ``redact`` in place, ``rebuild`` the page, or ``reflow`` the document.
-
-    ``fits`` names a column that says whether a rebuilt page's text fits its page;
-    one page that doesn't makes its whole document flow. ``dropped_insert`` tells
-    where a pure insertion into a redacted page would be lost by writing in place.
-    """
+def strategy(source: Column, target: Column, ops: Column) -> Column:
+    """How a page by itself is written back: ``unchanged``, ``redact`` in place, or ``rebuild``."""
     red = T.looks_like_redaction(target)
-    a, b = F.coalesce(source, F.lit("")), F.coalesce(target, F.lit(""))
-    longer = (F.length(b) > F.length(a)) & ~red
     op = F.exists(
-        "ops",
+        ops,
         lambda o: ((o["tag"] == "insert") & ~red)
         | ((o["tag"] == "delete") & ~red & ~T.is_blank(o["source_text"]))
         | ((o["tag"] == "replace") & T.requires_reflow(o["source_text"], o["replacement_text"], red)),
     )
-    own = F.when(a == b, "unchanged").when(longer | op, "rebuild").otherwise("redact")
-    out = df.withColumn("strategy", own).withColumn("dropped_insert", (a != b) & red & F.exists("ops", lambda o: o["tag"] == "insert"))
+    return F.when(source == target, "unchanged").when(((F.length(target) > F.length(source)) & ~red) | op, "rebuild").otherwise("redact")
+
+
+def page_strategy(df: DataFrame, fits: str | None = None, doc: str = "doc_id", source: str = "source_text", target: str = "text") -> DataFrame:
+    """``strategy`` of each page; with ``fits`` (whether a rebuilt page's text fits its page) one page that doesn't makes its
+    whole document ``reflow``. ``dropped_insert`` tells where a pure insertion into a redacted page would be lost by writing in place.
+
+    The documents that flow are those of the pages that don't fit, few and narrow; no document is gathered.
+    """
+    a, b = F.coalesce(source, F.lit("")), F.coalesce(target, F.lit(""))
+    lost = (a != b) & T.looks_like_redaction(b) & F.exists("ops", lambda o: o["tag"] == "insert")
+    out = df.withColumn("strategy", strategy(a, b, F.col("ops"))).withColumn("dropped_insert", lost)
     if fits is None:
         return out
-    over = F.max(F.when((F.col("strategy") == "rebuild") & ~F.col(fits), 1).otherwise(0)).over(Window.partitionBy(doc))
-    return out.withColumn("strategy", F.when(over == 1, "reflow").otherwise(F.col("strategy")))
+    over = out.filter((F.col("strategy") == "rebuild") & ~F.col(fits)).groupBy(doc).agg(F.lit(True).alias("_over"))
+    return out.join(over, doc, "left").withColumn("strategy", F.when(F.col("_over"), "reflow").otherwise(F.col("strategy"))).drop("_over")
+
+
+# ---- pages in one row a document ----------------------------------------------
+
+
+def compare_pages(docs: DataFrame, pages: str = "edited") -> DataFrame:
+    """An array of pages ``(page, source_text, text, width, height)`` with ``ops``, ``fits`` and ``strategy`` in each; one rebuilt
+    page that doesn't fit makes all of them ``reflow``. Labels of the changes are added for the writer."""
+    each = lambda ps: [compare(p["source_text"], p["text"], p["width"], p["height"]) for p in ps]
+    got = L.with_column(docs, "_c", f"array<{COMPARED}>", pa.list_(_COMPARED_PA), each, pages)
+    label = lambda o: o.withField("label", T.redaction_label(o["replacement_text"]))
+    whole = F.zip_with(pages, "_c", lambda p, c: p.withField("ops", F.transform(c["ops"], label)).withField("fits", c["fits"]).withField("strategy", strategy(p["source_text"], p["text"], c["ops"])))
+    got = got.withColumn(pages, whole).drop("_c")
+    over = F.exists(pages, lambda p: (p["strategy"] == "rebuild") & ~p["fits"])
+    return got.withColumn("_over", over).withColumn(pages, F.when(F.col("_over"), F.transform(pages, lambda p: p.withField("strategy", F.lit("reflow")))).otherwise(F.col(pages))).drop("_over")

@@ -18,10 +18,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from textloom.functions.inline import starts
+from textloom.functions.ordering import number_rows
+from textloom.functions.text import let
 
 RANGE_ERROR = "invalid offsets"
 MISSING_ERROR = "placeholder not found"
+TARGET_ERROR = "unknown edit target"
 
 
 def as_edits(df: DataFrame) -> DataFrame:
@@ -62,10 +66,16 @@ def _grouped(edits: DataFrame) -> DataFrame:
     return _keyed(edits).groupBy("doc_id", "target").agg(F.collect_set(e).alias("edits"))
 
 
+def by_document(edits: DataFrame) -> DataFrame:
+    """``(doc_id, edits)``: each document's edits with their ``target``, redelivered ones once, for documents that are one row."""
+    e = F.struct("seq", F.coalesce("text", F.lit("")).alias("text"), "start_offset", "end_offset", "target")
+    return _keyed(edits).groupBy("doc_id").agg(F.collect_set(e).alias("edits"))
+
+
 def apply_edits(segments: DataFrame, edits: DataFrame, strict: bool = False) -> DataFrame:
     """Segments with their text after the edits, and an ``error``. ``strict``: unknown targets raise."""
     if strict and unknown_targets(segments, edits).take(1):
-        raise ValueError("unknown edit target")
+        raise ValueError(TARGET_ERROR)
     g = _grouped(edits)
     c = g.filter(F.col("target").startswith("c:")).select("doc_id", F.substring("target", 3, 1 << 30).alias("container_id"), F.col("edits").alias("by_container"))
     i = g.filter(F.col("target").startswith("i:")).select("doc_id", F.substring("target", 3, 1 << 30).alias("id"), F.col("edits").alias("by_id"))
@@ -97,23 +107,25 @@ def replace_placeholder(df: DataFrame, placeholder: str, replacement: str, text:
     return df.withColumn("error", F.when(at == 0, MISSING_ERROR)).withColumn(text, F.when(at > 0, new).otherwise(F.col(text)))
 
 
-def apply_texts(segments: DataFrame, texts: DataFrame, order: list[str]) -> DataFrame:
-    """Positional replacement: ``texts (doc_id, pos, new_text)``; a document whose counts differ gets an ``error`` and keeps its texts."""
-    w = Window.partitionBy("doc_id").orderBy(*order)
-    placed = segments.withColumn("pos", F.row_number().over(w) - 1)
-    n = placed.groupBy("doc_id").agg(F.count("*").alias("have"))
-    m = texts.groupBy("doc_id").agg(F.count("*").alias("given"))
-    counts = n.join(m, "doc_id", "left")
-    joined = placed.join(texts.select("doc_id", "pos", "new_text"), ["doc_id", "pos"], "left").join(counts, "doc_id", "left")
-    wrong = F.col("have") != F.coalesce("given", F.lit(0))
-    msg = F.concat(F.lit("expected "), F.col("have").cast("string"), F.lit(" text segments, got "), F.coalesce("given", F.lit(0)).cast("string"))
-    return joined.select(*[c for c in segments.columns if c != "text"], F.when(wrong | F.col("new_text").isNull(), F.col("text")).otherwise(F.col("new_text")).alias("text"), F.when(wrong, msg).alias("error"))
+def apply_texts(segments: DataFrame, texts: DataFrame, key: str, *ties: str) -> DataFrame:
+    """Positional replacement: ``texts (doc_id, pos, new_text)``, positions from 0 in the order of ``key`` and ``ties``; a document whose
+    counts differ gets an ``error`` and keeps its texts.
+
+    Both sides meet once, on (doc_id, pos): a row of either without its partner tells that the
+    counts differ, and only such documents' counts are taken.
+    """
+    placed = number_rows(segments, "doc_id", key, *ties, name="pos").withColumn("_s", F.lit(True))
+    given = texts.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.struct("new_text").alias("_t"))
+    both = placed.join(given, ["doc_id", "pos"], "full")
+    counts = both.groupBy("doc_id").agg(F.count("_s").alias("have"), F.count("_t").alias("given"))
+    wrong = counts.filter("have != given").select("doc_id", F.concat(F.lit("expected "), F.col("have").cast("string"), F.lit(" text segments, got "), F.col("given").cast("string")).alias("error"))
+    joined = both.filter("_s").join(wrong, "doc_id", "left")
+    return joined.select(*[c for c in segments.columns if c != "text"], F.when(F.col("error").isNotNull(), F.col("text")).otherwise(F.coalesce("_t.new_text", "text")).alias("text"), "error")
 
 
 def split_runs(runs: Column, start: Column, end: Column) -> Column:
     """Runs ``array<struct<idx, text, rpr>>`` cut at both offsets, with their ``s`` and ``e``."""
-    ends = F.aggregate(runs, F.array(F.lit(0)), lambda acc, r: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(r["text"]))))
-    placed = F.zip_with(runs, F.slice(ends, 1, F.size(runs)), lambda r, s: F.struct(r.alias("r"), s.alias("s"), (s + F.length(r["text"])).alias("e")))
+    placed = F.zip_with(runs, starts(runs), lambda r, s: F.struct(r.alias("r"), s.alias("s"), (s + F.length(r["text"])).alias("e")))
 
     def cut(x: Column) -> Column:
         lo, hi = F.greatest(x["s"], F.least(start, x["e"])), F.least(x["e"], F.greatest(end, x["s"]))
@@ -125,10 +137,13 @@ def split_runs(runs: Column, start: Column, end: Column) -> Column:
 
 def replace_in_runs(runs: Column, start: Column, end: Column, text: Column) -> Column:
     """A range replaced inside runs: the first run of the range takes the text, the others of it are emptied."""
-    parts = split_runs(runs, start, end)
     inside = lambda x: (x["s"] >= start) & (x["e"] <= end)
-    first = F.array_position(F.transform(parts, inside), True)
-    return F.transform(parts, lambda x, i: F.when(inside(x), x["r"].withField("text", F.when(i + 1 == first, text).otherwise(""))).otherwise(x["r"]))
+
+    def put(parts: Column) -> Column:
+        first = F.array_position(F.transform(parts, inside), True)
+        return let(first, lambda f: F.transform(parts, lambda x, i: F.when(inside(x), x["r"].withField("text", F.when(i + 1 == f, text).otherwise(""))).otherwise(x["r"])))
+
+    return let(split_runs(runs, start, end), put)
 
 
 def replace_all_runs(runs: Column, text: Column) -> Column:

@@ -1,22 +1,20 @@
-"""Page geometry: text from glyphs, rectangles of spans, wrapping and pages.
+"""Page geometry: wrapping, pages, soft wraps, and rectangles of spans.
 
-Rectangles are structs ``(x0, y0, x1, y1)`` of doubles. Text of glyphs needs
-one aggregation by line and one by block; lines and blocks are small, so no
-group grows with a page's place in the data.
+These rules are used where pages are parsed and written, in Arrow batches, and
+there only; the table functions at the end apply the same functions to columns.
+Rectangles are tuples ``(x0, y0, x1, y1)`` from the top left of the page.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from collections.abc import Callable, Iterator
 
-from textloom.functions.text import let, strip
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 # The page that texts are set on, in points.
 WIDTH, HEIGHT, MARGIN, FONT_SIZE, LINE_HEIGHT = 595.0, 842.0, 48.0, 10.0, 12.5
 LINES_PER_PAGE = 58
-RECT = "struct<x0:double,y0:double,x1:double,y1:double>"
 
 #: Advance widths of Helvetica for the codes 32 to 126, in thousandths of the size.
 HELVETICA = (
@@ -25,6 +23,7 @@ HELVETICA = (
     333, 556, 556, 500, 556, 556, 278, 556, 556, 222, 222, 500, 222, 833, 556, 556, 556, 556, 333, 500, 278, 556, 500, 722, 500, 500, 500, 334, 260, 334, 584,
 )
 DEFAULT_WIDTH = 556
+Rect = tuple[float, float, float, float]
 
 
 def advance(c: str) -> int:
@@ -33,150 +32,145 @@ def advance(c: str) -> int:
     return HELVETICA[o - 32] if 32 <= o <= 126 else 1000 if 0x2E80 <= o <= 0xFFDC else DEFAULT_WIDTH
 
 
-def text_width(text: Column, size: float = FONT_SIZE) -> Column:
-    """Width of a text on the JVM: the sum of the advances of its characters."""
-    widths = F.array(*[F.lit(w) for w in HELVETICA])
-    one = lambda c: F.when(F.ascii(c).between(32, 126), F.get(widths, F.ascii(c) - 32)).when(F.ascii(c).between(0x2E80, 0xFFDC), 1000).otherwise(DEFAULT_WIDTH)
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    return F.aggregate(chars, F.lit(0), lambda acc, c: acc + one(c)) * F.lit(size / 1000.0)
-
-
-def line_height_ratio(a: Column, b: Column) -> Column:
-    return F.greatest(F.lit(2.0), F.least(a["y1"] - a["y0"], b["y1"] - b["y0"]) * 0.45)
-
-
-def same_line(a: Column, b: Column) -> Column:
-    tol = line_height_ratio(a, b)
-    return (F.abs(a["y0"] - b["y0"]) <= tol) | (F.abs(a["y1"] - b["y1"]) <= tol)
-
-
-def rect(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    return F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
-
-
-def expand(r: Column, width: Column, height: Column, by: float = 0.75) -> Column:
-    """A rectangle grown on every side, inside the page."""
-    zero = F.lit(0.0)
-    return rect(F.greatest(zero, r["x0"] - by), F.greatest(zero, r["y0"] - by), F.least(width, r["x1"] + by), F.least(height, r["y1"] + by))
-
-
-def merge_lines(rects: Column, width: Column, height: Column) -> Column:
-    """Rectangles joined line by line, in reading order; each is compared with the grown rectangle before it."""
-    order = F.transform(rects, lambda r: F.struct(F.round(r["y0"], 1).alias("k"), r["x0"].alias("x"), r.alias("r")))
+_ADVANCE = {chr(k): advance(chr(k)) for k in range(0x3000)}
 
-    def step(acc: Column, x: Column) -> Column:
-        r, last = x["r"], F.element_at(acc, -1)
-        union = rect(F.least(last["x0"], r["x0"]), F.least(last["y0"], r["y0"]), F.greatest(last["x1"], r["x1"]), F.greatest(last["y1"], r["y1"]))
-        grown = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(union))
-        return F.when(F.size(acc) == 0, F.array(r)).when(same_line(last, r), grown).otherwise(F.concat(acc, F.array(r)))
 
-    merged = F.aggregate(F.array_sort(order), F.array().cast(f"array<{RECT}>"), step)
-    return F.transform(merged, lambda r: expand(r, width, height))
+def text_width(text: str) -> int:
+    """Sum of the advances, in thousandths of the size."""
+    get = _ADVANCE.get
+    return sum([get(c) or advance(c) for c in text])
 
 
-def font_size(r: Column) -> Column:
-    return F.greatest(F.lit(5.0), F.least(F.lit(10.0), (r["y1"] - r["y0"]) * 0.7))
+def split_word(word: str, most: int) -> list[str]:
+    """Pieces of a word that is wider than a line, at least one character each."""
+    out, now, width = [], "", 0
+    for c in word:
+        w = advance(c)
+        if now and width + w > most:
+            out.append(now)
+            now, width = "", 0
+        now, width = now + c, width + w
+    return [*out, now]
+
+
+def wrap_line(line: str, width: float = WIDTH - 2 * MARGIN, size: float = FONT_SIZE) -> list[str]:
+    """Lines of at most a width, filled greedily; a blank line is one empty line. The tail of a cut word goes on as a line."""
+    most = int(width * 1000 / size)
+    space = HELVETICA[0]
+    out: list[str] = []
+    now: list[str] = []
+    used = 0
+    for word in line.split():
+        w = text_width(word)
+        if now and used + space + w <= most:
+            now.append(word)
+            used += space + w
+            continue
+        if now:
+            out.append(" ".join(now))
+        if w > most:
+            *whole, word = split_word(word, most)
+            out += whole
+            w = text_width(word)
+        now, used = [word], w
+    return [*out, " ".join(now)]
+
+
+def wrap(text: str, width: float = WIDTH - 2 * MARGIN) -> list[str]:
+    """Lines of a text; blank ones stay."""
+    return [x for line in text.split("\n") for x in wrap_line(line, width)]
+
+
+def flow_pages(text: str) -> list[list[str]]:
+    """Pages of lines that a text flows over: a form feed begins a page, every page holds ``LINES_PER_PAGE`` lines."""
+    out = []
+    for section in text.replace("\r\n", "\n").replace("\r", "\n").split("\f"):
+        ls = wrap(section)
+        out += [ls[k : k + LINES_PER_PAGE] for k in range(0, len(ls), LINES_PER_PAGE)]
+    return out
+
+
+def reflow_text(texts: list[str]) -> str:
+    """The pages of a document joined by line ends, their own last ones trimmed."""
+    return "\n".join(t.rstrip("\n") for t in texts)
+
+
+def fits_page(text: str, width: float = WIDTH, height: float = HEIGHT) -> bool:
+    """Whether a text, wrapped, fits the box of its page."""
+    return len(wrap(text, width - 2 * MARGIN)) * LINE_HEIGHT <= height - 2 * MARGIN
 
 
-def soft_wrapped(previous: Column, current: Column, width: Column) -> Column:
-    """Whether a line goes on in the next: structs of ``text, x0, x1`` of both, and the page's width."""
-    text = F.regexp_replace(previous["text"], r"\s+$", "")
-    near = previous["x1"] >= width - 12
-    left = (F.abs(previous["x0"] - current["x0"]) <= 24) & (previous["x1"] - previous["x0"] >= width * 0.72)
-    return (text != "") & ~text.rlike(r"[.!?:;]$") & (near | left)
+def soft_wrapped(text: str, x0: float, x1: float, next_x0: float, width: float) -> bool:
+    """Whether a line from ``x0`` to ``x1`` goes on in the next one."""
+    t = text.rstrip()
+    return bool(t) and t[-1] not in ".!?:;" and (x1 >= width - 12 or abs(x0 - next_x0) <= 24 and x1 - x0 >= 0.72 * width)
 
 
-def glyph_text(chars: DataFrame, widths: DataFrame) -> DataFrame:
-    """Page texts ``(doc_id, page, text)`` from glyph rows, given page widths ``(doc_id, page, width)``."""
-    key = ["doc_id", "page", "block", "line"]
-    lines = chars.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "c"))), lambda x: x["c"]), "").alias("text"), F.min("x0").alias("x0"), F.max("x1").alias("x1"))
-    lines = lines.join(widths, ["doc_id", "page"])
-    w = Window.partitionBy("doc_id", "page", "block").orderBy("line")
-    now = F.struct("text", "x0", "x1")
-    before = F.lag(now).over(w)
-    sep = F.when(before.isNull(), "").when(soft_wrapped(before, now, F.col("width")), " ").otherwise("\n")
-    parts = lines.select(*key, F.concat(sep, "text").alias("t"))
-    blocks = parts.groupBy("doc_id", "page", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "t"))), lambda x: x["t"]), "").alias("t"))
-    return blocks.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", F.concat("t", F.lit("\n")).alias("t")))), lambda x: x["t"]), "").alias("text"))
+def same_line(a: Rect, b: Rect) -> bool:
+    tol = max(2.0, 0.45 * min(a[3] - a[1], b[3] - b[1]))
+    return abs(a[1] - b[1]) <= tol or abs(a[3] - b[3]) <= tol
 
 
-def span_rects(spans: DataFrame, placed: DataFrame, width: float = WIDTH, height: float = HEIGHT) -> DataFrame:
-    """Rectangles ``rects`` of changed spans, from ``placed (doc_id, page, pos, c, x0..y1)`` by page and position.
+def expand(r: Rect, width: float, height: float, by: float = 0.75) -> Rect:
+    """A rectangle grown on every side, inside the page."""
+    return max(0.0, r[0] - by), max(0.0, r[1] - by), min(width, r[2] + by), min(height, r[3] + by)
 
-    White space has no rectangle and is passed over; a span with any other
-    character unplaced gives none.
-    """
-    hit = spans.join(placed, ["doc_id", "page"], "left").filter((F.col("pos") >= F.col("source_start")) & (F.col("pos") < F.col("source_end")) & (strip("c") != ""))
-    r = F.struct("x0", "y0", "x1", "y1")
-    got = hit.groupBy("doc_id", "page", "ord").agg(F.collect_list(F.when(F.col("x0").isNotNull(), r)).alias("r"), F.count("*").alias("n"))
-    whole = F.when(F.size("r") == F.col("n"), F.col("r")).otherwise(F.array().cast(f"array<{RECT}>"))
-    out = spans.join(got.select("doc_id", "page", "ord", whole.alias("r")), ["doc_id", "page", "ord"], "left")
-    return out.withColumn("rects", merge_lines(F.coalesce("r", F.array().cast(f"array<{RECT}>")), F.lit(width), F.lit(height))).drop("r")
 
+def merge_lines(rects: list[Rect], width: float, height: float) -> list[Rect]:
+    """Rectangles joined line by line, in reading order; each is compared with the grown rectangle before it."""
+    out: list[Rect] = []
+    for r in sorted(rects, key=lambda r: (round(r[1], 1), r[0])):
+        if out and same_line(out[-1], r):
+            a = out[-1]
+            out[-1] = min(a[0], r[0]), min(a[1], r[1]), max(a[2], r[2]), max(a[3], r[3])
+        else:
+            out.append(r)
+    return [expand(r, width, height) for r in out]
 
-def split_word(word: Column, width: float, size: float = FONT_SIZE) -> Column:
-    """Pieces of a word that is wider than a line, at least one character each."""
-    one = lambda c: F.when(F.ascii(c).between(32, 126), F.get(F.array(*[F.lit(w) for w in HELVETICA]), F.ascii(c) - 32)).when(F.ascii(c).between(0x2E80, 0xFFDC), 1000).otherwise(DEFAULT_WIDTH)
-    most = int(width * 1000 / size)
 
-    def step(acc: Column, c: Column) -> Column:
-        w = one(c)
-        return F.when((acc["now"] != "") & (acc["w"] + w > most), F.struct(F.concat(acc["out"], F.array(acc["now"])).alias("out"), c.alias("now"), w.alias("w"))).otherwise(F.struct(acc["out"].alias("out"), F.concat(acc["now"], c).alias("now"), (acc["w"] + w).alias("w")))
+def span_rects(text: str, rects: list[Rect | None], start: int, end: int, width: float, height: float) -> list[Rect]:
+    """Merged rectangles of a span, given one for each character; white space has none and is passed over. A span with any
+    other character unplaced gives none."""
+    solid = [r for c, r in zip(text[start:end], rects[start:end]) if not c.isspace()]
+    return [] if any(r is None for r in solid) else merge_lines(solid, width, height)
 
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("now"), F.lit(0).alias("w"))
-    return F.aggregate(F.filter(F.split(word, ""), lambda c: c != ""), start, step, lambda acc: F.concat(acc["out"], F.array(acc["now"])))
 
+def font_size(r: Rect) -> float:
+    return max(5.0, min(10.0, 0.7 * (r[3] - r[1])))
 
-def expand_tabs(line: Column, size: int = 4) -> Column:
-    """Tabs as spaces up to the next stop."""
-    parts = F.split(line, "\t", -1)
-    return F.aggregate(F.slice(parts, 2, 1 << 30), F.get(parts, F.lit(0)), lambda acc, x: F.concat(acc, F.repeat(F.lit(" "), size - F.length(acc) % size), x))
 
+# ---- tables -----------------------------------------------------------------
 
-def wrap_line(line: Column, width: float = WIDTH - 2 * MARGIN, size: float = FONT_SIZE) -> Column:
-    """Lines of at most a width, filled greedily; a blank line is one empty line."""
-    words = F.filter(F.split(expand_tabs(line), r"\s+"), lambda w: w != "")
-    most = width + 1e-9
-    space = HELVETICA[0] * size / 1000.0
 
-    def step(acc: Column, word: Column) -> Column:
-        return let(text_width(word, size), lambda w: _fill(acc, word, w))
+def with_column(df: DataFrame, name: str, ddl: str, kind: pa.DataType, fn: Callable, *columns: str) -> DataFrame:
+    """``df`` with a column made row by row in Arrow batches; ``fn`` takes the values of ``columns``, null where one is null."""
+    have = df.columns
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"`{name}` {ddl}"])
 
-    def _fill(acc: Column, word: Column, w: Column) -> Column:
-        joined = F.when(acc["now"] == "", w).otherwise(acc["w"] + space + w)
-        done = F.when(acc["now"] != "", F.concat(acc["out"], F.array(acc["now"]))).otherwise(acc["out"])
-        return (
-            F.when(joined <= most, F.struct(acc["out"].alias("out"), F.when(acc["now"] == "", word).otherwise(F.concat(acc["now"], F.lit(" "), word)).alias("now"), joined.alias("w")))
-            .when(w <= most, F.struct(done.alias("out"), word.alias("now"), w.alias("w")))
-            .otherwise(let(split_word(word, width, size), lambda cut: F.struct(F.concat(done, F.slice(cut, F.lit(1), F.size(cut) - 1)).alias("out"), F.element_at(cut, -1).alias("now"), text_width(F.element_at(cut, -1), size).alias("w"))))
-        )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values = zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in columns))
+            new = pa.array([None if any(v is None for v in vs) else fn(*vs) for vs in values], kind)
+            yield pa.RecordBatch.from_arrays([*b.columns, new], names=[*have, name])
 
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("now"), F.lit(0.0).alias("w"))
-    got = F.aggregate(words, start, step, lambda acc: F.when(acc["now"] != "", F.concat(acc["out"], F.array(acc["now"]))).otherwise(acc["out"]))
-    return F.when(F.size(words) == 0, F.array(F.lit(""))).otherwise(got)
+    return df.mapInArrow(run, fields)
 
 
-def flowing_lines(text: Column) -> Column:
-    """Wrapped lines of each section of a text, in order; a form feed begins a section."""
-    unix = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    return F.transform(F.split(unix, "\f", -1), lambda s: F.flatten(F.transform(F.split(s, "\n", -1), lambda t: wrap_line(t))))
+RECT = "struct<x0:double,y0:double,x1:double,y1:double>"
+RECT_PA = pa.struct([(k, pa.float64()) for k in ("x0", "y0", "x1", "y1")])
 
 
-def flow_pages(text: Column, per_page: int = LINES_PER_PAGE) -> Column:
-    """Pages of lines that a text flows over: every section begins a page, every page holds ``per_page`` lines."""
-    sections = flowing_lines(text)  # an array by section, used once
-    pages = lambda s: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(s) - 1) / per_page).cast("int"))), lambda k: F.slice(s, k * per_page + 1, F.lit(per_page)))
-    return F.flatten(F.transform(sections, pages))
+def merged_boxes(df: DataFrame, rects: str, width: float = WIDTH, height: float = HEIGHT) -> DataFrame:
+    """``boxes`` of a column of rectangles, with the label size each takes."""
+    kind = pa.list_(pa.struct([*((k, pa.float64()) for k in ("x0", "y0", "x1", "y1")), ("size", pa.float64())]))
 
+    def merge(rs: list[dict]) -> list[dict]:
+        got = merge_lines([(r["x0"], r["y0"], r["x1"], r["y1"]) for r in rs], width, height)
+        return [{**dict(zip(("x0", "y0", "x1", "y1"), r)), "size": font_size(r)} for r in got]
 
-def fits_page(text: Column, width: Column | float = WIDTH, height: Column | float = HEIGHT) -> Column:
-    """Whether a text, wrapped, fits the box of its page."""
-    lines = F.size(F.flatten(F.transform(F.split(text, "\n", -1), lambda t: wrap_line(t))))
-    h = F.lit(height) if isinstance(height, float) else height
-    return lines * LINE_HEIGHT <= h - 2 * MARGIN
+    return with_column(df, "boxes", "array<struct<x0:double,y0:double,x1:double,y1:double,size:double>>", kind, merge, rects)
 
 
-def reflow_text(pages: DataFrame) -> DataFrame:
-    """``(doc_id, text)``: the pages of a document joined by line ends, their own last ones trimmed."""
-    rows = F.struct("page", F.regexp_replace(F.coalesce("text", F.lit("")), r"\n+\z", "").alias("t"))
-    return pages.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda x: x["t"]), "\n").alias("text"))
+def flowed(df: DataFrame, text: str) -> DataFrame:
+    """``pages array<array<string>>``: the lines of each page that a text flows over."""
+    return with_column(df, "pages", "array<array<string>>", pa.list_(pa.list_(pa.string())), flow_pages, text)

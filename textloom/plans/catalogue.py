@@ -7,12 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from textloom import schema as S
 from textloom.functions import inline as I
 from textloom.functions import text as T
+from textloom.functions.ordering import number_rows
 from textloom.operators import detect as D
 from textloom.operators import diff, edits as E, layout as L, markdown as M
 from textloom.plans import pipeline
@@ -122,15 +124,25 @@ def output_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "detected").select("doc_id", "filename").dropDuplicates().select("doc_id", T.output_filename("filename", "docx").alias("output"))
 
 
-@query(f"SELECT doc_id, kind, text FROM {_DOC} t, (VALUES ('utf-8'), ('utf-8 mark'), ('utf-16be'), ('utf-16le')) k(kind)")
+#: Letters of code page 1250 that the ladder's texts are made of, beside ASCII.
+_CENTRAL = "ĄąĆćĘęŁłŃńÓóŚśŹźŻżÄäÖöÜüßáéíý„”–"
+
+
+@query(f"""SELECT doc_id, kind, text FROM {_DOC} t, (VALUES ('utf-8'), ('utf-8 mark'), ('utf-16be'), ('utf-16le')) k(kind)
+UNION ALL SELECT doc_id, 'cp1250', 'ź' || regexp_replace(text, '[^\\x00-\\x7f{_CENTRAL}]', '?', 'g') FROM {_DOC} t
+UNION ALL SELECT doc_id, 'latin-1', chr(129) || regexp_replace(text, '[^\\x00-\\x7f\\x{{a0}}-\\x{{ff}}]', '?', 'g') FROM {_DOC} t""")
 def decode_ladder(spark: SparkSession, d: str) -> DataFrame:
-    """Texts encoded in four ways and decoded again, each without being told how."""
+    """Texts encoded in six ways and decoded again, each without being told how."""
     t = texts(spark, d)
     utf8 = F.encode("text", "UTF-8")
-    forms = F.array(
-        F.struct(F.lit("utf-8").alias("kind"), utf8.alias("b")), F.struct(F.lit("utf-8 mark").alias("kind"), F.concat(F.expr("X'EFBBBF'"), utf8).alias("b")),
-        F.struct(F.lit("utf-16be").alias("kind"), F.concat(F.expr("X'FEFF'"), F.encode("text", "UTF-16BE")).alias("b")), F.struct(F.lit("utf-16le").alias("kind"), F.concat(F.expr("X'FFFE'"), F.encode("text", "UTF-16LE")).alias("b")),
-    )
+    central = F.concat(F.lit("ź"), F.regexp_replace("text", f"[^\\x00-\\x7f{_CENTRAL}]", "?"))
+    latin = F.concat(F.lit("\x81"), F.regexp_replace("text", "[^\\x00-\\x7f\\xa0-\\xff]", "?"))
+    code = "".join(bytes([b]).decode("latin-1") for b in _CENTRAL.encode("cp1250")) + "\x9f"
+    kinds = {
+        "utf-8": utf8, "utf-8 mark": F.concat(F.expr("X'EFBBBF'"), utf8), "utf-16be": F.concat(F.expr("X'FEFF'"), F.encode("text", "UTF-16BE")), "utf-16le": F.concat(F.expr("X'FFFE'"), F.encode("text", "UTF-16LE")),
+        "cp1250": F.encode(F.translate(central, _CENTRAL + "ź", code), "ISO-8859-1"), "latin-1": F.encode(latin, "ISO-8859-1"),
+    }
+    forms = F.array(*(F.struct(F.lit(k).alias("kind"), b.alias("b")) for k, b in kinds.items()))
     return t.select("doc_id", F.explode(forms).alias("f")).select("doc_id", "f.kind", T.decode_text("f.b").alias("text"))
 
 
@@ -153,11 +165,10 @@ def pdf_segments(spark: SparkSession, d: str) -> DataFrame:
     return pdf.segments(page_rows(spark, d)).select("doc_id", "id", "text", "part", "index")
 
 
-@query(f"SELECT doc_id, id, text, row_number() OVER (PARTITION BY doc_id ORDER BY paragraph_index, id) - 1 AS n FROM {_SEG} s WHERE text <> ''")
+@query(f"SELECT doc_id, id, text, row_number() OVER (PARTITION BY doc_id ORDER BY paragraph_index NULLS FIRST, id) - 1 AS n FROM {_SEG} s WHERE text <> ''")
 def segment_order(spark: SparkSession, d: str) -> DataFrame:
-    """Segments in reading order. The window's groups are documents."""
-    w = Window.partitionBy("doc_id").orderBy("paragraph_index", "id")
-    return segs(spark, d).filter("text <> ''").select("doc_id", "id", "text", (F.row_number().over(w) - 1).cast("bigint").alias("n"))
+    """Segments in reading order; a large document is numbered by ranges."""
+    return number_rows(segs(spark, d).filter("text <> ''").select("doc_id", "id", "text", "paragraph_index"), "doc_id", "paragraph_index", "id").drop("paragraph_index")
 
 
 @query(f"SELECT e.doc_id, e.container_id, s.text FROM (SELECT DISTINCT doc_id, container_id FROM {_EDIT} e WHERE container_id <> '') e LEFT JOIN {_SEG} s ON s.doc_id = e.doc_id AND s.container_id = e.container_id")
@@ -197,6 +208,14 @@ def edit_fold(spark: SparkSession, d: str) -> DataFrame:
     return E.apply_edits(segs(spark, d), edit_rows(spark, d)).select("doc_id", "id", "text", "error")
 
 
+@query(f"{_FOLD} SELECT doc_id, id, text, error FROM r")
+def edit_targets(spark: SparkSession, d: str) -> DataFrame:
+    """The same edits given as targets of another spelling, their numbers as texts."""
+    e = table(spark, d, "edit")
+    other = e.select("doc_id", F.col("seq").cast("string").alias("seq"), "container_id", F.col("id").alias("segment_id"), F.col("text").alias("replacement_text"), F.col("start_offset").cast("string").alias("start_offset"), F.col("end_offset").cast("bigint").alias("end_offset"))
+    return E.apply_edits(segs(spark, d), E.as_edits(other)).select("doc_id", "id", "text", "error")
+
+
 @query(f"{_FOLD} SELECT doc_id, id, text FROM r WHERE doc_id NOT IN (SELECT doc_id FROM r WHERE error IS NOT NULL)")
 def edit_fold_whole_documents(spark: SparkSession, d: str) -> DataFrame:
     """The segments of documents none of whose edits failed."""
@@ -215,11 +234,11 @@ def placeholder_first(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT doc_id, id, '> ' || text AS text, NULL::VARCHAR AS error FROM {_SEG} s")
 def texts_by_position(spark: SparkSession, d: str) -> DataFrame:
-    """Every segment replaced by a text of the same place in a list."""
+    """Every segment replaced by the text of the same place in its document's list, which is made by another way of ordering."""
     s = segs(spark, d)
-    w = Window.partitionBy("doc_id").orderBy("paragraph_index", "id")
-    given = s.select("doc_id", (F.row_number().over(w) - 1).alias("pos"), F.concat(F.lit("> "), "text").alias("new_text"))
-    return E.apply_texts(s, given, ["paragraph_index", "id"]).select("doc_id", "id", "text", "error")
+    listed = s.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("paragraph_index", "id", "text"))).alias("l"))
+    given = listed.select("doc_id", F.posexplode("l").alias("pos", "x")).select("doc_id", "pos", F.concat(F.lit("> "), "x.text").alias("new_text"))
+    return E.apply_texts(s, given, "paragraph_index", "id").select("doc_id", "id", "text", "error")
 
 
 @query(f"SELECT doc_id, string_agg('<!-- textloom:' || id || ' -->' || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY paragraph_index, id) AS markdown FROM {_SEG} s GROUP BY doc_id")
@@ -275,17 +294,57 @@ def inline_rpr(spark: SparkSession, d: str) -> DataFrame:
 def run_ranges(spark: SparkSession, d: str) -> DataFrame:
     """Offsets of each word taken as a run: prefix sums inside the row, no window."""
     p = pieces(F.col("text"))
-    one = segs(spark, d).select("doc_id", "id", F.posexplode(F.zip_with(p, F.slice(I.starts(p), 1, F.size(p)), lambda x, s: F.struct(s.alias("s"), (s + F.length(x["text"])).alias("e")))).alias("run", "r"))
+    one = segs(spark, d).select("doc_id", "id", F.posexplode(F.zip_with(p, I.starts(p), lambda x, s: F.struct(s.alias("s"), (s + F.length(x["text"])).alias("e")))).alias("run", "r"))
     return one.select("doc_id", "id", F.col("run").cast("bigint").alias("run"), F.col("r.s").cast("bigint").alias("start"), F.col("r.e").cast("bigint").alias("end"))
 
 
-@query(f"SELECT doc_id, id, substr(text, 1, 2) || '#' || substr(text, 9) AS text FROM {_SEG} s WHERE length(text) >= 8")
+@query(f"SELECT doc_id, id, CASE WHEN length(text) > 2 THEN substr(text, 1, 2) || '#' || substr(text, 9) ELSE text END AS text FROM {_SEG} s")
 def runs_replaced(spark: SparkSession, d: str) -> DataFrame:
     """A range replaced inside runs that keep their formatting."""
-    s = segs(spark, d).filter(F.length("text") >= 8)
     runs = F.transform(pieces(F.col("text")), lambda p, i: F.struct(i.alias("idx"), p["text"].alias("text"), p["rpr"].alias("rpr")))
-    new = E.replace_in_runs(runs, F.lit(2), F.lit(8), F.lit("#"))
-    return s.select("doc_id", "id", F.array_join(F.transform(new, lambda r: r["text"]), "").alias("text"))
+    n = F.length("text")
+    new = E.replace_in_runs(runs, F.least(F.lit(2), n), F.least(F.lit(8), n), F.lit("#"))
+    return segs(spark, d).select("doc_id", "id", F.array_join(F.transform(new, lambda r: r["text"]), "").alias("text"))
+
+
+@query(f"SELECT doc_id, id, 'whole' AS text, greatest(1, len({_WORDS}))::BIGINT AS runs, 'whole' AS first FROM {_SEG} s")
+def runs_replaced_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The whole text of runs replaced: the first takes it, the others stay empty."""
+    runs = F.transform(pieces(F.col("text")), lambda p, i: F.struct(i.alias("idx"), p["text"].alias("text"), p["rpr"].alias("rpr")))
+    new = E.replace_all_runs(runs, F.lit("whole"))
+    one = segs(spark, d).select("doc_id", "id", new.alias("r"))
+    return one.select("doc_id", "id", F.array_join(F.transform("r", lambda r: r["text"]), "").alias("text"), F.size("r").cast("bigint").alias("runs"), F.get("r", F.lit(0))["text"].alias("first"))
+
+
+#: Words of each segment with their offsets; every third one is opaque.
+_PLACED = f"w AS (SELECT doc_id, id, {_WORDS} AS w FROM {_SEG} s), r AS (SELECT doc_id, id, unnest(w) AS t0, unnest(range(len(w))) AS k, len(w) AS n FROM w), q AS (SELECT doc_id, id, k, n, t0 || CASE WHEN k < n - 1 THEN ' ' ELSE '' END AS t, k % 3 = 2 AS opaque FROM r), c AS (SELECT *, (sum(length(t)) OVER (PARTITION BY doc_id, id ORDER BY k))::BIGINT AS e FROM q), p AS (SELECT *, e - length(t) AS s FROM c)"
+
+
+def mixed(text: Column) -> Column:
+    """The pieces of ``pieces`` with every third one opaque, as a link would be."""
+    words = F.split(text, "(?<= )", -1)
+    opaque = lambda w: F.struct(F.lit("opaque").alias("kind"), w.alias("text"), F.lit(None).cast("string").alias("rpr"), F.concat(F.lit("<w:hyperlink>"), w, F.lit("</w:hyperlink>")).alias("element"))
+    return F.transform(words, lambda w, i: F.when(i % 3 == 2, opaque(w)).otherwise(I.text_piece(w)))
+
+
+@query(f"""WITH {_PLACED} SELECT doc_id, id,
+string_agg(CASE WHEN opaque OR e <= 12 OR s >= 30 THEN t ELSE CASE WHEN s < 12 THEN substr(t, 1, 12 - s) ELSE '' END || CASE WHEN e > 30 THEN substr(t, 30 - s + 1) ELSE '' END END, '' ORDER BY k) AS kept,
+count(*) FILTER (opaque)::BIGINT AS opaque, min(k) FILTER (s >= 20)::BIGINT AS after FROM p GROUP BY doc_id, id""")
+def inline_opaque(spark: SparkSession, d: str) -> DataFrame:
+    """A range deleted from pieces some of which are opaque: those stay whole, and where an insertion inside one would go."""
+    p = mixed(F.col("text"))
+    n = F.length("text")
+    got = I.replace_range(p, F.least(F.lit(12), n), F.least(F.lit(30), n), I.empty())
+    after = I.index_at(p, 20)
+    return segs(spark, d).select("doc_id", "id", I.visible_text(got).alias("kept"), F.size(F.filter(got, lambda x: x["kind"] == "opaque")).cast("bigint").alias("opaque"), F.when(after < F.size(p), after).cast("bigint").alias("after"))
+
+
+@query(f"""WITH {_PLACED}, i AS (SELECT doc_id, id, min(CASE WHEN opaque THEN e ELSE 20 END) FILTER (s < 20 AND e > 20) AS put, sum(length(t)) AS n FROM p GROUP BY doc_id, id)
+SELECT doc_id, id, substr(text, 1, coalesce(put, least(20, n))::BIGINT) || '[NEW]' || substr(text, coalesce(put, least(20, n))::BIGINT + 1) AS visible FROM i JOIN {_SEG} s USING (doc_id, id)""")
+def inline_insert_opaque(spark: SparkSession, d: str) -> DataFrame:
+    """An insertion at offset 20: one that falls inside an opaque piece goes behind it."""
+    p = I.insert_at(mixed(F.col("text")), 20, F.array(I.text_piece("[NEW]")))
+    return segs(spark, d).select("doc_id", "id", I.visible_text(p).alias("visible"))
 
 
 # ---- pages: labels, differences, layout -------------------------------------
@@ -320,18 +379,64 @@ def pages_to_reflow(spark: SparkSession, d: str) -> DataFrame:
     return p.select("doc_id", "page", T.requires_reflow(F.col("source_text"), F.col("text"), T.looks_like_redaction("text")).alias("reflow"))
 
 
-@query()
+#: Pages edited in five known ways: not at all, by a label, by a shorter text, by a longer one, by deleting.
+_KINDS = ("same", "label", "shorter", "longer", "deleted")
+_A, _B = "(length(src) // 3)", "least(length(src), length(src) // 3 + 7)"
+_NEW = f"CASE kind WHEN 'same' THEN src WHEN 'label' THEN substr(src, 1, {_A}) || '░****░' || substr(src, {_B} + 1) WHEN 'shorter' THEN substr(src, 1, {_A}) || '~' || substr(src, {_B} + 1) WHEN 'longer' THEN substr(src, 1, {_A}) || '░ and more ░' || substr(src, {_A} + 1) ELSE substr(src, 1, {_A}) || substr(src, {_B} + 1) END"
+_EDITED = f"e AS (SELECT doc_id, page, kind, src, {_NEW} AS new, substr(src, {_A} + 1, {_B} - {_A}) AS gone, {_A} AS a, {_B} AS b FROM (SELECT doc_id, page, coalesce(source_text, text) AS src FROM {_PAGE} p) p, (SELECT unnest({list(_KINDS)}) AS kind) k WHERE src IS NOT NULL)"
+
+
+def edited(spark: SparkSession, d: str) -> DataFrame:
+    src = F.coalesce("source_text", "text")
+    p = page_rows(spark, d).select("doc_id", "page", src.alias("source_text")).filter("source_text IS NOT NULL").withColumn("kind", F.explode(F.array(*map(F.lit, _KINDS))))
+    s, n = F.col("source_text"), F.length("source_text")
+    a = F.floor(n / 3).cast("int")
+    b = F.least(n, a + 7)
+    head, tail = F.substring(s, F.lit(1), a), F.substring(s, b + 1, n)
+    new = F.when(F.col("kind") == "same", s).when(F.col("kind") == "label", F.concat(head, F.lit("░****░"), tail)).when(F.col("kind") == "shorter", F.concat(head, F.lit("~"), tail)).when(F.col("kind") == "longer", F.concat(head, F.lit("░ and more ░"), F.substring(s, a + 1, n))).otherwise(F.concat(head, tail))
+    return p.withColumn("text", new)
+
+
+@query(f"WITH {_EDITED} SELECT doc_id, page, kind, CASE WHEN a < b THEN 'replace' END AS tag, a::INT AS source_start, b::INT AS source_end, gone AS source_text, CASE kind WHEN 'label' THEN '░****░' ELSE '~' END AS replacement_text FROM e WHERE kind IN ('label', 'shorter') AND a < b")
 def page_changes(spark: SparkSession, d: str) -> DataFrame:
-    """Changed spans of every edited page."""
-    return diff.changed_spans(diff.with_opcodes(page_rows(spark, d)))
+    """Changed spans of every page after edits of known places."""
+    return diff.changed_spans(diff.with_opcodes(edited(spark, d).filter("kind IN ('label', 'shorter')"))).drop("ord")
 
 
-@query()
+# Lines as the wrapping rule fills them, in SQL: ``{name}_lines (keys, section, k, line, wide)`` from ``{name} (keys, text)``.
+_WIDE = f"CASE WHEN unicode(c) BETWEEN 32 AND 126 THEN {list(L.HELVETICA)}[unicode(c) - 31] WHEN unicode(c) BETWEEN 11904 AND 65500 THEN 1000 ELSE 556 END"
+_WIDTH = lambda t: f"coalesce(list_sum(list_transform(string_split({t}, ''), lambda c: {_WIDE})), 0)::BIGINT"
+
+
+def _wrapped(name: str, keys: str) -> str:
+    cut = f"list_reduce(list_transform(string_split(w, ''), lambda c: {{'w': c, 'n': ({_WIDE})::BIGINT, 'f': 0}}), lambda a, x: {{'w': a.w || CASE WHEN a.n + x.n <= 49900 THEN '' ELSE chr(10) END || x.w, 'n': CASE WHEN a.n + x.n <= 49900 THEN a.n + x.n ELSE x.n END, 'f': 1}})"
+    fits = "x.f = 0 AND a.n + 278 + x.n <= 49900"
+    return f"""{name}_sec AS (SELECT {keys}, unnest(ss) AS t, unnest(range(len(ss))) AS section FROM (SELECT {keys}, string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(12)) AS ss FROM {name})),
+{name}_raw AS (SELECT {keys}, section, unnest(string_split(t, chr(10))) AS t, unnest(range(len(string_split(t, chr(10))))) AS i FROM {name}_sec),
+{name}_word AS (SELECT {keys}, section, i, unnest(ws) AS w, unnest(range(len(ws))) AS j FROM (SELECT *, list_filter(regexp_split_to_array(t, '{_WS}+'), lambda x: x <> '') AS ws FROM {name}_raw)),
+{name}_sized AS (SELECT *, CASE WHEN n <= 49900 THEN {{'w': w, 'n': n, 'f': 0}} ELSE {cut} END AS p FROM (SELECT *, {_WIDTH('w')} AS n FROM {name}_word)),
+{name}_full AS (SELECT {keys}, section, i, list_reduce(list(p ORDER BY j), lambda a, x: {{'w': a.w || CASE WHEN {fits} THEN ' ' ELSE chr(10) END || x.w, 'n': CASE WHEN {fits} THEN a.n + 278 + x.n ELSE x.n END, 'f': 0}}).w AS w FROM {name}_sized GROUP BY ALL),
+{name}_each AS (SELECT {keys}, section, i, string_split(coalesce(w, ''), chr(10)) AS ls FROM {name}_raw LEFT JOIN {name}_full USING ({keys}, section, i)),
+{name}_lines AS (SELECT *, row_number() OVER (PARTITION BY {keys}, section ORDER BY i, j) - 1 AS k FROM (SELECT {keys}, section, i, unnest(ls) AS line, unnest(range(len(ls))) AS j FROM {name}_each))"""
+
+
+#: ``{name}_pages (keys, page, lines, text)``: the pages that lines flow over.
+def _paged(name: str, keys: str) -> str:
+    return f"""{name}_count AS (SELECT {keys}, section, greatest(1, ceil(count(*) / 58.0))::INT AS pages FROM {name}_lines GROUP BY ALL),
+{name}_first AS (SELECT *, (sum(pages) OVER (PARTITION BY {keys} ORDER BY section) - pages)::INT AS first FROM {name}_count),
+{name}_at AS (SELECT {keys}, (first + k // 58)::INT AS page, k, line FROM {name}_lines JOIN {name}_first USING ({keys}, section)),
+{name}_pages AS (SELECT {keys}, page, count(*)::INT AS lines, string_agg(line, chr(10) ORDER BY k) AS text FROM {name}_at GROUP BY ALL)"""
+
+
+@query(f"""WITH {_EDITED}, x AS (SELECT doc_id, page, kind, new AS text FROM e WHERE new <> src), {_wrapped('x', 'doc_id, page, kind')},
+n AS (SELECT doc_id, page, kind, count(*) AS n FROM x_lines GROUP BY ALL),
+f AS (SELECT e.*, coalesce(n.n * 12.5 <= 746, true) AS fits, new <> src AS changed, {_RED.replace('text', 'new')} AS red FROM e LEFT JOIN n USING (doc_id, page, kind)),
+o AS (SELECT *, CASE WHEN NOT changed THEN 'unchanged' WHEN NOT red AND (length(new) > length(src) OR kind = 'deleted' AND {_strip('gone')} <> '' OR kind = 'shorter' AND length({_collapse('gone')}) < 1) THEN 'rebuild' ELSE 'redact' END AS own FROM f)
+SELECT doc_id, page, kind, CASE WHEN bool_or(own = 'rebuild' AND NOT fits) OVER (PARTITION BY doc_id, kind) THEN 'reflow' ELSE own END AS strategy, changed AND red AND (kind = 'longer' OR a = b) AS dropped_insert, fits FROM o""")
 def page_strategies(spark: SparkSession, d: str) -> DataFrame:
-    """How each page is to be written back."""
-    changed = F.coalesce("source_text", F.lit("")) != F.coalesce("text", F.lit(""))  # only these need to be set
-    ops = diff.with_opcodes(page_rows(spark, d)).withColumn("fits", F.coalesce(F.when(changed, L.fits_page(F.col("text"))), F.lit(True)))
-    return diff.page_strategy(ops, "fits").select("doc_id", "page", "strategy", "dropped_insert", "fits")
+    """How each page is to be written back after edits of known kinds; a document is taken once for each kind."""
+    p = edited(spark, d).withColumn("doc", F.concat_ws("#", "kind", "doc_id"))
+    return diff.page_strategy(diff.with_opcodes(p), "fits", "doc").select("doc_id", "page", "kind", "strategy", "dropped_insert", "fits")
 
 
 @query(f"""WITH l AS (SELECT doc_id, page, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS k FROM {_PAGE} p WHERE text IS NOT NULL),
@@ -339,45 +444,135 @@ m AS (SELECT *, lag(t) OVER (PARTITION BY doc_id, page ORDER BY k) AS before FRO
 SELECT doc_id, page, string_agg(CASE WHEN k = 0 THEN t WHEN regexp_replace(before, '\\s+$', '') <> '' AND NOT regexp_matches(regexp_replace(before, '\\s+$', ''), '[.!?:;]$') AND length(before) * 6 >= 428.4 THEN ' ' || t ELSE chr(10) || t END, '' ORDER BY k) AS text FROM m GROUP BY doc_id, page""")
 def soft_wraps_joined(spark: SparkSession, d: str) -> DataFrame:
     """Lines that go on in the next joined to it, six points a character taken as their width."""
-    ls = page_rows(spark, d).filter("text IS NOT NULL").select("doc_id", "page", F.split("text", "\n", -1).alias("ls"))
-    line = lambda t: F.struct(t.alias("text"), F.lit(0.0).alias("x0"), (F.length(t) * F.lit(6.0)).alias("x1"))
-    sep = lambda a, b: F.when(L.soft_wrapped(line(a), line(b), F.lit(595.0)), " ").otherwise("\n")
-    rest = F.transform(F.slice("ls", 2, 1 << 30), lambda t, i: F.concat(sep(F.get(F.col("ls"), i), t), t))
-    return ls.select("doc_id", "page", F.concat(F.get("ls", F.lit(0)), F.array_join(rest, "")).alias("text"))
 
+    def join(text: str) -> str:
+        ls = text.split("\n")
+        return ls[0] + "".join((" " if L.soft_wrapped(x, 0.0, len(x) * 6.0, 0.0, 595.0) else "\n") + y for x, y in zip(ls, ls[1:]))
+
+    p = page_rows(spark, d).filter("text IS NOT NULL").select("doc_id", "page", "text")
+    return L.with_column(p, "joined", "string", pa.string(), join, "text").select("doc_id", "page", F.col("joined").alias("text"))
 
-@query()
+
+@query(f"""WITH l AS (SELECT doc_id, page, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS i FROM {_PAGE} p WHERE text IS NOT NULL),
+n AS (SELECT doc_id, page, i, len(list_filter(string_split(t, ' '), lambda w: w <> '')) AS n FROM l),
+r AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY i) - 1 AS line, 47.25::DOUBLE AS x0, 47.25 + i * 12.5 AS y0, least(595.0, 80.75 + (n - 1) * 40.0)::DOUBLE AS x1, least(842.0, 58.75 + i * 12.5)::DOUBLE AS y1 FROM n WHERE n > 0)
+SELECT doc_id, page, line::INT AS line, x0, y0::DOUBLE AS y0, x1, y1, round(greatest(5.0, least(10.0, 0.7 * (y1 - y0))), 3)::DOUBLE AS size FROM r""")
 def line_boxes(spark: SparkSession, d: str) -> DataFrame:
     """Boxes of the words of each page, merged line by line."""
     p = page_rows(spark, d).filter("text IS NOT NULL")
-    boxes = F.flatten(F.transform(F.split("text", "\n", -1), lambda t, i: F.transform(F.filter(F.split(t, " "), lambda w: w != ""), lambda w, k: L.rect(48.0 + k * 40.0, 48.0 + i * 12.5, 80.0 + k * 40.0, 58.0 + i * 12.5))))
-    return p.select("doc_id", "page", F.posexplode(L.merge_lines(boxes, F.lit(595.0), F.lit(842.0))).alias("line", "r")).select("doc_id", "page", "line", "r.*", F.round(L.font_size(F.col("r")), 3).alias("size"))
+    box = lambda w, k, i: F.struct((48.0 + k * 40.0).alias("x0"), (48.0 + i * 12.5).alias("y0"), (80.0 + k * 40.0).alias("x1"), (58.0 + i * 12.5).alias("y1"))
+    boxes = F.flatten(F.transform(F.split("text", "\n", -1), lambda t, i: F.transform(F.filter(F.split(t, " "), lambda w: w != ""), lambda w, k: box(w, k, i))))
+    got = L.merged_boxes(p.select("doc_id", "page", boxes.alias("r")), "r")
+    return got.select("doc_id", "page", F.posexplode("boxes").alias("line", "b")).select("doc_id", "page", "line", "b.x0", "b.y0", "b.x1", "b.y1", F.round("b.size", 3).alias("size"))
+
 
+_FLOWED = f"x AS (SELECT doc_id, text FROM {_DOC} t WHERE text IS NOT NULL), {_wrapped('x', 'doc_id')}, {_paged('x', 'doc_id')}"
 
-@query()
+
+@query(f"WITH {_FLOWED} SELECT doc_id, page, lines, text FROM x_pages")
 def wrapped_pages(spark: SparkSession, d: str) -> DataFrame:
     """Lines and pages that each text document flows over."""
-    return texts(spark, d).filter("text IS NOT NULL").select("doc_id", F.posexplode(L.flow_pages(F.col("text"))).alias("page", "lines")).select("doc_id", "page", F.size("lines").alias("lines"), F.array_join("lines", "\n").alias("text"))
+    got = L.flowed(texts(spark, d).filter("text IS NOT NULL").select("doc_id", "text"), "text")
+    return got.select("doc_id", F.posexplode("pages").alias("page", "lines")).select("doc_id", "page", F.size("lines").alias("lines"), F.array_join("lines", "\n").alias("text"))
+
 
+#: The text that set pages read back as: lines by block, those that go on joined by a space.
+_READ = f"""y AS (SELECT doc_id, page, k, line, sum((line = '')::INT) OVER (PARTITION BY doc_id, page ORDER BY k) AS block FROM x_at),
+z AS (SELECT *, lag(line) OVER (PARTITION BY doc_id, page, block ORDER BY k) AS before FROM y WHERE line <> ''),
+g AS (SELECT doc_id, page, block, string_agg(CASE WHEN before IS NULL THEN '' WHEN {_WIDTH('before')} >= 42840 AND NOT regexp_matches(before, '[.!?:;]$') THEN ' ' ELSE chr(10) END || line, '' ORDER BY k) || chr(10) AS t FROM z GROUP BY ALL),
+read AS (SELECT doc_id, page, coalesce(string_agg(t, '' ORDER BY block), '') AS text FROM (SELECT doc_id, page FROM x_pages) LEFT JOIN g USING (doc_id, page) WHERE doc_id IN (SELECT doc_id FROM z) GROUP BY ALL)"""
 
-@query()
+
+@query(f"WITH {_FLOWED}, {_READ} SELECT doc_id, page, text FROM read")
 def glyph_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Page texts from glyphs of pages that were written and read again."""
-    blobs = pdf_blobs(spark, d)
-    sizes = pdf.pages(blobs).filter("error IS NULL").select("doc_id", "page", "width")
-    return L.glyph_text(pdf.chars(blobs), sizes)
+    """Page texts from the glyphs of pages that were written and read again."""
+    return pdf.pages(pdf_blobs(spark, d)).filter("error IS NULL").select("doc_id", "page", "text")
+
+
+@query(f"WITH {_FLOWED} SELECT doc_id, page, sum(length(line))::BIGINT AS glyphs, count(*) FILTER (line <> '')::BIGINT AS lines, 48.0::DOUBLE AS x0, round(48 + max({_WIDTH('line')}) / 100, 2)::DOUBLE AS x1 FROM x_at WHERE doc_id IN (SELECT doc_id FROM x_at WHERE line <> '') GROUP BY ALL HAVING sum(length(line)) > 0")
+def glyph_rects(spark: SparkSession, d: str) -> DataFrame:
+    """How many glyphs and lines each set page has, and how far they reach."""
+    got = pdf.chars(pdf_blobs(spark, d)).groupBy("doc_id", "page").agg(F.count("*").alias("glyphs"), F.count_distinct("block", "line").alias("lines"), F.round(F.min("x0"), 2).alias("x0"), F.round(F.max("x1"), 2).alias("x1"))
+    return got.select("doc_id", "page", "glyphs", "lines", "x0", "x1")
+
+
+def as_blobs(df: DataFrame, make: Callable[[str], bytes]) -> DataFrame:
+    """Files ``(doc_id, content)`` made from ``(doc_id, text)``."""
+    return L.with_column(df.select("doc_id", "text"), "content", "binary", pa.binary(), make, "text").drop("text")
 
 
 def pdf_blobs(spark: SparkSession, d: str) -> DataFrame:
     """Text documents set as PDF files."""
-    docs = texts(spark, d).filter(F.col("text").isNotNull()).select("doc_id", "text")
-    import pyarrow as pa
+    return as_blobs(texts(spark, d).filter("text IS NOT NULL"), lambda t: pdf.flow([t]))
+
 
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pdf.flow([t]) for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "content"])
+# ---- PDF files edited and written back ----------------------------------------
 
-    return docs.mapInArrow(run, "doc_id string, content binary")
+_SECRET = "Zqxj Vwkpl"
+_HEAD = f"Confidential: {_SECRET} 12345"
+#: Ways in which the pages are packed and set, one for each page in turn.
+_SETTINGS = [(f, two, form) for f in (("FlateDecode",), ("ASCII85Decode", "FlateDecode"), ("LZWDecode",), ("RunLengthDecode",), ("ASCIIHexDecode",), ()) for two in (False, True) for form in (False, True)]
+_BODY = f"(SELECT doc_id || '#' || page AS doc_id, translate(text, '<[*', '   ') AS body FROM {_PAGE} p WHERE text IS NOT NULL)"
+#: Text without white space, and without the signs that break lines of their own accord.
+_BARE = lambda c: f"regexp_replace({c}, '{_WS}', '', 'g')"
+
+
+def page_blobs(spark: SparkSession, d: str) -> DataFrame:
+    """Every page as a file of its own under a confidential line, set and packed in turn in every way that is known."""
+    p = page_rows(spark, d).filter("text IS NOT NULL").select(F.concat("doc_id", F.lit("#"), F.col("page").cast("string")).alias("doc_id"), F.concat(F.lit(_HEAD + "\n"), F.translate("text", "<[*", "   ")).alias("text"))
+
+    def make(text: str) -> bytes:
+        filters, two, form = _SETTINGS[len(text) % len(_SETTINGS)]
+        return pdf.build(L.flow_pages(text), filters=filters, two=two, form=form)
+
+    return as_blobs(p, make)
+
+
+def written(spark: SparkSession, d: str, new: str) -> DataFrame:
+    """The confidential part of each page's file replaced, the file written, and read again: ``(doc_id, text, strategy, data)``."""
+    blobs = page_blobs(spark, d)
+    none = F.lit(None)
+    at = len("Confidential: ")
+    edits = blobs.select("doc_id", F.lit(0).alias("seq"), none.cast("string").alias("container_id"), F.lit("p0").alias("id"), F.lit(new).alias("text"), F.lit(at).alias("start_offset"), F.lit(at + len(_SECRET)).alias("end_offset"))
+    todo = pipeline.edited_pages(pdf.documents(blobs), edits).withColumn("strategy", F.get("edited", F.lit(0))["strategy"])
+    out = pdf.write(todo).select("doc_id", "strategy", F.col("data").alias("content"))
+    pages_ = pdf.documents(out)
+    return pages_.select("doc_id", "strategy", F.array_join(F.transform("pages", lambda p: p["text"]), "").alias("text"), "content")
+
+
+def _bare(c: Column) -> Column:
+    return F.regexp_replace(c, T.SPACE, "")
+
+
+def _leaks(data: bytes) -> bool:
+    """Whether any stream or string of a file, decoded, still holds a part of what was taken out."""
+    got = pdf.Pdf(data)
+    raw = b"".join(got.stream(v) if isinstance(v := got.get(pdf.Ref(n)), tuple) else pdf.dump(v) for n in got.where)
+    return any(w.encode() in raw for w in _SECRET.split()) or any(w in t for t, _, _ in pdf.read_pages(data) for w in _SECRET.split())
+
+
+@query(f"SELECT doc_id, 'redact' AS strategy, 'Confidential:12345' || {_BARE('body')} AS text, 1::BIGINT AS labels, false AS leaks FROM {_BODY} b")
+def pdf_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """A part of each page covered by a label in place, whatever its filters and fonts are: all else stays, nothing is left of it in the bytes."""
+    got = L.with_column(written(spark, d, "****"), "leaks", "boolean", pa.bool_(), _leaks, "content")
+    return got.select("doc_id", "strategy", F.replace(_bare(F.col("text")), F.lit("****"), F.lit("")).alias("text"), F.regexp_count("text", F.lit(r"\*{4}")).cast("bigint").alias("labels"), "leaks")
+
+
+@query(f"SELECT doc_id, 'Confidential:Replacementwordsthatarelonger12345' || {_BARE('body')} AS text, false AS leaks FROM {_BODY} b")
+def pdf_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """A longer text put in each page, which is set anew, or flows on where it doesn't fit."""
+    got = L.with_column(written(spark, d, "Replacement words that are longer"), "leaks", "boolean", pa.bool_(), _leaks, "content")
+    return got.select("doc_id", _bare(F.col("text")).alias("text"), "leaks")
+
+
+_LONG = " ".join(["many words"] * 750)
+
+
+@query(f"""WITH x AS (SELECT doc_id, 'Confidential: {_LONG} 12345' || chr(10) || body AS text FROM {_BODY} b)
+SELECT doc_id, 'reflow' AS strategy, {_BARE('text')} AS text FROM x""")
+def pdf_reflowed(spark: SparkSession, d: str) -> DataFrame:
+    """1,500 words put in each page: the document flows over as many pages as it takes."""
+    return written(spark, d, _LONG).select("doc_id", "strategy", _bare(F.col("text")).alias("text"))
 
 
 # ---- whole documents --------------------------------------------------------
@@ -393,16 +588,8 @@ def pdf_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 def docx_blobs(spark: SparkSession, d: str) -> DataFrame:
     """Word packages of the segments' documents: a paragraph for each segment in order."""
-    import pyarrow as pa
-
     s = segs(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("paragraph_index", "id", F.translate("text", "\n", " ").alias("text")))).alias("p"))
-    joined = s.select("doc_id", F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text"))
-
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([docx.package_of_text(t) for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "content"])
-
-    return joined.mapInArrow(run, "doc_id string, content binary")
+    return as_blobs(s.select("doc_id", F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text")), docx.package_of_text)
 
 
 @query(f"SELECT doc_id, 's' || (row_number() OVER (PARTITION BY doc_id ORDER BY paragraph_index, id) - 1) AS id, translate(text, chr(10), ' ') AS text FROM {_SEG} s WHERE text <> ''")
@@ -411,13 +598,77 @@ def docx_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return docx.segments(docx.paragraphs(docx_blobs(spark, d))).select("doc_id", "id", "text")
 
 
-@query(f"SELECT doc_id, 'body:p:0' AS container_id, '[X]' || substr(translate(text, chr(10), ' '), 2) AS text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY paragraph_index, id) AS k FROM {_SEG} s WHERE text <> '') x WHERE k = 1 AND length(text) > 0")
+_ORDERED = f"(SELECT doc_id, translate(text, chr(10), ' ') AS text, row_number() OVER (PARTITION BY doc_id ORDER BY paragraph_index, id) - 1 AS n FROM {_SEG} s)"
+
+
+@query(f"SELECT doc_id, 'body:p:' || n AS container_id, CASE WHEN n % 2 = 0 THEN '[X]' || substr(text, 2) ELSE 'whole ' || n END AS text FROM {_ORDERED} x WHERE text <> ''")
 def docx_edited(spark: SparkSession, d: str) -> DataFrame:
-    """The first paragraph of each package edited in its bytes and read again."""
+    """Every paragraph of each package edited in its bytes, by offsets and as a whole in turn, and read again."""
     blobs = docx_blobs(spark, d)
-    edits = blobs.select("doc_id", F.lit(0).alias("seq"), F.lit("body:p:0").alias("container_id"), F.lit(None).cast("string").alias("id"), F.lit("[X]").alias("text"), F.lit(0).alias("start_offset"), F.lit(1).alias("end_offset"))
+    s = segs(spark, d).select("doc_id", "id", "paragraph_index", F.translate("text", "\n", " ").alias("text"))
+    n = number_rows(s, "doc_id", "paragraph_index", "id").filter("text <> ''")
+    odd, none = F.col("n") % 2 == 1, F.lit(None).cast("int")
+    edits = n.select("doc_id", F.col("n").cast("int").alias("seq"), F.concat(F.lit("body:p:"), F.col("n").cast("string")).alias("container_id"), F.lit(None).cast("string").alias("id"), F.when(odd, F.concat(F.lit("whole "), F.col("n").cast("string"))).otherwise("[X]").alias("text"), F.when(~odd, 0).otherwise(none).alias("start_offset"), F.when(~odd, 1).otherwise(none).alias("end_offset"))
     out = docx.write(blobs, edits).select("doc_id", F.col("data").alias("content"))
-    return docx.paragraphs(out).filter("container_id = 'body:p:0'").select("doc_id", "container_id", F.col("visible_text").alias("text"))
+    return docx.paragraphs(out).filter("visible_text <> ''").select("doc_id", "container_id", F.col("visible_text").alias("text"))
+
+
+#: Word mark-up of the parts that stories are made of.
+_RUN = '<w:r><w:t xml:space="preserve">{}</w:t></w:r>'
+_TABLE = "<w:tbl><w:tr><w:tc><w:tcPr/>{0}</w:tc><w:tc>{1}</w:tc></w:tr></w:tbl>"
+_BOX = "<w:p><w:r><w:pict><v:shape><v:textbox><w:txbxContent>{}</w:txbxContent></v:textbox></v:shape></w:pict></w:r></w:p>"
+_STORY_RELS = "".join(f'<Relationship Id="rId{k}" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/{w}" Target="{w}1.xml"/>' for k, w in enumerate(("header", "footer"), 8))
+
+
+def story_package(text: str) -> bytes:
+    """A package whose lines go in turn to the body, a table's second cell, a text box, the header, the footer and a content control."""
+    body, stories = [], {"header": [], "footer": []}
+    for n, line in enumerate(text.split("\n")):
+        p = f"<w:p>{_RUN.format(docx.escape(line))}</w:p>" if line else "<w:p/>"
+        where = n % 6
+        if where in (3, 4):
+            stories["header" if where == 3 else "footer"].append(p)
+        else:
+            body.append((p, _TABLE.format("<w:p/>", p), _BOX.format(p), "", "", f"<w:sdt><w:sdtContent>{p}</w:sdtContent></w:sdt>")[where])
+    refs = "".join(f'<w:{w}Reference w:type="default" r:id="rId{k}"/>' for k, w in enumerate(stories, 8))
+    parts = {f"word/{w}1.xml": f'<?xml version="1.0" encoding="UTF-8"?><w:{t} xmlns:w="{docx.W}">{"".join(ps) or "<w:p/>"}</w:{t}>' for (w, ps), t in zip(stories.items(), ("hdr", "ftr"))}
+    return docx.make_package("".join(body) + f"<w:sectPr>{refs}</w:sectPr>", parts, _STORY_RELS)
+
+
+@query(f"""WITH x AS (SELECT *, n % 6 AS w FROM {_ORDERED} o),
+y AS (SELECT *, count(*) FILTER (w IN (0, 2, 5)) OVER (PARTITION BY doc_id ORDER BY n) - 1 AS body, count(*) FILTER (w = 1) OVER (PARTITION BY doc_id ORDER BY n) - 1 AS tbl,
+count(*) FILTER (w = 2 AND {_strip('text')} <> '') OVER (PARTITION BY doc_id ORDER BY n) - 1 AS box, n // 6 AS six FROM x)
+SELECT doc_id, CASE w WHEN 1 THEN 'table:' || tbl || ':r:0:c:1:p:0' WHEN 2 THEN 'txbx:' || box || ':p:0' WHEN 3 THEN 'header:0:p:' || six WHEN 4 THEN 'footer:0:p:' || six ELSE 'body:p:' || body END AS container_id,
+CASE w WHEN 3 THEN 'word/header.xml' WHEN 4 THEN 'word/footer.xml' ELSE 'word/document.xml' END AS part, text FROM y WHERE CASE w WHEN 2 THEN {_strip('text')} <> '' ELSE text <> '' END""")
+def docx_stories(spark: SparkSession, d: str) -> DataFrame:
+    """Segments of packages with tables, text boxes, headers, footers and content controls, and their addresses."""
+    s = segs(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("paragraph_index", "id", F.translate("text", "\n", " ").alias("text")))).alias("p"))
+    blobs = as_blobs(s.select("doc_id", F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text")), story_package)
+    return docx.segments(docx.paragraphs(blobs)).select("doc_id", "container_id", "part", "text")
+
+
+def inline_package(text: str) -> bytes:
+    """A package of one paragraph: the words of a text as runs, tabs between some, every fourth one a link, every fifth one before a line break."""
+    out = []
+    for n, word in enumerate(text.split(" ")):
+        run = _RUN.format(docx.escape(word)) if word else ""
+        out.append(f"<w:hyperlink>{run}</w:hyperlink>" if n % 4 == 3 else run)
+        if n % 4 == 1:
+            out.append("<w:r><w:tab/></w:r>")
+        if n % 5 == 4:
+            out.append("<w:r><w:br/></w:r>")
+    return docx.make_package(f"<w:p><w:pPr/>{''.join(out)}</w:p>")
+
+
+@query(f"""WITH w AS (SELECT doc_id || '/' || id AS doc_id, string_split(translate(text, chr(10), ' '), ' ') AS w FROM {_SEG} s WHERE text IS NOT NULL), r AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS n FROM w)
+SELECT doc_id, string_agg(t || CASE WHEN n % 4 = 1 THEN chr(9) ELSE '' END || CASE WHEN n % 5 = 4 THEN chr(10) ELSE '' END, '' ORDER BY n) AS visible,
+(count(*) FILTER (n % 4 = 3) + count(*) FILTER (n % 4 = 1) + count(*) FILTER (n % 5 = 4))::BIGINT AS opaque, count(*) FILTER (n % 4 <> 3 AND t <> '')::BIGINT AS texts FROM r GROUP BY doc_id""")
+def docx_inline(spark: SparkSession, d: str) -> DataFrame:
+    """Inline pieces of paragraphs with tabs, line breaks and links."""
+    blobs = as_blobs(segs(spark, d).filter("text IS NOT NULL").select(F.concat("doc_id", F.lit("/"), "id").alias("doc_id"), F.translate("text", "\n", " ").alias("text")), inline_package)
+    p = docx.paragraphs(blobs).filter("error IS NULL")
+    kind = lambda k: F.size(F.filter("inline", lambda x: x["kind"] == k)).cast("bigint")
+    return p.select("doc_id", I.visible_text("inline").alias("visible"), kind("opaque").alias("opaque"), kind("text").alias("texts"))
 
 
 @query(f"SELECT doc_id, regexp_replace(text, '{_EMAIL}', '[EMAIL]', 'g') AS text FROM {_DOC} t")
@@ -427,10 +678,51 @@ def text_bytes_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", T.decode_text("data").alias("text"))
 
 
-@query()
-def documents_loaded(spark: SparkSession, d: str) -> DataFrame:
-    """Segments of a collection of all three kinds, detected from bytes."""
+def collection(spark: SparkSession, d: str) -> DataFrame:
+    """A collection of all three kinds; the names of the packages and of the set files tell the wrong type."""
     name = lambda df, ext: df.select("doc_id", F.concat("doc_id", F.lit(ext)).alias("filename"), F.lit(None).cast("string").alias("content_type"), "content")
     plain = texts(spark, d).select("doc_id", "filename", "content_type", F.encode("text", "UTF-8").alias("content"))
-    blobs = plain.unionByName(name(docx_blobs(spark, d), ".docx")).unionByName(name(pdf_blobs(spark, d).withColumn("doc_id", F.concat(F.lit("set-"), "doc_id")), ".pdf"))
-    return pipeline.load(blobs).segments.select("doc_id", "id", "text", "part", "index")
+    return plain.unionByName(name(docx_blobs(spark, d), ".pdf")).unionByName(name(pdf_blobs(spark, d).withColumn("doc_id", F.concat(F.lit("set-"), "doc_id")), ".docx"))
+
+
+@query(f"""SELECT DISTINCT doc_id, 'docx' AS kind, '.docx' AS extension, '{S.DOCX_MIME}' AS content_type, 'signature' AS source, doc_id || '.pdf' AS filename FROM {_SEG} s
+UNION ALL SELECT 'set-' || doc_id, 'pdf', '.pdf', '{S.PDF_MIME}', 'signature', 'set-' || doc_id || '.docx' FROM {_DOC} t WHERE text IS NOT NULL""")
+def kinds_by_signature(spark: SparkSession, d: str) -> DataFrame:
+    """Types of files whose names tell another one than their bytes."""
+    found = D.detect(collection(spark, d)).filter("detected.kind <> 'text'")
+    return found.select("doc_id", "detected.kind", "detected.extension", "detected.content_type", "detected.source", D.default_filename(F.col("detected")).alias("filename"))
+
+
+_LOADED = f"""SELECT doc_id, 's0' AS id, text, 'text' AS part, 0 AS index FROM {_DOC} t WHERE text <> ''
+UNION ALL SELECT doc_id, 's' || (row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1), text, 'word/document.xml', n::INT FROM {_ORDERED} o WHERE text <> ''
+UNION ALL SELECT 'set-' || doc_id, 'p' || page, text, 'page:' || page, page FROM read WHERE {_strip('text')} <> ''"""
+
+
+@query(f"WITH {_FLOWED}, {_READ} {_LOADED}")
+def documents_loaded(spark: SparkSession, d: str) -> DataFrame:
+    """Segments of a collection of all three kinds, detected from bytes."""
+    return pipeline.load(collection(spark, d)).segments.select("doc_id", "id", "text", "part", "index")
+
+
+@query(f"""WITH {_FLOWED}, {_READ}, loaded AS ({_LOADED}),
+f AS (SELECT doc_id, filename, CASE WHEN {_SUFFIX} IN {_KNOWN} THEN {_SUFFIX} ELSE '.txt' END AS ext FROM {_DOC} t WHERE text <> ''
+UNION ALL SELECT DISTINCT doc_id, doc_id || '.pdf', '.docx' FROM {_ORDERED} o WHERE text <> '' UNION ALL SELECT DISTINCT 'set-' || doc_id, 'set-' || doc_id || '.docx', '.pdf' FROM read),
+u AS (SELECT doc_id, CASE WHEN filename <> '' THEN filename ELSE 'document' || ext END AS filename, ext FROM f)
+SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace({_STEM}, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g'), ''), 'document') || '.anonimizowany' || ext AS filename,
+CASE ext WHEN '.docx' THEN '{S.DOCX_MIME}' WHEN '.pdf' THEN '{S.PDF_MIME}' ELSE {_MIME_OF.format(s='ext')} END AS content_type,
+(SELECT string_agg({_BARE("CASE WHEN l.id IN ('s0', 'p0') THEN '****' ELSE l.text END")}, '' ORDER BY l.index) FROM loaded l WHERE l.doc_id = u.doc_id) AS text FROM u""")
+def documents_rendered(spark: SparkSession, d: str) -> DataFrame:
+    """The first segment of every document of a collection covered, all written, and read again: the way through from bytes to bytes."""
+    loaded = pipeline.load(collection(spark, d))
+    none = F.lit(None)
+    ids = texts(spark, d).select("doc_id", F.lit("s0").alias("id"))
+    ids = ids.unionByName(segs(spark, d).select("doc_id", F.lit("s0").alias("id")).distinct()).unionByName(texts(spark, d).select(F.concat(F.lit("set-"), "doc_id").alias("doc_id"), F.lit("p0").alias("id")))
+    first = ids.select("doc_id", F.lit(0).alias("seq"), none.cast("string").alias("container_id"), "id", F.lit("****").alias("text"), none.cast("int").alias("start_offset"), none.cast("int").alias("end_offset"))
+    out = pipeline.render(loaded, first).filter("error IS NULL")
+    blobs = lambda mime: out.filter(F.col("content_type") == mime).select("doc_id", "filename", "content_type", F.col("data").alias("content"))
+    plain = out.filter(~F.col("content_type").isin(S.DOCX_MIME, S.PDF_MIME)).select("doc_id", "filename", "content_type", F.lit(0).alias("index"), T.decode_text("data").alias("text")).filter("text <> ''")
+    words = docx.paragraphs(blobs(S.DOCX_MIME)).filter("visible_text <> ''").select("doc_id", F.col("paragraph_index").alias("index"), F.col("visible_text").alias("text"))
+    shown = lambda rows: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", "text"))), lambda x: x["text"]), "")
+    words = blobs(S.DOCX_MIME).drop("content").join(words.groupBy("doc_id").agg(shown(words).alias("text")), "doc_id")
+    pages_ = pdf.documents(blobs(S.PDF_MIME)).filter("error IS NULL").select("doc_id", "filename", "content_type", F.array_join(F.transform("pages", lambda p: p["text"]), "").alias("text"))
+    return plain.drop("index").unionByName(words).unionByName(pages_).select("doc_id", "filename", "content_type", _bare(F.col("text")).alias("text"))

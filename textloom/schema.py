@@ -7,7 +7,7 @@ DETECTED = "filename string, kind string, extension string, content_type string,
 RUN = "struct<idx:int,text:string,rpr:string>"
 INLINE = "struct<kind:string,text:string,rpr:string,element:string>"
 PARAGRAPH = (
-    "doc_id string, story_rank int, i1 int, i2 int, i3 int, local_idx int, paragraph_index int, container_id string, part string,"
+    "doc_id string, story_rank int, i1 int, i2 int, i3 int, local_idx int, paragraph_index int, segment_no int, container_id string, part string,"
     f" visible_text string, runs array<{RUN}>, inline array<{INLINE}>, error string"
 )
 SEGMENT = "doc_id string, id string, text string, part string, index int, container_id string, paragraph_index int, run_indices array<int>"

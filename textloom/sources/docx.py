@@ -221,13 +221,16 @@ def runs(p) -> list[dict]:
 def read_paragraphs(data: bytes) -> list[dict]:
     """Rows of the paragraphs of a package, in reading order, empty ones included."""
     pkg = Package(data)
-    out = []
+    out: list[dict] = []
+    shown = 0
     for rank, i1, i2, i3, prefix, part, container in pkg.stories():
         for k, p in enumerate(paragraphs_of(container, rank != BOX)):
             pieces = inline(p)
+            text = "".join(t for _, t, _, _ in pieces)
+            shown += text != ""
             out.append({
-                "story_rank": rank, "i1": i1, "i2": i2, "i3": i3, "local_idx": k, "paragraph_index": len(out), "container_id": f"{prefix}:p:{k}", "part": part,
-                "visible_text": "".join(t for _, t, _, _ in pieces), "runs": runs(p),
+                "story_rank": rank, "i1": i1, "i2": i2, "i3": i3, "local_idx": k, "paragraph_index": len(out), "segment_no": shown - 1 if text else None, "container_id": f"{prefix}:p:{k}", "part": part,
+                "visible_text": text, "runs": runs(p),
                 "inline": [{"kind": kind, "text": t, "rpr": r.toxml() if r is not None else None, "element": e.toxml() if e is not None else None} for kind, t, r, e in pieces],
             })
     return out
@@ -350,7 +353,7 @@ def write_edits(data: bytes, edits: list[dict], strict: bool = False) -> bytes:
 
 _RUN_PA = pa.struct([("idx", pa.int32()), ("text", pa.string()), ("rpr", pa.string())])
 _INLINE_PA = pa.struct([("kind", pa.string()), ("text", pa.string()), ("rpr", pa.string()), ("element", pa.string())])
-_SCHEMA_PA = pa.schema([("doc_id", pa.string()), *((c, pa.int32()) for c in ("story_rank", "i1", "i2", "i3", "local_idx", "paragraph_index")), ("container_id", pa.string()), ("part", pa.string()), ("visible_text", pa.string()), ("runs", pa.list_(_RUN_PA)), ("inline", pa.list_(_INLINE_PA)), ("error", pa.string())])
+_SCHEMA_PA = pa.schema([("doc_id", pa.string()), *((c, pa.int32()) for c in ("story_rank", "i1", "i2", "i3", "local_idx", "paragraph_index", "segment_no")), ("container_id", pa.string()), ("part", pa.string()), ("visible_text", pa.string()), ("runs", pa.list_(_RUN_PA)), ("inline", pa.list_(_INLINE_PA)), ("error", pa.string())])
 
 
 def paragraphs(blobs: DataFrame) -> DataFrame:
@@ -370,14 +373,10 @@ def paragraphs(blobs: DataFrame) -> DataFrame:
 
 
 def segments(par: DataFrame) -> DataFrame:
-    """Segments of paragraphs that show some text, with their ids by reading order."""
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("doc_id").orderBy("paragraph_index")
+    """Segments of paragraphs that show some text, with the ids that the reader gave them in reading order."""
     used = F.transform(F.filter("runs", lambda r: r["text"] != ""), lambda r: r["idx"])
-    shown = par.filter("error IS NULL AND visible_text <> ''")
-    return shown.select(
-        "doc_id", F.concat(F.lit("s"), (F.row_number().over(w) - 1).cast("string")).alias("id"), F.col("visible_text").alias("text"), "part",
+    return par.filter("segment_no IS NOT NULL").select(
+        "doc_id", F.concat(F.lit("s"), F.col("segment_no").cast("string")).alias("id"), F.col("visible_text").alias("text"), "part",
         F.col("local_idx").alias("index"), "container_id", "paragraph_index", used.alias("run_indices"),
     )
 
@@ -397,14 +396,18 @@ def indexed_paragraphs(par: DataFrame) -> DataFrame:
 
 
 def write(blobs: DataFrame, edits: DataFrame, strict: bool = False) -> DataFrame:
-    """``(doc_id, data, error)``: packages after their edits. Only edits are shuffled beside their package."""
+    """Blobs ``(doc_id, content, ...)`` with ``data`` and ``error`` in place of ``content``: packages after their edits. Only edits are
+    shuffled beside their package."""
     e = F.struct("seq", "container_id", "id", "text", "start_offset", "end_offset")
-    grouped = edits.groupBy("doc_id").agg(F.array_sort(F.collect_set(e)).alias("edits"))
+    grouped = edits.groupBy("doc_id").agg(F.array_sort(F.collect_set(e)).alias("_edits"))
+    joined = blobs.join(grouped, "doc_id", "left")
+    have, ins = [c for c in blobs.columns if c != "content"], joined.columns
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in blobs.schema.fields if f.name != "content"), "data binary, error string"])
 
     def run(batches):
         for b in batches:
-            out = {"doc_id": [], "data": [], "error": []}
-            for doc, data, es in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+            out, errors = [], []
+            for data, es in zip(b.column(ins.index("content")), b.column(ins.index("_edits")).to_pylist()):
                 got, err = None, None
                 try:
                     got = write_edits(data.as_py() or b"", es or [], strict)
@@ -412,11 +415,11 @@ def write(blobs: DataFrame, edits: DataFrame, strict: bool = False) -> DataFrame
                     err = S.ERROR_DOCX
                 except ValueError as x:
                     err = str(x)
-                for k, v in (("doc_id", doc), ("data", got), ("error", err)):
-                    out[k].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.string()), ("data", pa.binary()), ("error", pa.string())]))
+                out.append(got)
+                errors.append(err)
+            yield pa.RecordBatch.from_arrays([*(b.column(ins.index(c)) for c in have), pa.array(out, pa.binary()), pa.array(errors, pa.string())], names=[*have, "data", "error"])
 
-    return blobs.select("doc_id", "content").join(grouped, "doc_id", "left").mapInArrow(run, "doc_id string, data binary, error string")
+    return joined.mapInArrow(run, fields)
 
 
 # ---- small packages, for tests and for texts that become documents -----------
@@ -439,7 +442,11 @@ def make_package(body: str, extra: dict[str, str] | None = None, rels: str = "")
     return out.getvalue()
 
 
+def escape(text: str) -> str:
+    """A text as mark-up; characters that XML has not are left out."""
+    return _BAD_XML.sub("", text).replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+
+
 def package_of_text(text: str) -> bytes:
     """A package with a paragraph for each line of a text."""
-    esc = lambda t: _BAD_XML.sub("", t).replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
-    return make_package("".join(f'<w:p><w:r><w:t xml:space="preserve">{esc(x)}</w:t></w:r></w:p>' if x else "<w:p/>" for x in text.split("\n")))
+    return make_package("".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(x)}</w:t></w:r></w:p>' if x else "<w:p/>" for x in text.split("\n")))

@@ -1,26 +1,31 @@
-"""Text-layer PDF without a PDF library: a small reader, an in-place eraser and a writer.
+"""Text-layer PDF without a PDF library: a reader, an in-place eraser and a writer.
 
 Read: classic and compressed cross-reference files (objects are found by scan,
-object streams are opened), Flate streams, page trees, simple fonts and two-byte
-fonts with a ToUnicode map, text operators and form XObjects. Not read:
-encryption, other filters than Flate, Type 3 fonts, vertical writing, text without
-a Unicode mapping beyond Latin. Widths come from the font's Widths or Helvetica's.
-
-Written: pages of text in Helvetica where code page 1252 suffices, otherwise in a
-two-byte font that is named, not embedded, with a ToUnicode map, so that text is
-found again whatever its script.
-
-In place, the codes of the glyphs concerned are taken out of the page's content
-and a white box with the label is drawn over their rectangles; the text is gone
-from the file, not just covered. Pages whose edited glyphs lie in form XObjects
-or two-byte fonts are rebuilt instead.
+object streams are opened), every general stream filter, files encrypted for an
+empty password, page trees, rotated and cropped pages, simple, composite and Type 3
+fonts, text operators, form XObjects at any depth. A code without a Unicode mapping
+reads as U+FFFD. Whatever can't be read, a damaged stream or operator, a tree or
+form that contains itself, fails the document: text that is passed over in silence
+would be a leak. Not read: vertical writing (it is taken as horizontal), form
+fields, annotations, scanned pages.
+
+Written: pages of text in Helvetica where code page 1252 suffices, otherwise in an
+embedded TrueType font (``pdf_fonts.FONT_PATHS``), and for characters that it lacks
+in a font that is only named; all have a Unicode map, so that text is found again
+whatever its script.
+
+In place, the codes of the glyphs concerned are taken out of the strings that hold
+them, in forms too (a form used elsewhere is copied for the page), the room they
+took is kept, and a white box with the label is drawn over their rectangles.
+Objects that nothing refers to any more are left out of the file: the text is gone
+from it, not just covered.
 """
 
 from __future__ import annotations
 
 import difflib
+import math
 import re
-import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,10 +33,15 @@ from pyspark.sql import functions as F
 
 from textloom import schema as S
 from textloom.operators import layout as L
+from textloom.sources import pdf_crypt, pdf_filters
+from textloom.sources.pdf_fonts import FONT_PATHS, Font, text_font
 
 _OBJ = re.compile(rb"(\d+)\s+(\d+)\s+obj\b")
 _TOKEN = re.compile(rb"\s*(?:(%[^\r\n]*)|(<<|>>|\[|\]|\{|\})|(/[^\s<>\[\]()/%{}]*)|(\()|<([0-9A-Fa-f\s]*)>|([^\s<>\[\]()/%{}]+))")
 _REF = re.compile(rb"(\d+)\s+(\d+)\s+R\b")
+_STREAM = re.compile(rb"\s*stream(?:\r\n|\n|\r)")
+_OCTAL = re.compile(rb"[0-7]{1,3}")
+_INLINE_IMAGE_END = re.compile(rb"\sEI\b")
 
 
 class Name(str):
@@ -46,16 +56,18 @@ class Op(str):
     pass
 
 
+_ESCAPES = {0x6E: 10, 0x72: 13, 0x74: 9, 0x62: 8, 0x66: 12}
+
+
 def _string(b: bytes, at: int) -> tuple[bytes, int]:
     """A literal string that begins behind its bracket."""
     out, depth = bytearray(), 1
-    esc = {0x6E: 10, 0x72: 13, 0x74: 9, 0x62: 8, 0x66: 12}
     while at < len(b):
         c = b[at]
         if c == 0x5C:
             n = b[at + 1] if at + 1 < len(b) else 0
             if 0x30 <= n <= 0x37:
-                m = re.compile(rb"[0-7]{1,3}").match(b, at + 1)
+                m = _OCTAL.match(b, at + 1)
                 out.append(int(m.group(), 8) & 255)
                 at = m.end()
                 continue
@@ -63,7 +75,7 @@ def _string(b: bytes, at: int) -> tuple[bytes, int]:
                 at += 3
                 continue
             if n not in (10, 13):
-                out.append(esc.get(n, n))
+                out.append(_ESCAPES.get(n, n))
             at += 2
             continue
         if c == 0x28:
@@ -80,6 +92,7 @@ def _string(b: bytes, at: int) -> tuple[bytes, int]:
 def parse(b: bytes, at: int = 0, ops: bool = False):
     """Objects from bytes. With ``ops``: pairs ``(object, (start, end))`` to the end; else the first object and where it ends."""
     stack: list[list] = [[]]
+    opened: list[int] = []
     spans: list[tuple[int, int]] = []
     while True:
         m = _TOKEN.match(b, at)
@@ -91,9 +104,11 @@ def parse(b: bytes, at: int = 0, ops: bool = False):
         if (p := m.group(2)) is not None:
             if p in (b"<<", b"["):
                 stack.append([p])
+                opened.append(begin)
                 continue
             if p in (b">>", b"]") and len(stack) > 1:
                 top = stack.pop()[1:]
+                begin = opened.pop()
                 v = dict(zip(top[::2], top[1::2])) if p == b">>" else top
             else:
                 continue
@@ -120,7 +135,7 @@ def parse(b: bytes, at: int = 0, ops: bool = False):
                 return v, at
             spans.append((begin, at))
             if v == "ID" and isinstance(v, Op):  # an inline image
-                e = re.compile(rb"\sEI\b").search(b, at)
+                e = _INLINE_IMAGE_END.search(b, at)
                 at = e.end() if e else len(b)
     return list(zip(stack[0], spans)) if ops else (None, at)
 
@@ -133,10 +148,19 @@ class Pdf:
         self.where: dict[int, int] = {}
         self.packed: dict[int, object] = {}
         self.cache: dict[int, object] = {}
+        self.crypt = None
+        generation: dict[int, int] = {}
         for m in _OBJ.finditer(data):
             self.where[int(m.group(1))] = m.end()
-        if b"/Encrypt" in data:
-            raise ValueError("encrypted")
+            generation[int(m.group(1))] = int(m.group(2))
+        self.trailer = self._trailer()
+        if "Encrypt" in self.trailer:
+            lock = self.trailer["Encrypt"]
+            names = self.get(lock)
+            if not isinstance(names, dict):
+                raise ValueError("encrypted")
+            self.crypt = pdf_crypt.Lock({k: self.get(v) for k, v in names.items()}, (self.get(self.trailer.get("ID")) or [b""])[0], self.get, generation)
+            self.cache = {int(lock): names} if isinstance(lock, Ref) else {}
         if b"/ObjStm" in data:
             for n in list(self.where):
                 d = self.get(Ref(n))
@@ -147,14 +171,30 @@ class Pdf:
                     for num, off in zip(nums[::2], nums[1::2]):
                         if num not in self.where:
                             self.packed[num] = parse(raw, first + off)[0]
+            self.cache = {k: v for k, v in self.cache.items() if v is not None}
         self.pages = self._pages()
 
+    def _trailer(self) -> dict:
+        """What all trailers of the file say together, the last one first."""
+        out: dict = {}
+        for m in re.finditer(rb"trailer\s*(?=<<)", self.data):
+            v = parse(self.data, m.end())[0]
+            out |= v if isinstance(v, dict) else {}
+        if b"/XRef" in self.data:
+            for n in self.where:
+                v = self.get(Ref(n))
+                if isinstance(v, tuple) and v[0].get("Type") == "XRef":
+                    out |= {k: v[0][k] for k in ("Root", "Info", "Encrypt", "ID") if k in v[0]}
+        return out
+
     def get(self, v):
-        """The value of a reference; a stream is ``(dictionary, start of its bytes)``."""
-        seen = 0
-        while isinstance(v, Ref) and seen < 20:
-            seen += 1
+        """The value of a reference; a stream is ``(dictionary, start of its bytes, object number)``."""
+        trail = set()
+        while isinstance(v, Ref):
             n = int(v)
+            if n in trail:
+                raise ValueError("a reference leads back to itself")
+            trail.add(n)
             if n in self.cache:
                 v = self.cache[n]
                 continue
@@ -162,271 +202,262 @@ class Pdf:
                 v = self.packed[n]
             elif n in self.where:
                 v, end = parse(self.data, self.where[n])
-                s = re.compile(rb"\s*stream\r?\n").match(self.data, end)
+                s = _STREAM.match(self.data, end)
+                if self.crypt:
+                    v = self.crypt.strings(v, n)
                 if s and isinstance(v, dict):
-                    v = (v, s.end())
+                    v = (v, s.end(), n)
             else:
                 v = None
             self.cache[n] = v
         return v
 
+    def raw_stream(self, v) -> bytes:
+        """The bytes of a stream as they stand, decrypted."""
+        d, at, n = v
+        size = self.get(d.get("Length"))
+        if isinstance(size, int) and self.data[at + size : at + size + 12].lstrip().startswith(b"endstream"):
+            raw = self.data[at : at + size]
+        else:
+            end = self.data.find(b"endstream", at)
+            if end < 0:
+                raise ValueError("a stream without an end")
+            raw = self.data[at:end]
+            raw = raw[:-2] if raw.endswith(b"\r\n") else raw[:-1] if raw.endswith((b"\n", b"\r")) else raw
+        return self.crypt.stream(raw, d, n) if self.crypt else raw
+
     def stream(self, v) -> bytes:
-        d, at = v
-        n = self.get(d.get("Length"))
-        raw = self.data[at : at + n] if isinstance(n, int) and self.data[at + n : at + n + 12].lstrip().startswith(b"endstream") else self.data[at : self.data.find(b"endstream", at)]
-        f = self.get(d.get("Filter"))
-        for x in f if isinstance(f, list) else [f] if f else []:
-            if x not in ("FlateDecode", "Fl"):
-                raise ValueError(f"filter {x}")
-            raw = zlib.decompressobj().decompress(raw)
-            p = self.get(d.get("DecodeParms")) or {}
-            p = self.get(p[0]) if isinstance(p, list) else p
-            if p and (p.get("Predictor") or 1) >= 10:
-                raw = _unpredict(raw, int(p.get("Columns", 1)))
-        return raw
+        d = v[0]
+        listed = lambda x: x if isinstance(x, list) else [x] if x is not None else []
+        names = [str(self.get(x)) for x in listed(self.get(d.get("Filter", d.get("F"))))]
+        parms = [{k: self.get(y) for k, y in (self.get(p) or {}).items()} for p in listed(self.get(d.get("DecodeParms", d.get("DP"))))]
+        return pdf_filters.decode(self.raw_stream(v), names, parms)
+
+    def root(self) -> tuple[int | None, dict]:
+        r = self.trailer.get("Root")
+        d = self.get(r)
+        if isinstance(d, dict) and "Pages" in d:
+            return int(r), d
+        for n in [*self.where, *self.packed]:
+            d = self.get(Ref(n))
+            if isinstance(d, dict) and d.get("Type") == "Catalog":
+                return n, d
+        raise ValueError("no catalogue")
 
     def _pages(self) -> list[dict]:
         out: list[dict] = []
-        roots = [m for m in re.finditer(rb"/Root\s+(\d+)\s+\d+\s+R", self.data)]
-        root = self.get(Ref(int(roots[-1].group(1)))) if roots else None
-        if not isinstance(root, dict):
-            root = next((d for n in [*self.where, *self.packed] if isinstance(d := self.get(Ref(n)), dict) and d.get("Type") == "Catalog"), None)
-        if root is None:
-            raise ValueError("no catalogue")
-
-        def walk(v, inherited: dict, depth: int) -> None:
+        todo: list[tuple[object, dict]] = [(self.root()[1]["Pages"], {})]
+        seen: set[int] = set()
+        while todo:
+            v, inherited = todo.pop()
+            if isinstance(v, Ref):
+                if int(v) in seen:
+                    raise ValueError("a page tree that contains itself")
+                seen.add(int(v))
             d = self.get(v)
-            if not isinstance(d, dict) or depth > 60:
-                return
-            got = inherited | {k: d[k] for k in ("Resources", "MediaBox") if k in d}
+            if not isinstance(d, dict):
+                raise ValueError("a page is missing")
+            got = inherited | {k: d[k] for k in ("Resources", "MediaBox", "CropBox", "Rotate") if k in d}
             if "Kids" in d:
-                for k in self.get(d["Kids"]) or []:
-                    walk(k, got, depth + 1)
+                todo += [(k, got) for k in reversed(self.get(d["Kids"]) or [])]
             else:
                 out.append({**got, **d, "_ref": int(v) if isinstance(v, Ref) else None})
-
-        walk(root["Pages"], {}, 0)
         return out
 
+    def _box(self, page: dict) -> tuple[float, float, float, float]:
+        for key in ("CropBox", "MediaBox"):
+            box = [float(self.get(x)) for x in self.get(page.get(key)) or []]
+            if len(box) == 4:
+                return min(box[0], box[2]), min(box[1], box[3]), max(box[0], box[2]), max(box[1], box[3])
+        return 0.0, 0.0, L.WIDTH, L.HEIGHT
+
+    def _turn(self, page: dict) -> int:
+        return int(self.get(page.get("Rotate")) or 0) % 360
+
     def size(self, page: dict) -> tuple[float, float]:
-        box = [float(self.get(x)) for x in self.get(page.get("MediaBox")) or [0, 0, L.WIDTH, L.HEIGHT]]
-        return box[2] - box[0], box[3] - box[1]
+        """Width and height as the page is seen."""
+        x0, y0, x1, y1 = self._box(page)
+        return (y1 - y0, x1 - x0) if self._turn(page) in (90, 270) else (x1 - x0, y1 - y0)
+
+    def matrix(self, page: dict) -> tuple:
+        """From the page's own space to the page as it is seen, from the bottom left."""
+        x0, y0, x1, y1 = self._box(page)
+        return {90: (0, -1, 1, 0, -y0, x1), 180: (-1, 0, 0, -1, x1, y1), 270: (0, 1, -1, 0, y1, -x0)}.get(self._turn(page), (1, 0, 0, 1, -x0, -y0))
 
     def content(self, page: dict) -> bytes:
         c = self.get(page.get("Contents"))
         parts = c if isinstance(c, list) else [page.get("Contents")] if c else []
         return b"\n".join(self.stream(v) for x in parts if isinstance(v := self.get(x), tuple))
 
-    def font(self, v) -> dict:
-        d = self.get(v) or {}
-        out = {"two": d.get("Subtype") == "Type0", "map": None, "width": {}, "default": None}
-        tu = self.get(d.get("ToUnicode"))
-        if isinstance(tu, tuple):
-            out["map"] = _cmap(self.stream(tu))
-        if out["two"]:
-            kid = self.get((self.get(d.get("DescendantFonts")) or [None])[0]) or {}
-            out["default"] = float(self.get(kid.get("DW")) or 1000)
-            w = self.get(kid.get("W")) or []
-            k = 0
-            while k + 1 < len(w):
-                a, b = self.get(w[k]), self.get(w[k + 1])
-                if isinstance(b, list):
-                    out["width"] |= {a + j: float(self.get(x)) for j, x in enumerate(b)}
-                    k += 2
-                else:
-                    out["width"] |= dict.fromkeys(range(a, b + 1), float(self.get(w[k + 2])))
-                    k += 3
-        else:
-            enc = self.get(d.get("Encoding"))
-            base = enc if isinstance(enc, str) else (enc or {}).get("BaseEncoding", "WinAnsiEncoding") if isinstance(enc, dict) else "WinAnsiEncoding"
-            out["codec"] = {"MacRomanEncoding": "mac-roman"}.get(base, "cp1252")
-            diff, at = {}, 0
-            for x in self.get(enc.get("Differences")) or [] if isinstance(enc, dict) else []:
-                if isinstance(x, Name):
-                    diff[at] = _glyph(x)
-                    at += 1
-                else:
-                    at = int(self.get(x))
-            out["diff"] = diff
-            first = self.get(d.get("FirstChar")) or 0
-            out["width"] = {first + k: float(self.get(x)) for k, x in enumerate(self.get(d.get("Widths")) or [])}
-        return out
-
+    def form(self, res: dict, name) -> tuple | None:
+        """The form that a name stands for in resources; None for an image and for nothing."""
+        x = self.get((self.get(res.get("XObject")) or {}).get(name))
+        return x if isinstance(x, tuple) and self.get(x[0].get("Subtype")) == "Form" else None
 
-def _unpredict(raw: bytes, columns: int) -> bytes:
-    out, before = bytearray(), bytes(columns)
-    for k in range(0, len(raw), columns + 1):
-        kind, line = raw[k], bytearray(raw[k + 1 : k + 1 + columns])
-        if kind == 2:
-            line = bytearray((x + y) & 255 for x, y in zip(line, before))
-        elif kind == 1:
-            for j in range(1, len(line)):
-                line[j] = (line[j] + line[j - 1]) & 255
-        out += line
-        before = bytes(line).ljust(columns, b"\0")
-    return bytes(out)
 
+def _mul(a, b):
+    return (a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3], a[4] * b[0] + a[5] * b[2] + b[4], a[4] * b[1] + a[5] * b[3] + b[5])
 
-def _glyph(name: str) -> str:
-    if len(name) == 1:
-        return name
-    if m := re.fullmatch(r"(?:uni|u)([0-9A-F]{4,6})", name):
-        return chr(int(m.group(1), 16))
-    import unicodedata
 
-    marks = {"acute": "WITH ACUTE", "grave": "WITH GRAVE", "dieresis": "WITH DIAERESIS", "circumflex": "WITH CIRCUMFLEX", "tilde": "WITH TILDE", "ogonek": "WITH OGONEK", "dotaccent": "WITH DOT ABOVE", "caron": "WITH CARON", "cedilla": "WITH CEDILLA", "slash": "WITH STROKE"}
-    for k, v in marks.items():
-        if name[1:] == k:
-            try:
-                return unicodedata.lookup(f"LATIN {'CAPITAL' if name[0].isupper() else 'SMALL'} LETTER {name[0].upper()} {v}")
-            except KeyError:
-                return "\ufffd"
-    return {"space": " ", "hyphen": "-", "period": ".", "comma": ",", "colon": ":", "lslash": "ł", "Lslash": "Ł", "germandbls": "ß"}.get(name, "\ufffd")
-
-
-def _cmap(raw: bytes) -> dict[int, str]:
-    out: dict[int, str] = {}
-    u = lambda h: bytes.fromhex(h.decode()).decode("utf-16-be", "replace")
-    for block in re.findall(rb"beginbfchar(.*?)endbfchar", raw, re.S):
-        out |= {int(a, 16): u(b) for a, b in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", block)}
-    for block in re.findall(rb"beginbfrange(.*?)endbfrange", raw, re.S):
-        for a, b, c, lst in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*(?:<([0-9A-Fa-f]+)>|\[(.*?)\])", block, re.S):
-            lo, hi = int(a, 16), int(b, 16)
-            if c:
-                base = u(c)
-                out |= {lo + k: base[:-1] + chr(ord(base[-1]) + k) for k in range(min(hi - lo, 0xFFFF) + 1)}
-            else:
-                out |= {lo + k: u(x) for k, x in enumerate(re.findall(rb"<([0-9A-Fa-f]+)>", lst))}
-    return out
+def _inverse(m):
+    d = m[0] * m[3] - m[1] * m[2]
+    a, b, c, e = m[3] / d, -m[1] / d, -m[2] / d, m[0] / d
+    return a, b, c, e, -(m[4] * a + m[5] * c), -(m[4] * b + m[5] * e)
 
 
-def _mul(a, b):
-    return (a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3], a[4] * b[0] + a[5] * b[2] + b[4], a[4] * b[1] + a[5] * b[3] + b[5])
+class Glyph:
+    """A character as drawn: its rectangle from the top left, its line (``u`` along, ``v`` across), and where its code stands:
+    ``place`` is ``(path of forms, operator, string)``, then offset and length in it and the room that it takes."""
 
+    __slots__ = ("c", "rect", "u0", "u1", "v", "turn", "size", "place", "k", "n", "room", "two")
 
-def glyphs(pdf: Pdf, page: dict) -> list[dict]:
-    """Glyphs of a page in drawing order: character, rectangle from the top left, and where their code stands."""
-    w, h = pdf.size(page)
-    out: list[dict] = []
-    _draw(pdf, pdf.content(page), pdf.get(page.get("Resources")) or {}, (1, 0, 0, 1, 0, 0), h, out, True, 0)
-    return out
+    def __init__(self, c, rect, u0, u1, v, turn, size, place, k, n, room, two):
+        self.c, self.rect, self.u0, self.u1, self.v, self.turn, self.size, self.place, self.k, self.n, self.room, self.two = c, rect, u0, u1, v, turn, size, place, k, n, room, two
 
 
-def _draw(pdf: Pdf, content: bytes, res: dict, ctm, h: float, out: list[dict], top: bool, depth: int) -> None:
-    fonts = pdf.get(res.get("Font")) or {}
-    made: dict[str, dict] = {}
-    args: list = []
-    stack: list = []
-    font, size, tc, tw, th, lead, rise = None, 1.0, 0.0, 0.0, 1.0, 0.0, 0.0
-    tm = tlm = (1, 0, 0, 1, 0, 0)
-
-    def show(s: bytes, span) -> None:
-        nonlocal tm
-        f = font or {"two": False, "map": None, "width": {}, "codec": "cp1252", "diff": {}, "default": None}
-        step = 2 if f["two"] else 1
-        for k in range(0, len(s) - step + 1, step):
-            code = int.from_bytes(s[k : k + step], "big")
-            c = (f["map"] or {}).get(code)
-            if c is None:
-                c = chr(code) if f["two"] else f["diff"].get(code) or bytes([code]).decode(f["codec"], "replace")
-            adv = f["width"].get(code)
-            if adv is None:
-                adv = f["default"] if f["default"] is not None else L.advance(c[:1] or " ")
-            wide = (adv / 1000 * size + tc + (tw if code == 32 and step == 1 else 0)) * th
-            m = _mul(tm, ctm)
-            x0, y0 = m[4], m[5] + rise
-            x1 = x0 + adv / 1000 * size * th * (m[0] or m[1] or 1)
-            tall = abs(size * (m[3] or m[0]))
-            for ch in c:
-                out.append({"c": ch, "x0": min(x0, x1), "x1": max(x0, x1), "y0": h - y0 - 0.8 * tall, "y1": h - y0 + 0.22 * tall, "base": y0, "size": tall, "span": span if top and step == 1 else None, "k": k})
-            tm = _mul((1, 0, 0, 1, wide, 0), tm)
-
-    for v, span in parse(content, ops=True):
-        if not isinstance(v, Op):
-            args.append((v, span))
-            continue
-        a = [x for x, _ in args]
-        try:
-            if v == "BT":
-                tm = tlm = (1, 0, 0, 1, 0, 0)
-            elif v == "q":
-                stack.append((ctm, font, size, tc, tw, th, lead, rise))
-            elif v == "Q" and stack:
-                ctm, font, size, tc, tw, th, lead, rise = stack.pop()
-            elif v == "cm":
-                ctm = _mul(tuple(a[-6:]), ctm)
-            elif v == "Tf":
-                name, size = a[-2], float(a[-1])
-                if name not in made:
-                    made[name] = pdf.font(fonts.get(name))
-                font = made[name]
-            elif v == "Tc":
-                tc = float(a[-1])
-            elif v == "Tw":
-                tw = float(a[-1])
-            elif v == "Tz":
-                th = float(a[-1]) / 100
-            elif v == "TL":
-                lead = float(a[-1])
-            elif v == "Ts":
-                rise = float(a[-1])
-            elif v == "Tm":
-                tm = tlm = tuple(a[-6:])
-            elif v in ("Td", "TD"):
-                if v == "TD":
-                    lead = -float(a[-1])
-                tm = tlm = _mul((1, 0, 0, 1, a[-2], a[-1]), tlm)
-            elif v in ("T*", "'", '"'):
-                if v == '"':
-                    tw, tc = float(a[-3]), float(a[-2])
-                tm = tlm = _mul((1, 0, 0, 1, 0, -lead), tlm)
-                if v != "T*":
-                    show(a[-1], args[-1][1])
-            elif v == "Tj":
-                show(a[-1], args[-1][1])
-            elif v == "TJ":
-                for n, x in enumerate(a[-1]):
-                    if isinstance(x, bytes):
-                        show(x, (*args[-1][1], n))
-                    else:
-                        tm = _mul((1, 0, 0, 1, -x / 1000 * size * th, 0), tm)
-            elif v == "Do" and depth < 8:
-                x = pdf.get((pdf.get(res.get("XObject")) or {}).get(a[-1]))
-                if isinstance(x, tuple) and x[0].get("Subtype") == "Form":
-                    _draw(pdf, pdf.stream(x), pdf.get(x[0].get("Resources")) or res, _mul(tuple(pdf.get(x[0].get("Matrix")) or (1, 0, 0, 1, 0, 0)), ctm), h, out, False, depth + 1)
-        except (IndexError, TypeError):
-            pass
-        args = []
+def glyphs(pdf: Pdf, page: dict) -> list[Glyph]:
+    """Glyphs of a page in drawing order."""
+    out: list[Glyph] = []
+    _Drawing(pdf, pdf.size(page)[1], out).run(pdf.content(page), pdf.get(page.get("Resources")) or {}, pdf.matrix(page), (), ())
+    return out
 
 
-def lines(gs: list[dict]) -> list[list[int]]:
-    """Indices of glyphs by line: same base line, going on to the right of the last."""
+class _Drawing:
+    def __init__(self, pdf: Pdf, height: float, out: list[Glyph]):
+        self.pdf, self.height, self.out = pdf, height, out
+        self.fonts: dict[object, Font] = {}
+
+    def font(self, v) -> Font:
+        key = int(v) if isinstance(v, Ref) else id(v)
+        if key not in self.fonts:
+            self.fonts[key] = Font(self.pdf, v)
+        return self.fonts[key]
+
+    def run(self, content: bytes, res: dict, ctm, path: tuple, inside: tuple) -> None:
+        """Draw a content stream. ``path``: the operators that led into it; ``inside``: the forms it is in."""
+        pdf, out, height = self.pdf, self.out, self.height
+        fonts = pdf.get(res.get("Font")) or {}
+        args: list = []
+        stack: list = []
+        font, size, tc, tw, th, lead, rise = Font(), 1.0, 0.0, 0.0, 1.0, 0.0, 0.0
+        tm = tlm = (1, 0, 0, 1, 0, 0)
+        n = -1
+
+        def show(s: bytes, string: int) -> None:
+            nonlocal tm
+            if not isinstance(s, bytes):
+                raise ValueError("text that is no string")
+            place = (path, n, string)
+            for k, size_, chars, adv, is_space in font.codes(s):
+                m = _mul(tm, ctm)
+                wide = (adv / 1000 * size + tc + (tw if is_space else 0)) * th
+                ax, ay = adv / 1000 * size * th * m[0], adv / 1000 * size * th * m[1]
+                ux, uy = size * m[2], size * m[3]
+                x, y = m[4] + rise * m[2], m[5] + rise * m[3]
+                xs = (x - 0.22 * ux, x + 0.8 * ux, x + ax - 0.22 * ux, x + ax + 0.8 * ux)
+                ys = (y - 0.22 * uy, y + 0.8 * uy, y + ay - 0.22 * uy, y + ay + 0.8 * uy)
+                rect = (min(xs), height - max(ys), max(xs), height - min(ys))
+                long = math.hypot(m[0], m[1]) or 1.0
+                dx, dy = m[0] / long, m[1] / long
+                u0 = x * dx + y * dy
+                room = -(adv + ((tc + (tw if is_space else 0)) * 1000 / size if size else 0))
+                u1 = u0 + adv / 1000 * size * th * long
+                for c in chars:
+                    out.append(Glyph(c, rect, min(u0, u1), max(u0, u1), y * dx - x * dy, round(math.atan2(dy, dx), 2), math.hypot(ux, uy), place, k, size_, room, font.two))
+                tm = _mul((1, 0, 0, 1, wide, 0), tm)
+
+        for v, _ in parse(content, ops=True):
+            if not isinstance(v, Op):
+                args.append(v)
+                continue
+            n += 1
+            a, args = args, []
+            try:
+                if v == "BT":
+                    tm = tlm = (1, 0, 0, 1, 0, 0)
+                elif v == "q":
+                    stack.append((ctm, font, size, tc, tw, th, lead, rise))
+                elif v == "Q":
+                    if stack:
+                        ctm, font, size, tc, tw, th, lead, rise = stack.pop()
+                elif v == "cm":
+                    ctm = _mul(tuple(map(float, a[-6:])), ctm)
+                elif v == "Tf":
+                    font, size = self.font(fonts.get(a[-2])), float(a[-1])
+                elif v == "gs":
+                    g = pdf.get((pdf.get(res.get("ExtGState")) or {}).get(a[-1]))
+                    if isinstance(g, dict) and (f := pdf.get(g.get("Font"))):
+                        font, size = self.font(f[0]), float(pdf.get(f[1]))
+                elif v == "Tc":
+                    tc = float(a[-1])
+                elif v == "Tw":
+                    tw = float(a[-1])
+                elif v == "Tz":
+                    th = float(a[-1]) / 100
+                elif v == "TL":
+                    lead = float(a[-1])
+                elif v == "Ts":
+                    rise = float(a[-1])
+                elif v == "Tm":
+                    tm = tlm = tuple(map(float, a[-6:]))
+                    if len(tm) != 6:
+                        raise ValueError("a matrix of other than six numbers")
+                elif v in ("Td", "TD"):
+                    if v == "TD":
+                        lead = -float(a[-1])
+                    tm = tlm = _mul((1, 0, 0, 1, float(a[-2]), float(a[-1])), tlm)
+                elif v in ("T*", "'", '"'):
+                    if v == '"':
+                        tw, tc = float(a[-3]), float(a[-2])
+                    tm = tlm = _mul((1, 0, 0, 1, 0, -lead), tlm)
+                    if v != "T*":
+                        show(a[-1], -1)
+                elif v == "Tj":
+                    show(a[-1], -1)
+                elif v == "TJ":
+                    for k, x in enumerate(a[-1]):
+                        if isinstance(x, bytes):
+                            show(x, k)
+                        else:
+                            tm = _mul((1, 0, 0, 1, -float(x) / 1000 * size * th, 0), tm)
+                elif v == "Do" and (x := pdf.form(res, a[-1])):
+                    if x[2] in inside:
+                        raise ValueError("a form that draws itself")
+                    own = pdf.get(x[0].get("Resources"))
+                    m = tuple(float(pdf.get(y)) for y in pdf.get(x[0].get("Matrix")) or (1, 0, 0, 1, 0, 0))
+                    self.run(pdf.stream(x), own if isinstance(own, dict) else res, _mul(m, ctm), (*path, n), (*inside, x[2]))
+            except (IndexError, TypeError) as e:
+                raise ValueError(f"operator {v} can't be read") from e
+
+
+def lines(gs: list[Glyph]) -> list[list[int]]:
+    """Indices of glyphs by line: same base line, going on behind the last."""
     out: list[list[int]] = []
+    last = None
     for k, g in enumerate(gs):
-        if out:
-            last = gs[out[-1][-1]]
-            if abs(last["base"] - g["base"]) <= 0.3 * max(last["size"], 1) and -1 <= g["x0"] - last["x1"] + 0.5 * last["size"] and g["x0"] - last["x1"] < 8 * last["size"]:
-                out[-1].append(k)
-                continue
-        out.append([k])
-    return [x for x in out if any(not gs[k]["c"].isspace() for k in x)]
+        if last is not None and g.turn == last.turn and abs(last.v - g.v) <= 0.3 * max(last.size, 1) and -0.5 * last.size - 1 <= g.u0 - last.u1 < 8 * last.size:
+            out[-1].append(k)
+        else:
+            out.append([k])
+        last = g
+    return [x for x in out if any(not gs[k].c.isspace() for k in x)]
 
 
-def blocks(gs: list[dict]) -> list[list[list[int]]]:
+def blocks(gs: list[Glyph]) -> list[list[list[int]]]:
     """Lines that stand under each other closely, block by block."""
     out: list[list[list[int]]] = []
     for line in lines(gs):
         g = gs[line[0]]
         if out:
             p = gs[out[-1][-1][0]]
-            if 0 < p["base"] - g["base"] <= 1.6 * max(p["size"], g["size"]):
+            if p.turn == g.turn and 0 < p.v - g.v <= 1.6 * max(p.size, g.size):
                 out[-1].append(line)
                 continue
         out.append([line])
     return out
 
 
-def page_text(gs: list[dict], width: float) -> tuple[str, list[int | None]]:
+def page_text(gs: list[Glyph], width: float) -> tuple[str, list[int | None]]:
     """Text of a page and the glyph of each of its characters (none for separators)."""
     text: list[str] = []
     src: list[int | None] = []
@@ -435,16 +466,14 @@ def page_text(gs: list[dict], width: float) -> tuple[str, list[int | None]]:
         for line in block:
             chars, at = [], []
             for n, k in enumerate(line):
-                if n and gs[k]["x0"] - gs[line[n - 1]]["x1"] > 0.25 * gs[k]["size"] and not gs[k]["c"].isspace() and not chars[-1].isspace():
+                if n and gs[k].u0 - gs[line[n - 1]].u1 > 0.25 * gs[k].size and not gs[k].c.isspace() and not chars[-1].isspace():
                     chars.append(" ")
                     at.append(None)
-                chars.append(gs[k]["c"])
+                chars.append(gs[k].c)
                 at.append(k)
-            now = {"text": "".join(chars), "x0": min(gs[k]["x0"] for k in line), "x1": max(gs[k]["x1"] for k in line)}
+            now = "".join(chars), min(gs[k].rect[0] for k in line), max(gs[k].rect[2] for k in line)
             if before:
-                t = before["text"].rstrip()
-                soft = t and t[-1] not in ".!?:;" and (before["x1"] >= width - 12 or abs(before["x0"] - now["x0"]) <= 24 and before["x1"] - before["x0"] >= 0.72 * width)
-                text.append(" " if soft else "\n")
+                text.append(" " if L.soft_wrapped(*before, now[1], width) else "\n")
                 src.append(None)
             text += chars
             src += at
@@ -462,30 +491,44 @@ def _literal(s: bytes) -> bytes:
 
 
 class Writer:
-    """Objects of a new file, or of an increment to one."""
+    """Objects of a new file, or of an addition to one."""
 
-    def __init__(self, first: int = 1):
-        self.first, self.objects = first, []
+    def __init__(self, first: int = 1, filters: tuple[str, ...] = ("FlateDecode",)):
+        self.first, self.objects, self.filters = first, [], filters
 
     def add(self, body: bytes) -> int:
         self.objects.append(body)
         return self.first + len(self.objects) - 1
 
     def stream(self, data: bytes, extra: bytes = b"") -> int:
-        z = zlib.compress(data, 6)
-        return self.add(b"<< /Length %d /Filter /FlateDecode %s>>\nstream\n" % (len(z), extra) + z + b"\nendstream")
+        for f in reversed(self.filters):
+            data = pdf_filters.ENCODE[f](data)
+        names = b" ".join(b"/" + f.encode() for f in self.filters)
+        return self.add(b"<< /Length %d %s%s>>\nstream\n" % (len(data), b"/Filter [%s] " % names if names else b"", extra) + data + b"\nendstream")
+
 
+def wide_font(w: Writer, chars: str, paths: tuple[str, ...] = FONT_PATHS) -> tuple[int, dict[str, bytes]]:
+    """A two-byte font for the characters of a page, with their codes: the first font file there is, embedded, or a name only.
 
-def wide_font(w: Writer, chars: str) -> tuple[int, dict[str, bytes]]:
-    """A two-byte font for the characters of a page, with their codes."""
-    codes = {c: (k + 1).to_bytes(2, "big") for k, c in enumerate(sorted(set(chars)))}
+    Widths are those that lines are filled by, so that a page reads back as it was set.
+    """
+    face = text_font(paths)
+    need = sorted(set(chars))
+    codes = {c: (k + 1).to_bytes(2, "big") for k, c in enumerate(need)}
     rows = [b"<%s> <%s>" % (v.hex().encode(), c.encode("utf-16-be").hex().encode()) for c, v in codes.items()]
     body = b"".join(b"%d beginbfchar\n%s\nendbfchar\n" % (len(rows[k : k + 100]), b"\n".join(rows[k : k + 100])) for k in range(0, len(rows), 100))
     cmap = w.stream(b"/CIDInit /ProcSet findresource begin 12 dict begin begincmap /CMapType 2 def 1 begincodespacerange <0000> <FFFF> endcodespacerange\n" + body + b"endcmap end end")
     widths = b" ".join(b"%d [%d]" % (int.from_bytes(v, "big"), L.advance(c)) for c, v in codes.items())
-    desc = w.add(b"<< /Type /FontDescriptor /FontName /Sans /Flags 32 /FontBBox [0 -200 1000 900] /ItalicAngle 0 /Ascent 900 /Descent -200 /CapHeight 700 /StemV 80 >>")
-    kid = w.add(b"<< /Type /Font /Subtype /CIDFontType2 /BaseFont /Sans /CIDSystemInfo << /Registry (Adobe) /Ordering (Identity) /Supplement 0 >> /FontDescriptor %d 0 R /DW 556 /W [%s] >>" % (desc, widths))
-    return w.add(b"<< /Type /Font /Subtype /Type0 /BaseFont /Sans /Encoding /Identity-H /DescendantFonts [%d 0 R] /ToUnicode %d 0 R >>" % (kid, cmap)), codes
+    if face:
+        name, box, up, down = face.name.encode(), face.box, face.ascent, face.descent
+        part = face.subset(need)
+        file = b"/FontFile2 %d 0 R " % w.stream(part, b"/Length1 %d " % len(part))
+        to_glyph = b"/CIDToGIDMap /Identity "
+    else:
+        name, box, up, down, file, to_glyph = b"Sans", [0, -200, 1000, 900], 900, -200, b"", b""
+    desc = w.add(b"<< /Type /FontDescriptor /FontName /%s /Flags 32 /FontBBox [%d %d %d %d] /ItalicAngle 0 /Ascent %d /Descent %d /CapHeight 700 /StemV 80 %s>>" % (name, *box, up, down, file))
+    kid = w.add(b"<< /Type /Font /Subtype /CIDFontType2 /BaseFont /%s /CIDSystemInfo << /Registry (Adobe) /Ordering (Identity) /Supplement 0 >> /FontDescriptor %d 0 R /DW 556 /W [%s] %s>>" % (name, desc, widths, to_glyph))
+    return w.add(b"<< /Type /Font /Subtype /Type0 /BaseFont /%s /Encoding /Identity-H /DescendantFonts [%d 0 R] /ToUnicode %d 0 R >>" % (name, kid, cmap)), codes
 
 
 def _show(text: str, codes: dict[str, bytes] | None) -> bytes:
@@ -494,78 +537,57 @@ def _show(text: str, codes: dict[str, bytes] | None) -> bytes:
     return b"<" + b"".join(codes[c] for c in text).hex().encode() + b">"
 
 
-def set_lines(w: Writer, ls: list[str], width: float, height: float) -> tuple[bytes, bytes]:
-    """Content and resources of a page of lines."""
+def set_lines(w: Writer, ls: list[str], height: float, two: bool = False, paths: tuple[str, ...] = FONT_PATHS) -> tuple[bytes, bytes]:
+    """Content and resources of a page of lines. ``two``: a two-byte font even where a simple one would do."""
     text = "".join(ls)
-    try:
-        text.encode("cp1252")
-        codes, font = None, w.add(b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>")
-    except UnicodeEncodeError:
-        font, codes = wide_font(w, text)
+    codes = font = None
+    if not two:
+        try:
+            text.encode("cp1252")
+            font = w.add(b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>")
+        except UnicodeEncodeError:
+            pass
+    if font is None:
+        font, codes = wide_font(w, text or " ", paths)
     out = [b"BT /F1 %g Tf 0 g %g %g Td %g TL" % (L.FONT_SIZE, L.MARGIN, height - L.MARGIN - L.FONT_SIZE, L.LINE_HEIGHT)]
     out += [(_show(x, codes) + b" Tj T*" if x else b"T*") for x in ls]
     return b"\n".join([*out, b"ET"]), b"<< /Font << /F1 %d 0 R >> >>" % font
 
 
-def build(pages: list[list[str]], width: float = L.WIDTH, height: float = L.HEIGHT) -> bytes:
-    """A file of pages of lines; without any page it has one empty one."""
-    w = Writer(3)
+def _file(bodies: dict[int, bytes], root: int, info: int | None = None) -> bytes:
+    out, at = bytearray(b"%PDF-1.7\n%\xe2\xe3\xcf\xd3\n"), {}
+    for n in sorted(bodies):
+        at[n] = len(out)
+        out += b"%d 0 obj\n%s\nendobj\n" % (n, bodies[n])
+    x, top = len(out), max(at) + 1
+    out += b"xref\n0 %d\n0000000000 65535 f \n" % top
+    out += b"".join(b"%010d 00000 n \n" % at[n] if n in at else b"0000000000 65535 f \n" for n in range(1, top))
+    out += b"trailer\n<< /Size %d /Root %d 0 R %s>>\nstartxref\n%d\n%%%%EOF\n" % (top, root, b"/Info %d 0 R " % info if info else b"", x)
+    return bytes(out)
+
+
+def build(pages: list[list[str]], width: float = L.WIDTH, height: float = L.HEIGHT, filters: tuple[str, ...] = ("FlateDecode",), two: bool = False, form: bool = False, paths: tuple[str, ...] = FONT_PATHS) -> bytes:
+    """A file of pages of lines; without any page it has one empty one.
+
+    ``filters``: how streams are packed, outermost first; ``form``: each page draws its text through a form in a form.
+    """
+    w = Writer(3, filters)
     kids = []
     for ls in pages or [[]]:
-        content, res = set_lines(w, [x.replace("\t", "    ") for x in ls], width, height)
+        content, res = set_lines(w, [x.replace("\t", "    ") for x in ls], height, two, paths)
+        if form:
+            for _ in range(2):
+                x = w.stream(content, b"/Type /XObject /Subtype /Form /BBox [0 0 %g %g] /Resources %s " % (width, height, res))
+                content, res = b"q 1 0 0 1 0 0 cm /Fm0 Do Q", b"<< /XObject << /Fm0 %d 0 R >> >>" % x
         c = w.stream(content)
         kids.append(w.add(b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 %g %g] /Resources %s /Contents %d 0 R >>" % (width, height, res, c)))
     tree = b"<< /Type /Pages /Count %d /Kids [%s] >>" % (len(kids), b" ".join(b"%d 0 R" % k for k in kids))
-    bodies = [b"<< /Type /Catalog /Pages 2 0 R >>", tree, *w.objects]
-    out, at = bytearray(b"%PDF-1.7\n%\xe2\xe3\xcf\xd3\n"), []
-    for n, b in enumerate(bodies, 1):
-        at.append(len(out))
-        out += b"%d 0 obj\n%s\nendobj\n" % (n, b)
-    x = len(out)
-    out += b"xref\n0 %d\n0000000000 65535 f \n" % (len(bodies) + 1) + b"".join(b"%010d 00000 n \n" % p for p in at)
-    out += b"trailer\n<< /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(bodies) + 1, x)
-    return bytes(out)
-
-
-def wrap(text: str, width: float) -> list[str]:
-    """Lines of a text, filled greedily: the rule of ``layout.wrap_line``."""
-    most = width * 1000 / L.FONT_SIZE
-    size = lambda t: sum(map(L.advance, t))
-    out: list[str] = []
-    for raw in text.split("\n"):
-        ws = raw.expandtabs(4).split()
-        now = ""
-        for word in ws:
-            trial = f"{now} {word}" if now else word
-            if size(trial) <= most:
-                now = trial
-                continue
-            if now:
-                out.append(now)
-            now = ""
-            for c in word:
-                if now and size(now + c) > most:
-                    out.append(now)
-                    now = c
-                else:
-                    now += c
-        out.append(now)
-    return out
+    return _file({1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: tree} | {3 + k: b for k, b in enumerate(w.objects)}, 1)
 
 
 def flow(texts: list[str]) -> bytes:
     """All texts as one, over as many pages as it takes."""
-    text = "\n".join(t.rstrip("\n") for t in texts).replace("\r\n", "\n").replace("\r", "\n")
-    pages: list[list[str]] = []
-    for section in text.split("\f"):
-        ls = wrap(section, L.WIDTH - 2 * L.MARGIN)
-        pages += [ls[k : k + L.LINES_PER_PAGE] for k in range(0, max(1, len(ls)), L.LINES_PER_PAGE)]
-    return build(pages)
-
-
-def _label(text: str) -> str:
-    t = " ".join(text.split())
-    return "" if not t else "****" if len(t) > 64 or not t.isascii() else t
+    return build(L.flow_pages(L.reflow_text(texts)))
 
 
 def aligned(text: str, src: list[int | None], source: str) -> list[int | None] | None:
@@ -600,155 +622,203 @@ def occurrences(text: str, wanted: str) -> list[range]:
     return [r for rs in each for r in rs]
 
 
-def erase(pdf: Pdf, page: dict, source: str, changes: list[dict]) -> tuple[bytes, list[tuple[float, float, float, float, str]]] | None:
-    """Content without the glyphs of the changed spans, and labelled boxes; none if that isn't safe.
+Box = tuple[L.Rect, str]
+
+
+def places(gs: list[Glyph], size: tuple[float, float], source: str, changes: list[dict]) -> tuple[list[int], list[Box]] | None:
+    """The glyphs of the changed spans, and labelled boxes; none if they can't be told safely.
 
     Spans are found by their offsets; if one can't be, all are looked for by their
     text, which takes out every occurrence on the page.
     """
-    gs = glyphs(pdf, page)
-    width, height = pdf.size(page)
-    text, src = page_text(gs, width)
+    text, src = page_text(gs, size[0])
     wanted = [c for c in changes if c["source_text"].strip()]
     if any(sum(map(str.isalnum, c["source_text"])) == 1 for c in wanted):
         return None
     at = aligned(text, src, source)
-    spans = []  # glyph numbers of each place, and its label
+    spans = []  # the text that spans are told in, the glyph of each of its characters, start, end, label
     if at is not None:
         for c in wanted:
-            ks = [(at[k], source[k]) for k in range(c["source_start"], c["source_end"])]
-            if any(k is None and not ch.isspace() for k, ch in ks):
+            a, b = c["source_start"], c["source_end"]
+            if any(at[k] is None and not source[k].isspace() for k in range(a, b)):
                 at = None
                 break
-            spans.append(([k for k, _ in ks if k is not None], c["replacement_text"]))
+            spans.append((source, at, a, b, c["label"]))
     if at is None:
         spans = []
         for c in wanted:
             hits = occurrences(text, c["source_text"])
             if not hits:
                 return None
-            spans += [([src[k] for k in r if src[k] is not None], c["replacement_text"]) for r in hits]
-    gone: dict[tuple, set[int]] = {}
-    boxes = []
-    for ks, label in spans:
-        rects = []
-        for k in ks:
-            g = gs[k]
-            if g["span"] is None:
-                return None
-            gone.setdefault(g["span"], set()).add(g["k"])
-            if not g["c"].isspace():
-                rects.append(g)
-        merged: list[list[float]] = []
-        for g in sorted(rects, key=lambda g: (round(g["y0"], 1), g["x0"])):
-            r = [g["x0"], g["y0"], g["x1"], g["y1"]]
-            if merged and min(abs(merged[-1][1] - r[1]), abs(merged[-1][3] - r[3])) <= max(2.0, 0.45 * min(merged[-1][3] - merged[-1][1], r[3] - r[1])):
-                m = merged[-1]
-                merged[-1] = [min(m[0], r[0]), min(m[1], r[1]), max(m[2], r[2]), max(m[3], r[3])]
-            else:
-                merged.append(r)
-        boxes += [(max(0, r[0] - 0.75), max(0, r[1] - 0.75), min(width, r[2] + 0.75), min(height, r[3] + 0.75), _label(label) if n == 0 else "") for n, r in enumerate(merged)]
-    raw = pdf.content(page)
-    edits = []
-    for span, ks in gone.items():
-        v = parse(raw, span[0])[0]
-        if len(span) == 3:
-            edits.append((span[0], span[1], span[2], ks, v))
-        else:
-            edits.append((span[0], span[1], None, ks, v))
-    # the strings of one array are written together
-    whole: dict[tuple[int, int], object] = {}
-    for a, b, n, ks, v in edits:
-        cur = whole.setdefault((a, b), v)
-        s = bytearray(cur[n] if n is not None else cur)
-        for k in ks:
-            s[k] = 32
-        if n is None:
-            whole[a, b] = bytes(s)
-        else:
-            cur[n] = bytes(s)
-    out, at = bytearray(), 0
-    for (a, b), v in sorted(whole.items()):
-        out += raw[at:a] + b" "
-        out += b"[" + b" ".join(_literal(x) if isinstance(x, bytes) else b"%g" % x for x in v) + b"]" if isinstance(v, list) else _literal(v)
-        at = b
-    return bytes(out + raw[at:]), boxes
+            spans += [(text, src, r.start, r.stop, c["label"]) for r in hits]
+    gone, boxes = [], []
+    for t, glyph, a, b, label in spans:
+        gone += [glyph[k] for k in range(a, b) if glyph[k] is not None]
+        rects = L.span_rects(t, [gs[k].rect if k is not None else None for k in glyph], a, b, *size)
+        boxes += [(L.expand(r, *size, 0.0), label if n == 0 else "") for n, r in enumerate(rects)]
+    return gone, boxes
+
+
+#: Properties of marked content that repeat its text.
+_REPEATS = ("ActualText", "Alt", "E")
+
+
+class _Eraser:
+    """Content streams without some of their glyphs; forms concerned are copied."""
+
+    def __init__(self, pdf: Pdf, w: Writer, gone: list[Glyph]):
+        self.pdf, self.w = pdf, w
+        self.gone: dict[tuple, dict[int, dict[int, Glyph]]] = {}  # (path, operator) -> string -> offset -> glyph
+        for g in gone:
+            path, op, string = g.place
+            self.gone.setdefault((path, op), {}).setdefault(string, {})[g.k] = g
+        self.within = {p[:k] for p, _ in self.gone for k in range(1, len(p) + 1)}
+
+    def string(self, s: bytes, holes: dict[int, Glyph]) -> list[bytes]:
+        """The parts of a string that stay, and the room of those that go."""
+        two = any(g.two for g in holes.values())
+        out, at = [], 0
+        put = lambda x: out.append(b"<" + x.hex().encode() + b">" if two else _literal(x)) if x else None
+        for k in sorted(holes):
+            put(s[at:k])
+            out.append(b"%.3f" % holes[k].room)
+            at = k + holes[k].n
+        put(s[at:])
+        return out
+
+    def run(self, raw: bytes, res: dict, path: tuple) -> tuple[bytes, dict]:
+        out, at, n, args = bytearray(), 0, -1, []
+        forms: dict[Name, Ref] = {}
+        copied, drawn = set(), set()
+        taken = set(self.pdf.get(res.get("XObject")) or {})
+        for v, span in parse(raw, ops=True):
+            if not isinstance(v, Op):
+                args.append((v, span))
+                continue
+            n += 1
+            body = None
+            a = [x for x, _ in args]
+            if holes := self.gone.get((path, n)):
+                shown = a[-1] if isinstance(a[-1], list) else [a[-1]]
+                parts = []
+                for k, x in enumerate(shown):
+                    h = holes.get(k if v == "TJ" else -1)
+                    parts += self.string(x, h) if h else [_literal(x) if isinstance(x, bytes) else b"%g" % x]
+                lead = b"%g Tw %g Tc T* " % (a[-3], a[-2]) if v == '"' else b"T* " if v == "'" else b""
+                body = lead + b"[" + b" ".join(parts) + b"] TJ"
+            elif v == "Do" and (*path, n) in self.within:
+                x = self.pdf.form(res, a[-1])
+                own = self.pdf.get(x[0].get("Resources"))
+                inner, inner_res = self.run(self.pdf.stream(x), own if isinstance(own, dict) else res, (*path, n))
+                kept = {k: y for k, y in x[0].items() if k not in ("Length", "Filter", "DecodeParms", "Resources", "F", "DP", "StructParents", "Metadata", "PieceInfo")}
+                name = next(m for k in range(len(taken) + 1) if (m := Name(f"Tl{k}")) not in taken)
+                taken.add(name)
+                forms[name] = Ref(self.w.stream(inner, dump(kept | {"Resources": inner_res})[2:-2]))
+                body = b"/%s Do" % name.encode()
+                copied.add(a[-1])
+            elif v == "Do" and a:
+                drawn.add(a[-1])
+            elif v in ("BDC", "DP") and a and isinstance(a[-1], dict) and any(k in a[-1] for k in _REPEATS):
+                body = dump(a[-2]) + b" " + dump({k: x for k, x in a[-1].items() if k not in _REPEATS}) + b" " + v.encode()
+            if body is not None:
+                out += raw[at : args[0][1][0] if args else span[0]] + b" " + body + b" "
+                at = span[1]
+            args = []
+        new = dict(res)
+        if forms:
+            new["XObject"] = {k: x for k, x in self.pdf.get(res.get("XObject")).items() if k not in copied - drawn} | forms
+        marked = self.pdf.get(res.get("Properties"))
+        if isinstance(marked, dict):
+            new["Properties"] = {k: {x: y for x, y in d.items() if x not in _REPEATS} if isinstance(d := self.pdf.get(p), dict) and any(x in d for x in _REPEATS) else p for k, p in marked.items()}
+        return bytes(out + raw[at:]), new
+
+
+def erase(pdf: Pdf, w: Writer, page: dict, source: str, changes: list[dict]) -> tuple[bytes, dict, list[Box]] | None:
+    """Content and resources without the glyphs of the changed spans, and labelled boxes; none if that isn't safe."""
+    gs = glyphs(pdf, page)
+    found = places(gs, pdf.size(page), source, changes)
+    if found is None:
+        return None
+    raw, res = _Eraser(pdf, w, [gs[k] for k in found[0]]).run(pdf.content(page), pdf.get(page.get("Resources")) or {}, ())
+    return raw, res, found[1]
 
 
 def rewrite(data: bytes, pages: list[tuple[str, str, str, list[dict]]]) -> bytes:
-    """The file with each page ``(source, target, strategy, changes)`` written by its strategy, as one increment to it.
+    """The file with each page ``(source, target, strategy, changes)`` written by its strategy.
 
-    The old revisions of changed objects are dropped from the file, so that no
-    erased text stays readable in it.
+    Only what the pages still refer to is in it, so that no erased text stays readable.
     """
     pdf = Pdf(data)
     if len(pdf.pages) != len(pages):
         raise ValueError(S.ERROR_PDF_PAGES)
     w = Writer(max([*pdf.where, *pdf.packed], default=0) + 1)
     new: dict[int, bytes] = {}
-    dead: set[int] = set()
     for page, (source, target, strategy, changes) in zip(pdf.pages, pages):
         if strategy == "unchanged":
             continue
+        if page["_ref"] is None:
+            raise ValueError("a page that is no object")
         width, height = pdf.size(page)
-        got = erase(pdf, page, source, [c for c in changes if c["tag"] != "insert"]) if strategy == "redact" else None
+        got = erase(pdf, w, page, source, [c for c in changes if c["tag"] != "insert"]) if strategy == "redact" else None
+        seen = b"%.4f %.4f %.4f %.4f %.4f %.4f cm\n" % _inverse(pdf.matrix(page))  # what follows is told on the page as it is seen
         if got is None:
-            ls = wrap(target, width - 2 * L.MARGIN)
+            ls = L.wrap(target, width - 2 * L.MARGIN)
             if len(ls) * L.LINE_HEIGHT > height - 2 * L.MARGIN:
                 return flow([p[1] for p in pages])
-            content, res = set_lines(w, ls, width, height)
+            content, res = set_lines(w, ls, height)
+            content = b"q\n" + seen + content + b"\nQ"
         else:
-            raw, boxes = got
+            raw, res_d, boxes = got
             font = w.add(b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>")
             draw = []
-            for x0, y0, x1, y1, label in boxes:
+            for (x0, y0, x1, y1), label in boxes:
                 draw.append(b"1 g %.2f %.2f %.2f %.2f re f" % (x0, height - y1, x1 - x0, y1 - y0))
                 if label:
-                    size = max(5.0, min(10.0, 0.7 * (y1 - y0)))
-                    draw.append(b"BT /Lab %.2f Tf 0 g %.2f %.2f Td %s Tj ET" % (size, x0 + 0.75, height - y1 + 0.28 * (y1 - y0), _literal(label.encode("ascii"))))
-            content = b"q\n" + raw + b"\nQ\n" + b"\n".join(draw)
-            res_d = dict(pdf.get(page.get("Resources")) or {})
-            res_d["Font"] = dict(pdf.get(res_d.get("Font")) or {}) | {Name("Lab"): Ref(font)}
-            res = dump(res_d)
+                    draw.append(b"BT /TlLabel %.2f Tf 0 g %.2f %.2f Td %s Tj ET" % (L.font_size((x0, y0, x1, y1)), x0 + 0.75, height - y1 + 0.28 * (y1 - y0), _literal(label.encode("ascii"))))
+            content = b"q\n" + raw + b"\nQ\nq\n" + seen + b"\n".join(draw) + b"\nQ"
+            res = dump({**res_d, "Font": dict(pdf.get(res_d.get("Font")) or {}) | {Name("TlLabel"): Ref(font)}})
         c = w.stream(content)
-        old = page.get("Contents")
-        dead |= {int(x) for x in (pdf.get(old) if isinstance(pdf.get(old), list) else [old]) if isinstance(x, Ref)}
-        keep = {k: v for k, v in page.items() if k not in ("_ref", "Contents", "Resources")}
+        keep = {k: v for k, v in page.items() if k not in ("_ref", "Contents", "Resources", "PieceInfo", "Thumb")}
         new[page["_ref"]] = dump(keep)[:-2] + b"/Resources %s /Contents %d 0 R >>" % (res, c)
-    # written anew: every object that is still there, then the changed and the added ones
-    out, at = bytearray(b"%PDF-1.7\n%\xe2\xe3\xcf\xd3\n"), {}
-
-    def put(n: int, body: bytes) -> None:
-        at[n] = len(out)
-        out.extend(b"%d 0 obj\n%s\nendobj\n" % (n, body))
-
-    root = int(re.findall(rb"/Root\s+(\d+)\s+\d+\s+R", data)[-1])
-    for n in sorted({*pdf.where, *pdf.packed}):
-        v = pdf.get(Ref(n))
-        if n in new:
-            put(n, new[n])
-        elif n in dead or isinstance(v, tuple) and v[0].get("Type") in ("ObjStm", "XRef"):
+    added = {w.first + k: b for k, b in enumerate(w.objects)}
+    root, info = pdf.root()[0], pdf.trailer.get("Info")
+    bodies: dict[int, bytes] = {}
+    todo = [root, *([int(info)] if isinstance(info, Ref) and pdf.get(info) is not None else [])]
+    while todo:  # what is still referred to
+        n = todo.pop()
+        if n in bodies:
             continue
-        elif isinstance(v, tuple):
-            d, s = v
-            size = pdf.get(d.get("Length"))
-            raw = data[s : s + size] if isinstance(size, int) else data[s : data.find(b"endstream", s)]
-            put(n, dump({**d, "Length": len(raw)}) + b"\nstream\n" + raw + b"\nendstream")
+        if n in new or n in added:
+            body = new.get(n) or added[n]
+            refs = _REF.findall(body.split(b"stream\n", 1)[0])
+            todo += [int(a) for a, _ in refs]
         else:
-            put(n, dump(v))
-    for k, b in enumerate(w.objects):
-        put(w.first + k, b)
-    x, top = len(out), max(at) + 1
-    out += b"xref\n0 %d\n0000000000 65535 f \n" % top
-    out += b"".join(b"%010d 00000 n \n" % at[n] if n in at else b"0000000000 65535 f \n" for n in range(1, top))
-    out += b"trailer\n<< /Size %d /Root %d 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (top, root, x)
-    return bytes(out)
+            v = pdf.get(Ref(n))
+            if isinstance(v, tuple):
+                raw = pdf.raw_stream(v)
+                body = dump({**v[0], "Length": len(raw)}) + b"\nstream\n" + raw + b"\nendstream"
+                todo += _refs({k: x for k, x in v[0].items() if k != "Length"})
+            else:
+                body = dump(v)
+                todo += _refs(v)
+        bodies[n] = body
+    return _file(bodies, root, int(info) if isinstance(info, Ref) and int(info) in bodies else None)
+
+
+def _refs(v) -> list[int]:
+    if isinstance(v, Ref):
+        return [int(v)]
+    if isinstance(v, dict):
+        return [r for x in v.values() for r in _refs(x)]
+    if isinstance(v, list):
+        return [r for x in v for r in _refs(x)]
+    return []
 
 
 def dump(v) -> bytes:
     """Bytes of an object."""
     if isinstance(v, dict):
-        return b"<< " + b" ".join(b"/" + re.sub(rb"[^!-~]|[#/()<>\[\]{}%]", lambda m: b"#%02X" % m.group()[0], k.encode("latin-1")) + b" " + dump(x) for k, x in v.items()) + b" >>"
+        return b"<< " + b" ".join(dump(Name(k)) + b" " + dump(x) for k, x in v.items()) + b" >>"
     if isinstance(v, list):
         return b"[" + b" ".join(map(dump, v)) + b"]"
     if isinstance(v, Ref):
@@ -764,8 +834,8 @@ def dump(v) -> bytes:
 
 # ---- tables -----------------------------------------------------------------
 
-PAGES = "doc_id string, page int, source_text string, text string, width double, height double, error string"
-_PAGES_PA = pa.schema([("doc_id", pa.string()), ("page", pa.int32()), ("source_text", pa.string()), ("text", pa.string()), ("width", pa.float64()), ("height", pa.float64()), ("error", pa.string())])
+_PAGE_PA = pa.struct([("page", pa.int32()), ("text", pa.string()), ("width", pa.float64()), ("height", pa.float64())])
+PAGE = "struct<page:int,text:string,width:double,height:double>"
 
 
 def read_pages(data: bytes) -> list[tuple[str, float, float]]:
@@ -773,28 +843,44 @@ def read_pages(data: bytes) -> list[tuple[str, float, float]]:
     return [(page_text(glyphs(pdf, p), pdf.size(p)[0])[0], *pdf.size(p)) for p in pdf.pages]
 
 
-def pages(blobs: DataFrame) -> DataFrame:
-    """``(doc_id, content)`` to page rows. An unreadable file, or one without any text, gives one row with an ``error``."""
+def documents(blobs: DataFrame) -> DataFrame:
+    """Blobs ``(doc_id, content, ...)`` with ``pages array<struct<page, text, width, height>>`` and ``error``: a file that
+    can't be read, or has no text, has no pages."""
+    have = blobs.columns
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in blobs.schema.fields), f"pages array<{PAGE}>", "error string"])
 
     def run(batches):
         for b in batches:
-            rows = []
-            for doc, data in zip(b.column(0).to_pylist(), b.column(1)):
+            pages, errors = [], []
+            for data in b.column(have.index("content")):
+                got, err = None, None
                 try:
-                    got = read_pages(data.as_py() or b"")
-                    if all(not t.strip() for t, _, _ in got):
-                        rows.append({"doc_id": doc, "error": S.ERROR_PDF_OCR})
-                    else:
-                        rows += [{"doc_id": doc, "page": k, "source_text": t, "text": t, "width": w, "height": h} for k, (t, w, h) in enumerate(got)]
+                    got = [{"page": k, "text": t, "width": w, "height": h} for k, (t, w, h) in enumerate(read_pages(data.as_py() or b""))]
+                    if all(not p["text"].strip() for p in got):
+                        got, err = None, S.ERROR_PDF_OCR
                 except Exception:
-                    rows.append({"doc_id": doc, "error": S.ERROR_PDF})
-            yield pa.RecordBatch.from_pylist(rows, schema=_PAGES_PA)
+                    err = S.ERROR_PDF
+                pages.append(got)
+                errors.append(err)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pages, pa.list_(_PAGE_PA)), pa.array(errors, pa.string())], names=[*have, "pages", "error"])
 
-    return blobs.select("doc_id", "content").mapInArrow(run, PAGES)
+    return blobs.mapInArrow(run, fields)
+
+
+def page_table(docs: DataFrame) -> DataFrame:
+    """Page rows of ``documents``; one with an ``error`` for a file without pages."""
+    rows = docs.select("doc_id", "error", F.explode_outer("pages").alias("p"))
+    return rows.select("doc_id", "p.page", F.col("p.text").alias("source_text"), "p.text", "p.width", "p.height", "error")
+
+
+def pages(blobs: DataFrame) -> DataFrame:
+    """``(doc_id, content)`` to page rows."""
+    return page_table(documents(blobs.select("doc_id", "content")).drop("content"))
 
 
 def chars(blobs: DataFrame) -> DataFrame:
     """``(doc_id, content)`` to glyph rows with their block, line and rectangle; unreadable files give none."""
+    kind = pa.schema([("doc_id", pa.string()), *((c, pa.int32()) for c in ("page", "block", "line", "ord")), ("c", pa.string()), *((c, pa.float64()) for c in ("x0", "y0", "x1", "y1"))])
 
     def run(batches):
         for b in batches:
@@ -806,11 +892,11 @@ def chars(blobs: DataFrame) -> DataFrame:
                         gs = glyphs(pdf, p)
                         for i, block in enumerate(blocks(gs)):
                             for j, line in enumerate(block):
-                                rows += [{"doc_id": doc, "page": n, "block": i, "line": j, "ord": o, "c": gs[k]["c"], **{z: gs[k][z] for z in ("x0", "y0", "x1", "y1")}} for o, k in enumerate(line)]
+                                rows += [(doc, n, i, j, o, gs[k].c, *gs[k].rect) for o, k in enumerate(line)]
                 except Exception:
                     rows = []
                 if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.string()), *((c, pa.int32()) for c in ("page", "block", "line", "ord")), ("c", pa.string()), *((c, pa.float64()) for c in ("x0", "y0", "x1", "y1"))]))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kind)], schema=kind)
 
     return blobs.select("doc_id", "content").mapInArrow(run, S.PDF_CHAR)
 
@@ -827,33 +913,37 @@ def segments(page_rows: DataFrame) -> DataFrame:
     )
 
 
-def write(blobs: DataFrame, page_rows: DataFrame) -> DataFrame:
-    """``(doc_id, data, error)``: files whose pages have the texts of ``page_rows (doc_id, page, source_text, text, strategy, ops)``.
+def write(docs: DataFrame, paths: tuple[str, ...] = FONT_PATHS) -> DataFrame:
+    """``data`` and ``error`` in place of ``content`` and ``edited``, for rows ``(doc_id, content, edited, ...)``.
 
-    A file none of whose pages changed comes out as its own bytes; a document
-    without a file is set anew from its texts.
+    ``edited``: each page as ``struct<page, source_text, text, strategy, ops>``. A file none of
+    whose pages changed comes out as its own bytes; a document without a file is set anew
+    from its texts, each over as many pages as it takes. Rows without pages give no data.
     """
-    row = F.struct("page", F.coalesce("source_text", F.lit("")).alias("source_text"), F.coalesce("text", F.lit("")).alias("text"), "strategy", "ops")
-    grouped = page_rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("pages"))
+    have = [c for c in docs.columns if c not in ("content", "edited")]
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in have), "data binary", "save_error string"])
+    ins = docs.columns
 
     def run(batches):
         for b in batches:
-            out = {"doc_id": [], "data": [], "error": []}
-            for doc, data, ps in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+            out, errors = [], []
+            for data, ps in zip(b.column(ins.index("content")), b.column(ins.index("edited")).to_pylist()):
                 data, got, err = data.as_py(), None, None
                 try:
-                    if ps is None or data and all(p["strategy"] == "unchanged" for p in ps):
+                    if ps is None:
+                        got = None
+                    elif data and all(p["strategy"] == "unchanged" for p in ps):
                         got = data
                     elif not data:
-                        got = build([wrap(p["text"], L.WIDTH - 2 * L.MARGIN)[: L.LINES_PER_PAGE] for p in ps])
+                        got = build([ls for p in ps for ls in L.flow_pages(p["text"] or "")], paths=paths)
                     elif any(p["strategy"] == "reflow" for p in ps):
                         got = flow([p["text"] for p in ps])
                     else:
                         got = rewrite(data, [(p["source_text"], p["text"], p["strategy"], p["ops"] or []) for p in ps])
                 except Exception as e:
                     err = str(e) if str(e) == S.ERROR_PDF_PAGES else S.ERROR_PDF_SAVE
-                for k, v in (("doc_id", doc), ("data", got), ("error", err)):
-                    out[k].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.string()), ("data", pa.binary()), ("error", pa.string())]))
+                out.append(got)
+                errors.append(err)
+            yield pa.RecordBatch.from_arrays([*(b.column(ins.index(c)) for c in have), pa.array(out, pa.binary()), pa.array(errors, pa.string())], names=[*have, "data", "save_error"])
 
-    return blobs.select("doc_id", "content").join(grouped, "doc_id", "full").mapInArrow(run, "doc_id string, data binary, error string")
+    return docs.mapInArrow(run, fields)
