@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, Row, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(cpus: int = 8, app: str = "textloom") -> SparkSession:
@@ -40,22 +40,18 @@ def bounded_rows(df: DataFrame, limit: int, what: str) -> list[Row]:
     return rows
 
 
-def small_side(df: DataFrame, limit: int) -> DataFrame:
-    """Broadcast ``df`` if it has at most ``limit`` rows, else leave the join to the planner (shuffle)."""
-    return F.broadcast(df) if len(df.select(F.lit(1)).limit(limit + 1).collect()) <= limit else df
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (``spark.checkpoint.dir``); a private one only where none is set."""
+    """The shared folder of the cluster (``spark.checkpoint.dir``). Where none is set a local session gets a private one; a cluster
+    session raises, as a folder of the driver's machine would be of no use to its executors."""
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
         jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
-        got = jvm.get() if jvm.isDefined() else tempfile.mkdtemp(prefix="textloom-")
+        if jvm.isDefined():
+            got = jvm.get()
+        elif re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            got = tempfile.mkdtemp(prefix="textloom-")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(got)
     return got
-
-
-def tokenizer_dir() -> str:
-    """Folder of the public tokenizers' vocabularies; ``TEXTLOOM_TOKENIZERS`` overrides it."""
-    return os.environ.get("TEXTLOOM_TOKENIZERS", "/opt/tokenizers")

@@ -36,7 +36,8 @@ from textloom.operators import layout as L
 from textloom.sources import pdf_crypt, pdf_filters
 from textloom.sources.pdf_fonts import FONT_PATHS, Font, text_font
 
-_OBJ = re.compile(rb"(\d+)\s+(\d+)\s+obj\b")
+_OBJ = re.compile(rb"(?<![A-Za-z])obj\b")
+_OBJ_NUMBER = re.compile(rb"(\d+)\s+(\d+)\s+\Z")
 _TOKEN = re.compile(rb"\s*(?:(%[^\r\n]*)|(<<|>>|\[|\]|\{|\})|(/[^\s<>\[\]()/%{}]*)|(\()|<([0-9A-Fa-f\s]*)>|([^\s<>\[\]()/%{}]+))")
 _REF = re.compile(rb"(\d+)\s+(\d+)\s+R\b")
 _STREAM = re.compile(rb"\s*stream(?:\r\n|\n|\r)")
@@ -151,8 +152,9 @@ class Pdf:
         self.crypt = None
         generation: dict[int, int] = {}
         for m in _OBJ.finditer(data):
-            self.where[int(m.group(1))] = m.end()
-            generation[int(m.group(1))] = int(m.group(2))
+            if n := _OBJ_NUMBER.search(data[max(0, m.start() - 32) : m.start()]):
+                self.where[int(n.group(1))] = m.end()
+                generation[int(n.group(1))] = int(n.group(2))
         self.trailer = self._trailer()
         if "Encrypt" in self.trailer:
             lock = self.trailer["Encrypt"]
@@ -348,23 +350,42 @@ class _Drawing:
             if not isinstance(s, bytes):
                 raise ValueError("text that is no string")
             place = (path, n, string)
+            m = _mul(tm, ctm)
+            long = math.hypot(m[0], m[1]) or 1.0
+            dx, dy = m[0] / long, m[1] / long  # the direction of the line
+            turn, two = round(math.atan2(dy, dx), 2), font.two
+            ux, uy = size * m[2], size * m[3]
+            tall = math.hypot(ux, uy)
+            x, y = m[4] + rise * m[2], m[5] + rise * m[3]
+            unit = size * th / 1000
+            extra, gap = tc * th, tw * th
+            loose, space = (tc * 1000 / size, tw * 1000 / size) if size else (0.0, 0.0)
+            at = 0.0
+            straight = not dy and not ux
+            lo, hi = height - y - 0.8 * uy, height - y + 0.22 * uy
+            if lo > hi:
+                lo, hi = hi, lo
+            across = y * dx - x * dy
+            along = x * dx + y * dy
             for k, size_, chars, adv, is_space in font.codes(s):
-                m = _mul(tm, ctm)
-                wide = (adv / 1000 * size + tc + (tw if is_space else 0)) * th
-                ax, ay = adv / 1000 * size * th * m[0], adv / 1000 * size * th * m[1]
-                ux, uy = size * m[2], size * m[3]
-                x, y = m[4] + rise * m[2], m[5] + rise * m[3]
-                xs = (x - 0.22 * ux, x + 0.8 * ux, x + ax - 0.22 * ux, x + ax + 0.8 * ux)
-                ys = (y - 0.22 * uy, y + 0.8 * uy, y + ay - 0.22 * uy, y + ay + 0.8 * uy)
-                rect = (min(xs), height - max(ys), max(xs), height - min(ys))
-                long = math.hypot(m[0], m[1]) or 1.0
-                dx, dy = m[0] / long, m[1] / long
-                u0 = x * dx + y * dy
-                room = -(adv + ((tc + (tw if is_space else 0)) * 1000 / size if size else 0))
-                u1 = u0 + adv / 1000 * size * th * long
+                wide = adv * unit
+                u0 = along + at * long
+                u1 = u0 + wide * long
+                if u1 < u0:
+                    u0, u1 = u1, u0
+                if straight and dx > 0:
+                    rect = (u0, lo, u1, hi)
+                else:
+                    px, py = x + at * m[0], y + at * m[1]
+                    ax, ay = wide * m[0], wide * m[1]
+                    xs = (px - 0.22 * ux, px + 0.8 * ux, px + ax - 0.22 * ux, px + ax + 0.8 * ux)
+                    ys = (py - 0.22 * uy, py + 0.8 * uy, py + ay - 0.22 * uy, py + ay + 0.8 * uy)
+                    rect = (min(xs), height - max(ys), max(xs), height - min(ys))
+                room = -(adv + loose + (space if is_space else 0.0))
                 for c in chars:
-                    out.append(Glyph(c, rect, min(u0, u1), max(u0, u1), y * dx - x * dy, round(math.atan2(dy, dx), 2), math.hypot(ux, uy), place, k, size_, room, font.two))
-                tm = _mul((1, 0, 0, 1, wide, 0), tm)
+                    out.append(Glyph(c, rect, u0, u1, across, turn, tall, place, k, size_, room, two))
+                at += wide + extra + (gap if is_space else 0.0)
+            tm = _mul((1, 0, 0, 1, at, 0), tm)
 
         for v, _ in parse(content, ops=True):
             if not isinstance(v, Op):

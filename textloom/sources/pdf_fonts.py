@@ -106,6 +106,7 @@ class Font:
         self.codec: str | None = None
         self.two = d.get("Subtype") == "Type0"
         self.lengths = {2} if self.two else {1}
+        self.known: dict[bytes, tuple[str, float, bool]] = {}
         tu = get(d.get("ToUnicode"))
         if isinstance(tu, tuple):
             try:
@@ -182,17 +183,20 @@ class Font:
         """``(offset, length, characters, advance)`` of each code of a string."""
         k, n = 0, len(s)
         mixed = self.lengths == {1, 2}
-        step = max(self.lengths)
+        step, known = max(self.lengths), self.known
         while k < n:
             if mixed:
                 step = 1 if s[k] < 0x80 or self.codec == "cp932" and 0xA0 <= s[k] <= 0xDF else 2
             raw = s[k : k + step]
-            code = int.from_bytes(raw, "big")
-            c = self._char(code, raw)
-            adv = self.width.get(code)
-            if adv is None:
-                adv = self.default if self.default is not None else L.advance(c[:1] or " ")
-            yield k, len(raw), c, adv * self.scale, step == 1 and code == 32
+            got = known.get(raw)
+            if got is None:
+                code = int.from_bytes(raw, "big")
+                c = self._char(code, raw)
+                adv = self.width.get(code)
+                if adv is None:
+                    adv = self.default if self.default is not None else L.advance(c[:1] or " ")
+                got = known[raw] = (c, adv * self.scale, step == 1 and code == 32)
+            yield k, len(raw), *got
             k += step
 
 
