@@ -78,38 +78,39 @@ def _placed(pieces: Column) -> Column:
 
 def rpr_at(pieces: Column | str, offset: Column | int) -> Column:
     """Formatting at an offset: of the first text piece that reaches it, else of the last text piece."""
-    o = _int(offset)
 
     def pick(texts: Column) -> Column:
-        at = F.filter(texts, lambda x: (x["s"] <= o) & (o <= x["e"]))
+        at = let(_int(offset), lambda o: F.filter(texts, lambda x: (x["s"] <= o) & (o <= x["e"])))
         return F.coalesce(F.get(at, F.lit(0)), F.get(texts, F.size(texts) - 1))["p"]["rpr"]
 
     return let(F.filter(_placed(col(pieces)), lambda x: x["p"]["kind"] == "text"), pick)
 
 
-def _index(placed: Column, o: Column) -> Column:
-    return F.size(F.filter(placed, lambda x: x["s"] < o))
+def _index(placed: Column, offset: Column) -> Column:
+    return let(offset, lambda o: F.size(F.filter(placed, lambda x: x["s"] < o)))
 
 
 def index_at(pieces: Column | str, offset: Column | int) -> Column:
     """Index of the first piece that begins at or behind an offset; the number of pieces if none does."""
-    return _index(_placed(col(pieces)), _int(offset))
+    return let(_placed(col(pieces)), lambda placed: _index(placed, _int(offset)))
 
 
 def _cut(placed: Column, *offsets: Column) -> Column:
     """Placed pieces with the text pieces that an offset is strictly inside of cut there; ``offsets`` rise."""
 
-    def parts(x: Column) -> Column:
+    def parts(x: Column, at: Column) -> Column:
         t = x["p"]["text"]
-        ends = [F.least(F.greatest(o, x["s"]), x["e"]) for o in offsets]
+        marks = [F.get(at, F.lit(k)) for k in range(len(offsets))]
+        ends = [F.least(F.greatest(o, x["s"]), x["e"]) for o in marks]
         inside = F.lit(False)
-        for o in offsets:
+        for o in marks:
             inside = inside | ((x["s"] < o) & (o < x["e"]))
         piece = lambda a, b: F.struct(copy_with_text(x["p"], F.substring(t, a - x["s"] + 1, b - a)).alias("p"), a.alias("s"), b.alias("e"))
         cut = F.filter(F.array(*(piece(a, b) for a, b in zip([x["s"], *ends], [*ends, x["e"]]))), lambda y: y["s"] < y["e"])
         return F.when((x["p"]["kind"] == "text") & inside, cut).otherwise(F.array(x))
 
-    return F.flatten(F.transform(placed, parts))
+    # the offsets are computed once for a row, not once for a piece
+    return let(placed, lambda ps: let(F.array(*offsets), lambda at: F.flatten(F.transform(ps, lambda x: parts(x, at)))))
 
 
 def _bare(placed: Column) -> Column:
@@ -130,11 +131,12 @@ def insert_at(pieces: Column | str, offset: Column | int, insert: Column) -> Col
 
 def replace_range(pieces: Column | str, start: Column | int, end: Column | int, replacement: Column) -> Column:
     """Drop the text of a range and put the replacement where its first text stood; opaque pieces stay."""
-    a, b = _int(start), _int(end)
     new = F.filter(replacement, lambda p: p["text"] != "")
-    gone = lambda x: (x["p"]["kind"] == "text") & (x["s"] >= a) & (x["e"] <= b) & (x["s"] < b) & (x["e"] > a)
 
-    def put(placed: Column) -> Column:
+    def put(placed: Column, ab: Column) -> Column:
+        a, b = ab["a"], ab["b"]
+        gone = lambda x: (x["p"]["kind"] == "text") & (x["s"] >= a) & (x["e"] <= b) & (x["s"] < b) & (x["e"] > a)
+
         def at(first: Column) -> Column:
             bare = _bare(placed)
             kept = F.concat(F.slice(bare, F.lit(1), first - 1), new, _bare(F.filter(F.slice(placed, first, F.size(placed)), lambda x: ~gone(x))))
@@ -143,7 +145,8 @@ def replace_range(pieces: Column | str, start: Column | int, end: Column | int,
 
         return let(F.array_position(F.transform(placed, gone), True), at)
 
-    return let(_cut(_placed(col(pieces)), a, b), put)
+    a, b = _int(start), _int(end)
+    return let(_cut(_placed(col(pieces)), a, b), lambda placed: let(F.struct(a.alias("a"), b.alias("b")), lambda ab: put(placed, ab)))
 
 
 def paragraph_xml(pieces: Column | str) -> Column:

@@ -127,23 +127,29 @@ def split_runs(runs: Column, start: Column, end: Column) -> Column:
     """Runs ``array<struct<idx, text, rpr>>`` cut at both offsets, with their ``s`` and ``e``."""
     placed = F.zip_with(runs, starts(runs), lambda r, s: F.struct(r.alias("r"), s.alias("s"), (s + F.length(r["text"])).alias("e")))
 
-    def cut(x: Column) -> Column:
-        lo, hi = F.greatest(x["s"], F.least(start, x["e"])), F.least(x["e"], F.greatest(end, x["s"]))
+    def cut(x: Column, ab: Column) -> Column:
+        lo, hi = F.greatest(x["s"], F.least(ab["a"], x["e"])), F.least(x["e"], F.greatest(ab["b"], x["s"]))
         part = lambda a, b: F.struct(x["r"].withField("text", F.substring(x["r"]["text"], a - x["s"] + 1, b - a)).alias("r"), a.alias("s"), b.alias("e"))
-        return F.filter(F.array(part(x["s"], lo), part(lo, hi), part(hi, x["e"])), lambda y: y["s"] < y["e"])
+        parts = F.filter(F.array(part(x["s"], lo), part(lo, hi), part(hi, x["e"])), lambda y: y["s"] < y["e"])
+        return F.when((hi <= x["s"]) | (lo >= x["e"]), F.filter(F.array(x), lambda y: y["s"] < y["e"])).otherwise(parts)
 
-    return F.flatten(F.transform(placed, cut))
+    return let(placed, lambda ps: _with_range(start, end, lambda ab: F.flatten(F.transform(ps, lambda x: cut(x, ab)))))
+
+
+def _with_range(start: Column, end: Column, body) -> Column:
+    """``body`` of a range that is computed once for a row."""
+    return let(F.struct(start.alias("a"), end.alias("b")), body)
 
 
 def replace_in_runs(runs: Column, start: Column, end: Column, text: Column) -> Column:
     """A range replaced inside runs: the first run of the range takes the text, the others of it are emptied."""
-    inside = lambda x: (x["s"] >= start) & (x["e"] <= end)
 
-    def put(parts: Column) -> Column:
+    def put(parts: Column, ab: Column) -> Column:
+        inside = lambda x: (x["s"] >= ab["a"]) & (x["e"] <= ab["b"])
         first = F.array_position(F.transform(parts, inside), True)
         return let(first, lambda f: F.transform(parts, lambda x, i: F.when(inside(x), x["r"].withField("text", F.when(i + 1 == f, text).otherwise(""))).otherwise(x["r"])))
 
-    return let(split_runs(runs, start, end), put)
+    return let(split_runs(runs, start, end), lambda parts: _with_range(start, end, lambda ab: put(parts, ab)))
 
 
 def replace_all_runs(runs: Column, text: Column) -> Column:

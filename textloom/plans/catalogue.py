@@ -497,7 +497,10 @@ def glyph_rects(spark: SparkSession, d: str) -> DataFrame:
 
 
 def as_blobs(df: DataFrame, make: Callable[[str], bytes]) -> DataFrame:
-    """Files ``(doc_id, content)`` made from ``(doc_id, text)``."""
+    """Files ``(doc_id, content)`` made from ``(doc_id, text)``. A file costs much time for its few bytes, so the rows are spread over
+    as many tasks as the session is set to, instead of the few that their size asks for."""
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = df.repartition(spread, "doc_id")
     return L.with_column(df.select("doc_id", "text"), "content", "binary", pa.binary(), make, "text").drop("text")
 
 

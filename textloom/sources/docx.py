@@ -134,16 +134,16 @@ class Package:
 
     def boxes(self) -> list:
         """Hosts of text-box paragraphs that hold some text, in document order, each once."""
-        out, done = [], []
+        out, done = [], set()  # of identities; the tree keeps its nodes alive
         for node in _descend(self.main.documentElement):
-            if node.localName not in _BOXES or any(node is d for d in done):
+            if node.localName not in _BOXES or id(node) in done:
                 continue
             host = node
             if node.localName != "txbxContent":
                 host = next((c for c in _descend(node) if c.localName == "txbxContent"), node)
-                if any(host is d for d in done):
+                if id(host) in done:
                     continue
-            done.append(host)
+            done.add(id(host))
             if any(c.localName == "t" and _own_text(c).strip() for c in [host, *_descend(host)]):
                 out.append(host)
         return out
@@ -315,6 +315,9 @@ def write_edits(data: bytes, edits: list[dict], strict: bool = False) -> bytes:
                 ids[f"s{n}"] = cid
                 n += 1
     named = set(ids.values())
+    twins: dict[int, list] = {}  # an inherited header is listed more than once
+    for slot in place.values():
+        twins.setdefault(id(slot[0]), []).append(slot)
     for e in edits:
         cid = e["container_id"] or ids.get(e["id"] or "")
         if cid not in named:
@@ -322,14 +325,13 @@ def write_edits(data: bytes, edits: list[dict], strict: bool = False) -> bytes:
                 raise ValueError("unknown edit target")
             continue
         slot = place[cid]
-        twin = [s for s in place.values() if s[0] is slot[0]]  # an inherited header is listed more than once
         pieces, text = slot[1], e["text"] or ""
         total = sum(len(t) for _, t, _, _ in pieces)
         a = e["start_offset"]
         b = e["end_offset"]
         whole = a is None and b is None or (a or 0) == 0 and b in (None, total) and total
         new = replace_all(pieces, text) if whole else replace_range(pieces, a or 0, total if b is None else b, text)
-        for s in twin:
+        for s in twins[id(slot[0])]:
             s[1], s[2] = new, True
     if not any(s[2] for s in place.values()):
         return data
