@@ -1,7 +1,7 @@
 """Problem 7: mix sources to target shares of tokens.
 
-Every record gets a hash-random key; the top bits of the key are its bucket, so
-buckets are ranges of the order. Token sums of ``(source, bucket)`` give each
+Every record gets a hash-random key; the top bits of the key, as many as the
+number of records asks for, are its bucket, so buckets are ranges of the order. Token sums of ``(source, bucket)`` give each
 bucket's offset (a prefix sum over a bounded table), a window inside the bucket
 the rest. So a source of any size is ordered and cut in parallel, and no task
 holds more than a bucket. Each source is cut at its exact budget: whole epochs
@@ -16,6 +16,8 @@ listed source, and records without tokens, are not drawn; null caps mean 1.
 from __future__ import annotations
 
 import base64
+import math
+import os
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,14 +25,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.llm.common import add_column
-from textloom.session import bounded_rows, checkpoint_dir, tokenizer_dir
+from textloom.session import bounded_rows, checkpoint_dir
 
 #: The public pre-tokenizer pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BUCKET_BITS = 10
+#: Rows that a bucket is to hold; the number of buckets follows from the rows there are.
+BUCKET_ROWS = 50_000
 _cache: dict = {}
 
 
+def tokenizer_dir() -> str:
+    """Folder of the public tokenizers' vocabularies; ``TEXTLOOM_TOKENIZERS`` overrides it."""
+    return os.environ.get("TEXTLOOM_TOKENIZERS", "/opt/tokenizers")
+
+
 def encoding(path: str):
     """The byte-level BPE of the vocabulary file at ``path``, loaded once a worker."""
     if path not in _cache:
@@ -70,8 +78,10 @@ class Mixture:
                 want[r.source] = (r.name, float(r.target_share), int(1 if r.max_repeat is None else r.max_repeat))
         key = F.xxhash64(F.lit(seed), F.col(doc_id).cast("string"))
         recs = docs.select(F.col(doc_id).alias("doc_id"), source_key(source).alias("source"), F.col(text).alias("text")).filter(F.col("source").isin(list(want)))
-        recs = with_token_counts(recs).filter("tokens > 0").withColumn("k", key).withColumn("bucket", F.shiftrightunsigned("k", 64 - BUCKET_BITS).cast("int"))
-        recs = recs.checkpoint()  # counted once; both passes below read the narrow result
+        recs = with_token_counts(recs).filter("tokens > 0").withColumn("k", key)
+        recs = recs.checkpoint()  # counted once; the passes below read the narrow result
+        bits = min(30, max(4, math.ceil(math.log2(max(1, recs.count() / BUCKET_ROWS)))))
+        recs = recs.withColumn("bucket", F.shiftrightunsigned("k", 64 - bits).cast("int"))
         sums = recs.groupBy("source", "bucket").agg(F.sum("tokens").alias("n"))
         before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         offsets = sums.select("source", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
