@@ -143,6 +143,19 @@ def test_no_gate_before_the_generators(text, want):
     assert spans and (want is None or want in [text[a:b] for _, a, b in personal.mentions(text)])
 
 
+REAL = [
+    ("Mrs. Emily Johnson signed.", ["Emily Johnson"]), ("Mr. John Smith lives here", ["John Smith"]), ("contact Emily Johnson", ["Emily Johnson"]), ("Sr. Carlos Pérez firmó", ["Carlos Pérez"]), ("María García vive en Madrid", ["María García"]),
+    ("Звонил Дмитрий Иванов", ["Дмитрий Иванов"]), ("Please ask Wei Zhang about it.", ["Wei Zhang"]), ("Ο Γιώργος Παπαδόπουλος υπέγραψε", ["Γιώργος Παπαδόπουλος"]), ("कृपया राहुल शर्मा से संपर्क करें", ["राहुल शर्मा"]), ("اتصل بـ محمد علي", ["محمد علي"]), ("ติดต่อ สมชาย ใจดี", ["สมชาย ใจดี"]), ("श्री विनोद ठाकुर ने", ["विनोद ठाकुर"]),
+    ("Adres: Krótka 5, Kraków", ["Krótka 5"]), ("Mieszka przy Marszałkowska 10, Warszawa", ["Marszałkowska 10"]), ("She lives at 221B Baker Street, London.", ["221B Baker Street"]), ("ул. Ленина 15, Москва", ["ул. Ленина 15"]),
+    ("Der Vertrag wurde am Montag in Berlin unterschrieben.", []), ("The Board of Directors met on Monday in London.", []), ("Payment and Delivery", []), ("डॉ. साहब 361 बजे आए।", []), ("Faktura nr 55 i zamówienie 705562922", []),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), REAL)
+def test_mentions_of_no_training_text(text, want):
+    assert [text[a:b] for _, a, b in personal.mentions(text)] == want
+
+
 def test_redaction_leaves_the_rest(spark, edge):
     df = edge.unionByName(spark.createDataFrame([("segment", "d", f"m{k}", t) for k, (t, _) in enumerate(MENTIONS)], ITEM))
     got = {r.id: (r.text, r.redactions) for r in personal.redact(df).collect()}

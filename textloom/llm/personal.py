@@ -28,6 +28,7 @@ from textloom.llm import boosting
 from textloom.llm.common import KEY, add_column
 from textloom.llm.encoding import repair_mapped
 from textloom.llm.lookalikes import unify_mapped
+from textloom.llm.names import GIVEN_CASELESS, HONORIFIC_BEFORE, TITLES, given, prior
 
 MODEL = Path(__file__).with_name("models") / "personal.json"
 KINDS = ("email", "id_number", "phone", "address", "name")
@@ -62,7 +63,7 @@ STREET_TYPE = re.compile(rf"(?:(?<![\w.])(?:(?:{_STREET})\.\s|C/\s?|(?:calle|Cal
 #: A house number before a street with its type word.
 NUMBERED_STREET = re.compile(
     rf"\d(?<![\w.,-].)\d{{0,4}}(?:(?:\s(?:bis|ter)|[a-c])?,?\s(?:rue|chemin|bd|boulevard|avenue|av\.|place|impasse|quai|allée|route)\s[\w'’ -]{{3,30}}"
-    rf"|\s(?:[NSEW]\.\s)?(?:[{_U}][{_L}]+\s){{1,3}}(?:Lane|Ln|Court|Ct|Street|St|Avenue|Ave|Road|Rd|Drive|Dr|Way|Close|Terrace|Place|Square|Boulevard|Blvd|Hill|Row|Walk|Crescent)\b\.?)",
+    rf"|[A-Ca-c]?\s(?:[NSEW]\.\s)?(?:[{_U}][{_L}]+\s){{1,3}}(?:Lane|Ln|Court|Ct|Street|St|Avenue|Ave|Road|Rd|Drive|Dr|Way|Close|Terrace|Place|Square|Boulevard|Blvd|Hill|Row|Walk|Crescent)\b\.?)",
     re.S,
 )
 _DIGIT = re.compile(r"\d")
@@ -80,12 +81,13 @@ PHONE_CUES = ("tel", "numerem", "phone", "call", "telefon", "on", "under", "unte
 FIRM = re.compile(r"[ \n](?:S\.A|Sp\.|sp\.|GmbH|AG\b|Ltd|Inc|Corp|S\.L|S\.A\.R\.L|LLC|KG|& Co|plc|ООО|SARL)")
 #: What stands before the name of a firm or a place, in small letters.
 FIRM_BEFORE = frozenset(("spółka", "spółki", "firma", "firmy", "majątek", "société", "entreprise", "sociedad", "empresa", "company", "ооо", "зао", "ао", "компания", "firm", "gesellschaft", "of", "in", "w", "à"))
-#: What stands before or after persons' names, in small letters.
-BEFORE_NAME = ("pobrał:", "ob.", "mec.", "wniosek", "wniosku", "odebrał", "odebrała", "podpisali", "mr.", "mrs.", "ms.", "dr.", "dr", "contact", "tenant,", "empfänger:", "frau", "herr", "herrn", "mme", "contacter", "remis", "gegeben", "identité", "identidad", "entregado", "гражданин", "гражданка", "подписали", "owner=", "sender", "dna.", "sra.", "m.", "angaben", "nahm", "received by", "kontakt z", "się z")
-_NAME_CUES = tuple(c.strip(".:,=") for c in BEFORE_NAME)
 #: What introduces an address, in small letters.
-ADDRESS_CUES = {"adres", "adresem", "to", "at", "an", "zamieszkały", "wohnung", "vive", "habite", "colis", "au", "paquete", "place", "en", "a"}
-AFTER_NAME = ("tel", "(ur", "lives", "mieszka", "schrieb", "wohnt", "habite", "vive", "holder", "signed", "con", "dnia", "odbiera", "can", "at", "oraz", "adres")
+ADDRESS_CUES = {"adres", "adresem", "address", "adresse", "anschrift", "dirección", "direccion", "adresu", "zam", "zamieszkały", "zamieszkała", "mieszka", "lives", "wohnt", "wohnhaft", "vive", "habite", "domicilio", "domicile", "проживает", "адрес", "адресу", "διεύθυνση"}
+#: Short words that may lead to an address.
+PLACE_BEFORE = {"to", "at", "an", "au", "en", "a", "przy", "in", "w", "na", "по", "на", "calle", "rue"}
+#: A type word that only streets have.
+STRONG_TYPE = re.compile(rf"(?:^|\s)(?:{_STREET})\.|C/|(?:calle|plaza|paseo|avenida|ulica|aleja|osiedle|улица|проспект|переулок|rue|chemin|boulevard|allée|impasse)\s|(?:straße|strasse|str\.|gasse|allee|platz|weg)\s\d|\s(?:Street|Road|Avenue|Lane|Court|Drive|Crescent|Terrace)\b", re.I)
+_CITY_AFTER = re.compile(rf",\s(?:[A-Z]-)?(?:\d[\d -]{{3,6}}\s)?[{_U}][{_L}]+")
 #: Common surnames of one character, of two characters, and common Japanese ones.
 HAN_SURNAMES = frozenset("王李张張刘劉陈陳杨楊黄黃赵趙吴吳周徐孙孫马馬朱胡郭何林高罗羅郑鄭梁谢謝宋唐许許韩韓冯馮邓鄧曹彭曾肖萧蕭田董袁潘于蒋蔣蔡余杜叶葉程苏蘇魏吕呂丁任沈姚卢盧姜崔钟鍾谭譚陆陸汪范廖石金韦韋贾賈夏付傅方邹鄒熊白孟秦邱江尹薛闫阎段雷侯龙龍史陶黎贺賀顾顧毛郝龚邵万萬钱錢严嚴赖覃洪武莫孔汤常温康施文牛樊葛邢安齐伍庞颜倪庄聂章鲁岳翟殷詹申欧耿关兰焦俞左柳甘祝包宁尚符舒阮柯纪梅童凌毕单季成霍涂苗裴谷曲盛冉翁蓝路游辛靳管柴蒙鲍华喻祁房滕屈饶解牟艾尤时穆司农桑郁卓蒲褚娄戚米车项闵费卞计宫苟骆丘岑屠井景骈桂简连楚沙池隋封隆麦古仇查晏佟冷丛卫瞿栾虞缪")
 HAN_DOUBLE = ("欧阳", "歐陽", "司马", "上官", "诸葛", "东方", "皇甫", "尉迟", "公孙", "慕容", "令狐", "宇文", "长孙", "司徒", "夏侯", "端木", "南宫", "独孤")
@@ -126,6 +128,8 @@ def token_score(word: str, lex: dict, ends: dict, memo: dict) -> float:
         vals = []
         for w in parts:
             v = lex.get(w)
+            if v is None or v < 0.6 and given(w):
+                v = prior(w)
             if v is None:
                 v = next((ends[w[-n:]] for n in (6, 5, 4, 3) if len(w) > n and w[-n:] in ends), -0.4)
             vals.append(v)
@@ -138,12 +142,12 @@ def before(text: str, at: int, span: int = 22) -> list[str]:
     return [w for x in text[max(0, at - span) : at].lower().replace("\n", " ").split(" ")[::-1] if (w := x.strip("\"'„(,;:.="))]
 
 
-_CUES = [(k, frozenset(cues), tuple(c for c in cues if len(c) > 4)) for k, cues in enumerate((PHONE_CUES, ID_CUES, THING_CUES, _NAME_CUES))]
+_CUES = [(k, frozenset(cues), tuple(c for c in cues if len(c) > 4)) for k, cues in enumerate((PHONE_CUES, ID_CUES, THING_CUES))]
 
 
 @lru_cache(100_000)
 def _cues(word: str) -> int:
-    """The cue classes of a word as bits: phone, identity number, thing, name."""
+    """The cue classes of a word as bits: phone, identity number, thing."""
     return sum(1 << k for k, exact, heads in _CUES if word in exact or word.startswith(heads))
 
 
@@ -174,8 +178,8 @@ def address_features(text: str, a: int, b: int) -> list[float]:
     tail = text[b : b + 40]
     w = before(text, a, 34)
     return [
-        bool(_TYPE.search(s)), s[:1].isdigit(), after is not None, bool(re.search(r"\d\d-\d{3}|(?<!\d)\d{5}(?!\d)", tail)), len(s), s.count(" "), next((k + 1 for k, x in enumerate(w[:2]) if x in ADDRESS_CUES), 9),
-        int(re.findall(r"\d+", s)[0]) if re.search(r"\d", s) else 0, bool(re.search(r"\d\s?[a-z]?$", s)), text[a - 1 : a] in ("", "\n", '"'), bool(re.match(r"\s?[a-zß]", tail)), a == 0 or text[a - 2 : a].strip()[:1] in (".", "!", "?"),
+        bool(_TYPE.search(s)), s[:1].isdigit(), after is not None, bool(re.search(r"\d\d-\d{3}|(?<!\d)\d{5}(?!\d)", tail)), len(s), s.count(" "), next((k + 1 for k, x in enumerate(w[:3]) if x.rstrip(".:") in ADDRESS_CUES), 9),
+        int(re.findall(r"\d+", s)[0]) if re.search(r"\d", s) else 0, bool(re.search(r"\d\s?[a-z]?$", s)), text[a - 1 : a] in ("", "\n", '"'), bool(re.match(r"\s?[a-zß]", tail)), a == 0 or text[a - 2 : a].strip()[:1] in (".", "!", "?"), bool(STRONG_TYPE.search(s)), _CITY_AFTER.match(text, after.end() if after else b) is not None, bool(w) and w[0] in PLACE_BEFORE,
     ]
 
 
@@ -190,16 +194,23 @@ def name_features(text: str, a: int, b: int, scores: list[float], initials: int)
             w.append(y)
             if len(w) == 2:
                 break
-    tail = text[b : b + 14].lower().lstrip()
     s = text[a:b]
     left, right, second = text[a - 1 : a] if a else "", text[b : b + 1], text[b + 1 : b + 2]
+    m = model()
     return [
-        max(scores), min(scores), sum(scores) / len(scores), len(scores), initials, s.isupper(), near in BEFORE_NAME or near.rstrip("\"") in BEFORE_NAME or near.startswith(("owner", '"sender')), _cue(w, 3, 2), tail.startswith(AFTER_NAME),
+        max(scores), min(scores), sum(scores) / len(scores), len(scores), initials, s.isupper(), bool(w) and w[0].rstrip(".") in TITLES, m["before"].get(w[0], 0.1) if w else 0.2, m["after"].get(_word_after(text, b), 0.1),
         right in (" ", "\n") and FIRM.match(text, b) is not None, not left or left == "\n" or text[max(0, a - 2) : a].strip()[:1] in (".", "!", "?"), right in _OPEN or right.isspace() and second in _OPEN, right in ("", "\n"), "-" in s, right.isspace() and second.isdigit(), left in (",", ";", '"', "\t"),
-        right in (" ", "\n") and second.islower(), bool(w) and w[0] in FIRM_BEFORE,
+        right in (" ", "\n") and second.islower(), bool(w) and w[0] in FIRM_BEFORE, max(map(given, re.split(r"[ \n-]", s.lower()))),
     ]
 
 
+_AFTER = re.compile(r"[\s,;(]{0,3}([^\s,;()]{1,20})")
+
+
+def _word_after(text: str, b: int) -> str:
+    return m.group(1).lower().strip(".:") if (m := _AFTER.match(text, b)) else ""
+
+
 def streets(text: str):
     """Spans of street names with house numbers, type words included."""
     for m in NAMED_STREET.finditer(text):
@@ -208,7 +219,7 @@ def streets(text: str):
             a = t.start()
         while (w := re.match(r"(\w+)\s", text[a:b])) and w.group(1) in NOT_STREET:
             a += w.end()
-        if re.search(r"[^\W\d]", text[a:b]):
+        if re.search(r"[^\W\d]", text[a:b]) and not text.startswith("nr", a):
             yield a, b
     for m in NUMBERED_STREET.finditer(text):
         yield m.span()
@@ -222,8 +233,9 @@ def scored_words(text: str, lex: dict, ends: dict, memo: dict) -> list[tuple[int
 def name_spans(text: str, words: list[tuple[int, int, str, float]], floor: float = -0.15) -> list[tuple[int, int, list[float], int]]:
     """Runs of name-like words, with initials beside them: ``(start, end, scores, initials)``."""
     out: list[tuple[int, int, list[float], int]] = []
-    for a, b, _, s in words:
-        if s < floor and not (s > -0.45 and out and out[-1][1] == a - 1 and len(out[-1][2]) == 1 and out[-1][2][0] > 0.3):
+    lex = model()["lex"]
+    for a, b, w, s in words:
+        if s < floor and (text[a - 1 : a] == "\n" and w.lower() in lex or not (s > -0.45 and out and out[-1][1] == a - 1 and len(out[-1][2]) == 1 and out[-1][2][0] > 0.3)):
             continue
         if out:
             pa_, pb, sc, ini = out[-1]
@@ -321,6 +333,32 @@ def low_spans(text: str, words: list[tuple[int, int, str, float]], taken: list,
     return out
 
 
+_CASELESS = re.compile("[\u0600-\u06ff\u0900-\u097f\u0e00-\u0e7f]")
+_INDIC = r"[\u0900-\u0963\u0970-\u097f]+"
+_ARABIC = r"[\u0621-\u064a]+"
+_THAI = r"[\u0e01-\u0e3a\u0e40-\u0e4e]{2,14}"
+_AFTER_HONORIFIC = re.compile(rf"(?<!\S)(?:{'|'.join(sorted(HONORIFIC_BEFORE, key=len, reverse=True))})(?:(?<=[\u0e00-\u0e7f])\s?|\s)((?:{_INDIC}|{_ARABIC})(?:\s(?:{_INDIC}|{_ARABIC}))?|{_THAI}\s{_THAI}(?!\S))")
+_BY_GIVEN = re.compile(rf"(?<![\w\u0900-\u097f\u0e00-\u0e7f])(?:{'|'.join(sorted(GIVEN_CASELESS, key=len, reverse=True))})(?![\w\u0900-\u097f\u0e00-\u0e7f])(?:\s(?:{_INDIC}|{_ARABIC}|{_THAI}))?")
+#: Words behind a name or an honorific that are no part of a name.
+NOT_SURNAME = frozenset("से ने को का की के में पर और साहब महोदय في من على إلى عن و مع قال المدير الكريم ครับ ค่ะ และ ที่ ได้ เป็น".split())
+
+
+def caseless_names(text: str):
+    """Spans of names in scripts without capitals: behind a form of address, or begun by a common given name."""
+    for m in _AFTER_HONORIFIC.finditer(text):
+        yield from _trimmed(text, *m.span(1))
+    for m in _BY_GIVEN.finditer(text):
+        yield from _trimmed(text, *m.span())
+
+
+def _trimmed(text: str, a: int, b: int):
+    words = text[a:b].split()
+    while words and words[-1] in NOT_SURNAME:
+        words.pop()
+    if words and words[0] not in NOT_SURNAME:
+        yield a, a + len(text[a:b][: text[a:b].find(words[-1]) + len(words[-1])])
+
+
 def candidates(text: str, lex: dict, ends: dict, memo: dict):
     """Spans ``(kind, start, end, features)`` of every generator."""
     if "@" in text or _AT.search(text):
@@ -349,6 +387,9 @@ def candidates(text: str, lex: dict, ends: dict, memo: dict):
     spans = name_spans(text, words)
     for a, b, sc, ini in spans + low_spans(text, words, spans, lex):
         yield "name", a, b, name_features(text, a, b, sc, ini)
+    if _CASELESS.search(text):
+        for a, b in caseless_names(text):
+            yield "name", a, b, name_features(text, a, b, [0.75] * (1 + text.count(" ", a, b)), 0)
     if HAN.search(text) or "さん" in text or "さま" in text:
         for a, b, honorific in han_names(text):
             yield "han", a, b, han_features(text, a, b, han_score(text[a:b], model()), honorific)
