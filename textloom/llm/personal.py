@@ -186,21 +186,38 @@ def address_features(text: str, a: int, b: int) -> list[float]:
 _OPEN = frozenset(",;(")
 
 
+@lru_cache(MEMO_LIMIT)
+def _left_of_name(head: str) -> tuple[bool, float, bool]:
+    """What stands before a name: whether the nearest word is a title, how often names follow it, whether it leads to a firm or a place."""
+    w = ""
+    for x in reversed(head.lower().replace("\n", " ").split(" ")):
+        if w := x.strip("\"'„(,;:.="):
+            break
+    return w in TITLES, model()["before"].get(w, 0.1) if w else 0.2, w in FIRM_BEFORE
+
+
+@lru_cache(MEMO_LIMIT)
+def _right_of_name(tail: str) -> float:
+    """How often names stand before the word that begins a tail."""
+    return model()["after"].get(_word_after(tail, 0), 0.1)
+
+
+@lru_cache(MEMO_LIMIT)
+def _given_in(name: str) -> float:
+    return max(map(given, re.split(r"[ \n-]", name.lower())))
+
+
 def name_features(text: str, a: int, b: int, scores: list[float], initials: int) -> list[float]:
-    near, w = "", []
-    for x in reversed(text[max(0, a - 24) : a].lower().replace("\n", " ").split(" ")):
-        near = near or x
-        if y := x.strip("\"'„(,;:.="):
-            w.append(y)
-            if len(w) == 2:
-                break
     s = text[a:b]
+    title, before_, firm_before = _left_of_name(text[max(0, a - 24) : a])
     left, right, second = text[a - 1 : a] if a else "", text[b : b + 1], text[b + 1 : b + 2]
-    m = model()
+    gap = right == " " or right == "\n"
+    n = len(scores)
+    most, least, mean = (scores[0],) * 3 if n == 1 else (max(scores), min(scores), sum(scores) / n)
     return [
-        max(scores), min(scores), sum(scores) / len(scores), len(scores), initials, s.isupper(), bool(w) and w[0].rstrip(".") in TITLES, m["before"].get(w[0], 0.1) if w else 0.2, m["after"].get(_word_after(text, b), 0.1),
-        right in (" ", "\n") and FIRM.match(text, b) is not None, not left or left == "\n" or text[max(0, a - 2) : a].strip()[:1] in (".", "!", "?"), right in _OPEN or right.isspace() and second in _OPEN, right in ("", "\n"), "-" in s, right.isspace() and second.isdigit(), left in (",", ";", '"', "\t"),
-        right in (" ", "\n") and second.islower(), bool(w) and w[0] in FIRM_BEFORE, max(map(given, re.split(r"[ \n-]", s.lower()))),
+        most, least, mean, n, initials, s.isupper(), title, before_, _right_of_name(text[b : b + 24]),
+        gap and FIRM.match(text, b) is not None, not left or left == "\n" or text[max(0, a - 2) : a].strip()[:1] in (".", "!", "?"), right in _OPEN or right.isspace() and second in _OPEN, right == "" or right == "\n", "-" in s, gap and second.isdigit(), left in (",", ";", '"', "\t"),
+        gap and second.islower(), firm_before, _given_in(s),
     ]
 
 

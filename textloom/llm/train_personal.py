@@ -290,6 +290,8 @@ def main(path: str, *only: str) -> None:
         known = lex
     print("words that lead to names:", " ".join(sorted(CUE.words)))
     P.model().update(han=han_tables(all_texts), before=before, after=after)
+    P._left_of_name.cache_clear()
+    P._right_of_name.cache_clear()
     data: dict[str, tuple[Counter, Counter]] = {k: (Counter(), Counter()) for k in P.MODELS}
     memo: dict = {}
     sample = rnd.sample(all_texts, min(len(all_texts), 16_000))
