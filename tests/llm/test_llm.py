@@ -217,6 +217,33 @@ def test_encoding_restored(was, read_as):
     assert text == CLEAN and steps and not lost
 
 
+@pytest.mark.parametrize(
+    ("text", "was", "read_as"),
+    [("Документ подписан в двух экземплярах.", "cp1251", "latin-1"), ("Документ подписан", "koi8-r", "latin-1"), ("承認しました。書類を確認してください。", "cp932", "cp1252"), ("合同已经签署,请确认。", "gbk", "latin-1"), ("Το τιμολόγιο επιβεβαιώθηκε", "cp1253", "latin-1"), ("Größe und Maß für die Tür", "cp1252", "cp850")],
+)
+def test_encoding_of_other_alphabets(text, was, read_as):
+    bad = "".join(encoding.decoder(read_as)[b] for b in text.encode(was))
+    new, steps, _ = encoding.repair(bad)
+    assert new == text and steps
+
+
+@pytest.mark.parametrize("text", ["Ärger über die Größe", "Việt Nam đã ký hợp đồng với công ty", "Çalışma ücreti ödendi", "Příliš žluťoučký kůň úpěl ďábelské ódy", "Árvíztűrő tükörfúrógép", "ÁÉÍÓÚ", "àéèù", "한국어 문장", "caf&eacute; &amp; bar"])
+def test_encoding_of_other_languages_left_alone(text):
+    assert encoding.repair(text)[:2] == (text, [])
+
+
+def test_encoding_offsets_are_exact():
+    clean = "Żółć i “gęś” – 12 €, naprawdę"
+    bad = "ok &amp; "[:3] + "".join(encoding.decoder("cp1252")[b] for b in clean.encode()) + "\nzwykła linia"
+    new, src = encoding.repair_mapped(bad)
+    assert new == f"ok {clean}\nzwykła linia"
+    at = 3
+    for c in clean:
+        assert src[new.index(clean) + clean.index(c)] <= at + 400
+    for k, c in enumerate(clean):
+        assert src[3 + k] == 3 + len("".join(encoding.decoder("cp1252")[b] for b in clean[:k].encode()))
+
+
 def test_encoding_twice_and_in_part():
     twice = "".join(encoding.decoder("cp1252")[b] for b in "".join(encoding.decoder("cp1252")[b] for b in CLEAN.encode()).encode())
     assert encoding.repair(twice)[0] == CLEAN
