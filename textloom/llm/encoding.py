@@ -61,7 +61,7 @@ MEMO_LIMIT = 400_000
 #: A word; the sign of a lost no-break space goes on in the next one.
 _TOKEN = re.compile(r"(?:Ã |[^ \n\t])+")
 _UTF8_RUN = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})+")
-_REFERENCE = re.compile(r"&(?:#\d{2,6}|#x[0-9a-fA-F]{2,6}|[A-Za-z]{2,8});")
+_REFERENCE = re.compile(r"&(?:#\d{2,6}|#x[0-9a-fA-F]{2,6}|[A-Za-z][A-Za-z0-9]{1,8});")
 
 
 @lru_cache(None)
@@ -238,7 +238,7 @@ def _class(c: str) -> str:
     """Coarse class of a neighbour in the prior: a, A (letter by case), 0, space, p (ASCII punctuation) or the character."""
     if c.isascii():
         return "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else " " if c.isspace() else "p"
-    return "a" if c in _LETTERS else "A" if c in _LETTERS_UP else c
+    return "a" if c in _LETTERS else "A" if c in _LETTERS_UP else ("a" if c.islower() else "A") if c in _MORE_LETTERS else c
 
 
 @lru_cache(None)
@@ -377,7 +377,7 @@ def search(text: str, m: Plausibility, margin: float = MARGIN) -> tuple[str, lis
     best_cost, best = start - margin, ()
     lowest = [start, start]  # without and behind a change of national sets
     limit = lambda changed: lowest[changed] + max(BOUND, BOUND_SHARE * lowest[changed])
-    count = 0
+    count, ends = 0, math.inf  # the cheapest ordinary state seen, at which the search will end
     while heap:
         bits, _, state, path, ordinary = heapq.heappop(heap)
         if path and ordinary:
@@ -387,7 +387,7 @@ def search(text: str, m: Plausibility, margin: float = MARGIN) -> tuple[str, lis
             continue
         for step in steps_from(state, changed):
             national = changed or step in _SINGLE or step in _DOUBLES
-            most = max(limit(national), best_cost)
+            most = min(max(limit(national), best_cost), ends)
             c, fine, to = 2.0 * (len(path) + 1), True, []  # a shorter way is likelier
             for w, t in zip(weights, state):
                 x = token_step(t, step)
@@ -396,7 +396,7 @@ def search(text: str, m: Plausibility, margin: float = MARGIN) -> tuple[str, lis
                 cost, odd = m.token(x)
                 c += w * cost
                 if c > most:
-                    break  # costs add up: it can neither be the best nor be followed
+                    break  # costs add up: it can neither be the best nor be followed, nor would its turn come
                 fine = fine and not odd
                 to.append(x)
             else:
@@ -408,6 +408,7 @@ def search(text: str, m: Plausibility, margin: float = MARGIN) -> tuple[str, lis
                 if c < best_cost and c < (NATIONAL if fine and national else 1.0 if fine else DOUBTFUL if national else VOUCHED) * start:
                     best_cost, best = c, way
                 lowest[national] = min(lowest[national], c)
+                ends = min(ends, c) if fine else ends
                 if c <= limit(national):
                     count += 1
                     heapq.heappush(heap, (c, count, new, way, fine))
