@@ -322,9 +322,9 @@ class Plausibility:
                 got = self.memo[two] = 24.0
         return got
 
-    def word(self, word: str) -> tuple[float, bool]:
+    def word(self, word: str, budget: float = math.inf) -> tuple[float, bool]:
         """Bits of a token with non-ASCII characters, and whether it is out of the ordinary: a bigram that is rare in clean
-        text, or mostly accented Latin letters, as those of another alphabet read in a western set are."""
+        text, or mostly accented Latin letters, as those of another alphabet read in a western set are. Beyond the budget bits are no longer added up."""
         got = self.odd.get(word)
         if got is None:
             if len(self.odd) > MEMO_LIMIT:
@@ -336,7 +336,10 @@ class Plausibility:
                     x = memo.get(two)
                     x = self.bits(two) if x is None else x
                     total += x
-                    worst = x if x > worst else worst
+                    if x > worst:
+                        worst = x
+                    if total > budget:
+                        return total, True
             odd = worst > SUSPECT
             if not odd and len(word) > 5:
                 letters = [c for c in word if c.isalpha()]
@@ -353,10 +356,10 @@ class Plausibility:
         """Whether some word is out of the ordinary."""
         return any(self.word(w)[1] for w in re.split(r"[ \n\t]+", text) if not w.isascii())
 
-    def token(self, token: str) -> tuple[float, bool]:
+    def token(self, token: str, budget: float = math.inf) -> tuple[float, bool]:
         """Cost and suspicion of a token, in which a step may have put spaces."""
         if " " not in token and "\n" not in token and "\t" not in token:
-            return self.word(token) if not token.isascii() else (0.0, False)
+            return self.word(token, budget) if not token.isascii() else (0.0, False)
         return self.cost(token), self.suspect(token)
 
 
@@ -393,7 +396,7 @@ def search(text: str, m: Plausibility, margin: float = MARGIN) -> tuple[str, lis
                 x = token_step(t, step)
                 if x is None:
                     break
-                cost, odd = m.token(x)
+                cost, odd = m.token(x, (most - c) / w)
                 c += w * cost
                 if c > most:
                     break  # costs add up: it can neither be the best nor be followed, nor would its turn come
