@@ -51,8 +51,9 @@ def test_split_items(spark, edge):
 CHANGED = [
     ("Ｗｉｄｅ １２", "Wide 12"), ("𝐁𝐨𝐥𝐝", "Bold"), ("conﬁrmed", "confirmed"), ("ǳień", "dzień"), ("café", "café"), ("in​side", "inside"), ("a­b", "ab"), ("two words here", "two words here"),
     ("Вiegły podpisał", "Biegły podpisał"), ("Fаktura nr", "Faktura nr"), ("memο", "memo"), ("пpиёмки до срока", "приёмки до срока"), ("we рау the fee", "we pay the fee"), ("1⁠5 szt.", "15 szt."),
+    ("the ꓮꓢꓔ of it", "the AST of it"), ("signed bу Օwen", "signed by Owen"), ("the ᏢᎪᎷ test", "the PAM test"), ("sᴍᴀʟʟ ᴄᴀᴘs", "small caps"), ("раѕѕword", "password"),
 ]
-KEPT = ["α-Wert", "PDF-копия и USB-ключ", "Дом построен в XIX в. и требует ремонта.", "«Это» — “да”…", "OK 👨‍👩‍👧 ✅ 👍🏽", "借主は第197条（案）を、確認しました！", "डॉ. साहब 11 बजे आए।", "партии AB-4281.2 и KX1324-7", "Γράψτε στο nora@post.example ή 555-0159 ext. 05", "l'été – ça va", "", "plain"]
+KEPT = ["α-Wert", "PDF-копия и USB-ключ", "Дом построен в XIX в. и требует ремонта.", "«Это» — “да”…", "OK 👨‍👩‍👧 ✅ 👍🏽", "借主は第197条（案）を、確認しました！", "डॉ. साहब 11 बजे आए।", "партии AB-4281.2 и KX1324-7", "Γράψτε στο nora@post.example ή 555-0159 ext. 05", "l'été – ça va", "", "plain", "Հայերեն տեքստ է", "the word /bɪt/ and [ʀɪt]", "ᏣᎳᎩ ᎦᏬᏂᎯᏍᏗ", "ꓡꓲ‐ꓢꓴ"]
 
 
 @pytest.mark.parametrize(("text", "want"), CHANGED)

@@ -38,35 +38,58 @@ TO["Latn", "Grek"] = {v: k for k, v in GREEK_LATIN.items()}
 TO["Cyrl", "Grek"] = {c: TO["Latn", "Grek"][x] for c, x in CYRILLIC_LATIN.items() if x in TO["Latn", "Grek"]}
 TO["Grek", "Cyrl"] = {c: TO["Latn", "Cyrl"][x] for c, x in GREEK_LATIN.items() if x in TO["Latn", "Cyrl"]}
 SCRIPTS = ("Latn", "Cyrl", "Grek")
+# Letters of Armenian, Cherokee and Lisu, and small capitals, and the Latin letters they look like.
+TO["Armn", "Latn"] = dict(zip("օոսհցզյպՕՏՍԼ", "onuhgqjuOSUL"))
+TO["Cher", "Latn"] = dict(zip("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏚᎢᏙᎳᏃᎡ", "ABCDEGHJKLMPSTVWZR"))
+TO["Lisu", "Latn"] = dict(zip("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"))
+TO["Smal", "Latn"] = dict(zip("ʙɢʜɪʟɴʀʏ", "bghilnry"))
+#: Scripts whose letters are read as Latin ones only, never the other way round.
+OTHERS = {"Armn": "Ա-Ֆա-և", "Cher": "Ꭰ-Ᏽꭰ-ꮿ", "Lisu": "ꓐ-ꓽ", "Smal": "ʙɢʜɪʟɴʀʏ"}
 #: Look-alikes that only count inside a word of mixed scripts, being poor ones.
 POOR = set("кγτεηпг")
 
 INVISIBLE = "\u00ad\u034f\u115f\u1160\u17b4\u17b5\u180e\u200b\u200c\u200d\u200e\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\u3164\ufeff\uffa0\ufe00-\ufe0f"
 SPACES = "\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000"
-STYLED = "０-９Ａ-Ｚａ-ｚ\uff66-\uff9d\U0001d400-\U0001d7ffﬀ-ﬆǄ-ǌǱ-ǳ①-⑳Ⓐ-ⓩℂ-ℕℙ-ℝℤℨ-ℴĲĳſKÅ"
+STYLED = "ᴀ-ᴄᴅ-ᴋᴍᴏᴘᴛ-ᴜᴠ-ᴢ０-９Ａ-Ｚａ-ｚ\uff66-\uff9d\U0001d400-\U0001d7ffﬀ-ﬆǄ-ǌǱ-ǳ①-⑳Ⓐ-ⓩℂ-ℕℙ-ℝℤℨ-ℴĲĳſKÅ"
 MARKS = "\u0300-\u033f\u0340-\u0345\u0653-\u0655\u3099\u309a"
 _LETTERS = {"Latn": "A-Za-zªºÀ-ÖØ-öø-ɏḀ-ỿ", "Cyrl": "Ѐ-ԯ", "Grek": "Ͱ-ͳͶ-ͽͿΆ-Ͽἀ-῿"}
 #: Only texts with one of these, or with letters of two of the scripts, can change.
 SUSPECT = f"[{INVISIBLE}{SPACES}{STYLED}{MARKS}]"
-LATIN, OTHER = f"[{_LETTERS['Latn']}]", f"[{_LETTERS['Cyrl']}{_LETTERS['Grek']}]"
+LATIN, OTHER = f"[{_LETTERS['Latn']}]", f"[{_LETTERS['Cyrl']}{_LETTERS['Grek']}{''.join(OTHERS.values())}]"
 _CHANGE = re.compile(f"[{INVISIBLE}]+|[{SPACES}]|[{STYLED}]|[^\\s\\d][{MARKS}]+")
 _ANY = re.compile(SUSPECT)
 _OTHER = re.compile(OTHER)
-_WORD = re.compile(f"[{''.join(_LETTERS.values())}][{''.join(_LETTERS.values())}\u0300-\u036f]*")
+_ALL = "".join([*_LETTERS.values(), *OTHERS.values()])
+_WORD = re.compile(f"[{_ALL}][{_ALL}\u0300-\u036f]*")
 _EMOJI = re.compile("[\U0001f000-\U0001faff☀-➿⌀-⏿⬀-⯿©®™]")
 _CJK = re.compile("[\u3000-〿぀-ヿ㐀-鿿＀-／：-＠]")
 _ROMAN = re.compile("[IVXLCDM]+|[ІVХLСDМ]+")
 
 
+@lru_cache(None)
+def _small_capital(c: str) -> str:
+    """The letter that a small capital is a form of, by its name."""
+    name = unicodedata.name(c, "")
+    return name[-1].lower() if name.startswith("LATIN LETTER SMALL CAPITAL ") and name[-2] == " " else c
+
+
 def script(c: str) -> str:
     """Script of a letter; a combining mark goes with any and is looked at by nobody."""
     o = ord(c)
+    if c in TO["Smal", "Latn"]:
+        return "Smal"
+    if 0x530 <= o < 0x590:
+        return "Armn"
+    if 0x13A0 <= o < 0x1400 or 0xAB70 <= o < 0xABC0:
+        return "Cher"
+    if 0xA4D0 <= o < 0xA500:
+        return "Lisu"
     return "Latn" if o < 0x250 or 0x1E00 <= o < 0x1F00 else "Grek" if o < 0x400 or 0x1F00 <= o < 0x2000 else "Cyrl"
 
 
 def resolved(c: str, own: str, poor: bool = True) -> set[str]:
     """The scripts in which a letter can be spelt."""
-    return {own} | {s for s in SCRIPTS if s != own and c in TO[own, s] and (poor or c not in POOR and TO[own, s][c] not in POOR)}
+    return {own} | {s for s in SCRIPTS if s != own and c in TO.get((own, s), ()) and (poor or c not in POOR and TO[own, s][c] not in POOR)}
 
 
 @lru_cache(200_000)
@@ -115,6 +138,8 @@ def characters(text: str) -> tuple[str, list[int] | None]:
             new = g if c == "\u3000" and _CJK.match(text[a - 1 : a]) and _CJK.match(text[b : b + 1]) else " "
         elif re.match(f"[{INVISIBLE}]", c):
             new = g if _keeps(text, a, b) else ""
+        elif "ᴀ" <= c <= "ᴢ":
+            new = _small_capital(c)
         else:
             new = unicodedata.normalize("NFKC", g)
         if new == g:
@@ -151,6 +176,8 @@ def words(text: str) -> str:
     out = list(text)
     for k, ((a, b, _), w, s) in enumerate(zip(found, bare, own)):
         if len(s) > 1:
+            if "Smal" in s and text[a - 1 : a] in ("/", "["):
+                continue  # sounds in their own notation
             can = set.intersection(*(resolved(c, script(c)) for c in w))
             if not can:
                 continue
@@ -229,8 +256,10 @@ def changed_items(df: DataFrame, text: str = "text", only: bool = True) -> DataF
 def _suspect(text: str):
     """Whether a text can change, by single character classes, each one scan."""
     col = F.col(text)
+    others = col.rlike(_java(f"[{''.join(OTHERS.values())}]"))
     cyrillic, greek = (col.rlike(_java(f"[{_LETTERS[k]}]")) for k in ("Cyrl", "Grek"))
-    return col.rlike(_java(SUSPECT)) | (cyrillic & greek) | ((cyrillic | greek) & col.rlike(LATIN))
+    wide = F.octet_length(col) != F.char_length(col)  # plain ASCII can't change
+    return wide & (col.rlike(_java(SUSPECT)) | (cyrillic & greek) | ((cyrillic | greek) & col.rlike(LATIN)) | others)
 
 
 def _java(pattern: str) -> str:
