@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.llm import encoding, leakage, lookalikes, mixing, personal, sentences, splitting, subjects
-from textloom.llm.common import add_column
+from textloom.llm.common import add_column, once_texts
 
 ITEM = "src string, doc_id string, id string, text string"
 EDGE = [("segment", "d", "null", None), ("segment", "d", "empty", ""), ("pdf_page", "d", "blank", " \n "), ("segment", None, None, "no key"), ("segment", "d", "again", "Same."), ("segment", "d", "again", "Same.")]
@@ -304,6 +304,15 @@ def test_every_copy_of_a_passage_is_cut_out(spark):
     assert leakage.words("wo\u200brd co-\noperate")[0] == ["word", "cooperate"]
 
 
+def test_passage_with_every_third_word_changed(spark):
+    p = [f"word{k}x" for k in range(30)]
+    changed = ["other" if k % 3 == 2 else w for k, w in enumerate(p)]
+    added = [x for k, w in enumerate(p) for x in ([w, "more"] if k % 3 == 2 else [w])]
+    items = spark.createDataFrame([(1, " ".join(p))], "item_id bigint, passage string")
+    docs = spark.createDataFrame([(1, " ".join(changed)), (2, " ".join(added)), (3, " ".join(p[:10]))], "doc_id bigint, text string")
+    assert {r.doc_id for r in leakage.leaked_items(docs, items).collect()} == {1, 2}
+
+
 # ---- 7 ----------------------------------------------------------------------
 
 
@@ -363,6 +372,14 @@ def test_latent_model_learns_who_is_right():
     assert subjects.posterior((1, 0, 1), theta, base) > 0.9
 
 
+def test_repeated_items_count_once(spark):
+    rows = [("segment", f"d{k}", "s0", f"text {k}") for k in range(500)] + [("segment", f"d{k}", "s0", f"text {k}") for k in range(0, 500, 7)] + [("segment", None, None, "x"), ("segment", None, None, "x")]
+    df = spark.createDataFrame(rows, ITEM)
+    got = once_texts(df).collect()
+    assert len(got) == 501 and len({(r.doc_id, r.id) for r in got}) == 501
+    assert once_texts(df.limit(0)).count() == 0 and once_texts(df.filter("doc_id = 'd1'")).count() == 1
+
+
 def test_added_columns_keep_the_others(spark):
     import pyarrow as pa
 

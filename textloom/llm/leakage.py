@@ -1,8 +1,8 @@
 """Problem 6: evaluation passages inside training text.
 
-The word n-grams of every distinct passage form a hash index, which is a few
-entries for each word of a fixed table and is broadcast in blocks of at most
-``BLOCK`` items. Training texts are scanned window by window against it; a text
+The word n-grams of every distinct passage, those of words in a row and those
+with the third word left out, form a hash index, which is a few entries for each
+word of a fixed table and is broadcast in blocks of at most ``BLOCK`` words. Training texts are scanned window by window against it; a text
 with enough hits is verified by the longest common word sequence near the hits.
 A passage leaks if at least half of its words occur there in their order.
 
@@ -30,8 +30,8 @@ N = 3
 SHARE = 0.5
 #: Passage words that the hits must cover before a text is verified.
 LEAST_HITS = 0.15
-BLOCK = 20_000
-ITEM_LIMIT = 1_000_000
+BLOCK = 1_000_000
+ITEM_LIMIT = 200_000
 #: A word; invisible characters (as NUL) and a hyphen at a line end do not part it.
 _WORD = re.compile(r"[^\W_]+(?:(?:\0+|-\r?\n)[^\W_]+)*")
 _INSIDE = re.compile(r"\0+|-\r?\n")
@@ -66,10 +66,17 @@ class Passages:
         self.items = list(same.values())
         self.index: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for k, w in enumerate(self.words):
-            for i in range(len(w) - N + 1):
-                self.index[" ".join(w[i : i + N])].append((k, i))
+            for i, g in self.grams(w):
+                self.index[g].append((k, i))
         self.index = dict(self.index)
 
+    @staticmethod
+    def grams(w):
+        """``(place, n-gram)``: words in a row, and with the third one left out, so that a changed, added or missing word
+        in every three leaves some n-grams alike."""
+        yield from enumerate(map(" ".join, zip(*(w[i:] for i in range(N)))))
+        yield from enumerate(map(" ".join, zip(w, w[1:], w[3:])))
+
     def scan(self, text: str | None) -> list[dict]:
         """Leaked passages of a text: their items, the share of their words, and the span of the text."""
         if not text:
@@ -77,8 +84,7 @@ class Passages:
         w, spans = words(text)
         hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
         get = self.index.get
-        grams = map(" ".join, zip(*(w[i:] for i in range(N))))
-        for j, g in enumerate(grams):
+        for j, g in self.grams(w):
             if found := get(g):
                 for k, i in found:
                     hits[k].append((j, i))
@@ -180,9 +186,15 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", keep_text: bool
     """
     rows = [(r.item_id, r.passage) for r in bounded_rows(items.select("item_id", "passage").filter("item_id IS NOT NULL AND passage IS NOT NULL"), ITEM_LIMIT, "evaluation items")]
     rows.sort()
-    out = None
-    for at in range(0, max(1, len(rows)), BLOCK):
-        index = docs.sparkSession.sparkContext.broadcast(Passages(rows[at : at + BLOCK]))
+    out, blocks, size = None, [[]], 0
+    for r in rows:
+        size += len(r[1]) // 2 + 1  # words at most
+        if size > BLOCK and blocks[-1]:
+            blocks.append([])
+            size = len(r[1]) // 2 + 1
+        blocks[-1].append(r)
+    for block in blocks:
+        index = docs.sparkSession.sparkContext.broadcast(Passages(block))
         scan = lambda texts, index=index: pa.array([index.value.scan(t) for t in texts], _TYPE)
         one = add_column(docs, "leaks", DDL, scan, text, keep_text).filter(F.size("leaks") > 0)
         out = one if out is None else out.unionByName(one)

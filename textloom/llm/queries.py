@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import KEY, items, once
+from textloom.llm.common import KEY, items, once, once_texts
 from textloom.llm.encoding import repair_encoding
 from textloom.llm.leakage import leaked_items, without_leaks
 from textloom.llm.lookalikes import changed_items, unify_items
@@ -27,7 +27,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Every item as its ordered pieces."""
-    got = split_items(once(items(spark, d, "segment", "pdf_page")), table(spark, d, "split_limit"))
+    got = split_items(once_texts(items(spark, d, "segment", "pdf_page")), table(spark, d, "split_limit"))
     return got.select(*KEY, F.explode("pieces").alias("p")).select(*KEY, "p.*")
 
 
@@ -38,7 +38,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_unified(spark: SparkSession, d: str) -> DataFrame:
     """Every item in its consistent spelling."""
-    return unify_items(once(items(spark, d, "segment", "pdf_page")))
+    return unify_items(once_texts(items(spark, d, "segment", "pdf_page")))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -48,7 +48,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
     """Every item with a typed placeholder for each mention."""
-    return redact(once(items(spark, d, "segment", "pdf_page", "text_doc")))
+    return redact(once_texts(items(spark, d, "segment", "pdf_page", "text_doc")))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -70,7 +70,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
     """The affected documents with their restored text and the steps that restored it."""
-    got = repair_encoding(once(items(spark, d, "text_doc")))
+    got = repair_encoding(once_texts(items(spark, d, "text_doc")))
     return got.filter((F.size("repaired.steps") > 0) | F.col("repaired.lost")).select("doc_id", "repaired.*")
 
 

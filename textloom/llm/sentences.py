@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import KEY, add_column, not_blank
+from textloom.llm.common import KEY, add_column, not_blank, once_texts
 
 MODEL = Path(__file__).with_name("models") / "sentence_maxent.json"
 MEMO_LIMIT = 300_000
@@ -230,7 +230,7 @@ def sentence_starts(df: DataFrame, text: str = "text", src: str = "src") -> Data
 def sentence_units(df: DataFrame, text: str = "text", src: str = "src") -> DataFrame:
     """Rows ``(src, doc_id, id, unit_no, start_off, end_off, unit)``, one for each unit of an item."""
     layout_col = F.col(src) == "pdf_page"
-    kept = df.filter(not_blank(text)).dropDuplicates(KEY)
+    kept = once_texts(df.filter(not_blank(text)))
     parts = []
     for part, wraps in ((kept.filter(~layout_col), False), (kept.filter(layout_col), True)):
 

@@ -6,8 +6,9 @@ each rank (blank line, line end, sentence end, clause end, space).
 
 Defined cases: null text or null limit gives no piece limit (the item comes out
 whole; a null text gives one null piece); an empty text is one empty piece; a
-single code point larger than the limit comes out alone; overlap of half the
-limit or more is reduced to a third of the limit, so that pieces always advance.
+single code point larger than the limit comes out alone; an overlap of the limit or
+more is taken as the limit less one byte, and a piece that is no longer than its
+overlap is followed without one, so that pieces always advance.
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ def split_spans(text: str, max_bytes: int, overlap_bytes: int) -> list[tuple[int
     pre = byte_prefix(text)
     if max_bytes <= 0 or pre[n] <= max_bytes:
         return [(0, n)]
-    overlap = overlap_bytes if 2 * overlap_bytes < max_bytes else max_bytes // 3
+    overlap = max(0, min(overlap_bytes, max_bytes - 1))
     ranks = [np.fromiter((m.end() for m in r.finditer(text)), np.int64) for r in RANKS]
     every = np.unique(np.concatenate(ranks))
     spans, start = [], 0
@@ -66,7 +67,8 @@ def split_spans(text: str, max_bytes: int, overlap_bytes: int) -> list[tuple[int
         top = int(np.searchsorted(pre, pre[start] + max_bytes, "right")) - 1
         cut = 0
         # A stronger boundary is taken while it leaves the piece at least half full, a weaker one later.
-        for least in (max_bytes // 2, 2 * overlap):
+        most = (overlap + max_bytes) // 2
+        for least in (max(max_bytes // 2, most if 3 * overlap > max_bytes else 0), min(2 * overlap, most)):
             floor = int(np.searchsorted(pre, pre[start] + least, "left"))
             for r in ranks:
                 k = int(np.searchsorted(r, top, "right")) - 1
@@ -78,7 +80,7 @@ def split_spans(text: str, max_bytes: int, overlap_bytes: int) -> list[tuple[int
         if not cut:
             cut = max(top, start + 1)
             back = cut
-            while back > start + 1 and cut - back < 32 and _joined(text, back):
+            while back > start + 1 and _joined(text, back):
                 back -= 1
             cut = cut if _joined(text, back) else back
         spans.append((start, cut))
