@@ -372,6 +372,12 @@ def test_latent_model_learns_who_is_right():
     assert subjects.posterior((1, 0, 1), theta, base) > 0.9
 
 
+def test_a_number_and_its_unit_stay_together():
+    text = "ราคา 50 บาท ผู้เช่าลงนามแล้ว"
+    assert "บาท ผู้เช่าลงนามแล้ว" not in [text[a:] for a in sentences.unit_starts(text, False)]
+    assert text.index("ผู้") in sentences.unit_starts(text, False)
+
+
 def test_repeated_items_count_once(spark):
     rows = [("segment", f"d{k}", "s0", f"text {k}") for k in range(500)] + [("segment", f"d{k}", "s0", f"text {k}") for k in range(0, 500, 7)] + [("segment", None, None, "x"), ("segment", None, None, "x")]
     df = spark.createDataFrame(rows, ITEM)

@@ -1,8 +1,8 @@
 """Problem 4: sentence units across languages and scripts.
 
-A generator proposes candidate boundaries (end marks with the closers behind
-them, line ends, spaces between Thai clauses). A maximum-entropy classifier
-decides each from features of its surroundings: the token before and how often
+A generator proposes candidate boundaries (end marks of any script with the closers
+behind them, line ends, spaces in scripts that write no end marks). A maximum-entropy
+classifier decides each from features of its surroundings: the token before and how often
 that token ends an item or is followed by a small letter, case, length, digits,
 script, the next token, and for a line end whether the next word would have
 fitted. The model is trained on reliable boundaries of the same kind of text
@@ -33,13 +33,14 @@ MEMO_LIMIT = 300_000
 _INVISIBLE = "\u00ad\u034f\u200b\u200c\u2060\ufeff"
 _CLOSERS = "\"'”’»›)\\]}」』）】》〉＂“"
 _EMOJI = "\U0001F000-\U0001FAFF☀-\u27bf\ufe0f\u200d\U0001F3FB-\U0001F3FF⭐✅"
-_THAI = "\u0e01-\u0e3a\u0e40-\u0e4e"
+#: Scripts that set clauses off by spaces: Thai, Lao, Khmer.
+_THAI = "\u0e01-\u0e3a\u0e40-\u0e4e\u0e81-\u0ebd\u0ec0-\u0ecd\u1780-\u17d3"
 #: An end mark with the closers behind it, or a line end. One character class leads, so that the scan is fast.
-CANDIDATE = re.compile(rf"([.!?…।॥؟؛;。！？｡\n])[.!?…。！？]*[{_INVISIBLE}]*(?:[{_CLOSERS}]+|[ \u00a0\u202f][»”](?!\w))*")
+CANDIDATE = re.compile(rf"([.!?…।॥؟؛;。！？｡\n։۔።፧။។៕།])[.!?…。！？]*[{_INVISIBLE}]*(?:[{_CLOSERS}]+|[ \u00a0\u202f][»”](?!\w))*")
 GREEK = re.compile("[Ͱ-Ͽ]")
 THAI = re.compile(f"[{_THAI}]")
 #: A space before Thai, as a boundary of clauses.
-THAI_CANDIDATE = re.compile(rf"\n|[.!?…]+(?=\s)|(?<=[{_THAI}0-9A-Za-z])[^\S\n]+(?=[{_THAI}])")
+THAI_CANDIDATE = re.compile(rf"\n|[.!?…។៕]+(?=\s)|(?<=[{_THAI}0-9A-Za-z])[^\S\n]+(?=[{_THAI}])")
 _EMOJI_RUN = re.compile(rf"(?:[^\S\n]*[{_EMOJI}]+)+")
 _SPACE = re.compile(r"\s+")
 _INVISIBLE_RUN = re.compile(f"[{_INVISIBLE}\u200d]+")
@@ -55,7 +56,10 @@ _ORDINAL_BEFORE = re.compile(r"(?:^|[\s(])(?:der|die|das|dem|den|des|am|vom|zum|
 
 @lru_cache(1)
 def model() -> dict:
-    return json.loads(MODEL.read_text()) if MODEL.exists() else {"lex": {}, "w": {}}
+    if not MODEL.exists():
+        return {"lex": {}, "w": {}, "units": frozenset()}
+    got = json.loads(MODEL.read_text())
+    return got | {"units": frozenset(got.get("units", ()))}
 
 
 def shape(word: str) -> str:
@@ -110,6 +114,25 @@ def line_key(line: str, after: str, word: str, width: int) -> tuple:
     return len(line) + 1 + len(word) <= width, width > 112, len(line) < 0.6 * width, line.rstrip()[-1:] in (",", "-", "–", "(", "„"), shape(word), bool(BULLET.match(after))
 
 
+def han_features(nxt: str, closed: bool, opened: bool) -> list[str]:
+    """Features of an end mark of Chinese or Japanese: what follows, whether a quotation closes with it, and whether that opened the unit."""
+    n = "e" if not nxt or nxt.isspace() else "," if nxt in "、，" else "p" if nxt in "とっ" else "a" if nxt.isalpha() else "o"
+    return ["C", f"C n={n}", f"C n={n}|q={closed}", f"C n={n}|q={closed}|o={opened}"]
+
+
+def space_features(before: str, after: str, unit: bool, size: int) -> list[str]:
+    """Features of a space in a script without end marks: the characters beside it, whether a word for what is counted follows a
+    number, and the length of the unit so far."""
+    kind = lambda c: "d" if c.isdigit() else "l" if c.isascii() else "t"
+    p = kind(before)
+    return ["T", f"T p={p}|n={kind(after)}", f"T u={unit}", f"T p={p}|s={min(size // 4, 4)}"]
+
+
+def row_end_features(n: str, bullet: bool, blank: bool) -> list[str]:
+    """Features of a line end where lines aren't wrapped."""
+    return ["S", f"S n={n}", f"S bul={bullet}", f"S blank={blank}"]
+
+
 def score(features: list[str], w: dict) -> float:
     return sum(w.get(f, 0.0) for f in features)
 
@@ -128,7 +151,7 @@ def _opened_at_start(text: str, start: int, end: int) -> bool:
 def unit_starts(text: str, layout: bool, memo: dict | None = None) -> list[int]:
     """Offsets of the first character of each unit. ``layout``: line ends may be mere layout (PDF pages)."""
     m = model()
-    lex, w = m["lex"], m["w"]
+    lex, w, units = m["lex"], m["w"], m.get("units", ())
     memo = {} if memo is None else memo
     size = len(text)
     at = size - len(text.lstrip())
@@ -158,16 +181,34 @@ def unit_starts(text: str, layout: bool, memo: dict | None = None) -> list[int]:
                         yes = memo[key] = score(line_features(*key), w) > 0
                     if not yes:
                         continue
+            else:
+                key = ("S", shape(text[end : end + 1]), text[end : end + 1] in "-•–—*·▪◦#§" or text[end : end + 1].isdigit(), text[end : end + 1] == "\n")
+                yes = memo.get(key)
+                if yes is None:
+                    yes = memo[key] = score(row_end_features(*key[1:]), w) > 0
+                if not yes:
+                    continue
         elif first.isspace():
             if begin - start < 14 and LABEL.fullmatch(text[start:begin]):
                 continue
+            before = text[begin - 1]
+            key = ("T", before.isdigit(), before.isascii(), before.isdigit() and text[end : end + 3] in units, min((begin - start) // 4, 4))
+            yes = memo.get(key)
+            if yes is None:
+                yes = memo[key] = score(space_features(before, text[end], key[3], begin - start), w) > 0
+            if not yes:
+                continue
         elif first in "。！？｡":
             if text[end - 1] == "“":  # opens what follows in these scripts
                 end -= 1
-            if end < size:
-                nxt = text[end]
-                if nxt in "、，" or text[end - 1] in "」』”’\"" and (nxt in "とっ" or nxt.isalpha() and _opened_at_start(text, start, begin)):
-                    continue
+            nxt = text[end : end + 1]
+            closed = text[end - 1] in "」』”’\""
+            key = ("C", nxt, closed, closed and nxt.isalpha() and _opened_at_start(text, start, begin))
+            yes = memo.get(key)
+            if yes is None:
+                yes = memo[key] = score(han_features(*key[1:]), w) > 0
+            if not yes:
+                continue
         else:
             if end < size and not text[end].isspace():
                 if text[end] < "\u2000" or not (e := _EMOJI_RUN.match(text, end)):

@@ -5,6 +5,11 @@ Reliable labels, all taken from unlabelled text:
   of a line item is a boundary, learnt as if a capital followed;
 - a mark before a capital is a boundary if its token also ends items in the
   corpus, and none if the token is frequent and never ends one;
+- a mark of Chinese or Japanese before a comma, or closing a quotation before a particle
+  or the words of who speaks, is no boundary; before all else it is one;
+- a space between two clauses of Thai is a boundary, one between a number and a word
+  that elsewhere is written onto numbers is none;
+- a line end of a text that isn't wrapped is a boundary;
 - a line end before a bullet or label is a boundary; one before a small letter
   with no end mark before it is mere layout.
 The sample is at most ``LIMIT`` texts of a table, in the order of a hash.
@@ -100,6 +105,35 @@ def examples(plain: list[str], pages: list[str], lex: dict) -> Counter:
     return out
 
 
+def units_of(texts_: list[str]) -> list[str]:
+    """The beginnings of words that are written onto numbers, in scripts without spaces between words."""
+    n = Counter(m.group(1) for t in texts_ for m in re.finditer(rf"\d([{S._THAI}]{{3}})", t))
+    return sorted(x for x, c in n.items() if c >= 3)
+
+
+def more_examples(texts_: list[str], units: frozenset[str]) -> Counter:
+    """Reliable boundaries of scripts with their own marks or none, and of line ends."""
+    out: Counter = Counter()
+    for t in texts_:
+        for m in re.finditer(r"[。！？｡]+[」』”’）]*", t):
+            nxt = t[m.end() : m.end() + 1]
+            closed = m.group()[-1] in "」』”’\""
+            start = max(t.rfind(x, 0, m.start()) for x in "。！？\n") + 1
+            opened = closed and nxt.isalpha() and S._opened_at_start(t, start, m.start())
+            out[tuple(S.han_features(nxt, closed, opened)), int(not (nxt and nxt in "、，" or closed and nxt and nxt in "とっ" or opened))] += 1
+        for m in re.finditer(rf"(?<=[{S._THAI}0-9])[^\S\n]+(?=[{S._THAI}])", t):
+            before, size = t[m.start() - 1], m.start() - t.rfind(" ", 0, m.start() - 1)
+            unit = before.isdigit() and t[m.end() : m.end() + 3] in units
+            out[tuple(S.space_features(before, t[m.end()], unit, size)), int(not unit)] += 1
+        for m in re.finditer(r"\n(?=(.))", t):
+            out[tuple(S.row_end_features(S.shape(m.group(1)), m.group(1) in "-•–—*·▪◦#§" or m.group(1).isdigit(), False)), 1] += 1
+    for x in units:  # a number, a space and a word for what is counted, which texts that write them together don't show
+        for size in range(0, 24, 4):
+            out[tuple(S.space_features("0", x, True, size)), 0] += 20
+    out[tuple(S.row_end_features("o", False, True)), 1] += 50
+    return out
+
+
 def fit(data: Counter, rounds: int = 3000, l2: float = 1e-5, rate: float = 4.0) -> dict:
     """Maximum-entropy weights by gradient ascent over distinct feature sets."""
     names: dict[str, int] = defaultdict(lambda: len(names))
@@ -123,8 +157,9 @@ def fit(data: Counter, rounds: int = 3000, l2: float = 1e-5, rate: float = 4.0)
 def main(path: str) -> None:
     plain, pages = sample(path, "segment"), sample(path, "pdf_page")
     lex, _ = lexicon(plain, pages)
-    w = fit(examples(plain, pages, lex))
-    S.MODEL.write_text(json.dumps({"lex": lex, "w": w}, ensure_ascii=False, separators=(",", ":")))
+    units = units_of(plain + pages)
+    w = fit(examples(plain, pages, lex) + more_examples(plain, frozenset(units)))
+    S.MODEL.write_text(json.dumps({"lex": lex, "w": w, "units": units}, ensure_ascii=False, separators=(",", ":")))
     print(len(lex), "tokens,", len(w), "weights")
 
 
