@@ -90,14 +90,17 @@ def changed_spans(df: DataFrame) -> DataFrame:
 
 def strategy(source: Column, target: Column, ops: Column) -> Column:
     """How a page by itself is written back: ``unchanged``, ``redact`` in place, or ``rebuild``."""
-    red = T.looks_like_redaction(target)
-    op = F.exists(
-        ops,
-        lambda o: ((o["tag"] == "insert") & ~red)
-        | ((o["tag"] == "delete") & ~red & ~T.is_blank(o["source_text"]))
-        | ((o["tag"] == "replace") & T.requires_reflow(o["source_text"], o["replacement_text"], red)),
-    )
-    return F.when(source == target, "unchanged").when(((F.length(target) > F.length(source)) & ~red) | op, "rebuild").otherwise("redact")
+
+    def own(red: Column) -> Column:  # looked for once a page, not once a change
+        op = F.exists(
+            ops,
+            lambda o: ((o["tag"] == "insert") & ~red)
+            | ((o["tag"] == "delete") & ~red & ~T.is_blank(o["source_text"]))
+            | ((o["tag"] == "replace") & T.requires_reflow(o["source_text"], o["replacement_text"], red)),
+        )
+        return F.when(((F.length(target) > F.length(source)) & ~red) | op, "rebuild").otherwise("redact")
+
+    return F.when(source == target, "unchanged").otherwise(T.let(T.looks_like_redaction(target), own))
 
 
 def page_strategy(df: DataFrame, fits: str | None = None, doc: str = "doc_id", source: str = "source_text", target: str = "text") -> DataFrame:

@@ -8,6 +8,7 @@ Rectangles are tuples ``(x0, y0, x1, y1)`` from the top left of the page.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,8 +36,9 @@ def advance(c: str) -> int:
 _ADVANCE = {chr(k): advance(chr(k)) for k in range(0x3000)}
 
 
+@lru_cache(100_000)
 def text_width(text: str) -> int:
-    """Sum of the advances, in thousandths of the size."""
+    """Sum of the advances, in thousandths of the size. Words repeat, so most are looked up."""
     get = _ADVANCE.get
     return sum([get(c) or advance(c) for c in text])
 
