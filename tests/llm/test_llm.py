@@ -372,6 +372,13 @@ def test_latent_model_learns_who_is_right():
     assert subjects.posterior((1, 0, 1), theta, base) > 0.9
 
 
+def test_plain_characters_are_never_suspect():
+    import re
+
+    plain = [chr(k) for k in range(0x2100) if re.fullmatch(f"[{lookalikes.PLAIN}]", chr(k))]
+    assert len(plain) > 500 and not [c for c in plain if re.match(lookalikes.SUSPECT, c) or re.match(lookalikes.OTHER, c)]
+
+
 def test_a_number_and_its_unit_stay_together():
     text = "ราคา 50 บาท ผู้เช่าลงนามแล้ว"
     assert "บาท ผู้เช่าลงนามแล้ว" not in [text[a:] for a in sentences.unit_starts(text, False)]

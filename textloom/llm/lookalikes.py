@@ -55,6 +55,8 @@ MARKS = "\u0300-\u033f\u0340-\u0345\u0653-\u0655\u3099\u309a"
 _LETTERS = {"Latn": "A-Za-zªºÀ-ÖØ-öø-ɏḀ-ỿ", "Cyrl": "Ѐ-ԯ", "Grek": "Ͱ-ͳͶ-ͽͿΆ-Ͽἀ-῿"}
 #: Only texts with one of these, or with letters of two of the scripts, can change.
 SUSPECT = f"[{INVISIBLE}{SPACES}{STYLED}{MARKS}]"
+#: Characters that never make a text suspect: one short class, which most texts consist of.
+PLAIN = "\\x00-\x9f¡-¬®-ıĴ-žƀ-ǃǍ-ǰǴ-ɏ–—‘’“”„…€•"
 LATIN, OTHER = f"[{_LETTERS['Latn']}]", f"[{_LETTERS['Cyrl']}{_LETTERS['Grek']}{''.join(OTHERS.values())}]"
 _CHANGE = re.compile(f"[{INVISIBLE}]+|[{SPACES}]|[{STYLED}]|[^\\s\\d][{MARKS}]+")
 _ANY = re.compile(SUSPECT)
@@ -259,7 +261,7 @@ def _suspect(text: str):
     others = col.rlike(_java(f"[{''.join(OTHERS.values())}]"))
     cyrillic, greek = (col.rlike(_java(f"[{_LETTERS[k]}]")) for k in ("Cyrl", "Grek"))
     wide = F.octet_length(col) != F.char_length(col)  # plain ASCII can't change
-    return wide & (col.rlike(_java(SUSPECT)) | (cyrillic & greek) | ((cyrillic | greek) & col.rlike(LATIN)) | others)
+    return wide & col.rlike(f"[^{PLAIN}]") & (col.rlike(_java(SUSPECT)) | (cyrillic & greek) | ((cyrillic | greek) & col.rlike(LATIN)) | others)
 
 
 def _java(pattern: str) -> str:
