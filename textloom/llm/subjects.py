@@ -71,17 +71,27 @@ def model() -> dict:
     return json.loads(MODEL.read_text())
 
 
+@lru_cache(1)
+def _lengths() -> dict[str, int]:
+    """How many words the longest sequence has that begins with a word."""
+    out: dict[str, int] = {}
+    for g in model()["lexicon"]:
+        ws = g.split(" ")
+        out[ws[0]] = max(out.get(ws[0], 0), len(ws))
+    return out
+
+
 def hits(text: str | None, lex: dict[str, list]) -> dict[str, float]:
     """Weight of the lexicon's sequences found, by subject; the longest at a place counts."""
     out: dict[str, float] = defaultdict(float)
     if not text:
         return out
-    get = lex.get
+    get, longest = lex.get, _lengths().get
     for ws in sentences(text):
         k, n = 0, len(ws)
         last, end, counted = None, -1, 0.0  # words of one term stand side by side and count once
         while k < n:
-            for m in range(min(N, n - k), 0, -1):
+            for m in range(min(longest(ws[k], 0), n - k), 0, -1):
                 found = get(ws[k] if m == 1 else " ".join(ws[k : k + m]))
                 if found:
                     subject, weight = found
