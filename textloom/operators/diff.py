@@ -9,6 +9,7 @@ rule of the longest common stretch (the first one if several are as long).
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +28,10 @@ COMPARED = f"struct<ops:array<{OPCODE}>,fits:boolean>"
 class Matcher(difflib.SequenceMatcher):
     """The library's matcher with its longest common stretch found a row of the second text at a time."""
 
-    def __init__(self, a: str, b: str):
-        super().__init__(None, a, b, autojunk=False)
-        self.places = {c: np.array(k, np.int64) for c, k in self.b2j.items()}
+    def __init__(self, a: str, b: str):  # without the library's own index of the second text
+        self.a, self.b, self.matching_blocks, self.opcodes, self.fullbcount = a, b, None, None, None
+        signs = np.frombuffer(b.encode("utf-32-le", "surrogatepass"), "<u4")
+        self.places = {c: np.flatnonzero(signs == ord(c)) for c in set(a)}
 
     def find_longest_match(self, alo: int = 0, ahi: int | None = None, blo: int = 0, bhi: int | None = None) -> difflib.Match:
         ahi, bhi = len(self.a) if ahi is None else ahi, len(self.b) if bhi is None else bhi
@@ -52,11 +54,20 @@ class Matcher(difflib.SequenceMatcher):
         return difflib.Match(best_i, best_j, best)
 
 
+def _common(most: int, same: Callable[[int], bool]) -> int:
+    """The largest length up to ``most`` at which two texts are the same, halving what is left."""
+    least = 0
+    while least < most:
+        k = (least + most + 1) // 2
+        least, most = (k, most) if same(k) else (least, k - 1)
+    return least
+
+
 def opcodes(a: str, b: str) -> list[dict]:
     """Replacements, deletions and insertions that lead from ``a`` to ``b``."""
     least = min(len(a), len(b))
-    head = next((k for k in range(least) if a[k] != b[k]), least)
-    tail = next((k for k in range(least - head) if a[-1 - k] != b[-1 - k]), least - head)
+    head = _common(least, lambda k: a[:k] == b[:k])
+    tail = _common(least - head, lambda k: a[len(a) - k :] == b[len(b) - k :])
     x, y = a[head : len(a) - tail], b[head : len(b) - tail]
     matcher = Matcher(x, y) if len(x) * len(y) > 4096 else difflib.SequenceMatcher(None, x, y, autojunk=False)
     ops = [(t, i + head, j + head, k + head, m + head) for t, i, j, k, m in matcher.get_opcodes() if t != "equal"]
