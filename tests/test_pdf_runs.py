@@ -1,12 +1,14 @@
-"""PDF texts read by whole strings."""
+"""PDF texts read by whole strings, and each file made and read once."""
 
+import os
 import random
 
 import pytest
 
 from textloom.operators import diff, layout as L
-from textloom.sources import pdf
+from textloom.sources import pdf, pdf_filters
 
+DATA = os.environ.get("TEXTLOOM_TEST_DATA", "/root/testdata/sf0.001")
 PLAIN = b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>"
 #: A ligature of two characters, a character without width, one without a name.
 ODD = b"<< /Type /Font /Subtype /Type1 /BaseFont /X /FirstChar 65 /Widths [500 0 600 -300] /Encoding << /Differences [65 /f_i.x /B /fi /D] >> >>"
@@ -56,3 +58,19 @@ def test_differences_lead_from_one_text_to_the_other(a, b):
         out += [a[at : o["source_start"]], o["replacement_text"]]
         at = o["source_end"]
     assert "".join(out) + a[at:] == b
+
+
+@pytest.mark.parametrize("n", [0, 1, 253, 254, 255, 3837, 3838, 3839, 3840, 9000])
+def test_lzw_at_the_edges_of_its_table(n):
+    data = random.Random(n).randbytes(n)
+    assert pdf_filters.lzw(pdf_filters.encode_lzw(data)) == data
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+@pytest.mark.parametrize("name, steps", [("pdf_rebuilt", 6), ("pdf_reflowed", 5)])
+def test_each_file_is_made_and_read_once(spark, name, steps):
+    """Made, read, compared, written, read again, and looked through: each is one step of the plan, and no file is shuffled."""
+    from textloom.plans.catalogue import QUERIES
+
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == steps and "Join" not in plan

@@ -92,28 +92,24 @@ def edits_by_position(loaded: Loaded, texts: DataFrame) -> tuple[DataFrame, Data
     return edits, wrong
 
 
-def edited_pages(docs: DataFrame, edits: DataFrame, strict: bool = False) -> DataFrame:
+def edited_pages(docs: DataFrame, edits: DataFrame | None = None, strict: bool = False) -> DataFrame:
     """Read PDF documents with ``edited``, their pages after the edits, how each is written back, and ``failed``.
 
-    The edits of a document come to it in one row; texts aren't shuffled. Documents
-    without edits don't visit Python again.
+    The edits of a document come to it in one row, or are there already, in a column ``edits`` as
+    ``edits.by_document`` makes it. Every file is read once: rows with and without edits don't part.
     """
-    grouped = E.by_document(edits).withColumnRenamed("edits", "_edits")
     page_id = lambda p: F.concat(F.lit("i:p"), p["page"].cast("string"))
     of_page = lambda p: F.filter("_edits", lambda e: e["target"] == page_id(p))
     folded = lambda p: F.when(T.is_blank(p["text"]), F.struct(p["text"].alias("text"), F.lit(None).cast("string").alias("error"))).otherwise(E.fold(p["text"], of_page(p)))
-    joined = docs.join(grouped, "doc_id", "left").withColumn("_f", F.when(F.col("_edits").isNotNull(), F.transform("pages", folded)))
+    joined = docs.withColumnRenamed("edits", "_edits") if edits is None else docs.join(E.by_document(edits).withColumnRenamed("edits", "_edits"), "doc_id", "left")
+    joined = joined.withColumn("_f", F.when(F.col("_edits").isNotNull(), F.transform("pages", folded)))
     known = F.transform(F.filter("pages", lambda p: ~T.is_blank(p["text"])), page_id)
     unknown = F.exists("_edits", lambda e: ~F.array_contains(known, e["target"])) if strict else F.lit(False)
     error = F.coalesce(F.get(F.filter(F.transform("_f", lambda x: x["error"]), lambda x: x.isNotNull()), F.lit(0)), F.when(unknown, E.TARGET_ERROR))
     page = lambda p, t: F.struct(p["page"].alias("page"), p["text"].alias("source_text"), t.alias("text"), p["width"].alias("width"), p["height"].alias("height"))
     new = F.when(F.col("_f").isNotNull(), F.zip_with("pages", "_f", lambda p, x: page(p, x["text"]))).otherwise(F.transform("pages", lambda p: page(p, p["text"])))
     out = joined.withColumn("failed", error).withColumn("edited", new).drop("_f", "_edits", "pages")
-    touched = F.exists("edited", lambda p: p["source_text"] != p["text"])
-    same = out.filter(~F.coalesce(touched, F.lit(False)))
-    none = F.array().cast(f"array<{diff.OPCODE[:-1]},label:string>>")
-    same = same.withColumn("edited", F.transform("edited", lambda p: p.withField("ops", none).withField("fits", F.lit(True)).withField("strategy", F.lit("unchanged"))))
-    return same.unionByName(diff.compare_pages(out.filter(touched)))
+    return diff.compare_pages(out)
 
 
 def render(loaded: Loaded, edits: DataFrame, strict: bool = False, failures: DataFrame | None = None) -> DataFrame:
